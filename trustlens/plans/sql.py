@@ -59,3 +59,37 @@ def unpivot_likert(cols: list[str], src: str = "respondents") -> str:
 def with_resp(body: str) -> str:
     """Prefix the respondents CTE; ``body`` starts with ', name AS (...)' or ' SELECT'."""
     return respondents_cte() + body
+
+
+# ---------------------------------------------------------------------------
+# Distribution tails in SQL (same formulas as trustlens.functions)
+# ---------------------------------------------------------------------------
+
+def erfc(x: str) -> str:
+    from trustlens.functions import ERFC_COEFFS as C
+    z = f"abs({x})"
+    t = f"(1.0::DOUBLE / (1.0::DOUBLE + 0.5 * {z}))"
+    poly = f"{C[-1]!r}"
+    for c in reversed(C[1:-1]):
+        poly = f"({c!r} + {t} * {poly})"
+    ans = f"({t} * exp(-{z} * {z} + {C[0]!r} + {t} * {poly}))"
+    return f"(CASE WHEN {x} >= 0 THEN {ans} ELSE 2.0 - {ans} END)"
+
+
+def norm_sf(z: str) -> str:
+    return f"(0.5 * {erfc(f'({z}) / 1.4142135623730951')})"
+
+
+def chi2_sf(x: str, dof: str) -> str:
+    half = f"(({x}) / 2.0)"
+    even = (f"exp(-{half}) * list_sum(list_transform(range(0, ({dof}) // 2),"
+            f" lambda i: pow({half}, i) / factorial(CAST(i AS INTEGER))))")
+    odd_terms = (f"list_sum(list_transform(range(0, (({dof}) - 1) // 2),"
+                 f" lambda i: pow({x}, i) * pow(2.0::DOUBLE, i) * factorial(CAST(i AS INTEGER))"
+                 f" / factorial(CAST(2 * i + 1 AS INTEGER))))")
+    odd = (f"{erfc(f'sqrt({half})')} + CASE WHEN ({dof}) >= 3 THEN sqrt(2.0 * ({x}) / pi())"
+           f" * exp(-{half}) * {odd_terms} ELSE 0.0 END")
+    k = f"CAST({dof} AS DOUBLE)"
+    wh = norm_sf(f"(pow(({x}) / {k}, 1.0 / 3.0) - (1 - 2.0 / (9 * {k}))) / sqrt(2.0 / (9 * {k}))")
+    return (f"(CASE WHEN ({x}) <= 0 THEN 1.0 WHEN ({dof}) > 21 THEN {wh}"
+            f" WHEN ({dof}) % 2 = 0 THEN {even} ELSE {odd} END)")
