@@ -200,10 +200,7 @@ def q_kruskal_region(spark, sf):
     return ST.kruskal(resp(spark, sf), "region")
 
 
-def _nested(body: str) -> str:
-    """A check body (', a AS (...) SELECT ...') as a self-contained subquery."""
-    assert body.startswith(", ")
-    return "WITH " + body[2:]
+_nested = Q.nested
 
 
 _REPORT_SQL = (

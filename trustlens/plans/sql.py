@@ -56,6 +56,12 @@ def unpivot_likert(cols: list[str], src: str = "respondents") -> str:
     return " UNION ALL ".join(f"SELECT '{c}' AS column_name, {c} AS rating FROM {src}" for c in cols)
 
 
+def nested(body: str) -> str:
+    """A check body (', a AS (...) SELECT ...') as a self-contained subquery."""
+    assert body.startswith(", ")
+    return "WITH " + body[2:]
+
+
 def with_resp(body: str) -> str:
     """Prefix the respondents CTE; ``body`` starts with ', name AS (...)' or ' SELECT'."""
     return respondents_cte() + body
