@@ -44,8 +44,9 @@ def linear_attribution(rows: DataFrame, weights: list[float], features: list[str
     """(feature, mean_abs_attribution) for a linear model on scaled features."""
     arr = rows.select(vector_to_array(vector_col).alias("x"))
     xs = {f: F.col("x")[i] for i, f in enumerate(features)}
-    means = arr.agg(*[F.avg(xs[f]).alias(f"m{i}") for i, f in enumerate(features)])
-    m = {f: means.select(f"m{i}").scalar() for i, f in enumerate(features)}
+    # one row of feature means (a parameter vector) -> literals
+    means = arr.agg(*[F.avg(xs[f]).alias(f"m{i}") for i, f in enumerate(features)]).first()
+    m = {f: F.lit(float(means[f"m{i}"])) for i, f in enumerate(features)}
     vals = arr.agg(*[F.avg(F.abs(F.lit(float(w)) * (xs[f] - m[f]))).alias(f)
                      for f, w in zip(features, weights)])
     return vals.unpivot([], features, "feature", "mean_abs_shap")
@@ -124,7 +125,7 @@ def tree_table(model, kind: str) -> tuple[list[dict], list[float]]:
     nodes = (spark.read.parquet(f"{path}/data")
              .select("treeID", "nodeData.id", "nodeData.prediction", "nodeData.impurityStats",
                      "nodeData.leftChild", "nodeData.rightChild", "nodeData.split.featureIndex",
-                     F.col("nodeData.split.leftCategoriesOrThreshold")[0].alias("threshold"))
+                     F.get(F.col("nodeData.split.leftCategoriesOrThreshold"), 0).alias("threshold"))
              .toPandas())
     weights = list(model.treeWeights)
     trees = []

@@ -11,8 +11,11 @@ it instead of recomputing its lineage, and a lost executor re-reads files.
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
+from pyspark.ml import Pipeline
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
 from pyspark.ml.functions import vector_to_array
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 from trustlens import functions as X
 from trustlens import schema as S
 from trustlens.ml import metrics as M
-from trustlens.ml.pipeline import build_pipeline, model_frame
+from trustlens.ml.pipeline import assembler, model_frame
 
 MODEL_NAMES = ["Logistic Regression", "Random Forest", "Gradient Boosted Trees"]
 
@@ -50,7 +53,7 @@ class ModelSettings:
                              gbt_depth=3, gbt_step=0.3)
 
 
-def estimators(n_train: int, n_classes: int, cfg: ModelSettings) -> dict:
+def estimators(n_train: int, n_classes: int, cfg: ModelSettings, parallelism: int = 1) -> dict:
     """sklearn's C = 1 on a summed loss is Spark's regParam = 1 / n on a mean loss."""
     lr = LogisticRegression(maxIter=cfg.lr_max_iter, regParam=1.0 / max(n_train, 1),
                             elasticNetParam=0.0, standardization=False, weightCol="weight",
@@ -62,7 +65,7 @@ def estimators(n_train: int, n_classes: int, cfg: ModelSettings) -> dict:
                         subsamplingRate=cfg.gbt_subsample,
                         featureSubsetStrategy=cfg.gbt_feature_fraction, seed=cfg.seed)
     if n_classes > 2:
-        gbt = OneVsRest(classifier=gbt)
+        gbt = OneVsRest(classifier=gbt, parallelism=parallelism)
     return dict(zip(MODEL_NAMES, [lr, rf, gbt]))
 
 
@@ -85,53 +88,66 @@ def _auc(pred: DataFrame, name: str, n_classes: int) -> DataFrame:
 
 def feature_importance(model, features: list[str], top: int = 20) -> list[tuple[str, float]]:
     """Top importances of a tree model (one-vs-rest: mean over class models)."""
-    est = model.stages[-1]
-    if hasattr(est, "featureImportances"):
-        vec = est.featureImportances.toArray()
+    if hasattr(model, "featureImportances"):
+        vec = model.featureImportances.toArray()
     else:
-        arrs = [m.featureImportances.toArray() for m in est.models]
+        arrs = [m.featureImportances.toArray() for m in model.models]
         vec = sum(arrs) / len(arrs)
     pairs = sorted(zip(features, [float(v) for v in vec]), key=lambda t: (-t[1], t[0]))
     return pairs[:top]
 
 
+def _fold_metrics(est, train: DataFrame, f: int):
+    m = est.fit(train.where(F.col("fold") != f))
+    r = M.class_metrics(m.transform(train.where(F.col("fold") == f)), digits=12).first()
+    return r["accuracy"], r["f1"]
+
+
 def train_classifier(df: DataFrame, target: str, cfg: ModelSettings | None = None,
-                     leak_free: bool = True, select_by: str | None = None) -> dict:
+                     leak_free: bool = True, select_by: str | None = None,
+                     parallelism: int = 5) -> dict:
     """Fit the three models on the stratified 80% part; test metrics on the
     20% part; k-fold CV (accuracy, weighted F1: mean and population std) on the
-    training part; best model by AUC (fraud) or F1 (trust), first on a tie."""
+    training part; best model by AUC (fraud) or F1 (trust), first on a tie.
+
+    As in the reference, imputer and scaler are fit once on the training part
+    and the CV folds run on the scaled training rows.  The fold fits are
+    independent Spark jobs submitted from ``parallelism`` driver threads (the
+    scheme of ``CrossValidator(parallelism=...)``).
+    """
     cfg = cfg or ModelSettings()
     select_by = select_by or ("auc_roc" if target == S.FRAUD_TARGET else "f1")
     spark: SparkSession = df.sparkSession
     frame, feats = model_frame(df, target, leak_free, cfg.test_size, cfg.seed, cfg.cv_folds)
     frame = frame.checkpoint(eager=True)
-    n_classes = int(frame.agg(F.max("label")).first()[0]) + 1
-    train = frame.where("is_test = 0")
-    test = frame.where("is_test = 1")
+    prep = Pipeline(stages=assembler(feats)).fit(frame.where("is_test = 0"))
+    data = (prep.transform(frame)
+            .select("respondent_id", "label", "weight", "is_test", "fold", "features")
+            .persist(StorageLevel.MEMORY_AND_DISK))
+    n_classes = int(data.agg(F.max("label")).first()[0]) + 1
+    train = data.where("is_test = 0")
+    test = data.where("is_test = 1")
     n_train = train.count()
     fitted, rows, preds = {}, [], {}
-    for i, (name, est) in enumerate(estimators(n_train, n_classes, cfg).items()):
-        model = build_pipeline(feats, est).fit(train)
-        fitted[name] = model
-        pred = model.transform(test)
-        preds[name] = pred
-        m = M.class_metrics(pred).first()
-        auc = _auc(pred, name, n_classes).first()["auc_roc"]
-        accs, f1s = [], []
-        for f in range(cfg.cv_folds):
-            fm = build_pipeline(feats, est).fit(train.where(F.col("fold") != f))
-            r = M.class_metrics(fm.transform(train.where(F.col("fold") == f)), digits=12).first()
-            accs.append(r["accuracy"])
-            f1s.append(r["f1"])
-        rows.append((name, i, m["accuracy"], m["f1"], m["precision"], m["recall"], auc,
-                     _r4(_mean(accs)), _r4(_std(accs)), _r4(_mean(f1s)), _r4(_std(f1s))))
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        for i, (name, est) in enumerate(estimators(n_train, n_classes, cfg, parallelism).items()):
+            folds = [pool.submit(_fold_metrics, est, train, f) for f in range(cfg.cv_folds)]
+            model = est.fit(train)
+            fitted[name] = model
+            pred = model.transform(test)
+            preds[name] = pred
+            m = M.class_metrics(pred).first()
+            auc = _auc(pred, name, n_classes).first()["auc_roc"]
+            res = [f.result() for f in folds]
+            accs, f1s = [a for a, _ in res], [b for _, b in res]
+            rows.append((name, i, m["accuracy"], m["f1"], m["precision"], m["recall"], auc,
+                         _r4(_mean(accs)), _r4(_std(accs)), _r4(_mean(f1s)), _r4(_std(f1s))))
     metrics = spark.createDataFrame(rows, METRICS_SCHEMA)  # three rows of results
     best = metrics.orderBy(F.desc(select_by), "ord").first()["model"]
-    tree = fitted["Gradient Boosted Trees"]
-    importance = feature_importance(tree, feats)
+    importance = feature_importance(fitted["Gradient Boosted Trees"], feats)
     return {"task": target, "metrics": metrics.orderBy("ord"), "best_model_name": best,
-            "fitted": fitted, "features": feats, "predictions": preds, "frame": frame,
-            "feature_importance": importance, "n_classes": n_classes}
+            "fitted": fitted, "prep": prep, "features": feats, "predictions": preds,
+            "data": data, "feature_importance": importance, "n_classes": n_classes}
 
 
 METRICS_SCHEMA = ("model string, ord int, accuracy double, f1 double, precision double, "

@@ -11,7 +11,6 @@ rank is offset + position inside the bucket, a window over one bucket's rows
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -107,7 +106,3 @@ def model_frame(df: DataFrame, target: str, leak_free: bool = True,
     # balanced weights from the training part; one row per class -> broadcast
     w = class_weights(out.where("is_test = 0"), "label").select("label", "weight")
     return out.join(F.broadcast(w), "label"), feats
-
-
-def build_pipeline(features: list[str], estimator) -> Pipeline:
-    return Pipeline(stages=assembler(features) + [estimator])

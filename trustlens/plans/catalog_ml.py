@@ -249,13 +249,8 @@ def q_top_features(spark, sf):
 
 
 def _test_rows(res):
-    """Scaled test rows (features vector) of the fitted pipeline, sampled."""
-    model = res["fitted"]["Logistic Regression"]
-    prep = model.stages[:-1]
-    test = res["frame"].where("is_test = 1")
-    for st in prep:
-        test = st.transform(test)
-    return AT.sample_rows(test.select("respondent_id", "features"))
+    """Scaled test rows (features vector), seeded sample of <= 2,000."""
+    return AT.sample_rows(res["data"].where("is_test = 1").select("respondent_id", "features"))
 
 
 @register("linear_attribution")
@@ -263,7 +258,7 @@ def q_linear_attribution(spark, sf):
     """w_j (x_j - mean_j) attributions of the fraud logistic model on <= 2,000
     sampled test rows; mean |attribution| per feature."""
     res = fraud_result(spark, sf)
-    lr = res["fitted"]["Logistic Regression"].stages[-1]
+    lr = res["fitted"]["Logistic Regression"]
     w = list(lr.coefficients.toArray())
     return AT.linear_attribution(_test_rows(res), w, res["features"])
 
@@ -273,7 +268,7 @@ def q_tree_attribution(spark, sf):
     """Per-row TreeSHAP values of the fraud boosted-tree model on <= 2,000
     sampled test rows."""
     res = fraud_result(spark, sf)
-    gbt = res["fitted"]["Gradient Boosted Trees"].stages[-1]
+    gbt = res["fitted"]["Gradient Boosted Trees"]
     return AT.tree_attribution(_test_rows(res), gbt, "boosted", res["features"])
 
 
@@ -284,11 +279,11 @@ def q_attribution_table(spark, sf):
     best = res["best_model_name"]
     rows = _test_rows(res)
     if best == "Logistic Regression":
-        lr = res["fitted"][best].stages[-1]
+        lr = res["fitted"][best]
         imp = AT.linear_attribution(rows, list(lr.coefficients.toArray()), res["features"])
     else:
         kind = "forest" if best == "Random Forest" else "boosted"
-        per = AT.tree_attribution(rows, res["fitted"][best].stages[-1], kind, res["features"])
+        per = AT.tree_attribution(rows, res["fitted"][best], kind, res["features"])
         imp = AT.global_importance(per, res["features"])
     return AT.attribution_table(imp)
 
