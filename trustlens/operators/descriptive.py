@@ -247,31 +247,46 @@ def satisfaction_by_usage(df: DataFrame) -> DataFrame:
             .orderBy("_o", "usage_frequency").drop("_o"))
 
 
-def histogram(df: DataFrame, value: str, bins: int, name: str | None = None) -> DataFrame:
-    """Equal-width bins between min and max (last bin closed), zero-filled.
-
-    min/max are one aggregate (scalar subqueries); the counts are a group-by on
-    the bin index (at most ``bins`` groups); the full bin range is a generated
-    ``range`` left-joined to them.
+def histograms(df: DataFrame, bins: dict[str, int]) -> DataFrame:
+    """Equal-width bins between min and max (last bin closed), zero-filled, for
+    several numeric columns at once: (feature, bin, bin_lo, bin_hi, count).
+
+    One aggregate gives every column's min and max; one scan of the long form
+    (feature, value) joined to those few rows (broadcast, one per feature)
+    gives the bin counts; the full bin range per feature is a ``sequence``
+    exploded from the same few rows and left-joined to the counts.
     """
-    name = name or value
-    lo0 = df.agg(F.min(value).cast("double")).scalar()
-    hi0 = df.agg(F.max(value).cast("double")).scalar()
-    same = hi0 == lo0
-    lo = F.when(same, lo0 - 0.5).otherwise(lo0)
-    hi = F.when(same, hi0 + 0.5).otherwise(hi0)
-    idx = F.least(F.floor((F.col(value).cast("double") - lo) * bins / (hi - lo)),
-                  F.lit(bins - 1)).cast("int")
-    counts = (df.where(F.col(value).isNotNull()).groupBy(idx.alias("bin"))
-              .agg(F.count(F.lit(1)).alias("count")))
-    grid = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    width = (hi - lo) / bins
-    return (grid.join(counts, "bin", "left")
-            .select(F.lit(name).alias("feature"), "bin",
-                    X.rnd(lo + F.col("bin") * width, 4).alias("bin_lo"),
-                    X.rnd(lo + (F.col("bin") + 1) * width, 4).alias("bin_hi"),
+    names = list(bins)
+    mm = df.agg(*[F.min(F.col(c).cast("double")).alias(f"mn{i}") for i, c in enumerate(names)],
+                *[F.max(F.col(c).cast("double")).alias(f"mx{i}") for i, c in enumerate(names)])
+    st = mm.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.lit(bins[c]).alias("bins"),
+                 F.col(f"mn{i}").alias("mn"), F.col(f"mx{i}").alias("mx"))
+        for i, c in enumerate(names)])).alias("s")).select("s.*")
+    same = F.col("mx") == F.col("mn")
+    st = st.select("feature", "bins",
+                   F.when(same, F.col("mn") - 0.5).otherwise(F.col("mn")).alias("lo"),
+                   F.when(same, F.col("mx") + 0.5).otherwise(F.col("mx")).alias("hi"))
+    long = (df.select(*[F.col(c).cast("double").alias(c) for c in names])
+            .unpivot([], names, "feature", "value").where(F.col("value").isNotNull()))
+    idx = F.least(F.floor((F.col("value") - F.col("lo")) * F.col("bins") / (F.col("hi") - F.col("lo"))),
+                  F.col("bins") - 1).cast("int")
+    counts = (long.join(F.broadcast(st), "feature")
+              .groupBy("feature", idx.alias("bin")).agg(F.count(F.lit(1)).alias("count")))
+    grid = st.select("feature", "lo", "hi", "bins",
+                     F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin"))
+    width = (F.col("hi") - F.col("lo")) / F.col("bins")
+    return (grid.join(counts, ["feature", "bin"], "left")
+            .select("feature", "bin",
+                    X.rnd(F.col("lo") + F.col("bin") * width, 4).alias("bin_lo"),
+                    X.rnd(F.col("lo") + (F.col("bin") + 1) * width, 4).alias("bin_hi"),
                     F.coalesce("count", F.lit(0)).cast("bigint").alias("count"))
-            .orderBy("bin"))
+            .orderBy("feature", "bin"))
+
+
+def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
+    """Histogram of one column (see ``histograms``)."""
+    return histograms(df, {value: bins})
 
 
 def crosstab_fraud(df: DataFrame, column: str) -> DataFrame:

@@ -34,54 +34,49 @@ def _items(df: DataFrame) -> DataFrame:
 # Reliability
 # ---------------------------------------------------------------------------
 
-def _alpha_parts(scale: str, cols: list[str]) -> tuple[list[Column], Column]:
-    """Aggregates for one scale over its complete rows, and the alpha expression.
+def _alpha_parts(key: str, cols: list[str]) -> tuple[list[str], str]:
+    """SQL aggregates for one scale over its complete rows, and its alpha.
 
     alpha = k/(k-1) * (1 - sum_i var_i / var_T); with n complete rows,
     sum_i var_i / var_T = (n*C - sum_i S_i^2) / (n*B - A^2) where S_i = sum x_i,
     C = sum of x_i^2 over items and rows, A = sum T, B = sum T^2 (T = row total).
+    All sums are exact BIGINT.
     """
     k = len(cols)
-    key = scale.replace(" ", "_").replace("/", "").lower()
-    complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
-    tot = reduce(lambda a, b: a + b, [F.col(c).cast("bigint") for c in cols])
-    sq = reduce(lambda a, b: a + b, [F.col(c).cast("bigint") * F.col(c) for c in cols])
-    w = lambda e: F.when(complete, e)
-    aggs = [F.count(w(F.lit(1))).alias(f"{key}__n"),
-            F.sum(w(tot)).alias(f"{key}__a"),
-            F.sum(w(tot * tot)).alias(f"{key}__b"),
-            F.sum(w(sq)).alias(f"{key}__c")]
-    aggs += [F.sum(w(F.col(c).cast("bigint"))).alias(f"{key}__s{i}") for i, c in enumerate(cols)]
+    complete = " AND ".join(f"{c} IS NOT NULL" for c in cols)
+    tot = " + ".join(f"CAST({c} AS BIGINT)" for c in cols)
+    sq = " + ".join(f"CAST({c} AS BIGINT) * {c}" for c in cols)
+    w = lambda e: f"CASE WHEN {complete} THEN {e} END"
+    aggs = [f"count({w('1')}) AS {key}_n", f"sum({w(tot)}) AS {key}_a",
+            f"sum({w(f'({tot}) * ({tot})')}) AS {key}_b", f"sum({w(sq)}) AS {key}_c"]
+    aggs += [f"sum({w(f'CAST({c} AS BIGINT)')}) AS {key}_s{i}" for i, c in enumerate(cols)]
     if k < 2:
-        return aggs, F.lit(float("nan"))
-    n = F.col(f"{key}__n").cast("double")
-    a = F.col(f"{key}__a").cast("double")
-    ssq = reduce(lambda x, y: x + y,
-                 [F.col(f"{key}__s{i}").cast("double") * F.col(f"{key}__s{i}").cast("double")
-                  for i in range(k)])
-    num = n * F.col(f"{key}__c").cast("double") - ssq
-    den = n * F.col(f"{key}__b").cast("double") - a * a
-    alpha = F.lit(k / (k - 1)) * (1 - num / den)
-    return aggs, alpha
+        return aggs, "CAST('NaN' AS DOUBLE)"
+    d = lambda c: f"CAST({c} AS DOUBLE)"
+    ssq = " + ".join(f"{d(f'{key}_s{i}')} * {d(f'{key}_s{i}')}" for i in range(k))
+    num = f"({d(f'{key}_n')} * {d(f'{key}_c')} - ({ssq}))"
+    den = f"({d(f'{key}_n')} * {d(f'{key}_b')} - {d(f'{key}_a')} * {d(f'{key}_a')})"
+    return aggs, f"{k / (k - 1)!r} * (1 - {num} / {den})"
 
 
 def scale_reliability(df: DataFrame, scales: list[tuple[str, list[str]]] | None = None) -> DataFrame:
     """Cronbach's alpha (4 dp) and label for each scale, all scales in one pass."""
     scales = scales or S.RELIABILITY_SCALES
     cols = sorted({c for _, cs in scales for c in cs if c in df.columns})
-    aggs, rows = [], []
+    aggs, alphas, meta = [], [], []
     for i, (name, cs) in enumerate(scales):
         cs = [c for c in cs if c in cols]
-        a, alpha = _alpha_parts(name, cs)
+        a, alpha = _alpha_parts(f"sc{i}", cs)
         aggs += a
-        rows.append(F.struct(F.lit(name).alias("scale"), F.lit(len(cs)).alias("items"),
-                             alpha.alias("alpha"), F.lit(i).alias("ord")))
-    one = df.select(*cols).agg(*aggs)
-    out = one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+        alphas.append(f"{alpha} AS a{i}")
+        meta.append((f"a{i}", name, len(cs), i))
+    one = df.select(*cols).agg(*[F.expr(e) for e in aggs]).selectExpr(*alphas)
+    long = one.unpivot([], [m[0] for m in meta], "key", "alpha")
+    names = df.sparkSession.createDataFrame(meta, "key string, scale string, items int, ord int")
     alpha = F.when(F.isnan("alpha"), F.lit(float("nan"))).otherwise(X.rnd(F.col("alpha"), 4))
-    return (out.select("scale", F.col("items").cast("int").alias("items"),
-                       alpha.alias("cronbach_alpha"), X.alpha_label(alpha).alias("reliability"),
-                       "ord")
+    return (F.broadcast(names).join(long, "key")
+            .select("scale", F.col("items").cast("int").alias("items"),
+                    alpha.alias("cronbach_alpha"), X.alpha_label(alpha).alias("reliability"), "ord")
             .orderBy("ord").drop("ord"))
 
 
@@ -116,7 +111,8 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None,
     Spearman replaces each rating by its (doubled) mid-rank through a map built
     from the item x rating counts (a scalar subquery of <= 5 entries per item),
     then both methods are Pearson sums over the rows: one aggregate with
-    n, sum x_i, sum x_i^2 and sum x_i x_j for every pair.
+    n, sum x_i and sum x_i x_j for every pair (i <= j).  The generated sums are
+    SQL expressions (parsed once in the JVM).
     """
     from trustlens.operators.descriptive import likert_counts
     cols = [c for c in (columns or S.SPT_COLUMNS) if c in df.columns]
@@ -126,41 +122,38 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None,
         idx = F.create_map(*[x for i, c in enumerate(cols) for x in (F.lit(c), F.lit(i))])
         key = idx[F.col("column")] * 8 + F.col("rating")
         rmap = ranks.agg(F.map_from_entries(F.collect_list(F.struct(key, F.col("rank2"))))).scalar()
-        vals = {c: F.element_at(rmap, F.lit(i * 8) + F.col(c)).cast("double")
-                for i, c in enumerate(cols)}
+        vals = [F.element_at(rmap, F.lit(i * 8) + F.col(c)).cast("double").alias(f"v{i}")
+                for i, c in enumerate(cols)]
     elif method == "pearson":
-        vals = {c: F.col(c).cast("double") for c in cols}
+        vals = [F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)]
     else:
         raise ValueError(f"unknown method {method}")
-    v = rows.select(*[e.alias(c) for c, e in vals.items()])
-    aggs = [F.count(F.lit(1)).alias("n")]
-    aggs += [F.sum(c).alias(f"s_{i}") for i, c in enumerate(cols)]
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    aggs += [F.sum(F.col(cols[i]) * F.col(cols[j])).alias(f"p_{i}_{j}") for i, j in pairs]
-    one = v.agg(*aggs)
-    n = F.col("n").cast("double")
+    k = len(cols)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    sums = ["count(1) AS n"] + [f"sum(v{i}) AS s{i}" for i in range(k)] + \
+        [f"sum(v{i} * v{j}) AS p{i}_{j}" for i, j in pairs]
+    one = rows.select(*vals).agg(*[F.expr(e) for e in sums])
 
     def rho(i, j):
-        sxy = n * F.col(f"p_{i}_{j}") - F.col(f"s_{i}") * F.col(f"s_{j}")
-        sxx = n * F.col(f"p_{i}_{i}") - F.col(f"s_{i}") * F.col(f"s_{i}")
-        syy = n * F.col(f"p_{j}_{j}") - F.col(f"s_{j}") * F.col(f"s_{j}")
-        return sxy / F.sqrt(sxx * syy)
-
-    cells = []
-    for i, j in pairs:
-        r = X.rnd(rho(i, j), 3)
-        cells.append(F.struct(F.lit(cols[i]).alias("item_a"), F.lit(cols[j]).alias("item_b"),
-                              r.alias("rho")))
-        if i != j:
-            cells.append(F.struct(F.lit(cols[j]).alias("item_a"), F.lit(cols[i]).alias("item_b"),
-                                  r.alias("rho")))
-    long = one.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
-    items = F.broadcast(_items(df))
+        sxy = f"(n * p{i}_{j} - s{i} * s{j})"
+        sxx = f"(n * p{i}_{i} - s{i} * s{i})"
+        syy = f"(n * p{j}_{j} - s{j} * s{j})"
+        return f"CAST(floor({sxy} / sqrt({sxx} * {syy}) * 1000 + 0.5) / 1000 AS DOUBLE) AS c{i}_{j}"
+
+    wide = one.selectExpr(*[rho(i, j) for i, j in pairs])
+    long = wide.unpivot([], [f"c{i}_{j}" for i, j in pairs], "cell", "rho")
+    # pair table: 2 * k * (k - 1) / 2 + k named cells (fixed by the item list)
+    spark = df.sparkSession
+    cells = [(f"c{i}_{j}", cols[i], cols[j]) for i, j in pairs] + \
+        [(f"c{i}_{j}", cols[j], cols[i]) for i, j in pairs if i != j]
+    names = spark.createDataFrame(cells, "cell string, item_a string, item_b string")
+    items = _items(df)
     ta = items.select(F.col("column").alias("item_a"), F.col("title").alias("title_a"),
                       F.col("item_order").alias("oa"))
     tb = items.select(F.col("column").alias("item_b"), F.col("title").alias("title_b"),
                       F.col("item_order").alias("ob"))
-    return (long.join(ta, "item_a", "left").join(tb, "item_b", "left")
+    return (F.broadcast(names).join(long, "cell")
+            .join(F.broadcast(ta), "item_a", "left").join(F.broadcast(tb), "item_b", "left")
             .select("item_a", "item_b", F.coalesce("title_a", "item_a").alias("title_a"),
                     F.coalesce("title_b", "item_b").alias("title_b"), "rho", "oa", "ob")
             .orderBy("oa", "ob").drop("oa", "ob"))

@@ -591,11 +591,7 @@ def q_histogram(spark, sf):
     df = resp(spark, sf)
     feats = df.select(F.col("years_digital_banking"), X.row_mean(S.SPT_COLUMNS).alias("spt_index"),
                       X.posture_expr().alias("security_posture_score"))
-    parts = [D.histogram(feats, n, b) for n, _, b in _HISTS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return D.histograms(feats, {n: b for n, _, b in _HISTS})
 
 
 @register("crosstab_fraud", Q.with_resp(
