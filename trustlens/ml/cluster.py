@@ -9,8 +9,10 @@ no sampled all-pairs distance table.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 from trustlens import functions as X
 from trustlens import schema as S
 from trustlens.ml.pipeline import assembler
+from trustlens.session import fit_partitions
 from trustlens.operators.features import cluster_features
 
 
@@ -47,29 +50,35 @@ def scaled_features(df: DataFrame) -> DataFrame:
     feats = cluster_features(df)
     model = Pipeline(stages=assembler(S.CLUSTER_FEATURES)).fit(feats)
     out = model.transform(feats).select("respondent_id", *S.CLUSTER_FEATURES, "features")
-    return out.checkpoint(eager=True)
+    out = out.checkpoint(eager=True)
+    return fit_partitions(out, out.count()).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def fit_kmeans(scaled: DataFrame, k: int, seed: int, restarts: int, max_iter: int):
-    """Best of ``restarts`` k-means fits (different seeds) by training cost."""
-    best = None
-    for r in range(restarts):
-        m = KMeans(k=k, seed=seed + r, maxIter=max_iter, featuresCol="features",
-                   predictionCol="cluster_id").fit(scaled)
-        if best is None or m.summary.trainingCost < best.summary.trainingCost:
-            best = m
-    return best
+def _fit_one(scaled: DataFrame, k: int, seed: int, max_iter: int):
+    return KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features",
+                  predictionCol="cluster_id").fit(scaled)
 
 
-def silhouette(scaled: DataFrame, cfg: ClusterSettings) -> DataFrame:
-    """(k, silhouette_score, inertia) for each k of the sweep."""
+def fit_kmeans(scaled: DataFrame, k: int, seed: int, restarts: int, max_iter: int,
+               parallelism: int = 4):
+    """Best of ``restarts`` k-means fits (seeds seed .. seed + restarts - 1) by
+    training cost; the independent fits are submitted from driver threads."""
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, restarts))) as pool:
+        fits = list(pool.map(lambda r: _fit_one(scaled, k, seed + r, max_iter), range(restarts)))
+    return min(fits, key=lambda m: m.summary.trainingCost)
+
+
+def silhouette(scaled: DataFrame, cfg: ClusterSettings, parallelism: int = 6) -> DataFrame:
+    """(k, silhouette_score, inertia) for each k of the sweep (k fitted concurrently)."""
     ev = ClusteringEvaluator(featuresCol="features", predictionCol="cluster_id",
                              distanceMeasure="squaredEuclidean")
-    rows = []
-    for k in cfg.k_range:
-        m = fit_kmeans(scaled, k, cfg.seed, cfg.sweep_restarts, cfg.sweep_max_iter)
-        score = ev.evaluate(m.transform(scaled))
-        rows.append((int(k), float(score), float(m.summary.trainingCost)))
+
+    def one(k):
+        m = fit_kmeans(scaled, k, cfg.seed, cfg.sweep_restarts, cfg.sweep_max_iter, parallelism=1)
+        return (int(k), float(ev.evaluate(m.transform(scaled))), float(m.summary.trainingCost))
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        rows = list(pool.map(one, cfg.k_range))
     sdf = scaled.sparkSession.createDataFrame(rows, "k int, silhouette double, inertia double")
     return sdf.select("k", X.rnd(F.col("silhouette"), 4).alias("silhouette_score"),
                       X.rnd(F.col("inertia"), 1).alias("inertia"))

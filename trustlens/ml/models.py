@@ -26,6 +26,7 @@ from trustlens import functions as X
 from trustlens import schema as S
 from trustlens.ml import metrics as M
 from trustlens.ml.pipeline import assembler, model_frame
+from trustlens.session import fit_partitions
 
 MODEL_NAMES = ["Logistic Regression", "Random Forest", "Gradient Boosted Trees"]
 
@@ -105,7 +106,7 @@ def _fold_metrics(est, train: DataFrame, f: int):
 
 def train_classifier(df: DataFrame, target: str, cfg: ModelSettings | None = None,
                      leak_free: bool = True, select_by: str | None = None,
-                     parallelism: int = 5) -> dict:
+                     parallelism: int = 6) -> dict:
     """Fit the three models on the stratified 80% part; test metrics on the
     20% part; k-fold CV (accuracy, weighted F1: mean and population std) on the
     training part; best model by AUC (fraud) or F1 (trust), first on a tie.
@@ -121,24 +122,27 @@ def train_classifier(df: DataFrame, target: str, cfg: ModelSettings | None = Non
     frame, feats = model_frame(df, target, leak_free, cfg.test_size, cfg.seed, cfg.cv_folds)
     frame = frame.checkpoint(eager=True)
     prep = Pipeline(stages=assembler(feats)).fit(frame.where("is_test = 0"))
-    data = (prep.transform(frame)
-            .select("respondent_id", "label", "weight", "is_test", "fold", "features")
-            .persist(StorageLevel.MEMORY_AND_DISK))
+    data = prep.transform(frame).select("respondent_id", "label", "weight", "is_test", "fold",
+                                        "features")
+    data = fit_partitions(data, frame.count()).persist(StorageLevel.MEMORY_AND_DISK)
     n_classes = int(data.agg(F.max("label")).first()[0]) + 1
     train = data.where("is_test = 0")
     test = data.where("is_test = 1")
     n_train = train.count()
     fitted, rows, preds = {}, [], {}
+    ests = estimators(n_train, n_classes, cfg, parallelism)
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        for i, (name, est) in enumerate(estimators(n_train, n_classes, cfg, parallelism).items()):
-            folds = [pool.submit(_fold_metrics, est, train, f) for f in range(cfg.cv_folds)]
-            model = est.fit(train)
+        folds = {name: [pool.submit(_fold_metrics, est, train, f) for f in range(cfg.cv_folds)]
+                 for name, est in ests.items()}
+        full = {name: pool.submit(est.fit, train) for name, est in ests.items()}
+        for i, name in enumerate(ests):
+            model = full[name].result()
             fitted[name] = model
             pred = model.transform(test)
             preds[name] = pred
             m = M.class_metrics(pred).first()
             auc = _auc(pred, name, n_classes).first()["auc_roc"]
-            res = [f.result() for f in folds]
+            res = [f.result() for f in folds[name]]
             accs, f1s = [a for a, _ in res], [b for _, b in res]
             rows.append((name, i, m["accuracy"], m["f1"], m["precision"], m["recall"], auc,
                          _r4(_mean(accs)), _r4(_std(accs)), _r4(_mean(f1s)), _r4(_std(f1s))))

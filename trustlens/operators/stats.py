@@ -191,8 +191,9 @@ def mann_whitney(df: DataFrame, columns: list[str] | None = None,
     u = F.greatest(u1, n1 * n2 - u1)
     mu = n1 * n2 / 2
     sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
-    p = F.least(2 * X.norm_sf((u - mu - 0.5) / sd), F.lit(1.0))
-    r = 1 - (2 * u1) / (n1 * n2)
+    # all values tied -> sd = 0: z = -inf, p = 1 (as the normal tail gives)
+    p = F.when(sd > 0, F.least(2 * X.norm_sf((u - mu - 0.5) / sd), F.lit(1.0))).otherwise(1.0)
+    r = F.when(n1 * n2 > 0, 1 - (2 * u1) / (n1 * n2))
     out = F.broadcast(_items(df))
     res = t.join(out, "column", "left").select(
         F.concat(F.lit("Mann-Whitney U: "), F.coalesce("title", "column")).alias("test"),

@@ -56,3 +56,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/tables/{name}"
+
+
+def fit_partitions(df, n_rows: int, rows_per_partition: int = 250_000):
+    """Partition count sized to the data for iterative ML inputs: about
+    ``rows_per_partition`` rows per task (small inputs -> few tasks, so the
+    per-task overhead of hundreds of training passes stays small; large inputs
+    keep one task per ~250k rows)."""
+    import math
+    want = max(1, math.ceil(n_rows / rows_per_partition))
+    have = df.rdd.getNumPartitions()
+    return df.coalesce(want) if want < have else (df.repartition(want) if want > have else df)
