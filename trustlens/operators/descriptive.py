@@ -37,8 +37,9 @@ def join_titles(df: DataFrame, on: str = "column") -> DataFrame:
             .withColumn("item_order", F.coalesce("item_order", F.lit(1 << 20))))
 
 
-def likert_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Per item: mean (3 dp), sample std (3 dp), % rating 1, % 1-2, % 3, % 4-5."""
+def likert_summary(df: DataFrame, columns: list[str] | None = None, legacy: bool = False) -> DataFrame:
+    """Per item: mean (3 dp), sample std (3 dp), % rating 1, % 1-2, % 3, % 4-5.
+    ``legacy``: the earlier form (mean 2 dp, no std column)."""
     columns = columns or S.LIKERT_COLUMNS
     c = likert_counts(df, columns)
     r = F.col("rating").cast("bigint")
@@ -55,10 +56,11 @@ def likert_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     k = F.col("k").cast("double")
     s1 = F.col("s1").cast("double")
     var = (k * F.col("s2").cast("double") - s1 * s1) / (k * (k - 1))
+    stats = [X.rnd(F.col("s1") / F.col("k"), 2 if legacy else 3).alias("mean_score")]
+    if not legacy:
+        stats.append(X.rnd(F.sqrt(var), 3).alias("std"))
     out = join_titles(agg).select(
-        "column", F.col("title").alias("question"),
-        X.rnd(F.col("s1") / F.col("k"), 3).alias("mean_score"),
-        X.rnd(F.sqrt(var), 3).alias("std"),
+        "column", F.col("title").alias("question"), *stats,
         X.pct(F.col("n1"), F.col("total")).alias("strongly_agree_pct"),
         X.pct(F.col("npos"), F.col("total")).alias("positive_pct"),
         X.pct(F.col("nneu"), F.col("total")).alias("neutral_pct"),
@@ -89,14 +91,16 @@ def complete_domain(counts: DataFrame, domain: list[int] | None = None) -> DataF
             .withColumn("n", F.coalesce("n", F.lit(0)).cast("bigint")))
 
 
-def likert_distribution(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Count and % (of all rows) per rating 1-5, zero-filled, per item."""
+def likert_distribution(df: DataFrame, columns: list[str] | None = None,
+                        pct_name: str = "pct") -> DataFrame:
+    """Count and % (of all rows) per rating 1-5, zero-filled, per item
+    (legacy form: share named ``percentage``)."""
     columns = columns or S.LIKERT_COLUMNS
     counts = complete_domain(likert_counts(df, columns))
     total = df.select(F.count(F.lit(1))).scalar()
     return (counts.select("column", X.likert_label(F.col("rating")).alias("rating"),
                           F.col("rating").alias("rating_code"), F.col("n").alias("count"),
-                          X.pct(F.col("n"), total).alias("pct"))
+                          X.pct(F.col("n"), total).alias(pct_name))
             .orderBy("column", "rating_code"))
 
 
@@ -114,7 +118,7 @@ def likert_diverging(df: DataFrame, columns: list[str] | None = None) -> DataFra
     return out.orderBy("item_order").drop("item_order")
 
 
-def spt_index_stats(df: DataFrame) -> DataFrame:
+def spt_index_stats(df: DataFrame, legacy: bool = False) -> DataFrame:
     """Mean, median, sample std (3 dp) of the SPT index, % index <= 2, % >= 4.
 
     The index is (sum of items) / (non-null items); the median comes from the
@@ -142,19 +146,22 @@ def spt_index_stats(df: DataFrame) -> DataFrame:
     hi = cum.where(F.col("cum") >= hi_rank).agg(F.min("v")).scalar()
     Nd = F.col("N").cast("double")
     var = (F.col("svv") - F.col("sv") * F.col("sv") / Nd) / (Nd - 1)
-    return st.select(X.rnd(F.col("sv") / Nd, 3).alias("mean"),
-                     X.rnd((lo + hi) / 2, 3).alias("median"),
-                     X.rnd(F.sqrt(F.greatest(var, F.lit(0.0))), 3).alias("std"),
-                     X.pct(F.col("npos"), F.col("N")).alias("pct_positive"),
-                     X.pct(F.col("nneg"), F.col("N")).alias("pct_negative"))
-
-
-def frequency_table(df: DataFrame, column: str) -> DataFrame:
-    """Value counts incl. null (as 'nan'), category text, % of rows (1 dp)."""
+    d = 2 if legacy else 3  # legacy form: 2 dp and no pct_negative
+    cols = [X.rnd(F.col("sv") / Nd, d).alias("mean"), X.rnd((lo + hi) / 2, d).alias("median"),
+            X.rnd(F.sqrt(F.greatest(var, F.lit(0.0))), d).alias("std"),
+            X.pct(F.col("npos"), F.col("N")).alias("pct_positive")]
+    if not legacy:
+        cols.append(X.pct(F.col("nneg"), F.col("N")).alias("pct_negative"))
+    return st.select(*cols)
+
+
+def frequency_table(df: DataFrame, column: str, pct_name: str = "pct") -> DataFrame:
+    """Value counts incl. null (as 'nan'), category text, % of rows (1 dp).
+    The legacy form names the share ``percentage``."""
     total = df.select(F.count(F.lit(1))).scalar()
     return (df.groupBy(F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("count"))
             .select(F.coalesce(F.col("_v").cast("string"), F.lit("nan")).alias("category"),
-                    "count", X.pct(F.col("count"), total).alias("pct"), "_v")
+                    "count", X.pct(F.col("count"), total).alias(pct_name), "_v")
             .orderBy(F.col("_v").asc_nulls_last()).drop("_v"))
 
 
@@ -187,6 +194,23 @@ def service_adoption(df: DataFrame) -> DataFrame:
             .orderBy(F.desc("adoption_pct"), "ord").drop("ord"))
 
 
+# Service labels of the legacy (four-service) table.
+LEGACY_SERVICE_LABELS = [("uses_mobile_banking", "Mobile Banking App"),
+                         ("uses_internet_banking", "Internet Banking"),
+                         ("uses_atm", "ATM Services"),
+                         ("uses_upi", "Digital Payment Apps (UPI)")]
+
+
+def service_adoption_legacy(df: DataFrame) -> DataFrame:
+    """Legacy form: four services, (service, count, percentage), in column order."""
+    cols = [c for c, _ in LEGACY_SERVICE_LABELS]
+    wide = df.agg(*[F.sum(c).cast("bigint").alias(c) for c in cols], F.count(F.lit(1)).alias("n"))
+    rows = F.array(*[F.struct(F.lit(label).alias("service"), F.col(c).alias("count"),
+                              X.pct(F.col(c), F.col("n")).alias("percentage"), F.lit(i).alias("o"))
+                     for i, (c, label) in enumerate(LEGACY_SERVICE_LABELS)])
+    return wide.select(F.explode(rows).alias("r")).select("r.*").orderBy("o").drop("o")
+
+
 def top_channel(df: DataFrame) -> DataFrame:
     return service_adoption(df).limit(1)
 

@@ -163,3 +163,24 @@ def feature_table(df: DataFrame, target: str, leak_free: bool = False,
     feats = [c for c, t in enc.dtypes if c not in exclude and t in ("int", "bigint", "double")]
     out = enc.select("respondent_id", F.col(target).alias(target), *feats)
     return out, feats
+
+
+def fit_standard_scaler(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
+    """Means and sample standard deviations of the columns (one aggregate;
+    the result is the scaler's parameters)."""
+    row = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)],
+                 *[F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(columns)]).first()
+    return {c: (float(row[f"m{i}"]), float(row[f"s{i}"] or 0.0)) for i, c in enumerate(columns)}
+
+
+def standard_scale(df: DataFrame, columns: list[str], params: dict | None = None,
+                   digits: int | None = None) -> DataFrame:
+    """(x - mean) / std (n - 1) per column; a constant column maps to 0.
+    ``params`` from ``fit_standard_scaler`` (fit on the training part)."""
+    params = params or fit_standard_scaler(df, columns)
+    out = {}
+    for c in columns:
+        mu, sd = params[c]
+        z = (F.col(c).cast("double") - F.lit(mu)) / F.lit(sd) if sd > 0 else F.lit(0.0)
+        out[c] = X.rnd(z, digits) if digits is not None else z
+    return df.withColumns(out)

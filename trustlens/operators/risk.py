@@ -183,3 +183,14 @@ def threat_actor_table(spark: SparkSession) -> DataFrame:
     return S.threat_actors_df(spark).select(
         "threat_actor", "primary_target",
         F.array_join("tactics", " | ").alias("tactics"), "skill_level", "motivation")
+
+
+def exposure_score(df: DataFrame) -> DataFrame:
+    """Per respondent: channel exposure = sum of the composites of the adopted
+    channels, normalised to 0-100 by the all-channel total (1 dp), and the
+    risk level rule (> 70 Critical, > 50 High, else Medium)."""
+    raw = reduce(lambda a, b: a + b, [F.when(F.col(svc) == 1, F.lit(COMPOSITE[ch] * 100)).otherwise(0.0)
+                                      for svc, ch, *_ in S.CHANNEL_WEIGHTS])
+    norm = F.least(raw / MAX_EXPOSURE * 100, F.lit(100.0))
+    return df.select("respondent_id", X.rnd(norm, 1).alias("exposure_score"),
+                     X.risk_level(norm).alias("risk_level"))

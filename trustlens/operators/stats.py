@@ -80,6 +80,17 @@ def scale_reliability(df: DataFrame, scales: list[tuple[str, list[str]]] | None
             .orderBy("ord").drop("ord"))
 
 
+def grouped_reliability(df: DataFrame, group: str, columns: list[str] | None = None) -> DataFrame:
+    """Cronbach's alpha (4 dp) and its label of one scale within every value of
+    ``group``: one grouped aggregate (partial aggregation, one row per group)."""
+    cols = columns or S.SPT_COLUMNS
+    aggs, alpha = _alpha_parts("g", cols)
+    one = df.groupBy(group).agg(*[F.expr(e) for e in aggs]).selectExpr(group, f"{alpha} AS alpha")
+    a = F.when(F.isnan("alpha"), F.lit(float("nan"))).otherwise(X.rnd(F.col("alpha"), 4))
+    return one.select(group, F.lit(len(cols)).alias("items"), a.alias("cronbach_alpha"),
+                      X.alpha_label(a).alias("reliability")).orderBy(group)
+
+
 def cronbach_alpha(df: DataFrame, columns: list[str], name: str = "scale") -> DataFrame:
     """One-row table (scale, items, cronbach_alpha, reliability)."""
     return scale_reliability(df, [(name, columns)])

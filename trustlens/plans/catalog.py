@@ -309,7 +309,9 @@ def q_likert_counts(spark, sf):
     return D.likert_counts(resp(spark, sf))
 
 
-def _summary_sql(cols: list[str]) -> str:
+def _summary_sql(cols: list[str], legacy: bool = False) -> str:
+    std = ("" if legacy else
+           f" {Q.r('sqrt((CAST(k AS DOUBLE) * CAST(s2 AS DOUBLE) - CAST(s1 AS DOUBLE) * CAST(s1 AS DOUBLE)) / (CAST(k AS DOUBLE) * (CAST(k AS DOUBLE) - 1)))', 3)} AS std,")
     return (
         ", lc AS (SELECT column_name, rating, count(*) AS n FROM ("
         + Q.unpivot_likert(cols) + ") u GROUP BY column_name, rating),"
@@ -322,8 +324,7 @@ def _summary_sql(cols: list[str]) -> str:
         " sum(CASE WHEN rating = 3 THEN n ELSE 0 END) AS nneu,"
         " sum(CASE WHEN rating IN (4, 5) THEN n ELSE 0 END) AS nneg FROM lc GROUP BY column_name)"
         " SELECT a.column_name AS \"column\", coalesce(items.title, a.column_name) AS question,"
-        f" {Q.r('CAST(s1 AS DOUBLE) / k', 3)} AS mean_score,"
-        f" {Q.r('sqrt((CAST(k AS DOUBLE) * CAST(s2 AS DOUBLE) - CAST(s1 AS DOUBLE) * CAST(s1 AS DOUBLE)) / (CAST(k AS DOUBLE) * (CAST(k AS DOUBLE) - 1)))', 3)} AS std,"
+        f" {Q.r('CAST(s1 AS DOUBLE) / k', 2 if legacy else 3)} AS mean_score," + std + 
         f" {Q.pct('n1', 'total')} AS strongly_agree_pct, {Q.pct('npos', 'total')} AS positive_pct,"
         f" {Q.pct('nneu', 'total')} AS neutral_pct, {Q.pct('nneg', 'total')} AS negative_pct"
         f" FROM a LEFT JOIN {Q.items_values()} ON a.column_name = items.column_name")

@@ -7,6 +7,7 @@ import importlib
 from pyspark.sql import SparkSession
 
 CATALOG_MODULES = ["trustlens.plans.catalog", "trustlens.plans.catalog_stats", "trustlens.plans.catalog_io",
+                   "trustlens.plans.catalog_extra",
                    "trustlens.plans.catalog_ml"]
 
 
