@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The reference is a batch pipeline with no streams, watermarks, event-time
+windows or state (every entry point is one batch run), so nothing here is
+built; see the README ("Not built, or re-aimed").
+"""
