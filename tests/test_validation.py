@@ -61,3 +61,11 @@ def test_legacy_profile(spark, tmp_path):
     back = SV.read_survey(spark, path, "csv", profile="legacy")
     assert back.columns == S.LEGACY_COLUMNS
     assert back.where("uses_atm NOT IN (0, 1)").count() == 0
+
+
+def test_text_in_likert_column_is_flagged(spark):
+    from pyspark.sql import functions as F
+    df = survey_df(spark, survey_rows(5)).withColumn(
+        "q_saves_time", F.when(F.col("respondent_id") == 2, "abc").otherwise(F.col("q_saves_time").cast("string")))
+    bad = SV.check_likert_range(df).collect()
+    assert [(r["column"], r["first_bad_id"]) for r in bad] == [("q_saves_time", 2)]

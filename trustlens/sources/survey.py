@@ -2,10 +2,9 @@
 
 Readers use an explicit ``StructType`` (no inference pass over the data).
 Binary flags are read as text so that 0/1 and True/False are both accepted;
-Likert items are read as numbers.  Validation is one job per check over an
-``unpivot`` of the checked columns, aggregated to at most one row per column,
-so only the violation summary (bounded by the number of columns) reaches the
-driver.
+Likert items are read as numbers.  Validation is one pass per check with two
+aggregates per checked column (no row expansion); only the violation summary
+(bounded by the number of columns) reaches the driver.
 """
 
 from __future__ import annotations
@@ -72,22 +71,30 @@ def check_required(df: DataFrame, required: list[str] | None = None) -> list[str
 
 
 def _violations(df: DataFrame, cols: list[str], ok, id_col: str = "respondent_id") -> DataFrame:
+    """(column, n_bad, first_bad_id) for columns with at least one bad value.
+
+    One pass with two aggregates per column (count of bad values, smallest id
+    among them): no row expansion; the one-row result is unpivoted.
+    """
     cols = [c for c in cols if c in df.columns]
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, n_bad bigint, first_bad_id bigint")
-    long = df.select(F.col(id_col).cast("bigint").alias("_id"),
-                     *[F.col(c).cast("string").alias(c) for c in cols]) \
-        .unpivot(["_id"], cols, "column", "value")
-    bad = long.where(~F.coalesce(ok(F.col("value")), F.lit(False)))
-    return (bad.groupBy("column")
-            .agg(F.count(F.lit(1)).alias("n_bad"), F.min("_id").alias("first_bad_id"))
-            .orderBy("column"))
+    rid = F.col(id_col).cast("bigint")
+    aggs = []
+    for i, c in enumerate(cols):
+        bad = ~F.coalesce(ok(F.col(c).cast("string")), F.lit(False))
+        aggs += [F.count(F.when(bad, 1)).alias(f"n{i}"), F.min(F.when(bad, rid)).alias(f"f{i}")]
+    one = df.agg(*aggs)
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n_bad"),
+                              F.col(f"f{i}").alias("first_bad_id")) for i, c in enumerate(cols)])
+    return (one.select(F.explode(rows).alias("r")).select("r.*")
+            .where(F.col("n_bad") > 0).orderBy("column"))
 
 
 def check_likert_range(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Per Likert column: count of values outside 1..5 or null, first bad id."""
     cols = columns or S.LIKERT_COLUMNS
-    return _violations(df, cols, lambda v: v.cast("double").between(1, 5))
+    return _violations(df, cols, lambda v: v.try_cast("double").between(1, 5))
 
 
 def check_binary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
