@@ -376,3 +376,10 @@ def q_anomaly_profile(spark, sf):
     res = cluster_result(spark, sf)
     return AN.anomaly_profile(forest_result(spark, sf)["scores"],
                               res["scaled"].select("respondent_id", *S.CLUSTER_FEATURES))
+
+
+@register("anomaly_histogram")
+def q_anomaly_histogram(spark, sf):
+    """30 equal-width bins of the 0-100 anomaly score (chart data)."""
+    from trustlens.operators.descriptive import histogram
+    return histogram(forest_result(spark, sf)["scores"], "anomaly_score", 30)
