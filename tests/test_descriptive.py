@@ -47,3 +47,30 @@ def test_cohorts_cover_population(spark, resp_small):
 def test_histogram_counts_all_rows(spark, resp_small):
     h = D.histogram(resp_small, "years_digital_banking", 15).collect()
     assert len(h) == 15 and sum(r["count"] for r in h) == resp_small.count()
+
+
+def test_exposure_score_rule(spark):
+    from conftest import survey_df, survey_rows
+    from trustlens import schema as S
+    all_on = {c: 1 for c in S.SERVICE_COLUMNS}
+    none = {c: 0 for c in S.SERVICE_COLUMNS}
+    rows = survey_rows(1, **all_on) + [dict(survey_rows(1, **none)[0], respondent_id=2)]
+    out = {r["respondent_id"]: (r["exposure_score"], r["risk_level"])
+           for r in R.exposure_score(survey_df(spark, rows)).collect()}
+    assert out[1] == (100.0, "Critical") and out[2] == (0.0, "Medium")
+
+
+def test_legacy_variants_shape(spark, resp_small):
+    s = D.likert_summary(resp_small, legacy=True)
+    assert "std" not in s.columns
+    assert D.spt_index_stats(resp_small, legacy=True).columns == ["mean", "median", "std", "pct_positive"]
+    svc = D.service_adoption_legacy(resp_small).collect()
+    assert [r["service"] for r in svc][-1] == "Digital Payment Apps (UPI)"
+    assert D.frequency_table(resp_small, "region", pct_name="percentage").columns == \
+        ["category", "count", "percentage"]
+
+
+def test_threat_actor_table(spark):
+    t = R.threat_actor_table(spark).collect()
+    assert len(t) == 5
+    assert t[0]["tactics"] == "Smishing | Vishing | Fake UPI apps | OTP fraud"

@@ -120,3 +120,12 @@ def test_spearman_equals_pearson_of_ranks(spark):
     rho = cov / math.sqrt(sum((x - ma) ** 2 for x in ra) * sum((y - mb) ** 2 for y in rb))
     assert got[("a", "b")] == got[("b", "a")] == pytest.approx(round(rho, 3), abs=1e-9)
     assert got[("a", "a")] == 1.0
+
+
+def test_grouped_reliability_matches_per_group(spark):
+    rows = [("g1" if i % 2 else "g2", i % 5 + 1, (i * 3) % 5 + 1, (i * 3 + i % 2) % 5 + 1) for i in range(60)]
+    df = spark.createDataFrame(rows, "grp string, a int, b int, c int")
+    got = {r["grp"]: r["cronbach_alpha"] for r in ST.grouped_reliability(df, "grp", ["a", "b", "c"]).collect()}
+    for g in ("g1", "g2"):
+        sub = df.where(F.col("grp") == g)
+        assert got[g] == ST.cronbach_alpha(sub, ["a", "b", "c"]).first()["cronbach_alpha"]

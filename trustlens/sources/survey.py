@@ -17,6 +17,7 @@ from trustlens import schema as S
 
 TRUE_TEXT = ["1", "true", "True", "TRUE", "1.0"]
 FALSE_TEXT = ["0", "false", "False", "FALSE", "0.0"]
+NUMERIC_TYPES = {"tinyint", "smallint", "int", "bigint", "float", "double"}
 
 
 def read_schema(profile: str = "main") -> T.StructType:
@@ -80,9 +81,10 @@ def _violations(df: DataFrame, cols: list[str], ok, id_col: str = "respondent_id
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, n_bad bigint, first_bad_id bigint")
     rid = F.col(id_col).cast("bigint")
+    types = dict(df.dtypes)
     aggs = []
     for i, c in enumerate(cols):
-        bad = ~F.coalesce(ok(F.col(c).cast("string")), F.lit(False))
+        bad = ~F.coalesce(ok(F.col(c), types[c]), F.lit(False))
         aggs += [F.count(F.when(bad, 1)).alias(f"n{i}"), F.min(F.when(bad, rid)).alias(f"f{i}")]
     one = df.agg(*aggs)
     rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n_bad"),
@@ -94,13 +96,24 @@ def _violations(df: DataFrame, cols: list[str], ok, id_col: str = "respondent_id
 def check_likert_range(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Per Likert column: count of values outside 1..5 or null, first bad id."""
     cols = columns or S.LIKERT_COLUMNS
-    return _violations(df, cols, lambda v: v.try_cast("double").between(1, 5))
+
+    def ok(v, t):
+        num = v if t in NUMERIC_TYPES else v.try_cast("double")
+        return num.between(1, 5)
+    return _violations(df, cols, ok)
 
 
 def check_binary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Per binary column: count of values not in {0, 1, True, False}, first bad id."""
     cols = columns or S.BINARY_FEATURES
-    return _violations(df, cols, lambda v: v.isin(TRUE_TEXT + FALSE_TEXT))
+
+    def ok(v, t):
+        if t == "boolean":
+            return v.isNotNull()
+        if t in NUMERIC_TYPES:
+            return v.isin(0, 1)
+        return v.isin(TRUE_TEXT + FALSE_TEXT)
+    return _violations(df, cols, ok)
 
 
 def validate(df: DataFrame, required: list[str] | None = None,
