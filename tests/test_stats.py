@@ -129,3 +129,31 @@ def test_grouped_reliability_matches_per_group(spark):
     for g in ("g1", "g2"):
         sub = df.where(F.col("grp") == g)
         assert got[g] == ST.cronbach_alpha(sub, ["a", "b", "c"]).first()["cronbach_alpha"]
+
+
+def test_exact_distribution_small_no_ties(spark):
+    from itertools import combinations
+    victims, others = [1.5, 3.2, 4.8, 6.1], [2.2, 0.7, 5.5, 7.3, 8.1, 0.2, 9.4]
+    df = spark.createDataFrame([(i, 1, v) for i, v in enumerate(victims)]
+                               + [(100 + i, 0, v) for i, v in enumerate(others)],
+                               "respondent_id long, has_experienced_fraud int, q double")
+    r = ST.mann_whitney(df, ["q"]).first()
+    allv = victims + others
+    n1, n2 = len(victims), len(others)
+
+    def u_of(group):
+        return sum(1 for a in group for b in allv if b not in group and a > b)
+    u1 = u_of(victims)
+    u = max(u1, n1 * n2 - u1)
+    dist = [u_of(set(c)) for c in combinations(allv, n1)]
+    p = min(1.0, 2 * sum(1 for x in dist if x >= u) / len(dist))
+    assert r["statistic"] == u1
+    assert r["p_value"] == round(p, 4)
+
+
+def test_exact_counts_are_gaussian_binomials():
+    from trustlens.functions import mwu_exact_counts
+    from math import comb
+    for m, n in [(1, 1), (2, 3), (3, 5), (4, 8)]:
+        c = mwu_exact_counts(m, n)
+        assert sum(c) == comb(m + n, m) and c == c[::-1] and min(c) > 0

@@ -181,8 +181,9 @@ def _fmt3(c: Column) -> Column:
 def mann_whitney(df: DataFrame, columns: list[str] | None = None,
                  group: str = "has_experienced_fraud") -> DataFrame:
     """Victims (group = 1) vs others per item: U of the victims' sample,
-    two-sided p (normal approximation with tie and continuity correction),
-    rank-biserial r = 1 - 2U/(n1 n2), effect = |r|."""
+    two-sided p (normal approximation with tie and continuity correction; the
+    exact distribution of U when there are no ties and a group has at most 8
+    rows), rank-biserial r = 1 - 2U/(n1 n2), effect = |r|."""
     cols = [c for c in (columns or S.SPT_COLUMNS) if c in df.columns]
     rows = df.where(F.col(group).isin(0, 1))
     long = rows.select(F.col(group).alias("g"), *cols).unpivot(["g"], cols, "column", "rating") \
@@ -203,7 +204,10 @@ def mann_whitney(df: DataFrame, columns: list[str] | None = None,
     mu = n1 * n2 / 2
     sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
     # all values tied -> sd = 0: z = -inf, p = 1 (as the normal tail gives)
-    p = F.when(sd > 0, F.least(2 * X.norm_sf((u - mu - 0.5) / sd), F.lit(1.0))).otherwise(1.0)
+    p_norm = F.when(sd > 0, F.least(2 * X.norm_sf((u - mu - 0.5) / sd), F.lit(1.0))).otherwise(1.0)
+    # no ties and a group of at most 8 rows: exact null distribution of U
+    t = t.withColumn("_p_exact", X.mwu_exact_p(n1, n2, u, F.col("ties")))
+    p = F.coalesce(F.col("_p_exact"), p_norm)
     r = F.when(n1 * n2 > 0, 1 - (2 * u1) / (n1 * n2))
     out = F.broadcast(_items(df))
     res = t.join(out, "column", "left").select(
