@@ -154,21 +154,22 @@ ERFC_COEFFS = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806,
                0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]
 
 
-def erfc(x: Column) -> Column:
-    z = F.abs(x)
-    t = 1.0 / (1.0 + 0.5 * z)
-    poly = F.lit(ERFC_COEFFS[-1])
+def erfc_sql(x: str) -> str:
+    """erfc of a SQL expression (Chebyshev form above), as Spark SQL text."""
+    z = f"abs({x})"
+    t = f"(1.0D / (1.0D + 0.5D * {z}))"
+    poly = f"{ERFC_COEFFS[-1]!r}D"
     for c in reversed(ERFC_COEFFS[1:-1]):
-        poly = F.lit(c) + t * poly
-    ans = t * F.exp(-z * z + ERFC_COEFFS[0] + t * poly)
-    return F.when(x >= 0, ans).otherwise(2.0 - ans)
+        poly = f"({c!r}D + {t} * {poly})"
+    ans = f"({t} * exp(-{z} * {z} + {ERFC_COEFFS[0]!r}D + {t} * {poly}))"
+    return f"(CASE WHEN {x} >= 0 THEN {ans} ELSE 2.0D - {ans} END)"
 
 
-def norm_sf(z: Column) -> Column:
-    return 0.5 * erfc(z / math.sqrt(2.0))
+def norm_sf_sql(z: str) -> str:
+    return f"(0.5D * {erfc_sql(f'(({z}) / {math.sqrt(2.0)!r}D)')})"
 
 
-def chi2_sf(x: Column, dof: Column) -> Column:
+def chi2_sf_sql(x: str, dof: str) -> str:
     """Upper tail of the chi-square distribution for integer dof (closed form).
 
     Even dof: exp(-x/2) * sum_{i<dof/2} (x/2)^i / i!.
@@ -177,20 +178,32 @@ def chi2_sf(x: Column, dof: Column) -> Column:
     closed form covers dof <= 21; larger dof use the Wilson-Hilferty normal
     approximation.
     """
-    half = x / 2.0
-    even_terms = F.aggregate(
-        F.sequence(F.lit(0), F.greatest((dof / 2).cast("int") - 1, F.lit(0))), F.lit(0.0),
-        lambda acc, i: acc + F.pow(half, i) / F.factorial(i))
-    odd_terms = F.aggregate(
-        F.sequence(F.lit(0), F.greatest(((dof - 1) / 2).cast("int") - 1, F.lit(0))), F.lit(0.0),
-        lambda acc, i: acc + F.pow(x, i) * F.pow(F.lit(2.0), i) * F.factorial(i) / F.factorial(2 * i + 1))
-    even = F.exp(-half) * even_terms
-    odd = erfc(F.sqrt(half)) + F.when(
-        dof >= 3, F.sqrt(2.0 * x / math.pi) * F.exp(-half) * odd_terms).otherwise(0.0)
-    k = dof.cast("double")
-    wh = norm_sf((F.pow(x / k, 1.0 / 3.0) - (1 - 2.0 / (9 * k))) / F.sqrt(2.0 / (9 * k)))
-    return (F.when(x <= 0, 1.0).when(dof > 21, wh)
-            .when(dof % 2 == 0, even).otherwise(odd))
+    half = f"(({x}) / 2.0D)"
+    even = (f"exp(-{half}) * aggregate(sequence(0, greatest(CAST(({dof}) / 2 AS INT) - 1, 0)),"
+            f" 0.0D, (acc, i) -> acc + pow({half}, i) / factorial(i))")
+    odd_terms = (f"aggregate(sequence(0, greatest(CAST((({dof}) - 1) / 2 AS INT) - 1, 0)), 0.0D,"
+                 f" (acc, i) -> acc + pow({x}, i) * pow(2.0D, i) * factorial(i) / factorial(2 * i + 1))")
+    odd = (f"{erfc_sql(f'sqrt({half})')} + CASE WHEN ({dof}) >= 3 THEN"
+           f" sqrt(2.0D * ({x}) / {math.pi!r}D) * exp(-{half}) * {odd_terms} ELSE 0.0D END")
+    k = f"CAST({dof} AS DOUBLE)"
+    wh = norm_sf_sql(f"(pow(({x}) / {k}, 1.0D / 3.0D) - (1 - 2.0D / (9 * {k}))) / sqrt(2.0D / (9 * {k}))")
+    return (f"(CASE WHEN ({x}) <= 0 THEN 1.0D WHEN ({dof}) > 21 THEN {wh}"
+            f" WHEN ({dof}) % 2 = 0 THEN {even} ELSE {odd} END)")
+
+
+def erfc(x: str) -> Column:
+    """erfc of the named column (one SQL expression, parsed once in the JVM)."""
+    return F.expr(erfc_sql(f"`{x}`"))
+
+
+def norm_sf(z: str) -> Column:
+    """Upper tail of the standard normal at the named column."""
+    return F.expr(norm_sf_sql(f"`{z}`"))
+
+
+def chi2_sf(x: str, dof: str) -> Column:
+    """Upper chi-square tail at the named statistic and dof columns."""
+    return F.expr(chi2_sf_sql(f"`{x}`", f"`{dof}`"))
 
 
 # ---------------------------------------------------------------------------

@@ -204,7 +204,8 @@ def mann_whitney(df: DataFrame, columns: list[str] | None = None,
     mu = n1 * n2 / 2
     sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
     # all values tied -> sd = 0: z = -inf, p = 1 (as the normal tail gives)
-    p_norm = F.when(sd > 0, F.least(2 * X.norm_sf((u - mu - 0.5) / sd), F.lit(1.0))).otherwise(1.0)
+    t = t.withColumn("_z", F.when(sd > 0, (u - mu - 0.5) / sd))
+    p_norm = F.when(F.col("_z").isNotNull(), F.least(2 * X.norm_sf("_z"), F.lit(1.0))).otherwise(1.0)
     # no ties and a group of at most 8 rows: exact null distribution of U
     t = t.withColumn("_p_exact", X.mwu_exact_p(n1, n2, u, F.col("ties")))
     p = F.coalesce(F.col("_p_exact"), p_norm)
@@ -256,7 +257,7 @@ def chi_square(df: DataFrame, segments: list[str] | None = None,
                                   F.first("n").alias("n"), F.first("r").alias("r"),
                                   F.first("k").alias("k"))
     chi2 = F.col("chi2")
-    p = F.when(F.col("dof") > 0, X.chi2_sf(chi2, F.col("dof"))).otherwise(1.0)
+    p = F.when(F.col("dof") > 0, X.chi2_sf("chi2", "dof")).otherwise(1.0)
     v = F.sqrt(chi2 / (F.col("n") * (F.least(F.col("r"), F.col("k")) - 1)))
     order = F.create_map(*[x for i, s in enumerate(segs) for x in (F.lit(s), F.lit(i))])
     return (t.select(
@@ -295,10 +296,10 @@ def kruskal(df: DataFrame, segment: str = "income_bracket",
     h0 = 12.0 / (n * (n + 1)) * F.col("srn") - 3 * (n + 1)
     h = h0 / (1 - tsum / (n * n * n - n))
     # h holds scalar subqueries; keep it a plain column under the tail's lambdas
-    t = t.withColumn("h", h)
+    t = t.withColumn("h", h).withColumn("dof", F.col("k") - 1)
     h = F.col("h")
     k = F.col("k")
-    p = X.chi2_sf(h, k - 1)
+    p = X.chi2_sf("h", "dof")
     eta2 = (h - k + 1) / (n_all - k)
     return t.where(k >= 2).select(
         F.lit(f"Kruskal-Wallis: Trust by {segment}").alias("test"),
