@@ -71,10 +71,10 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def with_class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    """Attach the balanced weight; the weight table has one row per class, a
-    bound fixed by the label's domain, so it is broadcast."""
+    """Attach the balanced weight (one row per class; Spark's size check
+    broadcasts it)."""
     w = class_weights(df, label).select(label, F.col("weight").alias(out))
-    return df.join(F.broadcast(w), label)
+    return df.join(w, label)
 
 
 def assembler(features: list[str], scale: bool = True, impute: bool = True) -> list:
@@ -103,6 +103,7 @@ def model_frame(df: DataFrame, target: str, leak_free: bool = True,
     folds = stratified_kfold(split.where("is_test = 0").select("respondent_id", "label"),
                              "label", k_folds, seed + 1).select("respondent_id", "fold")
     out = split.join(folds, "respondent_id", "left")
-    # balanced weights from the training part; one row per class -> broadcast
+    # balanced weights from the training part (one row per class; Spark's size
+    # check broadcasts it)
     w = class_weights(out.where("is_test = 0"), "label").select("label", "weight")
-    return out.join(F.broadcast(w), "label"), feats
+    return out.join(w, "label"), feats

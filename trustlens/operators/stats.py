@@ -282,8 +282,9 @@ def kruskal(df: DataFrame, segment: str = "income_bracket",
         .agg(F.count(F.lit(1)).alias("ng"))
     per_rating = mid_ranks(cnt.groupBy("rating").agg(F.sum("ng").alias("n"))
                            .withColumn("part", F.lit(0)), part="part")
-    # <= 5 ratings: broadcast the rank table into the (group, rating) counts
-    g = cnt.join(F.broadcast(per_rating.select("rating", "rank2", "n")), "rating")
+    # one row per distinct value (5 for a Likert item); no hint: Spark's size
+    # check broadcasts it when small and shuffles otherwise
+    g = cnt.join(per_rating.select("rating", "rank2", "n"), "rating")
     per_group = g.groupBy("grp").agg(F.sum("ng").alias("ng"),
                                      F.sum(F.col("ng") * F.col("rank2")).alias("rx2"))
     ties = per_rating.agg(F.sum(F.col("n").cast("double") ** 3 - F.col("n")).alias("ties"),
