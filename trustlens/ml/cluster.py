@@ -38,6 +38,7 @@ class ClusterSettings:
     sweep_max_iter: int = 300
     k_range: tuple = (2, 3, 4, 5, 6, 7)
     seed: int = 42
+    parallelism: int = 4
 
     @staticmethod
     def fast() -> "ClusterSettings":
@@ -68,22 +69,29 @@ def fit_kmeans(scaled: DataFrame, k: int, seed: int, restarts: int, max_iter: in
     return min(fits, key=lambda m: m.summary.trainingCost)
 
 
-def silhouette(scaled: DataFrame, cfg: ClusterSettings, parallelism: int = 6) -> DataFrame:
-    """(k, silhouette_score, inertia) for each k of the sweep (k fitted concurrently)."""
+def _sweep_row(scaled: DataFrame, models: list, k: int) -> tuple:
     ev = ClusteringEvaluator(featuresCol="features", predictionCol="cluster_id",
                              distanceMeasure="squaredEuclidean")
+    m = min(models, key=lambda x: x.summary.trainingCost)
+    return (int(k), float(ev.evaluate(m.transform(scaled))), float(m.summary.trainingCost))
 
-    def one(k):
-        m = fit_kmeans(scaled, k, cfg.seed, cfg.sweep_restarts, cfg.sweep_max_iter, parallelism=1)
-        return (int(k), float(ev.evaluate(m.transform(scaled))), float(m.summary.trainingCost))
 
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        rows = list(pool.map(one, cfg.k_range))
+def _silhouette_frame(scaled: DataFrame, rows: list) -> DataFrame:
     sdf = scaled.sparkSession.createDataFrame(rows, "k int, silhouette double, inertia double")
     return sdf.select("k", X.rnd(F.col("silhouette"), 4).alias("silhouette_score"),
                       X.rnd(F.col("inertia"), 1).alias("inertia"))
 
 
+def silhouette(scaled: DataFrame, cfg: ClusterSettings, parallelism: int = 8) -> DataFrame:
+    """(k, silhouette_score, inertia) for each k of the sweep; every (k, restart)
+    fit is an independent job submitted from a driver thread."""
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        fits = {k: [pool.submit(_fit_one, scaled, k, cfg.seed + r, cfg.sweep_max_iter)
+                    for r in range(cfg.sweep_restarts)] for k in cfg.k_range}
+        rows = [_sweep_row(scaled, [f.result() for f in fs], k) for k, fs in fits.items()]
+    return _silhouette_frame(scaled, rows)
+
+
 def best_k(sil: DataFrame) -> DataFrame:
     """k with the highest silhouette (smallest k on a tie); reported only."""
     return sil.agg(F.max_by("k", F.struct("silhouette_score", -F.col("k"))).alias("best_k"),
@@ -119,8 +127,15 @@ def run_clustering(df: DataFrame, cfg: ClusterSettings | None = None) -> dict:
     cfg = cfg or ClusterSettings()
     scaled = scaled_features(df)
     pca_model, coords = pca(scaled)
-    sil = silhouette(scaled, cfg)
-    km = fit_kmeans(scaled, cfg.k, cfg.seed, cfg.restarts, cfg.max_iter)
+    # sweep fits and the final restarts share one pool of driver threads
+    with ThreadPoolExecutor(max_workers=cfg.parallelism) as pool:
+        sweep = {k: [pool.submit(_fit_one, scaled, k, cfg.seed + r, cfg.sweep_max_iter)
+                     for r in range(cfg.sweep_restarts)] for k in cfg.k_range}
+        final = [pool.submit(_fit_one, scaled, cfg.k, cfg.seed + r, cfg.max_iter)
+                 for r in range(cfg.restarts)]
+        rows = [_sweep_row(scaled, [f.result() for f in fs], k) for k, fs in sweep.items()]
+        km = min((f.result() for f in final), key=lambda m: m.summary.trainingCost)
+    sil = _silhouette_frame(scaled, rows)
     assigned = km.transform(scaled).drop("features")
     labelled = join_cluster_label(assigned)
     rows = labelled.join(coords, "respondent_id")
