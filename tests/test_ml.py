@@ -96,3 +96,32 @@ def test_tree_shap_additivity(spark):
     p = dict(zip(prob["respondent_id"], [v[1] for v in prob["probability"]]))
     for _, r in shap.iterrows():
         assert r["expected_value"] + sum(r[f] for f in feats) == pytest.approx(p[r["respondent_id"]], abs=1e-6)
+
+
+def test_linear_attributions_add_up(spark):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(200, 3))
+    y = (x[:, 0] - x[:, 2] + rng.normal(scale=0.5, size=200) > 0).astype(float)
+    df = spark.createDataFrame([(int(i), *map(float, x[i]), float(y[i])) for i in range(200)],
+                               "respondent_id long, a double, b double, c double, label double")
+    df = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(df)
+    lr = LogisticRegression(maxIter=50).fit(df)
+    w = list(lr.coefficients.toArray())
+    per = AT.linear_attribution_rows(df, w, ["a", "b", "c"]).toPandas().set_index("respondent_id")
+    margin = x @ np.array(w) + lr.intercept
+    expected = margin - margin.mean()
+    got = per[["a", "b", "c"]].sum(axis=1).sort_index().to_numpy()
+    assert np.allclose(got, expected, atol=1e-9)
+
+
+def test_cluster_members_sum_to_n(spark, resp_small):
+    res = CL.run_clustering(resp_small, CL.ClusterSettings(restarts=1, max_iter=10, sweep_restarts=1,
+                                                            sweep_max_iter=5, k_range=(2, 3)))
+    prof = res["profiles"].collect()
+    assert sum(r["n_members"] for r in prof) == resp_small.count()
+    labels = [r["cluster_label"] for r in prof]
+    assert len(set(labels)) == 4
+    sil = res["silhouette"].collect()
+    assert [r["k"] for r in sil] == [2, 3] and all(-1 <= r["silhouette_score"] <= 1 for r in sil)

@@ -39,17 +39,24 @@ def sample_rows(df: DataFrame, n: int = SAMPLE_ROWS, seed: int = 42) -> DataFram
         .limit(n).drop("_h")
 
 
-def linear_attribution(rows: DataFrame, weights: list[float], features: list[str],
-                       vector_col: str = "features") -> DataFrame:
-    """(feature, mean_abs_attribution) for a linear model on scaled features."""
-    arr = rows.select(vector_to_array(vector_col).alias("x"))
+def linear_attribution_rows(rows: DataFrame, weights: list[float], features: list[str],
+                            vector_col: str = "features") -> DataFrame:
+    """Per-row attributions w_j * (x_j - mean_j) (respondent_id, one column per
+    feature); they add up to the margin minus the mean margin."""
+    arr = rows.select("respondent_id", vector_to_array(vector_col).alias("x"))
     xs = {f: F.col("x")[i] for i, f in enumerate(features)}
     # one row of feature means (a parameter vector) -> literals
     means = arr.agg(*[F.avg(xs[f]).alias(f"m{i}") for i, f in enumerate(features)]).first()
-    m = {f: F.lit(float(means[f"m{i}"])) for i, f in enumerate(features)}
-    vals = arr.agg(*[F.avg(F.abs(F.lit(float(w)) * (xs[f] - m[f]))).alias(f)
-                     for f, w in zip(features, weights)])
-    return vals.unpivot([], features, "feature", "mean_abs_shap")
+    return arr.select("respondent_id", *[
+        (F.lit(float(w)) * (xs[f] - F.lit(float(means[f"m{i}"])))).alias(f)
+        for i, (f, w) in enumerate(zip(features, weights))])
+
+
+def linear_attribution(rows: DataFrame, weights: list[float], features: list[str],
+                       vector_col: str = "features") -> DataFrame:
+    """(feature, mean_abs_shap) for a linear model on scaled features."""
+    per = linear_attribution_rows(rows, weights, features, vector_col)
+    return global_importance(per, features)
 
 
 # ---------------------------------------------------------------------------
