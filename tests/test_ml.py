@@ -125,3 +125,15 @@ def test_cluster_members_sum_to_n(spark, resp_small):
     assert len(set(labels)) == 4
     sil = res["silhouette"].collect()
     assert [r["k"] for r in sil] == [2, 3] and all(-1 <= r["silhouette_score"] <= 1 for r in sil)
+
+
+def test_model_frame_split_and_folds(spark, resp_small):
+    frame, feats = PL.model_frame(resp_small, S.FRAUD_TARGET, True, 0.2, 42, 5)
+    rows = frame.select("label", "is_test", "fold").toPandas()
+    for _, g in rows.groupby("label"):
+        n = len(g)
+        assert g["is_test"].sum() == int(np.floor(n * 0.2 + 0.5))
+        assert g.loc[g["is_test"] == 1, "fold"].isna().all()
+        counts = g.loc[g["is_test"] == 0, "fold"].value_counts()
+        assert set(counts.index) == {0, 1, 2, 3, 4} and counts.max() - counts.min() <= 1
+    assert "has_experienced_fraud" not in feats and "reported_to_bank" not in feats

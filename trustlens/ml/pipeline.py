@@ -99,10 +99,14 @@ def model_frame(df: DataFrame, target: str, leak_free: bool = True,
     flat, feats = feature_table(df, target, leak_free=leak_free)
     lo = flat.select(F.min(target)).scalar()
     flat = flat.withColumn("label", (F.col(target) - lo).cast("double"))
-    split = stratified_split(flat, "label", test_size, seed)
-    folds = stratified_kfold(split.where("is_test = 0").select("respondent_id", "label"),
-                             "label", k_folds, seed + 1).select("respondent_id", "fold")
-    out = split.join(folds, "respondent_id", "left")
+    # one ranking pass gives both: the test part is the k smallest ranks of
+    # each class, so a training row's rank among training rows is rank - k
+    ranked = rank_within_class(flat, "label", seed=seed)
+    k = F.floor(F.col("_n") * test_size + 0.5)
+    is_test = F.col("_rank") < k
+    out = (ranked.withColumn("is_test", is_test.cast("int"))
+           .withColumn("fold", F.when(~is_test, ((F.col("_rank") - k) % k_folds).cast("int")))
+           .drop("_rank", "_n"))
     # balanced weights from the training part (one row per class; Spark's size
     # check broadcasts it)
     w = class_weights(out.where("is_test = 0"), "label").select("label", "weight")
