@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from trustlens import functions as X
 from trustlens import schema as S
 from trustlens.ml.pipeline import HASH_P
+from trustlens.session import materialize
 
 EULER_GAMMA = 0.5772156649015329
 
@@ -161,7 +162,7 @@ def isolation_forest(scaled: DataFrame, features: list[str], cfg: ForestSettings
 
     scored = (scaled.select("respondent_id", vector_to_array(vector_col).alias("x"))
               .mapInPandas(score, "respondent_id bigint, score_samples double"))
-    scored = scored.checkpoint(eager=True)
+    scored = materialize(scored, "iforest_scores")
     offset = scored.select(F.percentile_approx("score_samples", cfg.contamination, 100000)).scalar()
     raw = F.col("score_samples") - offset
     out = scored.withColumn("anomaly_score_raw", raw)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from trustlens import functions as X
 from trustlens import schema as S
 from trustlens.ml.pipeline import assembler
-from trustlens.session import fit_partitions
+from trustlens.session import fit_partitions, materialize
 from trustlens.operators.features import cluster_features
 
 
@@ -47,12 +47,14 @@ class ClusterSettings:
 
 def scaled_features(df: DataFrame) -> DataFrame:
     """(respondent_id, the 11 features, features vector), median-imputed and
-    standardised; checkpointed (reused by every fit)."""
-    feats = cluster_features(df)
-    model = Pipeline(stages=assembler(S.CLUSTER_FEATURES)).fit(feats)
+    standardised; the feature table is written once to the shared folder and
+    the scaled vectors are persisted (reused by every fit)."""
+    feats = materialize(cluster_features(df), "cluster_features")
+    nulls = feats.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in S.CLUSTER_FEATURES]).first()
+    todo = [c for c in S.CLUSTER_FEATURES if nulls[c] > 0]
+    model = Pipeline(stages=assembler(S.CLUSTER_FEATURES, impute=todo)).fit(feats)
     out = model.transform(feats).select("respondent_id", *S.CLUSTER_FEATURES, "features")
-    out = out.checkpoint(eager=True)
-    return fit_partitions(out, out.count()).persist(StorageLevel.MEMORY_AND_DISK)
+    return fit_partitions(out, feats.count()).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _fit_one(scaled: DataFrame, k: int, seed: int, max_iter: int):

@@ -26,7 +26,7 @@ from trustlens import functions as X
 from trustlens import schema as S
 from trustlens.ml import metrics as M
 from trustlens.ml.pipeline import assembler, model_frame
-from trustlens.session import fit_partitions
+from trustlens.session import fit_partitions, materialize
 
 MODEL_NAMES = ["Logistic Regression", "Random Forest", "Gradient Boosted Trees"]
 
@@ -58,7 +58,7 @@ def estimators(n_train: int, n_classes: int, cfg: ModelSettings, parallelism: in
     """sklearn's C = 1 on a summed loss is Spark's regParam = 1 / n on a mean loss."""
     lr = LogisticRegression(maxIter=cfg.lr_max_iter, regParam=1.0 / max(n_train, 1),
                             elasticNetParam=0.0, standardization=False, weightCol="weight",
-                            family="auto")
+                            family="auto", tol=1e-4)  # sklearn's default tolerance
     rf = RandomForestClassifier(numTrees=cfg.rf_trees, maxDepth=cfg.rf_depth,
                                 minInstancesPerNode=cfg.rf_min_leaf, weightCol="weight",
                                 featureSubsetStrategy="sqrt", seed=cfg.seed)
@@ -120,8 +120,12 @@ def train_classifier(df: DataFrame, target: str, cfg: ModelSettings | None = Non
     select_by = select_by or ("auc_roc" if target == S.FRAUD_TARGET else "f1")
     spark: SparkSession = df.sparkSession
     frame, feats = model_frame(df, target, leak_free, cfg.test_size, cfg.seed, cfg.cv_folds)
-    frame = frame.checkpoint(eager=True)
-    prep = Pipeline(stages=assembler(feats)).fit(frame.where("is_test = 0"))
+    frame = materialize(frame, f"model_frame_{target}")
+    train_rows = frame.where("is_test = 0")
+    # impute only the columns that hold nulls (one cheap counting pass instead
+    # of a quantile pass over every feature)
+    nulls = train_rows.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in feats]).first()
+    prep = Pipeline(stages=assembler(feats, impute=[c for c in feats if nulls[c] > 0])).fit(train_rows)
     data = prep.transform(frame).select("respondent_id", "label", "weight", "is_test", "fold",
                                         "features")
     data = fit_partitions(data, frame.count()).persist(StorageLevel.MEMORY_AND_DISK)

@@ -77,14 +77,17 @@ def with_class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFr
     return df.join(w, label)
 
 
-def assembler(features: list[str], scale: bool = True, impute: bool = True) -> list:
+def assembler(features: list[str], scale: bool = True, impute: bool | list[str] = True) -> list:
     """Stages: median Imputer -> VectorAssembler -> StandardScaler, all fit on
-    the data the pipeline is fit on (the training part)."""
-    stages, cols = [], features
-    if impute:
-        cols = [f"{c}__imp" for c in features]
-        stages.append(Imputer(strategy="median", inputCols=features, outputCols=cols,
+    the data the pipeline is fit on (the training part).  ``impute``: True for
+    every feature, or the list of features that hold nulls."""
+    stages, cols = [], list(features)
+    todo = list(features) if impute is True else list(impute or [])
+    if todo:
+        outs = [f"{c}__imp" for c in todo]
+        stages.append(Imputer(strategy="median", inputCols=todo, outputCols=outs,
                               relativeError=0.0001))
+        cols = [f"{c}__imp" if c in set(todo) else c for c in features]
     stages.append(VectorAssembler(inputCols=cols, outputCol="raw_features", handleInvalid="keep"))
     if scale:
         stages.append(StandardScaler(inputCol="raw_features", outputCol="features",

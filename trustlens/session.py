@@ -67,3 +67,14 @@ def fit_partitions(df, n_rows: int, rows_per_partition: int = 250_000):
     want = max(1, math.ceil(n_rows / rows_per_partition))
     have = df.rdd.getNumPartitions()
     return df.coalesce(want) if want < have else (df.repartition(want) if want > have else df)
+
+
+def materialize(df, name: str):
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it
+    back: cuts the lineage in one job (an uncached ``checkpoint()`` would
+    compute the plan twice) and lost executors re-read files."""
+    import uuid
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}_{uuid.uuid4().hex[:8]}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
