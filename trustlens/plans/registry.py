@@ -23,12 +23,12 @@ def _modules():
 
 
 def all_queries():
-    from trustlens.session import ensure_checkpoint_dir
+    from trustlens.session import prepare
     out = {}
     for m in _modules():
         for k, fn in m.QUERIES.items():
             def wrapped(spark: SparkSession, sf_dir: str, _fn=fn):
-                ensure_checkpoint_dir(spark)
+                prepare(spark)
                 return _fn(spark, sf_dir)
             wrapped.__doc__ = fn.__doc__
             out[k] = wrapped
