@@ -292,7 +292,7 @@ def q_join_titles(spark, sf):
 
 @register("complete_domain", Q.with_resp(
     _COUNTS_SQL + ", items AS (SELECT DISTINCT column_name FROM lc),"
-    " grid AS (SELECT column_name, d AS rating FROM items, (VALUES (1), (2), (3), (4), (5)) v(d))"
+    " grid AS (SELECT column_name, unnest([1, 2, 3, 4, 5]) AS rating FROM items)"
     " SELECT grid.column_name AS \"column\", CAST(grid.rating AS INT) AS rating,"
     " CAST(coalesce(lc.n, 0) AS BIGINT) AS n FROM grid LEFT JOIN lc"
     " ON grid.column_name = lc.column_name AND grid.rating = lc.rating"))
@@ -352,7 +352,7 @@ def q_weakest_dimension(spark, sf):
 
 @register("likert_distribution", Q.with_resp(
     _COUNTS_SQL + ", items AS (SELECT DISTINCT column_name FROM lc),"
-    " grid AS (SELECT column_name, d AS rating FROM items, (VALUES (1), (2), (3), (4), (5)) v(d))"
+    " grid AS (SELECT column_name, unnest([1, 2, 3, 4, 5]) AS rating FROM items)"
     " SELECT grid.column_name AS \"column\", " + _LABEL_CASE.format(c="grid.rating") + " AS rating,"
     " CAST(grid.rating AS INT) AS rating_code, CAST(coalesce(lc.n, 0) AS BIGINT) AS count,"
     f" {Q.pct('coalesce(lc.n, 0)', '(SELECT count(*) FROM respondents)')} AS pct"
@@ -474,7 +474,8 @@ def q_channel_risk_matrix(spark, sf):
     " AS DOUBLE) / 10 AS raw FROM m),"
     " pop AS (SELECT sum(has_mfa_enabled) AS mfa, sum(has_experienced_fraud) AS fr,"
     " sum(shared_device) AS sh, count(*) AS n FROM respondents),"
-    f" z AS (SELECT raw, least(raw / {R.MAX_EXPOSURE!r} * 100, 100.0) AS norm, pop.* FROM raw, pop)"
+    f" z AS (SELECT (SELECT raw FROM raw) AS raw, least((SELECT raw FROM raw) / {R.MAX_EXPOSURE!r} * 100,"
+    " 100.0) AS norm, pop.* FROM pop)"
     f" SELECT {Q.r('raw', 2)} AS raw_exposure_score, {Q.r('norm', 1)} AS normalised_attack_surface,"
     f" {Q.pct('mfa', 'n')} AS mfa_coverage_pct, {Q.pct('fr', 'n')} AS fraud_incidence_pct,"
     f" {Q.pct('sh', 'n')} AS shared_device_pct,"
@@ -566,20 +567,19 @@ def q_satisfaction_by_usage(spark, sf):
 
 
 def _hist_sql(name: str, expr: str, bins: int) -> str:
+    lo = (f"(SELECT CASE WHEN max({expr}) = min({expr}) THEN CAST(min({expr}) AS DOUBLE) - 0.5"
+          f" ELSE CAST(min({expr}) AS DOUBLE) END FROM respondents)")
+    hi = (f"(SELECT CASE WHEN max({expr}) = min({expr}) THEN CAST(max({expr}) AS DOUBLE) + 0.5"
+          f" ELSE CAST(max({expr}) AS DOUBLE) END FROM respondents)")
     return (
-        f"SELECT '{name}' AS feature, CAST(b.bin AS INT) AS bin,"
-        f" {Q.r(f'lo + b.bin * ((hi - lo) / {bins})', 4)} AS bin_lo,"
-        f" {Q.r(f'lo + (b.bin + 1) * ((hi - lo) / {bins})', 4)} AS bin_hi,"
+        f"SELECT '{name}' AS feature, CAST(g.bin AS INT) AS bin,"
+        f" {Q.r(f'g.lo + g.bin * ((g.hi - g.lo) / {bins})', 4)} AS bin_lo,"
+        f" {Q.r(f'g.lo + (g.bin + 1) * ((g.hi - g.lo) / {bins})', 4)} AS bin_hi,"
         " CAST(coalesce(c.cnt, 0) AS BIGINT) AS count"
-        f" FROM (SELECT CASE WHEN mx = mn THEN mn - 0.5 ELSE mn END AS lo,"
-        f" CASE WHEN mx = mn THEN mx + 0.5 ELSE mx END AS hi FROM"
-        f" (SELECT CAST(min({expr}) AS DOUBLE) AS mn, CAST(max({expr}) AS DOUBLE) AS mx FROM respondents) m0) m"
-        f" CROSS JOIN range({bins}) b(bin)"
-        f" LEFT JOIN (SELECT CAST(least(floor((CAST({expr} AS DOUBLE) - lo) * {bins} / (hi - lo)), {bins - 1})"
-        f" AS INT) AS bin, count(*) AS cnt FROM respondents, (SELECT CASE WHEN mx = mn THEN mn - 0.5"
-        f" ELSE mn END AS lo, CASE WHEN mx = mn THEN mx + 0.5 ELSE mx END AS hi FROM"
-        f" (SELECT CAST(min({expr}) AS DOUBLE) AS mn, CAST(max({expr}) AS DOUBLE) AS mx FROM respondents) m1) mm"
-        f" WHERE {expr} IS NOT NULL GROUP BY 1) c ON c.bin = b.bin")
+        f" FROM (SELECT {lo} AS lo, {hi} AS hi, unnest(range({bins})) AS bin) g"
+        f" LEFT JOIN (SELECT CAST(least(floor((CAST({expr} AS DOUBLE) - {lo}) * {bins} / ({hi} - {lo})),"
+        f" {bins - 1}) AS INT) AS bin, count(*) AS cnt FROM respondents"
+        f" WHERE {expr} IS NOT NULL GROUP BY 1) c ON c.bin = g.bin")
 
 
 _HISTS = [("years_digital_banking", "years_digital_banking", 15),

@@ -156,26 +156,26 @@ _REPORT_CTES = (
 
 @register("key_insights", Q.with_resp(
     _REPORT_CTES + ", s AS (" + " UNION ALL ".join(
-        f"SELECT {i + 1} AS ord, {t} AS text FROM top, st, weak, trust, pop" for i, t in enumerate([
-            _fill_sql(RP.INSIGHTS[0], "top.channel", "top.adoption_pct"),
-            _fill_sql(RP.INSIGHTS[1], Q.pct("pop.fraud", "pop.n")),
-            _fill_sql(RP.INSIGHTS[2], Q.pct("pop.mfa", "pop.n")),
-            _fill_sql(RP.INSIGHTS[3], "st.mean", "st.pct_positive"),
-            _fill_sql(RP.INSIGHTS[4], "weak.dimension", "weak.positive_pct", "weak.mean_score"),
-            _fill_sql(RP.INSIGHTS[5], Q.pct("pop.hp", "pop.n")),
-            _fill_sql(RP.INSIGHTS[6], "trust.positive_pct")])) + ") SELECT * FROM s"))
+        f"SELECT {i + 1} AS ord, {t} AS text" for i, t in enumerate([
+            _fill_sql(RP.INSIGHTS[0], "(SELECT channel FROM top)", "(SELECT adoption_pct FROM top)"),
+            _fill_sql(RP.INSIGHTS[1], Q.pct("(SELECT fraud FROM pop)", "(SELECT n FROM pop)")),
+            _fill_sql(RP.INSIGHTS[2], Q.pct("(SELECT mfa FROM pop)", "(SELECT n FROM pop)")),
+            _fill_sql(RP.INSIGHTS[3], "(SELECT mean FROM st)", "(SELECT pct_positive FROM st)"),
+            _fill_sql(RP.INSIGHTS[4], "(SELECT dimension FROM weak)", "(SELECT positive_pct FROM weak)", "(SELECT mean_score FROM weak)"),
+            _fill_sql(RP.INSIGHTS[5], Q.pct("(SELECT hp FROM pop)", "(SELECT n FROM pop)")),
+            _fill_sql(RP.INSIGHTS[6], "(SELECT positive_pct FROM trust)")])) + ") SELECT * FROM s"))
 def q_key_insights(spark, sf):
     return RP.key_insights(resp(spark, sf))
 
 
 def _rec_sql() -> str:
-    vals = [[Q.pct("pop.mfa", "pop.n")], [Q.pct("pop.fraud", "pop.n"), "griev.positive_pct"],
-            ["weak.dimension"], [], [], []]
+    vals = [[Q.pct("(SELECT mfa FROM pop)", "(SELECT n FROM pop)")], [Q.pct("(SELECT fraud FROM pop)", "(SELECT n FROM pop)"), "(SELECT positive_pct FROM griev)"],
+            ["(SELECT dimension FROM weak)"], [], [], []]
     rows = []
     for i, ((area, sev, tmpl, rec), v) in enumerate(zip(RP.RECOMMENDATIONS, vals)):
         rows.append(f"SELECT {i + 1} AS ord, '{area}' AS area, '{sev}' AS severity,"
                     f" {_fill_sql(tmpl, *v)} AS finding, '{rec.replace(chr(39), chr(39) * 2)}'"
-                    " AS recommendation FROM pop, griev, weak")
+                    " AS recommendation")
     return _REPORT_CTES + " " + " UNION ALL ".join(rows)
 
 

@@ -182,7 +182,7 @@ def q_auc_roc(spark, sf):
     " AND CURRENT ROW) AS tp, sum(neg) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING"
     " AND CURRENT ROW) AS fp FROM c)"
     " SELECT 'inf'::DOUBLE AS threshold, 0.0::DOUBLE AS fpr, 0.0::DOUBLE AS tpr UNION ALL"
-    f" SELECT score, {Q.r('fp / N', 4)}, {Q.r('tp / P', 4)} FROM cum, t"))
+    f" SELECT score, {Q.r('fp / (SELECT N FROM t)', 4)}, {Q.r('tp / (SELECT P FROM t)', 4)} FROM cum"))
 def q_roc_curve(spark, sf):
     return M.roc_curve(_rule_frame(spark, sf), "score", "label", 1.0)
 

@@ -96,15 +96,14 @@ def _fmt3(x: str) -> str:
 
 
 def _mw_block(c: str) -> str:
+    ties = (f"(SELECT sum(CAST(t AS DOUBLE) * t * t - t) FROM (SELECT count(*) AS t FROM respondents"
+            f" WHERE has_experienced_fraud IN (0, 1) AND {c} IS NOT NULL GROUP BY {c}) y)")
     return (
-        f"SELECT '{c}' AS item, n1, n, r1, ties FROM"
-        f" (SELECT sum(CASE WHEN g = 1 THEN 1 ELSE 0 END) AS n1, count(*) AS n,"
-        f" sum(CASE WHEN g = 1 THEN mr ELSE 0 END) AS r1 FROM"
+        f"SELECT '{c}' AS item, sum(CASE WHEN g = 1 THEN 1 ELSE 0 END) AS n1, count(*) AS n,"
+        f" sum(CASE WHEN g = 1 THEN mr ELSE 0 END) AS r1, {ties} AS ties FROM"
         f" (SELECT has_experienced_fraud AS g, rank() OVER (ORDER BY {c})"
         f" + (count(*) OVER (PARTITION BY {c}) - 1) / 2 AS mr FROM respondents"
-        f" WHERE has_experienced_fraud IN (0, 1) AND {c} IS NOT NULL) x) a,"
-        f" (SELECT sum(CAST(t AS DOUBLE) * t * t - t) AS ties FROM (SELECT count(*) AS t"
-        f" FROM respondents WHERE has_experienced_fraud IN (0, 1) AND {c} IS NOT NULL GROUP BY {c}) y) b")
+        f" WHERE has_experienced_fraud IN (0, 1) AND {c} IS NOT NULL) x")
 
 
 def _mw_sql() -> str:
@@ -178,8 +177,9 @@ def _kw_sql(segment: str, value: str = "q_trust_platform") -> str:
         f" tt AS (SELECT sum(CAST(t AS DOUBLE) * t * t - t) AS ties, CAST(sum(t) AS DOUBLE) AS n"
         f" FROM (SELECT count(*) AS t FROM respondents WHERE {segment} IS NOT NULL"
         f" AND {value} IS NOT NULL GROUP BY {value}) y),"
-        " h AS (SELECT (12.0 / (n * (n + 1)) * sum(rg * rg / ng) - 3 * (n + 1))"
-        " / (1 - ties / (n * n * n - n)) AS h, count(*) AS k FROM g, tt GROUP BY n, ties),"
+        " h AS (SELECT (12.0 / ((SELECT n FROM tt) * ((SELECT n FROM tt) + 1)) * sum(rg * rg / ng)"
+        " - 3 * ((SELECT n FROM tt) + 1)) / (1 - (SELECT ties FROM tt) / ((SELECT n FROM tt)"
+        " * (SELECT n FROM tt) * (SELECT n FROM tt) - (SELECT n FROM tt))) AS h, count(*) AS k FROM g),"
         f" p AS (SELECT h, k, {Q.chi2_sf('h', 'k - 1')} AS p,"
         " (h - k + 1) / ((SELECT CAST(count(*) AS DOUBLE) FROM respondents) - k) AS eta2 FROM h"
         " WHERE k >= 2)"
