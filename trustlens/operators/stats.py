@@ -207,7 +207,12 @@ def mann_whitney(df: DataFrame, columns: list[str] | None = None,
     t = t.withColumn("_z", F.when(sd > 0, (u - mu - 0.5) / sd))
     p_norm = F.when(F.col("_z").isNotNull(), F.least(2 * X.norm_sf("_z"), F.lit(1.0))).otherwise(1.0)
     # no ties and a group of at most 8 rows: exact null distribution of U
-    t = t.withColumn("_p_exact", X.mwu_exact_p(n1, n2, u, F.col("ties")))
+    # exact tail only on eligible rows (Python UDFs run on every row they see)
+    eligible = ((F.col("ties") == 0) & (F.least(n1, n2) <= 8) & (n1 > 0) & (n2 > 0)
+                & (n1 * n2 <= X.EXACT_MWU_MAX_CELLS))
+    t = t.withColumn("_elig", eligible)
+    t = (t.where("_elig").withColumn("_p_exact", X.mwu_exact_p(n1, n2, u, F.col("ties")))
+         .unionByName(t.where("NOT _elig").withColumn("_p_exact", F.lit(None).cast("double"))))
     p = F.coalesce(F.col("_p_exact"), p_norm)
     r = F.when(n1 * n2 > 0, 1 - (2 * u1) / (n1 * n2))
     out = F.broadcast(_items(df))
