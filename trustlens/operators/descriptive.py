@@ -37,11 +37,14 @@ def join_titles(df: DataFrame, on: str = "column") -> DataFrame:
             .withColumn("item_order", F.coalesce("item_order", F.lit(1 << 20))))
 
 
-def likert_summary(df: DataFrame, columns: list[str] | None = None, legacy: bool = False) -> DataFrame:
+def likert_summary(df: DataFrame, columns: list[str] | None = None, legacy: bool = False,
+                   counts: DataFrame | None = None) -> DataFrame:
     """Per item: mean (3 dp), sample std (3 dp), % rating 1, % 1-2, % 3, % 4-5.
-    ``legacy``: the earlier form (mean 2 dp, no std column)."""
+    ``legacy``: the earlier form (mean 2 dp, no std column).  ``counts``: a
+    shared ``likert_counts`` table (several summaries then reuse one scan)."""
     columns = columns or S.LIKERT_COLUMNS
-    c = likert_counts(df, columns)
+    c = (likert_counts(df, columns) if counts is None
+         else counts.where(F.col("column").isin(columns)))
     r = F.col("rating").cast("bigint")
     valid = F.col("rating").isNotNull()
     agg = c.groupBy("column").agg(
@@ -73,9 +76,9 @@ def spt_summary(df: DataFrame) -> DataFrame:
     return likert_summary(df, S.SPT_COLUMNS)
 
 
-def weakest_dimension(df: DataFrame) -> DataFrame:
+def weakest_dimension(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """SPT item with the lowest positive %, first in item order on a tie."""
-    s = join_titles(spt_summary(df))
+    s = join_titles(likert_summary(df, S.SPT_COLUMNS, counts=counts))
     best = s.agg(F.min_by(F.struct("question", "column", "positive_pct", "negative_pct", "mean_score"),
                           F.struct("positive_pct", "item_order")).alias("w"))
     return best.select(F.col("w.question").alias("dimension"), "w.column", "w.positive_pct",

@@ -70,8 +70,9 @@ def key_insights(df: DataFrame) -> DataFrame:
     top_channel = top.select("channel").scalar()
     top_pct = top.select("adoption_pct").scalar()
     st = D.spt_index_stats(df)
-    weak = D.weakest_dimension(df)
-    trust_pos = D.likert_summary(df, [S.TRUST_TARGET]).select("positive_pct").scalar()
+    counts = D.likert_counts(df)  # one counts plan shared by the Likert values
+    weak = D.weakest_dimension(df, counts)
+    trust_pos = D.likert_summary(df, [S.TRUST_TARGET], counts=counts).select("positive_pct").scalar()
     pop = _population(df)
     n = F.col("n")
     texts = [
@@ -90,8 +91,10 @@ def key_insights(df: DataFrame) -> DataFrame:
 
 def recommendations(df: DataFrame) -> DataFrame:
     """Six (area, severity, finding, recommendation) rows, findings from data."""
-    weak = D.weakest_dimension(df).select("dimension").scalar()
-    griev = D.likert_summary(df, ["q_grievance_resolution"]).select("positive_pct").scalar()
+    counts = D.likert_counts(df)  # one counts plan shared by the Likert values
+    weak = D.weakest_dimension(df, counts).select("dimension").scalar()
+    griev = D.likert_summary(df, ["q_grievance_resolution"], counts=counts) \
+        .select("positive_pct").scalar()
     pop = _population(df)
     n = F.col("n")
     values = [[X.pct(F.col("mfa"), n)], [X.pct(F.col("fraud"), n), griev], [weak], [], [], []]
