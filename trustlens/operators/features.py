@@ -123,14 +123,26 @@ def numeric_only(df: DataFrame) -> DataFrame:
     return df.select(*keep)
 
 
-def median_impute(df: DataFrame, columns: list[str]) -> DataFrame:
-    """null -> column median.  Medians come from one aggregate as scalar subqueries.
+EXACT_MEDIAN_MAX_DISTINCT = 100_000
 
-    ``median`` keeps a value->count map per column, so its buffer is bounded by
-    the distinct values (small for Likert / flag / count columns).  For wide
-    continuous columns use ``pyspark.ml.feature.Imputer(strategy="median")``.
+
+def median_impute(df: DataFrame, columns: list[str],
+                  max_distinct: int = EXACT_MEDIAN_MAX_DISTINCT) -> DataFrame:
+    """null -> column median.
+
+    The exact ``median`` keeps a value -> count map that is merged in one task,
+    so it is used only behind a size check: one pass of ``approx_count_distinct``
+    first; columns with at most ``max_distinct`` values (Likert items, flags,
+    counts) get the exact median, the others ``percentile_approx`` (bounded
+    sketch, relative rank error 1e-4).  Medians enter as scalar subqueries.
     """
-    med = {c: df.select(F.median(c)).scalar() for c in columns}
+    distinct = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
+    med = {}
+    for c in columns:
+        if distinct[c] <= max_distinct:
+            med[c] = df.select(F.median(c)).scalar()
+        else:
+            med[c] = df.select(F.percentile_approx(F.col(c).cast("double"), 0.5, 10000)).scalar()
     return df.withColumns({c: F.coalesce(F.col(c).cast("double"), med[c]) for c in columns})
 
 
