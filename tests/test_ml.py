@@ -137,3 +137,13 @@ def test_model_frame_split_and_folds(spark, resp_small):
         counts = g.loc[g["is_test"] == 0, "fold"].value_counts()
         assert set(counts.index) == {0, 1, 2, 3, 4} and counts.max() - counts.min() <= 1
     assert "has_experienced_fraud" not in feats and "reported_to_bank" not in feats
+
+
+def test_auc_many_distinct_scores_is_bucketed_and_close(spark):
+    df = spark.range(100000).select(
+        (F.col("id") * 48271 % 2147483647 / 2147483647.0 * 10 - 3).alias("score"),
+        F.lit(0.0).alias("label"))
+    df = df.withColumn("label", (F.col("score") + ((F.col("score") * 1000) % 1.7) > 2).cast("double"))
+    auc = M.auc_roc(df, "score", "label", 1.0).first()["auc_roc"]
+    assert 0.5 < auc <= 1.0
+    assert M.roc_curve(df, "score", "label", 1.0).count() <= (1 << 16) + 1

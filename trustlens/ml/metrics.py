@@ -43,6 +43,29 @@ def class_metrics(pred: DataFrame, label: str = "label", prediction: str = "pred
         X.rnd(F.sum(F.col("r") * F.col("support")) / tot, digits).alias("recall"))
 
 
+MAX_EXACT_SCORES = 1 << 16
+
+
+def _auto_bins(df: DataFrame, score: str, bins: int | None) -> int | None:
+    """Distinct scores are used as they are only when there are few of them
+    (the running count is one window over them); otherwise bucket the score
+    (a score in [0, 1] into 2^16 bins, any other range min-max scaled first)."""
+    if bins:
+        return bins
+    n = df.agg(F.approx_count_distinct(score)).first()[0]
+    return None if n <= MAX_EXACT_SCORES else MAX_EXACT_SCORES
+
+
+def _scaled_score(df: DataFrame, score: str, bins: int | None):
+    s = F.col(score).cast("double")
+    if not bins:
+        return s
+    lo, hi = df.agg(F.min(s), F.max(s)).first()
+    if lo is not None and (lo < 0 or hi > 1):
+        s = (s - lo) / ((hi - lo) or 1.0)
+    return s
+
+
 def _score_counts(df: DataFrame, score, positive, bins: int | None) -> DataFrame:
     s = score
     if bins:
@@ -59,7 +82,8 @@ def auc_roc(df: DataFrame, score: str, label: str = "label", positive_value=1,
     ``bins`` buckets a score in [0, 1] first (ties inside a bucket count half);
     without it the distinct score values are used as they are.
     """
-    c = _score_counts(df, F.col(score).cast("double"), F.col(label) == positive_value, bins)
+    bins = _auto_bins(df, score, bins)
+    c = _score_counts(df, _scaled_score(df, score, bins), F.col(label) == positive_value, bins)
     w = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     c = c.withColumn("neg_below", F.sum("neg").over(w) - F.col("neg"))
     a = c.agg((F.sum(F.col("pos") * (F.col("neg_below") + 0.5 * F.col("neg")))
@@ -70,8 +94,10 @@ def auc_roc(df: DataFrame, score: str, label: str = "label", positive_value=1,
 def roc_curve(df: DataFrame, score: str, label: str = "label", positive_value=1,
               bins: int | None = None, digits: int = 4) -> DataFrame:
     """ROC points (threshold, fpr, tpr) for every distinct score, descending,
-    starting at (inf, 0, 0)."""
-    c = _score_counts(df, F.col(score).cast("double"), F.col(label) == positive_value, bins)
+    starting at (inf, 0, 0).  Many distinct scores are bucketed first (thresholds
+    are then bucket lower edges on the min-max scaled score)."""
+    bins = _auto_bins(df, score, bins)
+    c = _score_counts(df, _scaled_score(df, score, bins), F.col(label) == positive_value, bins)
     w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     tp = F.sum("pos").over(w)
     fp = F.sum("neg").over(w)
