@@ -156,3 +156,13 @@ def test_exact_counts_are_gaussian_binomials():
     for m, n in [(1, 1), (2, 3), (3, 5), (4, 8)]:
         c = mwu_exact_counts(m, n)
         assert sum(c) == comb(m + n, m) and c == c[::-1] and min(c) > 0
+
+
+def test_rank_windows_refuse_continuous_values(spark):
+    rows = [(i, i % 2, float(i) / 7.0) for i in range(300)]
+    df = spark.createDataFrame(rows, "respondent_id long, has_experienced_fraud int, q double")
+    counts = df.groupBy(F.lit("q").alias("column"), F.col("q").alias("rating")).count() \
+        .withColumnRenamed("count", "n")
+    with pytest.raises(ValueError, match="ordinal"):
+        ST.require_ordinal(counts, "column", limit=100)
+    ST.require_ordinal(counts, "column", limit=1000)

@@ -100,11 +100,28 @@ def cronbach_alpha(df: DataFrame, columns: list[str], name: str = "scale") -> Da
 # Mid-ranks and correlations
 # ---------------------------------------------------------------------------
 
+MAX_RANK_VALUES = 1 << 16
+
+
+def require_ordinal(counts: DataFrame, part: str | None = None,
+                    limit: int = MAX_RANK_VALUES) -> None:
+    """The rank windows run over the distinct values of an item (five for a
+    Likert item, which the loader enforces).  Check that bound on the
+    already-aggregated counts before building a window over them."""
+    g = counts.groupBy(part).count() if part else counts.groupBy().count()
+    worst = g.agg(F.max("count")).first()[0] or 0
+    if worst > limit:
+        raise ValueError(f"rank statistics need ordinal values: {worst} distinct values "
+                         f"exceed {limit}")
+
+
 def mid_ranks(counts: DataFrame, part: str = "column", value: str = "rating",
-              n: str = "n") -> DataFrame:
+              n: str = "n", check: bool = True) -> DataFrame:
     """Add ``rank2`` = 2 * average rank of each value within ``part``:
-    2 * (running count before the value) + n + 1.  Window over <= a handful of
-    rows per part (counts, not respondents)."""
+    2 * (running count before the value) + n + 1.  Window over the distinct
+    values of each part (counts, not respondents; size-checked first)."""
+    if check:
+        require_ordinal(counts, part)
     w = (Window.partitionBy(part).orderBy(value)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     cum = F.sum(n).over(w)
