@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trustlens.llm import exact_dedup
+from trustlens.llm import exact_dedup, simhash
 from trustlens.session import prepare
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
 }
 ORACLE = {
     "op1_exact_dedup": exact_dedup.ORACLE,
