@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trustlens.llm import exact_dedup, simhash
+from trustlens.llm import decontaminate, exact_dedup, sharding, simhash
 from trustlens.session import prepare
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
+    "op10_sharding": sharding.op10_sharding,
 }
 ORACLE = {
     "op1_exact_dedup": exact_dedup.ORACLE,
+    "op2_benchmark_decontamination": decontaminate.ORACLE,
+    "op10_sharding": sharding.ORACLE,
 }
 
 
