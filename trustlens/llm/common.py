@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,3 +50,20 @@ def bounded_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
 def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
     """Null-safe equality of columns that both sides have."""
     return reduce(lambda a, b: a & b, [left[n].eqNullSafe(right[n]) for n in names])
+
+
+def by_bytes(batch, column: str, limit: int = 4 << 20):
+    """Slices of an Arrow batch whose strings have at most ``limit`` bytes (or one row)."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    at = 0
+    while at < len(batch):
+        n = max(1, int(np.searchsorted(np.cumsum(sizes[at:at + 4096]), limit, side="right")))
+        yield batch.slice(at, n)
+        at += n
+
+
+def ragged_take(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The concatenation of ``values[s:s + n]`` over all (s, n)."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return values[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)]
