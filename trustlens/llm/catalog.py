@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trustlens.llm import chat_format, decontaminate, exact_dedup, license_scan, sharding, simhash, token_files
+from trustlens.llm import bpe, chat_format, decontaminate, exact_dedup, license_scan, sharding, simhash, token_files
 from trustlens.session import prepare
 
 QUERIES = {
@@ -15,6 +15,7 @@ QUERIES = {
     "op5_license_scan": license_scan.op5_license_scan,
     "op6_token_files": token_files.op6_token_files,
     "op7_chat_formatting": chat_format.op7_chat_formatting,
+    "op8_bpe_round_trip": bpe.op8_bpe_round_trip,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_sharding": sharding.op10_sharding,
 }
