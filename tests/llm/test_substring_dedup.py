@@ -80,3 +80,19 @@ def test_groups_have_all_occurrences(spark):
     got = rows(D.repeat_groups(docs(spark, texts), least=20, gram=6))
     digest = hashlib.sha256(base.encode()).hexdigest()
     assert {r[2:] for r in got if r[0] == digest} == {(0, 1), (1, 1), (2, 1), (2, 1 + len(base) + 2)}
+
+
+def test_anchors_follow_the_content_and_are_few():
+    rnd = random.Random(4)
+    text = bytes(rnd.randrange(256) for _ in range(20_000))
+    moved = b"\x00" * 777 + text
+    finder = D.Anchors(100, 32, 4096)
+
+    def find(raw):
+        return finder.find(np.frombuffer(raw, dtype=np.uint8), np.array([0]), np.array([len(raw)]))
+
+    (a, ha), (b, hb) = find(text), find(moved)
+    assert len(a) < 0.04 * len(text)
+    assert np.diff(a).max() <= 69  # every string of 100 bytes has one
+    later = b - 777 > 100
+    assert np.isin(b[later] - 777, a).all() and np.isin(hb[later], ha).all()

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trustlens.llm import bpe, chat_format, decontaminate, exact_dedup, license_scan, sharding, simhash, substring_dedup, token_files
+from trustlens.llm import bpe, chat_format, decontaminate, exact_dedup, license_scan, quality, sharding, simhash, substring_dedup, token_files
 from trustlens.session import prepare
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
     "op3_suffix_array_dedup": substring_dedup.op3_suffix_array_dedup,
+    "op4_quality_classifier": quality.op4_quality_classifier,
     "op5_license_scan": license_scan.op5_license_scan,
     "op6_token_files": token_files.op6_token_files,
     "op7_chat_formatting": chat_format.op7_chat_formatting,

@@ -62,6 +62,13 @@ def by_bytes(batch, column: str, limit: int = 4 << 20):
         at += n
 
 
+def powers(base: int, n: int) -> np.ndarray:
+    """base^0 .. base^(n-1) modulo 2^64."""
+    out = np.full(n, base, dtype=np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
 def ragged_take(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The concatenation of ``values[s:s + n]`` over all (s, n)."""
     ends = np.cumsum(sizes)

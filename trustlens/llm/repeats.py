@@ -40,7 +40,8 @@ def intervals(lcp: list[int], least: int) -> Iterator[tuple[int, int, int]]:
 def sort_key(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """One value for each row that sorts as its bytes; rows are filled up with zeros, so
     the size tells a zero byte from the end."""
-    key = np.ascontiguousarray(np.concatenate([rows, sizes[:, None].astype(np.uint8)], axis=1))
+    tail = sizes.astype(">u4").view(np.uint8).reshape(-1, 4)
+    key = np.ascontiguousarray(np.concatenate([rows, tail], axis=1))
     return key.view(f"V{key.shape[1]}").ravel()
 
 

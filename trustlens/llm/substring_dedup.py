@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustlens.llm.common import bounded_batches, documents, ragged_take, text_or_empty
+from trustlens.llm.common import bounded_batches, documents, powers, ragged_take, text_or_empty
 from trustlens.llm.repeats import common, repeats, sort_key
 from trustlens.session import materialize, scratch_path
 
@@ -64,10 +64,7 @@ class Anchors:
     def __init__(self, least: int = LEAST, gram: int = GRAM, piece: int = PIECE):
         self.least, self.gram, self.piece = least, gram, piece
         n = piece + least + 1
-        self.up = np.cumprod(np.concatenate([[1], np.full(n - 1, BASE, dtype=np.uint64)]).astype(np.uint64))
-        down = np.full(n, pow(BASE, -1, 1 << 64), dtype=np.uint64)
-        down[0] = 1
-        self.down = np.cumprod(down)
+        self.up, self.down = powers(BASE, n), powers(pow(BASE, -1, 1 << 64), n)
 
     def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places and hashes of all anchors."""
@@ -231,10 +228,9 @@ def _marks(ord_: np.ndarray, sub: np.ndarray, start: np.ndarray, stop: np.ndarra
         names=[f.split()[0] for f in CONTEXT.split(", ")])
 
 
-def _give_contexts(make, buckets: int, group_bytes: int, folder: str, merge: bool):
+def _give_contexts(make, buckets: int, group_bytes: int, folder: str, before: int, after: int, merge: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, anchors = TaskContext.get().partitionId(), make()
-        least, before = anchors.least, anchors.least - anchors.gram
         known = _read_bits(folder, part)
         for seq, g in enumerate(_grouped(batches, anchors, group_bytes)):
             if not len(g.places):
@@ -251,18 +247,17 @@ def _give_contexts(make, buckets: int, group_bytes: int, folder: str, merge: boo
             doc = np.searchsorted(g.ends, place, side="right")
             # texts without bytes end where the next begins: take the one that holds the place
             n_left = np.minimum(place - g.starts[doc], before)
-            n_right = np.minimum(g.ends[doc] - place, least)
+            n_right = np.minimum(g.ends[doc] - place, after)
             ord_, sub, pos = g.ord[doc], g.sub[doc], place - g.starts[doc]
             if merge and len(place):
                 order = np.lexsort((pos, sub, ord_))
-                wide = np.zeros((len(place), before + least + 2), dtype=np.uint8)
-                wide[:, 0], wide[:, 1] = n_left[order], n_right[order]
-                col = np.arange(before + least)
+                wide = np.zeros((len(place), before + after), dtype=np.uint8)
+                col = np.arange(before + after)
                 for k in range(0, len(order), 8192):
                     o = order[k:k + 8192]
                     inside = (col >= (before - n_left[o])[:, None]) & (col < (before + n_right[o])[:, None])
-                    wide[k:k + 8192, 2:][inside] = g.data[(place[o][:, None] - before + col)[inside]]
-                _, first, which = np.unique(wide.view(f"V{wide.shape[1]}").ravel(), return_index=True, return_inverse=True)
+                    wide[k:k + 8192][inside] = g.data[(place[o][:, None] - before + col)[inside]]
+                _, first = np.unique(sort_key(wide, n_left[order] << 16 | n_right[order]), return_index=True)
                 head = np.zeros(len(order), dtype=bool)
                 head[first] = True  # np.unique gives the first of equal rows
                 later = order[~head]
@@ -295,9 +290,9 @@ def _matrix(arr: pa.Array, width: int, backwards: bool = False) -> tuple[np.ndar
 class Group:
     """Sorted contexts with one or more whole hash groups."""
 
-    def __init__(self, t: pa.Table, least: int, before: int):
+    def __init__(self, t: pa.Table, before: int, after: int):
         self.hash = t.column("hash").to_numpy()
-        self.right, self.n_right = _matrix(t.column("right"), least)
+        self.right, self.n_right = _matrix(t.column("right"), after)
         self.left, self.n_left = _matrix(t.column("left"), before, backwards=True)
         self.ord, self.sub, self.pos = (t.column(c).to_numpy() for c in ("ord", "sub", "start"))
 
@@ -356,13 +351,13 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tup
         yield "group", held
 
 
-def _scan_tree(least: int, before: int, limit: int):
+def _scan_tree(least: int, before: int, after: int, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for kind, t in _whole_groups(batches, limit):
             if kind != "group":
                 yield from t.combine_chunks().to_batches()
                 continue
-            g = Group(t, least, before)
+            g = Group(t, before, after)
             same = g.same_as_before()
             later = np.flatnonzero(same)
             if len(later):  # rows are in order of their place: the first of a run stays
@@ -384,10 +379,10 @@ def _scan_tree(least: int, before: int, limit: int):
 GROUPS = "repeat string, n_bytes int, ord long, sub long, start long"
 
 
-def _give_groups(least: int, before: int):
+def _give_groups(least: int, reach: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in _whole_groups(batches, 1 << 62):
-            g = Group(t, least, before)
+            g = Group(t, reach, reach)
             same = g.same_as_before()
             run_no, rows = np.cumsum(~same) - 1, np.flatnonzero(~same)
             last = np.append(rows[1:], len(same))
@@ -434,7 +429,7 @@ def _ordered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return own, own.dropDuplicates(["ord", "sub"])
 
 
-def _contexts(docs: DataFrame, least: int, gram: int, merge: bool, group_bytes: int, piece: int) -> DataFrame:
+def _contexts(docs: DataFrame, least: int, gram: int, before: int, after: int, merge: bool, group_bytes: int, piece: int) -> DataFrame:
     """Steps 1 and 2, sorted as a suffix array inside the partitions of a shuffle by hash."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -445,7 +440,7 @@ def _contexts(docs: DataFrame, least: int, gram: int, merge: bool, group_bytes:
     (texts.mapInArrow(_give_hashes(make, buckets, group_bytes), PACKED)
      .repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_find_repeated, BITS)
      .repartition(n, "part").write.mode("overwrite").partitionBy("part").parquet(folder))
-    given = texts.mapInArrow(_give_contexts(make, buckets, group_bytes, folder, merge), CONTEXT)
+    given = texts.mapInArrow(_give_contexts(make, buckets, group_bytes, folder, before, after, merge), CONTEXT)
     # marks have no hash: they are dealt by document
     key = F.coalesce("hash", F.xxhash64("ord", "start"))
     return given.repartition(n, key).sortWithinPartitions("hash", "right", "left", "ord", "sub", "start")
@@ -457,7 +452,7 @@ def marks(docs: DataFrame, least: int = LEAST, gram: int = GRAM, limit: int = GR
     by strings of ``least`` bytes that also start earlier.  Ranges may overlap."""
     before = least - gram
     scanned = materialize(
-        _contexts(docs, least, gram, True, group_bytes, piece).mapInArrow(_scan_tree(least, before, limit), CONTEXT), "repeat_marks")
+        _contexts(docs, least, gram, before, least, True, group_bytes, piece).mapInArrow(_scan_tree(least, before, least, limit), CONTEXT), "repeat_marks")
     out = scanned.filter("hash IS NULL").select("ord", "sub", "start", "stop")
     large = scanned.filter("hash IS NOT NULL")
     if large.isEmpty():
@@ -469,14 +464,15 @@ def marks(docs: DataFrame, least: int = LEAST, gram: int = GRAM, limit: int = GR
     return out.unionByName(more)
 
 
-def repeat_groups(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
+def repeat_groups(docs: DataFrame, least: int = LEAST, gram: int = GRAM, reach: int = 1024) -> DataFrame:
     """Maximal repeats of ``least`` bytes or more as groups with all their occurrences:
-    repeat (digest of its bytes), n_bytes, doc_id, start.  A repeat that is longer than
-    an anchor's context (``2 * least - gram`` bytes) comes as several that overlap."""
+    repeat (digest of its bytes), n_bytes, doc_id, start.  Contexts go ``reach`` bytes
+    either way of an anchor; a repeat longer than that comes as several that overlap."""
     bounded_batches(docs.sparkSession)
     own, once = _ordered(docs)
-    found = (_contexts(once, least, gram, False, GROUP_BYTES, PIECE).filter("hash IS NOT NULL")
-             .mapInArrow(_give_groups(least, least - gram), GROUPS).distinct())
+    reach = max(reach, least)
+    found = (_contexts(once, least, gram, reach, reach, False, GROUP_BYTES, PIECE).filter("hash IS NOT NULL")
+             .mapInArrow(_give_groups(least, reach), GROUPS).distinct())
     ids = own.select("doc_id", "ord", "sub").distinct()
     return found.join(ids, ["ord", "sub"]).select("repeat", "n_bytes", "doc_id", "start")
 
