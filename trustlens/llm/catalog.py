@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from trustlens.llm import bpe, chat_format, decontaminate, exact_dedup, license_scan, quality, sharding, simhash, substring_dedup, token_files
 from trustlens.session import prepare
 
@@ -20,6 +21,7 @@ QUERIES = {
     "op8_bpe_round_trip": bpe.op8_bpe_round_trip,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_sharding": sharding.op10_sharding,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE = {
     "op1_exact_dedup": exact_dedup.ORACLE,
@@ -40,4 +42,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracles() -> dict[str, str]:
-    return dict(ORACLE)
+    sql = corpus_pipeline.ORACLE_SQL
+    return ORACLE | ({"pipeline": sql} if sql else {})
