@@ -34,8 +34,6 @@ from trustlens.llm.bpe_words import BYTE_LEVEL, WordSplit, encode_batch, encode_
 from trustlens.llm.common import bounded_batches, documents, ragged_take
 from trustlens.session import scratch_path
 
-IDS = pa.list_(pa.int32())
-BATCH_ROWS = 1024
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -66,7 +64,7 @@ def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def _encode_distinct(spec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load_tokenizer(spec.value)
-        last, last_ids = None, []
+        last, last_ids = None, b""
         for b in batches:  # in order of the word: equal words stand together
             words = b.column("word").dictionary_encode()
             distinct = words.dictionary.to_pylist()
@@ -74,7 +72,7 @@ def _encode_distinct(spec):
             ids = ([last_ids] if len(fresh) < len(distinct) else []) + encode_words(tokenizer, fresh)
             if distinct:
                 last, last_ids = distinct[-1], ids[-1]
-            yield pa.RecordBatch.from_arrays([b.column("part"), b.column("word"), pa.array(ids, IDS).take(words.indices)], names=["part", "word", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("part"), b.column("word"), pa.array(ids, pa.binary()).take(words.indices)], names=["part", "word", "ids"])
     return run
 
 
@@ -86,24 +84,21 @@ def _with_dictionary(folder: str, spec, finish):
         part = TaskContext.get().partitionId()
         files = [f.path for f in fs.get_file_info(pafs.FileSelector(f"{base}/part={part}", allow_not_found=True)) if f.base_name.endswith(".parquet")]
         at: dict[str, int] = {}
-        starts, flat, total = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint32)], 0
+        held: list[pa.Array] = []
         for path in sorted(files):
             with fs.open_input_file(path) as f:
-                t = pq.read_table(f, columns=["word", "ids"]).combine_chunks()
-            words, ids = t.column("word").to_pylist(), t.column("ids").combine_chunks()
+                t = pq.read_table(f, columns=["word", "ids"])
+            words = t.column("word").to_pylist()
             at.update(zip(words, range(len(at), len(at) + len(words)), strict=True))
-            sizes = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            starts.append(total + np.cumsum(sizes) - sizes)
-            flat.append(ids.flatten().to_numpy().astype(np.uint32))
-            total += len(flat[-1])
-        starts, flat = np.concatenate(starts), np.concatenate(flat)
-        ends = np.append(starts[1:], total)
-
-        def lookup(words: list[str]) -> list:
+            held += t.column("ids").chunks
+        known = pa.concat_arrays(held) if held else pa.array([], pa.binary())
+
+        def lookup(words: list[str]) -> list[bytes]:
             found = [at.get(w, -1) for w in words]
             missing = [w for w, k in zip(words, found, strict=True) if k < 0]
             own = iter(encode_words(tokenizer, missing))
-            return [flat[starts[k]:ends[k]].tolist() if k >= 0 else next(own) for k in found]
+            have = iter(known.take(pa.array([k for k in found if k >= 0], pa.int64())).to_pylist())
+            return [next(have) if k >= 0 else next(own) for k in found]
 
         for b in batches:
             ids, counts = encode_batch(b, lookup, tokenizer)
@@ -115,13 +110,13 @@ def encode(docs: DataFrame, spec: str, split: WordSplit, finish, schema: str) ->
     """``docs`` through the distinct-word table; ``finish`` makes the output batch (of
     ``schema``) from doc_ids, the ids of all texts end to end and the ids of each."""
     spark = docs.sparkSession
-    bounded_batches(spark, BATCH_ROWS)
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(spec)  # a vocabulary file: a few MB, whatever the input
     split_docs = docs.select("doc_id", *split_columns(F.col("text"), split))
     folder = scratch_path(spark, f"bpe_words_{uuid.uuid4().hex[:8]}")
     pairs = split_docs.select("words").mapInArrow(_distinct_words, "part int, word string")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (pairs.repartition(n, "word").sortWithinPartitions("word").mapInArrow(_encode_distinct(shared), "part int, word string, ids array<int>")
+    (pairs.repartition(n, "word").sortWithinPartitions("word").mapInArrow(_encode_distinct(shared), "part int, word string, ids binary")
      .repartition(n, "part").write.mode("overwrite").partitionBy("part").parquet(folder))
     return split_docs.mapInArrow(_with_dictionary(folder, shared, finish), schema)
 

@@ -8,7 +8,8 @@ token, are left whole for the library.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import os
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -49,7 +50,9 @@ def split_columns(text: Column, how: WordSplit) -> list[Column]:
 
 
 def load_tokenizer(spec: str):
-    """A tokenizer from its JSON text, without truncation and padding."""
+    """A tokenizer from its JSON text, without truncation and padding.  One thread: a
+    task has one core, and every thread of the library keeps a cache of its own."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
     t = Tokenizer.from_str(spec)
     t.no_truncation()
@@ -57,22 +60,35 @@ def load_tokenizer(spec: str):
     return t
 
 
-def encode_words(tokenizer, words: list[str]) -> list[list[int]]:
-    return [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)] if words else []
+def encode_words(tokenizer, words: list[str], step: int = 1024) -> list[bytes]:
+    """The ids of each word, as little-endian unsigned 32-bit integers.  Words go to the
+    library many at a time, with a special token between them: it cuts a text there
+    before anything else, and no word holds one."""
+    special = "<|endoftext|>"
+    mark = tokenizer.token_to_id(special)
+    out: list[bytes] = []
+    for a in range(0, len(words), step):
+        ids = np.array(tokenizer.encode(special.join(["", *words[a:a + step], ""]), add_special_tokens=False).ids, dtype="<u4")
+        raw, cut = ids.tobytes(), (np.flatnonzero(ids == mark) * 4).tolist()
+        out += [raw[i + 4:j] for i, j in zip(cut[:-1], cut[1:], strict=True)]
+    return out
+
+
+def encode_texts(tokenizer, texts: list[str]) -> list[bytes]:
+    """The ids of whole texts, special tokens in them included."""
+    return [np.array(tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
 
 
 class Ragged:
     """Arrays of ids end to end: ``ids`` and the number of ids of each."""
 
-    def __init__(self, arrays: Iterable):
-        arrays = list(arrays)
-        self.sizes = np.fromiter(map(len, arrays), dtype=np.int64, count=len(arrays))
-        flat = [x for a in arrays for x in a]
-        self.ids = np.array(flat, dtype=np.uint32)
+    def __init__(self, arrays: list[bytes]):
+        self.ids = np.frombuffer(b"".join(arrays), dtype="<u4")
+        self.sizes = np.fromiter(map(len, arrays), dtype=np.int64, count=len(arrays)) // 4
         self.starts = np.cumsum(self.sizes) - self.sizes
 
 
-def encode_batch(batch: pa.RecordBatch, lookup: Callable[[list[str]], list], tokenizer) -> tuple[np.ndarray, np.ndarray]:
+def encode_batch(batch: pa.RecordBatch, lookup: Callable[[list[str]], list[bytes]], tokenizer) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts of a batch end to end, and the number of ids of each text."""
     from trustlens.llm.common import ragged_take
     lists = batch.column("words")
@@ -89,6 +105,6 @@ def encode_batch(batch: pa.RecordBatch, lookup: Callable[[list[str]], list], tok
         return ids, counts
     parts = np.split(ids, ends[:-1])
     odd = np.flatnonzero(whole.is_valid().to_numpy(zero_copy_only=False))
-    for i, own in zip(odd, encode_words(tokenizer, [whole[int(i)].as_py() for i in odd]), strict=True):
-        parts[i] = np.array(own, dtype=np.uint32)
+    for i, own in zip(odd, encode_texts(tokenizer, [whole[int(i)].as_py() for i in odd]), strict=True):
+        parts[i] = np.frombuffer(own, dtype="<u4")
     return np.concatenate(parts).astype(np.uint32), np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))

@@ -22,6 +22,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,10 @@ from trustlens.session import scratch_path
 
 MAGIC = b"TOKREC01"
 MASK_DELTA = 0xA282EAD8
-#: Words that a Python worker keeps with their ids.
-MEMO_WORDS = 1_000_000
+#: Words that a Python worker keeps with their ids, the first that it meets; they have
+#: at most so many characters.
+MEMO_WORDS = 200_000
+MEMO_CHARS = 32
 #: Files for each shuffle partition: evens out what a task writes.
 FILES_PER_PARTITION = 4
 END_ID = 2
@@ -64,7 +67,7 @@ def unframe(record: bytes) -> bytes:
     return data
 
 
-_MEMO: dict[str, list[int]] = {}
+_MEMO: dict[str, bytes] = {}
 _LOADED: dict[int, object] = {}
 
 
@@ -82,11 +85,10 @@ def _encoder(spec, end_id: int, dtype: str, bounds: list[int]):
         tokenizer = _tokenizer(spec.value)
 
         def lookup(words: list[str]) -> list:
-            if len(_MEMO) > MEMO_WORDS:
-                _MEMO.clear()
             new = [w for w in words if w not in _MEMO]
-            _MEMO.update(zip(new, encode_words(tokenizer, new), strict=True))
-            return [_MEMO[w] for w in words]
+            own = dict(zip(new, encode_words(tokenizer, new), strict=True))
+            _MEMO.update((w, own[w]) for w in islice((w for w in new if len(w) <= MEMO_CHARS), max(0, MEMO_WORDS - len(_MEMO))))
+            return [own[w] if w in own else _MEMO[w] for w in words]
 
         for b in batches:
             ids, counts = encode_batch(b, lookup, tokenizer)
@@ -139,7 +141,7 @@ def write_token_files(docs: DataFrame, folder: str, spec: str, split: WordSplit,
     lies as Parquet in ``folder/index``.  ``spec``: the tokenizer's JSON text; ``ids``:
     the size of its vocabulary (two bytes an id if that is enough)."""
     spark = docs.sparkSession
-    bounded_batches(spark, 1024)
+    bounded_batches(spark)
     width = 2 if max(ids, end_id + 1) <= 1 << 16 else 4
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     files = partitions * FILES_PER_PARTITION
@@ -179,7 +181,7 @@ def read_token_files(spark: SparkSession, folder: str, index: DataFrame | None =
     """Index rows (all, or those given, in any order) with ``ids``, as little-endian
     unsigned 32-bit integers, read from the files and checked."""
     index = spark.read.parquet(f"{folder}/index") if index is None else index
-    bounded_batches(spark, 1024)
+    bounded_batches(spark)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return (index.select(*[f.split()[0] for f in INDEX.split(", ")]).repartition(partitions, "file_no").sortWithinPartitions("file_no", "offset")
             .mapInArrow(_reader(folder), INDEX + ", ids binary"))
