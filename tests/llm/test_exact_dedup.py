@@ -36,6 +36,14 @@ def test_fingerprints_compose():
     assert got.dtype == np.uint64
 
 
+def test_huge_texts_are_hashed_in_parts(monkeypatch):
+    data, m = bytes(range(256)) * 40, X.MODULI[1]
+    how = (m, X._powers(X.BASE, 64, m), [1, pow(X.BASE, 64, m)], 64)
+    whole = X.fingerprint_batch(pa.array([data], pa.binary()), *how)
+    monkeypatch.setattr(X, "LONG_TEXT", 1000)
+    assert X.fingerprint_batch(pa.array([data], pa.binary()), *how) == whole
+
+
 @pytest.mark.parametrize("moduli", [X.MODULI, (3, 2)], ids=["usual", "collisions"])
 def test_against_brute_force(spark, moduli):
     rnd = random.Random(3)

@@ -22,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustlens.llm.common import bounded_batches, documents, same, text_or_empty
+from trustlens.llm.common import bounded_batches, by_bytes, documents, same, text_or_empty
 from trustlens.session import materialize
 
 CHUNK = 4096
 BASE = 1_000_003
 #: Two primes below 2^31: a product of two residues fits 64 bits.
 MODULI = (2_147_483_647, 2_147_483_629)
+#: Bytes of one text that are hashed at once.
+LONG_TEXT = 1 << 22
 #: Members that share one copy of their representative's chunks.
 MEMBERS_PER_SALT = 512
 
@@ -48,6 +50,16 @@ def _powers(base: int, n: int, modulus: int) -> np.ndarray:
     return out
 
 
+def _fingerprint_long(text: pa.Scalar, modulus: int, small: np.ndarray, large: list[int], chunk: int) -> int:
+    """A huge text's fingerprint, from those of its parts."""
+    raw, total = text.as_buffer(), 0
+    for at in range(0, raw.size, LONG_TEXT):
+        part = raw.slice(at, min(LONG_TEXT, raw.size - at))
+        own = fingerprint_batch(pa.array([part.to_pybytes()], pa.large_binary()), modulus, small, large, chunk)
+        total = combine(total, int(own[0]), part.size, modulus)
+    return total
+
+
 def fingerprint_batch(texts: pa.Array, modulus: int, small: np.ndarray, large: list[int],
                       chunk: int = CHUNK) -> np.ndarray:
     """Fingerprints of all texts of a batch: chunk hashes by one segmented sum, then a
@@ -55,6 +67,8 @@ def fingerprint_batch(texts: pa.Array, modulus: int, small: np.ndarray, large: l
     texts = texts.cast(pa.large_binary())
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset:texts.offset + len(texts) + 1]
     lengths = np.diff(offsets)
+    if len(texts) == 1 and lengths[0] > LONG_TEXT:
+        return np.array([_fingerprint_long(texts[0], modulus, small, large, chunk)], dtype=np.uint64)
     out = np.zeros(len(texts), dtype=np.uint64)
     full = np.flatnonzero(lengths)
     if not len(full):
@@ -77,16 +91,14 @@ def fingerprint_batch(texts: pa.Array, modulus: int, small: np.ndarray, large: l
     return out
 
 
-def _fingerprinter(moduli: tuple[int, int], chunk: int, with_text: bool):
+def _fingerprinter(moduli: tuple[int, int], chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [(m, _powers(BASE, chunk, m), [1, pow(BASE, chunk, m)]) for m in moduli]
         for b in batches:
-            text = b.column("text")
-            h = [pa.array(fingerprint_batch(text, *t, chunk).astype(np.int64)) for t in tables]
-            names = ["doc_id", "text_sha256", "n_bytes", "h1", "h2"] + ["text"] * with_text
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("text_sha256"), b.column("n_bytes"), *h] + [text] * with_text,
-                names=names)
+            for part in by_bytes(b, "text"):
+                h = [pa.array(fingerprint_batch(part.column("text"), *t, chunk).astype(np.int64)) for t in tables]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_sha256"), part.column("n_bytes"), *h],
+                                                 names=["doc_id", "text_sha256", *KEY])
     return run
 
 
@@ -97,12 +109,11 @@ def _normalised(docs: DataFrame) -> DataFrame:
         F.octet_length("text").cast("long").alias("n_bytes"))
 
 
-def fingerprints(docs: DataFrame, moduli=MODULI, chunk: int = CHUNK, with_text: bool = False) -> DataFrame:
-    """One row per document: doc_id, text_sha256, n_bytes, h1, h2 (and the normalised text)."""
+def fingerprints(docs: DataFrame, moduli=MODULI, chunk: int = CHUNK) -> DataFrame:
+    """One row per document: doc_id, text_sha256, n_bytes, h1, h2."""
     bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, text_sha256 string, n_bytes long, h1 long, h2 long" + ", text string" * with_text
-    return _normalised(docs).mapInArrow(_fingerprinter(moduli, chunk, with_text), schema)
+    return _normalised(docs).mapInArrow(_fingerprinter(moduli, chunk), f"doc_id {kind}, text_sha256 string, n_bytes long, h1 long, h2 long")
 
 
 def _chunker(chunk: int):
@@ -151,10 +162,12 @@ def exact_groups(docs: DataFrame, moduli=MODULI, chunk: int = CHUNK) -> DataFram
                   .filter("n > 1")
                   .select(*KEY, F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_sha256").alias("rep_sha"),
                           F.ceil(F.col("n") / MEMBERS_PER_SALT).cast("long").alias("salts")))
-        texts = fingerprints(docs, moduli, chunk, with_text=True)
-        if level:  # only what the representatives before did not match
-            texts = texts.join(pending, same(texts, pending, "doc_id", "text_sha256"), "left_semi")
-        members = texts.join(shared, KEY).select(*KEY, "doc_id", "text_sha256", "rep_id", "rep_sha", "salts", "text")
+        # Members by a join of rows without texts; texts join them by document, so that
+        # a hot class is dealt evenly.
+        asked = (pending.join(shared, KEY).groupBy("doc_id", "text_sha256").agg(F.first(F.struct(*KEY, "rep_id", "rep_sha", "salts")).alias("of")))
+        texts = _normalised(docs)
+        members = texts.join(asked, same(texts, asked, "doc_id", "text_sha256")).select("of.*", texts.doc_id, texts.text_sha256, "text")
+        members = members.select(*KEY, "doc_id", "text_sha256", "rep_id", "rep_sha", "salts", "text")
         differ = materialize(_differing(members, chunk), "exact_differing")
         if differ.isEmpty():
             break
