@@ -69,3 +69,26 @@ def test_repeated_null_and_empty(spark):
         got = rows(T.token_starts(T.read_token_files(spark, folder, index)).select("start", "n_tokens", "doc_id"), "start")
         assert len(got) == n and [r[0] for r in got] == [sum(x[1] for x in got[:i]) for i in range(n)]
         assert [r[2] for r in got][:2] == [None, None][:n]
+
+
+@pytest.mark.parametrize("name", LIBRARY)
+def test_words_are_cut_as_by_the_library(name):
+    """Every text of up to 5 pieces of a small alphabet, and random longer ones."""
+    from itertools import product
+
+    import pyarrow as pa
+
+    from trustlens.llm.bpe_words import encode_batch, encode_words, load_tokenizer, odd_texts
+    split, _ = LIBRARY[name]
+    lib = load_tokenizer(spec_of(name))
+    rnd = random.Random(12)
+    alphabet = ["'", "s", " ", "\n", "7", "!"]
+    given = ["".join(p) for n in range(6) for p in product(alphabet, repeat=n)]
+    more = ["'", "ll", "re", "d", "ve", "T", "é", "É", "\xa0", "\x85", "\t", "\x1c", "½", "–", "€", "…", " ", "  ", "ab", "0", "??", "\u00ad", "ª", "ſ", "ŀ"]
+    given += ["".join(rnd.choice(more) for _ in range(rnd.randrange(1, 14))) for _ in range(4000)]
+    texts = pa.array(given)
+    assert not odd_texts(texts, split).any()
+    ids, counts = encode_batch(texts, split, lambda ws: encode_words(lib, ws), lib)
+    want = [e.ids for e in lib.encode_batch_fast(given, add_special_tokens=False)]
+    got = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+    assert [(t, a, b) for t, a, b in zip(given, got, want, strict=True) if a != b] == []

@@ -1,6 +1,6 @@
 """BPE encoding and decoding over a table of distinct words.
 
-1. Spark splits texts into words; every scan task gives the distinct words of its part.
+1. Scan tasks cut texts into words; every task gives the distinct words of its part.
 2. The words of all parts come together by a shuffle on the word; each distinct word is
    encoded once, and goes back to the parts that have it as their dictionary, written
    under the shared checkpoint folder.
@@ -28,10 +28,9 @@ import pyarrow.parquet as pq
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from trustlens.llm.bpe_words import BYTE_LEVEL, WordSplit, encode_batch, encode_words, load_tokenizer, split_columns
-from trustlens.llm.common import bounded_batches, documents, ragged_take
+from trustlens.llm.bpe_words import BYTE_LEVEL, WordSplit, encode_batch, encode_words, load_tokenizer, plain_words
+from trustlens.llm.common import bounded_batches, by_bytes, documents, ragged_take, text_or_empty
 from trustlens.session import scratch_path
 
 
@@ -53,12 +52,14 @@ def piece_table(spec: str) -> list[bytes]:
     return [vocab[i].encode() if i in added else bytes(alphabet[c] for c in vocab[i]) if i in vocab else b"" for i in range(max(vocab) + 1)]
 
 
-def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, seen = TaskContext.get().partitionId(), set()
-    for b in batches:
-        new = [w for w in b.column("words").flatten().unique().to_pylist() if w not in seen]
-        seen.update(new)
-        yield pa.RecordBatch.from_arrays([pa.array([part] * len(new), pa.int32()), pa.array(new, pa.string())], names=["part", "word"])
+def _distinct_words(split: WordSplit):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen = TaskContext.get().partitionId(), set()
+        for b in (p for batch in batches for p in by_bytes(batch, "text")):
+            new = [w for w in plain_words(b.column("text"), split)[0].unique().to_pylist() if w not in seen]
+            seen.update(new)
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(new), pa.int32()), pa.array(new, pa.string())], names=["part", "word"])
+    return run
 
 
 def _encode_distinct(spec):
@@ -76,8 +77,8 @@ def _encode_distinct(spec):
     return run
 
 
-def _with_dictionary(folder: str, spec, finish):
-    """Batches of (doc_id, words, whole) become ``finish(doc_ids, ids, counts)``."""
+def _with_dictionary(folder: str, spec, split: WordSplit, finish):
+    """Batches of (doc_id, text) become ``finish(doc_ids, ids, counts)``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load_tokenizer(spec.value)
         fs, base = pafs.FileSystem.from_uri(folder)
@@ -100,8 +101,8 @@ def _with_dictionary(folder: str, spec, finish):
             have = iter(known.take(pa.array([k for k in found if k >= 0], pa.int64())).to_pylist())
             return [next(have) if k >= 0 else next(own) for k in found]
 
-        for b in batches:
-            ids, counts = encode_batch(b, lookup, tokenizer)
+        for b in (p for batch in batches for p in by_bytes(batch, "text")):
+            ids, counts = encode_batch(b.column("text"), split, lookup, tokenizer)
             yield finish(b.column("doc_id"), ids, counts)
     return run
 
@@ -112,13 +113,13 @@ def encode(docs: DataFrame, spec: str, split: WordSplit, finish, schema: str) ->
     spark = docs.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(spec)  # a vocabulary file: a few MB, whatever the input
-    split_docs = docs.select("doc_id", *split_columns(F.col("text"), split))
+    texts = docs.select("doc_id", text_or_empty().alias("text"))
     folder = scratch_path(spark, f"bpe_words_{uuid.uuid4().hex[:8]}")
-    pairs = split_docs.select("words").mapInArrow(_distinct_words, "part int, word string")
+    pairs = texts.select("text").mapInArrow(_distinct_words(split), "part int, word string")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     (pairs.repartition(n, "word").sortWithinPartitions("word").mapInArrow(_encode_distinct(shared), "part int, word string, ids binary")
      .repartition(n, "part").write.mode("overwrite").partitionBy("part").parquet(folder))
-    return split_docs.mapInArrow(_with_dictionary(folder, shared, finish), schema)
+    return texts.mapInArrow(_with_dictionary(folder, shared, split, finish), schema)
 
 
 def _per_text(ids: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:

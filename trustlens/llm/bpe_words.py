@@ -1,52 +1,123 @@
-"""Words of two public BPE tokenizers, split in Spark, and their ids, encoded in tasks.
+"""Words of two public BPE tokenizers, cut from whole Arrow batches, and their ids.
 
-A text goes one of two ways.  Nearly all texts are split by Spark with the tokenizer's
-pattern, and words are looked up.  Texts with characters beyond the Latin blocks (where
-two regex engines might differ on a character's class), or with the string of a special
+A text goes one of two ways.  Nearly all texts hold Latin letters and common punctuation
+only; they are cut into words by the classes of their bytes, all texts of a batch at
+once, and words are looked up.  Texts with other characters (where the class of a
+character depends on the library's Unicode tables), or with the string of a special
 token, are left whole for the library.
 """
 
 from __future__ import annotations
 
 import os
+import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+import pyarrow.compute as pc
 
-#: A character outside these blocks sends the text to the library; so does U+0130,
-#: whose lower case has two characters.
-LATIN_ONLY = r"[^\x00-įı-ɏ‐-‧€]"
-#: White space among those.
-SPACE = r"\x09-\x0D \x85\xA0"
-CONTRACTION = r"'s|'t|'re|'ve|'m|'ll|'d"
+from trustlens.llm.common import ragged_take
+
+#: Code points that are cut here: below U+0250 (but U+0130, whose lower case has two
+#: characters), U+2010 to U+2027 and U+20AC.
+LATIN_END = 0x250
+DOTTED_I = 0x130
+WHITE = {*range(9, 14), 32, 0x85, 0xA0}
+BLANK, GAP, LETTER, NUMBER, OTHER = range(5)
+#: After an apostrophe that begins a word: these make one word with it.
+SUFFIXES = ("s", "t", "re", "ve", "m", "ll", "d")
+
+
+def _class_of(code: int) -> int:
+    if code in WHITE:
+        return BLANK if code == 32 else GAP
+    return {"L": LETTER, "N": NUMBER}.get(unicodedata.category(chr(code))[0], OTHER)
+
+
+CLASSES = np.array([_class_of(c) for c in range(LATIN_END)], dtype=np.uint8)
 
 
 @dataclass(frozen=True)
 class WordSplit:
-    """How a tokenizer cuts a text into words, as Java patterns over Latin text."""
-    pattern: str
-    lower: bool
+    """How a tokenizer cuts a text: ``glued``: words keep one blank before them, and runs
+    of white space are words; else white space is dropped, numbers are cut into digits
+    and letters are lower-cased."""
+    glued: bool
     specials: tuple[str, ...]
 
 
-BYTE_LEVEL = WordSplit(
-    rf"{CONTRACTION}| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+", False, ("<|endoftext|>",))
-WORD_END = WordSplit(
-    rf"{CONTRACTION}|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+", True, ("<|startoftext|>", "<|endoftext|>"))
+BYTE_LEVEL = WordSplit(True, ("<|endoftext|>",))
+WORD_END = WordSplit(False, ("<|startoftext|>", "<|endoftext|>"))
 
 
-def split_columns(text: Column, how: WordSplit) -> list[Column]:
-    """``words`` (null if the text must stay whole) and ``whole`` (null otherwise)."""
-    text = F.coalesce(text, F.lit(""))
-    odd = text.rlike(LATIN_ONLY)
+def _buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset:texts.offset + len(texts) + 1]
+    raw = texts.buffers()[2]
+    data = np.frombuffer(raw, dtype=np.uint8) if raw is not None else np.zeros(0, dtype=np.uint8)
+    return data[offsets[0]:offsets[-1]], offsets - offsets[0]
+
+
+def _wide(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the first bytes of two-byte characters, and their code points."""
+    two = np.flatnonzero((data >= 0xC0) & (data < 0xE0))
+    return two, ((data[two].astype(np.int32) & 0x1F) << 6) | (data[two + 1] & 0x3F)
+
+
+def odd_texts(texts: pa.Array, how: WordSplit) -> np.ndarray:
+    """Which texts stay whole."""
+    data, offsets = _buffers(texts)
+    two, code = _wide(data)
+    three = np.flatnonzero(data >= 0xE0)
+    a, b, c = data[three], data[np.minimum(three + 1, len(data) - 1)], data[np.minimum(three + 2, len(data) - 1)]
+    fine = (a == 0xE2) & (((b == 0x80) & (c >= 0x90) & (c <= 0xA7)) | ((b == 0x82) & (c == 0xAC)))
+    bad = np.concatenate([two[(code >= LATIN_END) | (code == DOTTED_I)], three[~fine]])
+    odd = np.bincount(np.searchsorted(offsets[1:], bad, side="right"), minlength=len(texts))[:len(texts)] > 0
     for s in how.specials:
-        odd = odd | F.contains(text, F.lit(s))
-    words = F.regexp_extract_all(F.lower(text) if how.lower else text, F.lit(how.pattern), F.lit(0))
-    return [F.when(~odd, words).alias("words"), F.when(odd, text).alias("whole")]
+        odd |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+    return odd
+
+
+def cut(texts: pa.Array, how: WordSplit) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts end to end, and the number of words of each text."""
+    if not how.glued:
+        texts = pc.utf8_lower(texts)
+    data, offsets = _buffers(texts)
+    n = len(data)
+    kind = np.full(n, OTHER, dtype=np.uint8)
+    ascii_ = data < 0x80
+    kind[ascii_] = CLASSES[data[ascii_]]
+    two, code = _wide(data)
+    kind[two] = kind[two + 1] = CLASSES[code]
+    first = (data & 0xC0) != 0x80
+    run = np.where(kind == BLANK, GAP, kind)
+    start = np.zeros(n + 1, dtype=bool)
+    start[1:n] = first[1:] & (run[1:] != run[:-1])
+    start[offsets] = True
+    if how.glued:
+        # a run after white space: its last blank goes with it, another last character stands alone
+        after = np.flatnonzero(start[1:n] & (run[1:] != GAP) & (run[:-1] == GAP)) + 1
+        after = after[~np.isin(after, offsets)]
+        last = after - np.where(first[after - 1], 1, 2)
+        start[last] = True
+        start[after[kind[last] == BLANK]] = False
+    else:
+        start[:n][(kind == NUMBER) & first] = True
+    marks = np.flatnonzero((data == 39) & start[:n])
+    end = offsets[1:][np.searchsorted(offsets[1:], marks, side="right")]
+    follows = lambda k: data[np.minimum(marks + k, n - 1)]
+    for suffix in SUFFIXES:
+        fits = marks + len(suffix) < end
+        for k, ch in enumerate(suffix):
+            fits = fits & (follows(k + 1) == ord(ch))
+        start[marks[fits] + 1] = False
+        start[marks[fits] + 1 + len(suffix)] = True
+    begins = np.flatnonzero(start[:n])
+    per_text = np.diff(np.searchsorted(begins, offsets))
+    ends = np.append(begins, n).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(begins), pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes()))
+    return words, per_text
 
 
 def load_tokenizer(spec: str):
@@ -69,8 +140,8 @@ def encode_words(tokenizer, words: list[str], step: int = 1024) -> list[bytes]:
     out: list[bytes] = []
     for a in range(0, len(words), step):
         ids = np.array(tokenizer.encode(special.join(["", *words[a:a + step], ""]), add_special_tokens=False).ids, dtype="<u4")
-        raw, cut = ids.tobytes(), (np.flatnonzero(ids == mark) * 4).tolist()
-        out += [raw[i + 4:j] for i, j in zip(cut[:-1], cut[1:], strict=True)]
+        raw, cuts = ids.tobytes(), (np.flatnonzero(ids == mark) * 4).tolist()
+        out += [raw[i + 4:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
     return out
 
 
@@ -79,32 +150,30 @@ def encode_texts(tokenizer, texts: list[str]) -> list[bytes]:
     return [np.array(tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
 
 
-class Ragged:
-    """Arrays of ids end to end: ``ids`` and the number of ids of each."""
-
-    def __init__(self, arrays: list[bytes]):
-        self.ids = np.frombuffer(b"".join(arrays), dtype="<u4")
-        self.sizes = np.fromiter(map(len, arrays), dtype=np.int64, count=len(arrays)) // 4
-        self.starts = np.cumsum(self.sizes) - self.sizes
+def plain_words(texts: pa.Array, how: WordSplit) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Words of the texts that are cut here (the others count as empty), the number of
+    words of each text, and which texts stay whole."""
+    odd = odd_texts(texts, how)
+    if odd.any():
+        texts = pc.if_else(pa.array(odd), pa.scalar("", texts.type), texts)
+    return *cut(texts, how), odd
 
 
-def encode_batch(batch: pa.RecordBatch, lookup: Callable[[list[str]], list[bytes]], tokenizer) -> tuple[np.ndarray, np.ndarray]:
+def encode_batch(texts: pa.Array, how: WordSplit, lookup: Callable[[list[str]], list[bytes]], tokenizer) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts of a batch end to end, and the number of ids of each text."""
-    from trustlens.llm.common import ragged_take
-    lists = batch.column("words")
-    flat = lists.flatten().dictionary_encode()
-    per_text = np.diff(lists.offsets.to_numpy()) if lists.null_count == 0 else lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    known = Ragged(lookup(flat.dictionary.to_pylist()))
+    words, per_text, odd = plain_words(texts, how)
+    flat = words.dictionary_encode()
+    known = lookup(flat.dictionary.to_pylist())
+    sizes = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
+    starts = np.cumsum(sizes) - sizes
     at = flat.indices.to_numpy(zero_copy_only=False)
-    sizes = known.sizes[at]
-    ids = ragged_take(known.ids, known.starts[at], sizes)
-    ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(per_text)]
+    own = sizes[at]
+    ids = ragged_take(np.frombuffer(b"".join(known), dtype="<u4"), starts[at], own)
+    ends = np.concatenate([[0], np.cumsum(own)])[np.cumsum(per_text)]
     counts = np.diff(ends, prepend=0)
-    whole = batch.column("whole")
-    if whole.null_count == len(whole):
+    if not odd.any():
         return ids, counts
     parts = np.split(ids, ends[:-1])
-    odd = np.flatnonzero(whole.is_valid().to_numpy(zero_copy_only=False))
-    for i, own in zip(odd, encode_texts(tokenizer, [whole[int(i)].as_py() for i in odd]), strict=True):
-        parts[i] = np.frombuffer(own, dtype="<u4")
-    return np.concatenate(parts).astype(np.uint32), np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+    for i in np.flatnonzero(odd):
+        parts[i] = np.frombuffer(encode_texts(tokenizer, [texts[int(i)].as_py()])[0], dtype="<u4")
+    return np.concatenate(parts), np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))

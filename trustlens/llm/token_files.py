@@ -30,8 +30,8 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trustlens.llm.bpe_words import WORD_END, WordSplit, encode_batch, encode_words, load_tokenizer, split_columns
-from trustlens.llm.common import bounded_batches, documents
+from trustlens.llm.bpe_words import WORD_END, WordSplit, encode_batch, encode_words, load_tokenizer
+from trustlens.llm.common import bounded_batches, by_bytes, documents, text_or_empty
 from trustlens.session import scratch_path
 
 MAGIC = b"TOKREC01"
@@ -80,7 +80,7 @@ def _tokenizer(spec: str):
     return _LOADED[key]
 
 
-def _encoder(spec, end_id: int, dtype: str, bounds: list[int]):
+def _encoder(spec, split: WordSplit, end_id: int, dtype: str, bounds: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(spec.value)
 
@@ -90,8 +90,8 @@ def _encoder(spec, end_id: int, dtype: str, bounds: list[int]):
             _MEMO.update((w, own[w]) for w in islice((w for w in new if len(w) <= MEMO_CHARS), max(0, MEMO_WORDS - len(_MEMO))))
             return [own[w] if w in own else _MEMO[w] for w in words]
 
-        for b in batches:
-            ids, counts = encode_batch(b, lookup, tokenizer)
+        for b in (part for batch in batches for part in by_bytes(batch, "text")):
+            ids, counts = encode_batch(b.column("text"), split, lookup, tokenizer)
             parts = np.split(ids, np.cumsum(counts)[:-1]) if len(counts) else []
             data = [np.append(p, np.uint32(end_id)).astype(dtype).tobytes() for p in parts]
             doc = b.column("doc_id")
@@ -149,8 +149,8 @@ def write_token_files(docs: DataFrame, folder: str, spec: str, split: WordSplit,
     shared = spark.sparkContext.broadcast(spec)  # a vocabulary file: a few MB, whatever the input
     fs, base = pafs.FileSystem.from_uri(folder)
     fs.create_dir(base, recursive=True)
-    encoded = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), *split_columns(F.col("text"), split))
-               .mapInArrow(_encoder(shared, end_id, f"<u{width}", sorted(set(cuts or []))), "doc_id long, file_no int, data binary"))
+    encoded = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+               .mapInArrow(_encoder(shared, split, end_id, f"<u{width}", sorted(set(cuts or []))), "doc_id long, file_no int, data binary"))
     (encoded.repartition(partitions, "file_no").sortWithinPartitions("file_no", "doc_id", "data")
      .mapInArrow(_writer(folder, width), INDEX).write.mode("overwrite").parquet(f"{folder}/index"))
     return spark.read.parquet(f"{folder}/index")
@@ -178,13 +178,14 @@ def _reader(folder: str):
 
 
 def read_token_files(spark: SparkSession, folder: str, index: DataFrame | None = None) -> DataFrame:
-    """Index rows (all, or those given, in any order) with ``ids``, as little-endian
-    unsigned 32-bit integers, read from the files and checked."""
+    """Index rows (all, or those given, in any order and with any further columns) with
+    ``ids``, as little-endian unsigned 32-bit integers, read from the files and checked."""
     index = spark.read.parquet(f"{folder}/index") if index is None else index
     bounded_batches(spark)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return (index.select(*[f.split()[0] for f in INDEX.split(", ")]).repartition(partitions, "file_no").sortWithinPartitions("file_no", "offset")
-            .mapInArrow(_reader(folder), INDEX + ", ids binary"))
+    schema = ", ".join(f"`{n}` {k}" for n, k in index.dtypes)
+    return (index.repartition(partitions, "file_no").sortWithinPartitions("file_no", "offset")
+            .mapInArrow(_reader(folder), schema + ", ids binary"))
 
 
 def token_starts(index: DataFrame) -> DataFrame:
@@ -202,5 +203,5 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         spec = f.read()
     folder = scratch_path(spark, f"token_files_{uuid.uuid4().hex[:8]}")
     index = write_token_files(documents(spark, sf_dir), folder, spec, WORD_END, END_ID, 49_408)
-    return (token_starts(read_token_files(spark, folder, index))
+    return (read_token_files(spark, folder, token_starts(index))
             .select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")))
