@@ -38,7 +38,7 @@ MAGIC = b"TOKREC01"
 MASK_DELTA = 0xA282EAD8
 #: Words that a Python worker keeps with their ids, the first that it meets; they have
 #: at most so many characters.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 600_000
 MEMO_CHARS = 32
 #: Files for each shuffle partition: evens out what a task writes.
 FILES_PER_PARTITION = 4
