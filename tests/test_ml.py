@@ -43,8 +43,26 @@ def test_auc_of_shuffled_labels_near_half(spark):
     df = spark.range(20000).select(
         (F.col("id") * 48271 % 2147483647 / 2147483647.0).alias("score"),
         ((F.col("id") * 69621 % 2147483647) % 2).cast("double").alias("label"))
-    auc = M.auc_roc(df, "score", "label", 1.0, bins=1 << 16).first()["auc_roc"]
+    auc = M.auc_roc(df, "score", "label", 1.0).first()["auc_roc"]
     assert abs(auc - 0.5) < 0.02
+    p = df.toPandas()
+    ranks = p.score.rank()
+    pos = (p.label == 1).sum()
+    exact = (ranks[p.label == 1].sum() - pos * (pos + 1) / 2) / (pos * (len(p) - pos))
+    assert abs(auc - exact) < 1e-4
+
+
+def test_split_is_spread_over_the_ids_and_differs_by_seed(spark):
+    df = spark.range(1, 3001).select(F.col("id").alias("respondent_id"), (F.col("id") % 3).alias("label"))
+    tests = {}
+    for seed in (42, 43):
+        t = PL.stratified_split(df, "label", 0.2, seed).where("is_test = 1").toPandas()
+        assert len(t) == 600 and set(t.label.value_counts()) == {200}
+        assert abs(t.respondent_id.mean() - 1500.5) < 100  # about three standard errors
+        tests[seed] = set(t.respondent_id)
+    assert 60 < len(tests[42] & tests[43]) < 190
+    folds = PL.stratified_kfold(df, "label", 5, 42).groupBy("fold").agg(F.avg("respondent_id").alias("m")).toPandas()
+    assert (abs(folds.m - 1500.5) < 120).all()
 
 
 def test_auc_perfect_and_metrics(spark):
@@ -139,11 +157,24 @@ def test_model_frame_split_and_folds(spark, resp_small):
     assert "has_experienced_fraud" not in feats and "reported_to_bank" not in feats
 
 
-def test_auc_many_distinct_scores_is_bucketed_and_close(spark):
-    df = spark.range(100000).select(
-        (F.col("id") * 48271 % 2147483647 / 2147483647.0 * 10 - 3).alias("score"),
-        F.lit(0.0).alias("label"))
+def test_auc_and_roc_of_many_distinct_scores_are_exact(spark):
+    df = spark.range(120000).select((F.col("id") * 48271 % 2147483647 / 2147483647.0 * 10 - 3).alias("score"))
     df = df.withColumn("label", (F.col("score") + ((F.col("score") * 1000) % 1.7) > 2).cast("double"))
-    auc = M.auc_roc(df, "score", "label", 1.0).first()["auc_roc"]
-    assert 0.5 < auc <= 1.0
-    assert M.roc_curve(df, "score", "label", 1.0).count() <= (1 << 16) + 1
+    p = df.toPandas()
+    ranks, one = p.score.rank(), p.label == 1
+    exact = (ranks[one].sum() - one.sum() * (one.sum() + 1) / 2) / (one.sum() * (~one).sum())
+    assert abs(M.auc_roc(df, "score", "label", 1.0).first()["auc_roc"] - exact) <= 5.1e-5
+    curve = M.roc_curve(df, "score", "label", 1.0)
+    assert curve.count() == p.score.nunique() + 1
+    at = curve.where("threshold < 3").orderBy(F.desc("threshold")).first()
+    assert abs(at["tpr"] - (p.score[one] >= at["threshold"]).mean()) <= 5.1e-5
+
+
+def test_tree_samples_are_independent(spark):
+    """Sampled ids of one tree have no regular gaps, and trees differ."""
+    from pyspark.ml.functions import array_to_vector
+    df = spark.range(4000).select(F.col("id").alias("respondent_id"), array_to_vector(F.array(F.rand(1), F.rand(2))).alias("features"))
+    res = AN.isolation_forest(df, ["a", "b"], AN.ForestSettings(trees=20))
+    sizes = res["nodes"].query("node == 0")["size"]
+    assert abs(sizes.mean() - 256) < 15 and sizes.std() > 5  # binomial, not a fixed window
+    assert res["scores"].where("is_anomaly").count() == pytest.approx(0.08 * 4000, abs=2)

@@ -69,3 +69,39 @@ def test_text_in_likert_column_is_flagged(spark):
         "q_saves_time", F.when(F.col("respondent_id") == 2, "abc").otherwise(F.col("q_saves_time").cast("string")))
     bad = SV.check_likert_range(df).collect()
     assert [(r["column"], r["first_bad_id"]) for r in bad] == [("q_saves_time", 2)]
+
+
+def test_csv_columns_are_found_by_their_names(spark, tmp_path):
+    """Swapped and further columns; missing ones are an error."""
+    import pytest
+
+    from tests.conftest import survey_df, survey_rows
+    from trustlens import schema as S
+    from trustlens.sources import survey as SV
+    rows = survey_rows(12, q_feel_secure=1, q_trust_platform=4)
+    df = survey_df(spark, rows)
+    swapped = [c for c in reversed(df.columns)]
+    path = SV.write_csv(df.selectExpr("'x' AS remark", *swapped), str(tmp_path / "a"))
+    back = SV.read_survey(spark, path)
+    assert back.columns == ["remark", *swapped]
+    assert sorted(map(tuple, back.select(*df.columns).collect())) == sorted(map(tuple, df.collect()))
+    assert {(r[0], r[1]) for r in back.select("q_feel_secure", "q_trust_platform").collect()} == {(1, 4)}
+    last = SV.write_csv(df.drop(S.REQUIRED_COLUMNS[-1]), str(tmp_path / "b"))
+    with pytest.raises(ValueError, match=S.REQUIRED_COLUMNS[-1]):
+        SV.read_survey(spark, last)
+
+
+def test_path_precedence(spark, tmp_path):
+    import pytest
+
+    from trustlens.sources import survey as SV
+    a, b, c = (str(tmp_path / n) for n in "abc")
+    for p in (b, c):
+        with open(p, "w") as f:
+            f.write("x")
+    assert SV.find_survey(spark, b, c, a) == b
+    assert SV.find_survey(spark, None, a, c) == c and SV.find_survey(spark, None, b, c) == b
+    with pytest.raises(FileNotFoundError):
+        SV.find_survey(spark, a, b, c)
+    with pytest.raises(FileNotFoundError):
+        SV.find_survey(spark)

@@ -173,22 +173,22 @@ def chi2_sf_sql(x: str, dof: str) -> str:
     """Upper tail of the chi-square distribution for integer dof (closed form).
 
     Even dof: exp(-x/2) * sum_{i<dof/2} (x/2)^i / i!.
-    Odd dof:  erfc(sqrt(x/2)) + sqrt(2x/pi) exp(-x/2) sum_{i<(dof-1)/2} x^i / (2i+1)!!
-    written with (2i+1)!! = (2i+1)! / (2^i i!).  Factorials stay within 20!, so the
-    closed form covers dof <= 21; larger dof use the Wilson-Hilferty normal
-    approximation.
+    Odd dof:  erfc(sqrt(x/2)) + sqrt(2x/pi) exp(-x/2) sum_{i<(dof-1)/2} x^i / (2i+1)!!.
+    Each term follows from the one before (times x/(2i) or x/(2i+1)), so there is no
+    factorial and no bound on dof; exp(-x/2) is split over two factors so that a large
+    statistic with as many degrees of freedom does not underflow early.
     """
     half = f"(({x}) / 2.0D)"
-    even = (f"exp(-{half}) * aggregate(sequence(0, greatest(CAST(({dof}) / 2 AS INT) - 1, 0)),"
-            f" 0.0D, (acc, i) -> acc + pow({half}, i) / factorial(i))")
-    odd_terms = (f"aggregate(sequence(0, greatest(CAST((({dof}) - 1) / 2 AS INT) - 1, 0)), 0.0D,"
-                 f" (acc, i) -> acc + pow({x}, i) * pow(2.0D, i) * factorial(i) / factorial(2 * i + 1))")
-    odd = (f"{erfc_sql(f'sqrt({half})')} + CASE WHEN ({dof}) >= 3 THEN"
-           f" sqrt(2.0D * ({x}) / {math.pi!r}D) * exp(-{half}) * {odd_terms} ELSE 0.0D END")
-    k = f"CAST({dof} AS DOUBLE)"
-    wh = norm_sf_sql(f"(pow(({x}) / {k}, 1.0D / 3.0D) - (1 - 2.0D / (9 * {k}))) / sqrt(2.0D / (9 * {k}))")
-    return (f"(CASE WHEN ({x}) <= 0 THEN 1.0D WHEN ({dof}) > 21 THEN {wh}"
-            f" WHEN ({dof}) % 2 = 0 THEN {even} ELSE {odd} END)")
+    quarter = f"exp(-({x}) / 4.0D)"
+
+    def series(n: str, step: str) -> str:
+        return (f"aggregate(sequence(1, greatest({n} - 1, 1)), named_struct('t', {quarter}, 's', IF({n} >= 1, {quarter}, 0.0D)),"
+                f" (a, i) -> IF(i > {n} - 1, a, named_struct('t', a.t * ({x}) / ({step}), 's', a.s + a.t * ({x}) / ({step}))), a -> a.s)")
+
+    even = f"{quarter} * {series(f'CAST(({dof}) / 2 AS INT)', '2.0D * i')}"
+    odd = (f"{erfc_sql(f'sqrt({half})')} + sqrt(2.0D * ({x}) / {math.pi!r}D) * {quarter}"
+           f" * {series(f'CAST((({dof}) - 1) / 2 AS INT)', '2.0D * i + 1')}")
+    return f"(CASE WHEN ({x}) <= 0 THEN 1.0D WHEN ({dof}) % 2 = 0 THEN {even} ELSE {odd} END)"
 
 
 def erfc(x: str) -> Column:
@@ -209,48 +209,61 @@ def chi2_sf(x: str, dof: str) -> Column:
 # ---------------------------------------------------------------------------
 # Exact Mann-Whitney tail (small samples without ties)
 # ---------------------------------------------------------------------------
-EXACT_MWU_MAX_CELLS = 2_000_000
 
 
-def mwu_exact_counts(m: int, n: int) -> list[int]:
-    """Number of arrangements giving U = 0..m*n: the coefficients of the
-    Gaussian binomial [m+n choose m]_q, built as prod_i (1 - q^(n+i)) / (1 - q^i)
-    with exact integers (every partial product is itself a Gaussian binomial)."""
-    import numpy as np
+def _partitions(parts: list[int], size: int) -> list[int]:
+    """Ways to write 0 .. size - 1 as a sum of ``parts`` (each any number of times)."""
+    ways = [1] + [0] * (size - 1)
+    for p in parts:
+        for i in range(p, size):
+            ways[i] += ways[i - p]
+    return ways
+
+
+def mwu_arrangements(m: int, n: int, k: int) -> int:
+    """Arrangements of m and n untied rows with U <= k, exactly, for any n.
+
+    The counts are the coefficients of prod_i (1 - q^(n+i)) / (1 - q^i), i = 1 .. m; a
+    further factor 1 / (1 - q) sums them.  The denominator's coefficients are a
+    polynomial of degree m on every residue class of lcm(1 .. m), so a far one follows
+    from m + 1 near ones by Lagrange's formula; nothing of size m * n is held."""
+    from fractions import Fraction
+    from itertools import combinations
     m, n = min(m, n), max(m, n)
-    size = m * n + 1
-    poly = np.zeros(size, dtype=object)
-    poly[0] = 1
-    for i in range(1, m + 1):
-        shift = n + i
-        if shift < size:
-            poly[shift:] = poly[shift:] - poly[:size - shift]
-        for start in range(i):          # divide by (1 - q^i): running sum with stride i
-            poly[start::i] = np.cumsum(poly[start::i])
-    return list(poly)
+    cycle = math.lcm(*range(1, m + 1))
+    ways = _partitions([1, *range(1, m + 1)], cycle * (m + 1))
+
+    def coefficient(at: int) -> int:
+        if at < len(ways):
+            return ways[at]
+        x, base = divmod(at, cycle)
+        total = Fraction(0)
+        for j in range(m + 1):
+            term = Fraction(ways[base + cycle * j])
+            for i in range(m + 1):
+                if i != j:
+                    term *= Fraction(x - i, j - i)
+            total += term
+        return int(total)
+
+    return sum((-1) ** r * coefficient(k - sum(c)) for r in range(m + 1)
+               for c in combinations(range(n + 1, n + m + 1), r) if k >= sum(c))
 
 
 def mwu_exact_two_sided(n1: int, n2: int, u: float) -> float:
     """2 * P(U >= u) under the null, clipped to 1 (u = max(U1, U2))."""
-    counts = mwu_exact_counts(int(n1), int(n2))
-    total = sum(counts)
-    k = int(round(u))
-    tail = sum(counts[k:]) if k < len(counts) else 0
+    n1, n2, k = int(n1), int(n2), int(round(u))
+    total = math.comb(n1 + n2, n1)
+    tail = mwu_arrangements(n1, n2, n1 * n2 - k) if k <= n1 * n2 else 0  # U is symmetric
     return min(1.0, (2 * tail) / total)   # exact integer ratio -> float
 
 
-def mwu_exact_eligible(n1: int, n2: int, ties: float) -> bool:
-    """The exact distribution applies: no ties, a group of at most 8 rows."""
-    return (ties == 0 and min(n1, n2) <= 8 and n1 > 0 and n2 > 0
-            and n1 * n2 <= EXACT_MWU_MAX_CELLS)
-
-
 def mwu_exact_p(n1: Column, n2: Column, u: Column, ties: Column) -> Column:
-    """Column form (Arrow-batched pandas UDF over the few per-item result rows);
-    null where the exact distribution does not apply."""
+    """Column form (Arrow-batched pandas UDF over the few per-item result rows); null
+    unless there are no ties and a group has at most 8 rows."""
 
     @F.pandas_udf("double")
     def _p(a: pd.Series, b: pd.Series, c: pd.Series, t: pd.Series) -> pd.Series:
-        return pd.Series([mwu_exact_two_sided(x, y, z) if mwu_exact_eligible(x, y, w) else None
+        return pd.Series([mwu_exact_two_sided(x, y, z) if w == 0 and 0 < min(x, y) <= 8 else None
                           for x, y, z, w in zip(a, b, c, t)], dtype="float64")
     return _p(n1.cast("long"), n2.cast("long"), u.cast("double"), ties.cast("double"))

@@ -10,7 +10,7 @@
 3. The node table (trees x at most 2 psi nodes: model parameters, bounded by
    the settings, not the data) is broadcast; ``mapInPandas`` scores every row:
    s = -2^(-mean path length / c(psi)).
-4. offset = the contamination quantile of s (``percentile_approx``); raw
+4. offset = the exact contamination quantile of s; raw
    score = s - offset, flagged when negative; 0-100 min-max score and tiers.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from trustlens import functions as X
 from trustlens import schema as S
-from trustlens.ml.pipeline import HASH_P
+from trustlens.operators.ranks import quantiles
 from trustlens.session import materialize
 
 EULER_GAMMA = 0.5772156649015329
@@ -35,16 +35,12 @@ EULER_GAMMA = 0.5772156649015329
 
 @dataclass(frozen=True)
 class ForestSettings:
-    """Defaults are the reference's; ``fast()`` is the registered queries' preset."""
+    """Defaults are the reference's."""
     trees: int = 300
     max_samples: int = 256
     contamination: float = 0.08
     seed: int = 42
 
-    @staticmethod
-    def fast() -> "ForestSettings":
-        return ForestSettings(trees=100)
-
 
 def c_factor(n):
     """Average path length of an unsuccessful search in a BST of n points."""
@@ -139,12 +135,13 @@ def isolation_forest(scaled: DataFrame, features: list[str], cfg: ForestSettings
     frac = min(1.0, 4.0 * cfg.trees * psi / max(n, 1))
     q = min(1.0, psi / max(frac * n, 1.0))
     hid = F.col("respondent_id").cast("bigint")
-    pre = ((hid * 48271 + cfg.seed * 7919) % HASH_P) / float(HASH_P)
-    rows = scaled.select("respondent_id", vector_to_array(vector_col).alias("x")).where(pre < frac)
-    # all products stay below 2^63: operands are reduced modulo p first
-    member = F.filter(F.sequence(F.lit(0), F.lit(cfg.trees - 1)),
-                      lambda t: ((hid % HASH_P * 69621 + t * 16807 + cfg.seed) % HASH_P * 48271
-                                 % HASH_P) / float(HASH_P) < q)
+
+    def draw(*parts) -> F.Column:
+        """A mixing hash of (seed, id, parts), uniform in [0, 1)."""
+        return F.shiftrightunsigned(F.xxhash64(F.lit(cfg.seed), hid, *parts), 11) / float(1 << 53)
+
+    rows = scaled.select("respondent_id", vector_to_array(vector_col).alias("x")).where(draw(F.lit(-1)) < frac)
+    member = F.filter(F.sequence(F.lit(0), F.lit(cfg.trees - 1)), lambda t: draw(t) < q)
     samples = rows.select(F.explode(member).alias("tree"), "x")
     d, seed = len(features), cfg.seed
     nodes = samples.groupBy("tree").applyInPandas(
@@ -163,7 +160,7 @@ def isolation_forest(scaled: DataFrame, features: list[str], cfg: ForestSettings
     scored = (scaled.select("respondent_id", vector_to_array(vector_col).alias("x"))
               .mapInPandas(score, "respondent_id bigint, score_samples double"))
     scored = materialize(scored, "iforest_scores")
-    offset = scored.select(F.percentile_approx("score_samples", cfg.contamination, 100000)).scalar()
+    offset = quantiles(scored, ["score_samples"], cfg.contamination).select("value").scalar()
     raw = F.col("score_samples") - offset
     out = scored.withColumn("anomaly_score_raw", raw)
     lo = out.select(F.min("anomaly_score_raw")).scalar()

@@ -1,4 +1,4 @@
-"""Model attributions on a seeded sample of at most 2,000 test rows.
+"""Model attributions of all given rows.
 
 Linear models: attribution_j = w_j * (x_j - mean_j) on the scaled features, a
 column expression per feature; global importance = mean |attribution|.
@@ -7,8 +7,8 @@ Tree ensembles: path-dependent TreeSHAP (Lundberg, Erion, Lee 2018).  The
 fitted model is saved to the shared checkpoint folder and its node table read
 back with Spark (model parameters: trees x nodes, bounded by the model
 settings); it is broadcast and ``mapInPandas`` computes the attributions for
-each batch of sampled rows.  The recursion follows the tree structure once per
-batch: the paths of all rows of the batch are carried together as numpy
+each batch of rows.  The tree is walked once per batch, with a list of nodes to
+visit: the paths of all rows of the batch are carried together as numpy
 arrays (the hot/cold choice at a split is a per-row 0/1 one-fraction), so the
 Python work grows with the tree size, not with the rows.  Forests average the
 per-tree values (probability of class 1); boosted trees sum weight * value
@@ -26,19 +26,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trustlens import functions as X
-from trustlens.ml.pipeline import row_hash
 from trustlens.session import scratch_path
 
-SAMPLE_ROWS = 2000
-
-
-def sample_rows(df: DataFrame, n: int = SAMPLE_ROWS, seed: int = 42) -> DataFrame:
-    """The n rows with the smallest hash of (id, seed): a seeded sample without
-    replacement (top-k by hash, bounded by n)."""
-    return df.withColumn("_h", row_hash("respondent_id", seed)).orderBy("_h", "respondent_id") \
-        .limit(n).drop("_h")
-
-
 def linear_attribution_rows(rows: DataFrame, weights: list[float], features: list[str],
                             vector_col: str = "features") -> DataFrame:
     """Per-row attributions w_j * (x_j - mean_j) (respondent_id, one column per
@@ -101,13 +90,16 @@ def tree_shap(x: np.ndarray, tree: dict, phi: np.ndarray, scale: float = 1.0) ->
     left, right, feat = tree["left"], tree["right"], tree["feature"]
     thr, value, cover = tree["threshold"], tree["value"], tree["cover"]
 
-    def recurse(j, m, pz, po, pi):
-        m = _extend(m, pz, po, pi, R)
+    # nodes to visit: node, path above it, share of the cover and rows that come by, feature
+    todo = [(0, [], 1.0, np.ones(R), -1)]
+    while todo:
+        j, above, pz, po, pi = todo.pop()
+        m = _extend(above, pz, po, pi, R)
         if left[j] < 0:
             for i in range(1, len(m)):
                 w = sum(e[3] for e in _unwind(m, i))
                 phi[:, m[i][0]] += scale * w * (m[i][2] - m[i][1]) * value[j]
-            return
+            continue
         d = feat[j]
         go_left = (x[:, d] <= thr[j]).astype(float)
         iz, io = 1.0, np.ones(R)
@@ -116,10 +108,8 @@ def tree_shap(x: np.ndarray, tree: dict, phi: np.ndarray, scale: float = 1.0) ->
             iz, io = m[k][1], m[k][2]
             m = _unwind(m, k)
         rj = cover[j]
-        recurse(left[j], m, iz * cover[left[j]] / rj, io * go_left, d)
-        recurse(right[j], m, iz * cover[right[j]] / rj, io * (1.0 - go_left), d)
-
-    recurse(0, [], 1.0, np.ones(R), -1)
+        todo.append((left[j], m, iz * cover[left[j]] / rj, io * go_left, d))
+        todo.append((right[j], m, iz * cover[right[j]] / rj, io * (1.0 - go_left), d))
     leaves = left < 0
     return scale * float((value[leaves] * cover[leaves]).sum() / cover[0])
 
@@ -186,7 +176,9 @@ def tree_attribution(rows: DataFrame, model, kind: str, features: list[str],
             yield out
 
     schema = "respondent_id bigint, expected_value double, " + ", ".join(f"{c} double" for c in cols)
-    res = rows.select("respondent_id", vector_to_array(vector_col).alias("x")).mapInPandas(run, schema)
+    # a row costs all trees, so rows are dealt over all tasks
+    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "respondent_id")
+    res = dealt.select("respondent_id", vector_to_array(vector_col).alias("x")).mapInPandas(run, schema)
     return res.select("respondent_id", "expected_value",
                       *[F.col(c).alias(f) for c, f in zip(cols, features)])
 

@@ -23,14 +23,14 @@ from pyspark.sql import functions as F
 
 from trustlens import functions as X
 from trustlens import schema as S
-from trustlens.ml.pipeline import assembler
-from trustlens.session import fit_partitions, materialize
+from trustlens.ml.pipeline import assembler, imputer
+from trustlens.session import materialize
 from trustlens.operators.features import cluster_features
 
 
 @dataclass(frozen=True)
 class ClusterSettings:
-    """Defaults are the reference's; ``fast()`` is the registered queries' preset."""
+    """Defaults are the reference's."""
     k: int = 4
     restarts: int = 20
     max_iter: int = 500
@@ -40,10 +40,6 @@ class ClusterSettings:
     seed: int = 42
     parallelism: int = 4
 
-    @staticmethod
-    def fast() -> "ClusterSettings":
-        return ClusterSettings(restarts=3, max_iter=50, sweep_restarts=2, sweep_max_iter=30)
-
 
 def scaled_features(df: DataFrame) -> DataFrame:
     """(respondent_id, the 11 features, features vector), median-imputed and
@@ -52,9 +48,9 @@ def scaled_features(df: DataFrame) -> DataFrame:
     feats = materialize(cluster_features(df), "cluster_features")
     nulls = feats.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in S.CLUSTER_FEATURES]).first()
     todo = [c for c in S.CLUSTER_FEATURES if nulls[c] > 0]
-    model = Pipeline(stages=assembler(S.CLUSTER_FEATURES, impute=todo)).fit(feats)
+    model = Pipeline(stages=assembler(S.CLUSTER_FEATURES, imputed=[imputer(feats, todo)] if todo else None)).fit(feats)
     out = model.transform(feats).select("respondent_id", *S.CLUSTER_FEATURES, "features")
-    return fit_partitions(out, feats.count()).persist(StorageLevel.MEMORY_AND_DISK)
+    return out.repartition("respondent_id").persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _fit_one(scaled: DataFrame, k: int, seed: int, max_iter: int):
@@ -104,9 +100,12 @@ def pca(scaled: DataFrame, k: int = 2):
     """PCA model and (respondent_id, pca_1, pca_2); inputs are standardised, so
     Spark's uncentred projection equals the centred one."""
     model = PCA(k=k, inputCol="features", outputCol="pca").fit(scaled)
+    return model, pca_columns(model, scaled).select("respondent_id", *[f"pca_{i + 1}" for i in range(k)])
+
+
+def pca_columns(model, scaled: DataFrame) -> DataFrame:
     arr = vector_to_array(F.col("pca"))
-    out = model.transform(scaled).select("respondent_id", *[arr[i].alias(f"pca_{i + 1}") for i in range(k)])
-    return model, out
+    return model.transform(scaled).withColumns({f"pca_{i + 1}": arr[i] for i in range(model.getK())}).drop("pca")
 
 
 def cluster_labels(assigned: DataFrame) -> DataFrame:
@@ -128,7 +127,7 @@ def join_cluster_label(assigned: DataFrame) -> DataFrame:
 def run_clustering(df: DataFrame, cfg: ClusterSettings | None = None) -> dict:
     cfg = cfg or ClusterSettings()
     scaled = scaled_features(df)
-    pca_model, coords = pca(scaled)
+    pca_model, _ = pca(scaled)
     # sweep fits and the final restarts share one pool of driver threads
     with ThreadPoolExecutor(max_workers=cfg.parallelism) as pool:
         sweep = {k: [pool.submit(_fit_one, scaled, k, cfg.seed + r, cfg.sweep_max_iter)
@@ -138,9 +137,10 @@ def run_clustering(df: DataFrame, cfg: ClusterSettings | None = None) -> dict:
         rows = [_sweep_row(scaled, [f.result() for f in fs], k) for k, fs in sweep.items()]
         km = min((f.result() for f in final), key=lambda m: m.summary.trainingCost)
     sil = _silhouette_frame(scaled, rows)
-    assigned = km.transform(scaled).drop("features")
+    # the two models are applied one after the other: no join of their outputs
+    assigned = pca_columns(pca_model, km.transform(scaled)).drop("features")
     labelled = join_cluster_label(assigned)
-    rows = labelled.join(coords, "respondent_id")
+    rows = labelled
     profiles = cluster_profiles(labelled)
     ev = [round(float(v) * 100, 1) for v in pca_model.explainedVariance.toArray()]
     return {"assignments": rows, "profiles": profiles, "silhouette": sil, "best_k": best_k(sil),

@@ -2,19 +2,19 @@
 
 Accuracy and weighted precision / recall / F1 come from the confusion counts
 (one group-by on (label, prediction), at most classes^2 rows).  AUC and the
-ROC curve come from counts per distinct score (or per score bucket when the
-score is continuous): a running count over those rows gives, for every
-positive, the negatives ranked below it -- the Mann-Whitney form of the AUC,
-ties counted half.  The window runs over distinct scores, never over rows.
+ROC curve come from counts per distinct score: an exact running count over
+those (``operators.ranks``) gives, for every positive, the negatives ranked
+below it -- the Mann-Whitney form of the AUC, ties counted half.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trustlens import functions as X
+from trustlens.operators.ranks import running
 
 
 def confusion(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -43,91 +43,42 @@ def class_metrics(pred: DataFrame, label: str = "label", prediction: str = "pred
         X.rnd(F.sum(F.col("r") * F.col("support")) / tot, digits).alias("recall"))
 
 
-MAX_EXACT_SCORES = 1 << 16
-
-
-def _auto_bins(df: DataFrame, score: str, bins: int | None) -> int | None:
-    """Distinct scores are used as they are only when there are few of them
-    (the running count is one window over them); otherwise bucket the score
-    (a score in [0, 1] into 2^16 bins, any other range min-max scaled first)."""
-    if bins:
-        return bins
-    n = df.agg(F.approx_count_distinct(score)).first()[0]
-    return None if n <= MAX_EXACT_SCORES else MAX_EXACT_SCORES
-
-
-def _scaled_score(df: DataFrame, score: str, bins: int | None):
-    s = F.col(score).cast("double")
-    if not bins:
-        return s
-    lo, hi = df.agg(F.min(s), F.max(s)).first()
-    if lo is not None and (lo < 0 or hi > 1):
-        s = (s - lo) / ((hi - lo) or 1.0)
-    return s
-
-
-def _score_counts(df: DataFrame, score, positive, bins: int | None) -> DataFrame:
-    s = score
-    if bins:
-        s = F.least(F.floor(score * bins), F.lit(bins - 1)).cast("double") / bins
-    return df.groupBy(s.alias("score")).agg(
+def _score_counts(df: DataFrame, score, positive) -> DataFrame:
+    return df.groupBy(score.alias("score")).agg(
         F.sum(positive.cast("bigint")).alias("pos"),
         F.sum((~positive).cast("bigint")).alias("neg"))
 
 
-def auc_roc(df: DataFrame, score: str, label: str = "label", positive_value=1,
-            bins: int | None = None, digits: int = 4) -> DataFrame:
-    """One row (auc): P(score_pos > score_neg) + 0.5 P(tie).
+def _auc(pos: str = "pos", neg: str = "neg"):
+    wins = F.sum(F.col(pos) * (F.col(f"{neg}_before") + 0.5 * F.col(neg)))
+    return wins / (F.sum(pos).cast("double") * F.sum(neg).cast("double"))
+
 
-    ``bins`` buckets a score in [0, 1] first (ties inside a bucket count half);
-    without it the distinct score values are used as they are.
-    """
-    bins = _auto_bins(df, score, bins)
-    c = _score_counts(df, _scaled_score(df, score, bins), F.col(label) == positive_value, bins)
-    w = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    c = c.withColumn("neg_below", F.sum("neg").over(w) - F.col("neg"))
-    a = c.agg((F.sum(F.col("pos") * (F.col("neg_below") + 0.5 * F.col("neg")))
-               / (F.sum("pos").cast("double") * F.sum("neg").cast("double"))).alias("auc"))
-    return a.select(X.rnd(F.col("auc"), digits).alias("auc_roc"))
+def auc_roc(df: DataFrame, score: str, label: str = "label", positive_value=1, digits: int = 4) -> DataFrame:
+    """One row (auc): P(score_pos > score_neg) + 0.5 P(tie), exact over the distinct scores."""
+    c = running(_score_counts(df, F.col(score).cast("double"), F.col(label) == positive_value), "score", ["neg"])
+    return c.agg(_auc().alias("auc")).select(X.rnd(F.col("auc"), digits).alias("auc_roc"))
 
 
-def roc_curve(df: DataFrame, score: str, label: str = "label", positive_value=1,
-              bins: int | None = None, digits: int = 4) -> DataFrame:
+def roc_curve(df: DataFrame, score: str, label: str = "label", positive_value=1, digits: int = 4) -> DataFrame:
     """ROC points (threshold, fpr, tpr) for every distinct score, descending,
-    starting at (inf, 0, 0).  Many distinct scores are bucketed first (thresholds
-    are then bucket lower edges on the min-max scaled score)."""
-    bins = _auto_bins(df, score, bins)
-    c = _score_counts(df, _scaled_score(df, score, bins), F.col(label) == positive_value, bins)
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tp = F.sum("pos").over(w)
-    fp = F.sum("neg").over(w)
-    P = c.select(F.sum("pos").cast("double")).scalar()
-    N = c.select(F.sum("neg").cast("double")).scalar()
-    pts = c.select("score", X.rnd(fp / N, digits).alias("fpr"), X.rnd(tp / P, digits).alias("tpr"))
+    starting at (inf, 0, 0)."""
+    counts = _score_counts(df, F.col(score).cast("double"), F.col(label) == positive_value)
+    c = running(counts, "score", ["pos", "neg"])
+    positives = counts.select(F.sum("pos").cast("double")).scalar()
+    negatives = counts.select(F.sum("neg").cast("double")).scalar()
+    pts = c.select("score", X.rnd((negatives - F.col("neg_before")) / negatives, digits).alias("fpr"),
+                   X.rnd((positives - F.col("pos_before")) / positives, digits).alias("tpr"))
     start = c.sparkSession.createDataFrame([(float("inf"), 0.0, 0.0)], "score double, fpr double, tpr double")
     return start.unionByName(pts).withColumnRenamed("score", "threshold").orderBy("fpr", "tpr")
 
 
-def multiclass_auc(pred: DataFrame, classes: list[int], score_col: str = "probability",
-                   label: str = "label", bins: int = 1 << 16, squash: bool = False) -> DataFrame:
-    """One-vs-rest AUC per class, weighted by class support (aligned classes:
-    score entry i is scored against label == i).  ``squash`` maps raw margins
-    (one-vs-rest output) into (0, 1) with the logistic function before the
-    scores are bucketed; it keeps their order."""
-    arr = pred.select(F.col(label).alias("label"), vector_to_array(score_col).alias("_s"))
-    parts = []
-    for c in classes:
-        one = arr.select(F.col("_s")[c].alias("s"), (F.col("label") == c).alias("y"))
-        if squash:
-            one = one.withColumn("s", F.lit(1.0) / (1 + F.exp(-F.col("s"))))
-        cnt = _score_counts(one, F.col("s"), F.col("y"), bins)
-        w = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        cnt = cnt.withColumn("neg_below", F.sum("neg").over(w) - F.col("neg"))
-        parts.append(cnt.agg(
-            F.lit(c).alias("cls"), F.sum("pos").alias("support"),
-            (F.sum(F.col("pos") * (F.col("neg_below") + 0.5 * F.col("neg")))
-             / (F.sum("pos").cast("double") * F.sum("neg").cast("double"))).alias("auc")))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    return u.agg((F.sum(F.col("auc") * F.col("support")) / F.sum("support")).alias("auc_roc"))
+def multiclass_auc(pred: DataFrame, classes: list[int], score_col: str = "probability", label: str = "label") -> DataFrame:
+    """One-vs-rest AUC per class, weighted by class support (aligned classes: score
+    entry i is scored against label == i); exact, all classes in one pass."""
+    one = (pred.select(F.col(label).alias("y"), vector_to_array(score_col).alias("s"))
+           .select("y", F.posexplode("s").alias("cls", "score")).where(F.col("cls").isin(classes)))
+    counts = one.groupBy("cls", "score").agg(F.sum((F.col("y") == F.col("cls")).cast("bigint")).alias("pos"),
+                                             F.sum((F.col("y") != F.col("cls")).cast("bigint")).alias("neg"))
+    per = running(counts, "score", ["neg"], ["cls"]).groupBy("cls").agg(F.sum("pos").alias("support"), _auc().alias("auc"))
+    return per.agg((F.sum(F.col("auc") * F.col("support")) / F.sum("support")).alias("auc_roc"))

@@ -1,7 +1,7 @@
 """Feature assembly, stratified split / folds and class weights.
 
 Ranks within a class are computed without a window over the whole class (a
-class may hold a third of all rows): rows carry an arithmetic hash h of
+class may hold a third of all rows): rows carry a mixing hash h of
 (id, seed); the hash range is cut into 2^20 buckets, rows are counted per
 (class, bucket) -- a table bounded by the bucket count, not by the data --
 and a running count over those buckets gives each bucket's offset.  The exact
@@ -11,20 +11,23 @@ rank is offset + position inside the bucket, a window over one bucket's rows
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import Imputer, ImputerModel, StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trustlens.operators.features import feature_table
+from trustlens.operators.ranks import quantiles
+from trustlens.session import materialize
 
-HASH_P = 2147483647          # 2^31 - 1 (prime)
-HASH_A = 48271               # multiplier of the minimal standard generator
-BUCKET_SHIFT = 11            # 2^31 >> 11 = 2^20 buckets
+HASH_BITS = 60               # 15 hex digits of an md5
+BUCKET_SHIFT = 40            # 2^60 >> 40 = 2^20 buckets
 
 
 def row_hash(id_col: str, seed: int) -> F.Column:
-    """Arithmetic hash in [0, 2^31 - 1): ((id + seed * 7919) * 48271) mod p."""
-    return ((F.col(id_col).cast("bigint") + seed * 7919) * HASH_A % HASH_P).cast("bigint")
+    """A mixing hash of (id, seed) in [0, 2^60): the first 15 hex digits of the md5 of
+    ``id:seed``, which other SQL engines can state as well."""
+    text = F.concat(F.col(id_col).cast("bigint").cast("string"), F.lit(f":{seed}"))
+    return F.conv(F.substring(F.md5(text), 1, HASH_BITS // 4), 16, 10).cast("bigint")
 
 
 def rank_within_class(df: DataFrame, class_col: str, id_col: str = "respondent_id",
@@ -70,24 +73,29 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     return c.withColumn("weight", tot / (k * F.col("n")))
 
 
-def with_class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    """Attach the balanced weight (one row per class; Spark's size check
-    broadcasts it)."""
-    w = class_weights(df, label).select(label, F.col("weight").alias(out))
-    return df.join(w, label)
+def weight_of(train: DataFrame, label: str, value: F.Column) -> F.Column:
+    """The balanced weight of ``value``: a look-up in a map of one entry per class, from
+    one count of the training rows.  No row is shuffled by its label."""
+    weights = class_weights(train, label).agg(F.map_from_entries(F.collect_list(F.struct(label, "weight")))).scalar()
+    return F.element_at(weights, value)
 
 
-def assembler(features: list[str], scale: bool = True, impute: bool | list[str] = True) -> list:
-    """Stages: median Imputer -> VectorAssembler -> StandardScaler, all fit on
-    the data the pipeline is fit on (the training part).  ``impute``: True for
-    every feature, or the list of features that hold nulls."""
+def imputer(df: DataFrame, columns: list[str]) -> ImputerModel:
+    """An ``ImputerModel`` with the exact medians of ``columns``."""
+    found = {r["column"]: r["value"] for r in quantiles(df, columns).collect()}  # one row a column
+    medians = df.sparkSession.createDataFrame([tuple(found.get(c, 0.0) for c in columns)], ", ".join(f"`{c}` double" for c in columns))
+    model = Imputer(strategy="mean", inputCols=columns, outputCols=[f"{c}__imp" for c in columns]).fit(medians)
+    return model  # the mean of one row of medians
+
+
+def assembler(features: list[str], scale: bool = True, imputed: list | None = None) -> list:
+    """Stages: the given (fitted) imputer -> VectorAssembler -> StandardScaler, fit on
+    the data the pipeline is fit on (the training part)."""
     stages, cols = [], list(features)
-    todo = list(features) if impute is True else list(impute or [])
-    if todo:
-        outs = [f"{c}__imp" for c in todo]
-        stages.append(Imputer(strategy="median", inputCols=todo, outputCols=outs,
-                              relativeError=0.0001))
-        cols = [f"{c}__imp" if c in set(todo) else c for c in features]
+    if imputed:
+        stages.append(imputed[0])
+        done = set(imputed[0].getInputCols())
+        cols = [f"{c}__imp" if c in done else c for c in features]
     stages.append(VectorAssembler(inputCols=cols, outputCol="raw_features", handleInvalid="keep"))
     if scale:
         stages.append(StandardScaler(inputCol="raw_features", outputCol="features",
@@ -101,7 +109,7 @@ def model_frame(df: DataFrame, target: str, leak_free: bool = True,
     target; null features are imputed by the column median."""
     flat, feats = feature_table(df, target, leak_free=leak_free)
     lo = flat.select(F.min(target)).scalar()
-    flat = flat.withColumn("label", (F.col(target) - lo).cast("double"))
+    flat = flat.withColumn("label", (F.col(target) - lo).cast("double"))  # lo: one row
     # one ranking pass gives both: the test part is the k smallest ranks of
     # each class, so a training row's rank among training rows is rank - k
     ranked = rank_within_class(flat, "label", seed=seed)
@@ -110,7 +118,6 @@ def model_frame(df: DataFrame, target: str, leak_free: bool = True,
     out = (ranked.withColumn("is_test", is_test.cast("int"))
            .withColumn("fold", F.when(~is_test, ((F.col("_rank") - k) % k_folds).cast("int")))
            .drop("_rank", "_n"))
-    # balanced weights from the training part (one row per class; Spark's size
-    # check broadcasts it)
-    w = class_weights(out.where("is_test = 0"), "label").select("label", "weight")
-    return out.join(w, "label"), feats
+    # written once: the class counts below and every fit read it
+    out = materialize(out, f"model_frame_{target}")
+    return out.withColumn("weight", weight_of(out.where("is_test = 0"), "label", F.col("label"))), feats

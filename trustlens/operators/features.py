@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from trustlens import functions as X
 from trustlens import schema as S
+from trustlens.operators.ranks import quantiles
 
 
 def spt_index(df: DataFrame) -> DataFrame:
@@ -100,50 +101,45 @@ def ordinal_encode(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     return df.withColumns({c: X.ordinal_code(c) for c in columns})
 
 
+def levels_of(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
+    """The values of each column, sorted; one aggregate, as small as the levels are."""
+    row = df.agg(*[F.sort_array(F.collect_set(F.col(c).cast("string"))).alias(c) for c in columns]).first()
+    return {c: list(row[c]) for c in columns}
+
+
 def onehot_encode(df: DataFrame, columns: list[str] | None = None,
                   levels: dict[str, list[str]] | None = None) -> DataFrame:
-    """Flat one-hot: one 0/1 column ``col_value`` per level, no level dropped.
-
-    Levels are given (known domain) so the output schema does not depend on the
-    data; the ML pipeline uses StringIndexer + OneHotEncoder instead.
-    """
+    """Flat one-hot: one 0/1 column ``col_value`` per level, no level dropped, levels
+    in sorted order.  Levels are those in the data unless given; finding them is one
+    job while the query is built, as the output's columns follow from them.  A null
+    belongs to no level."""
     columns = columns or S.NOMINAL_COLUMNS
-    levels = levels or S.NOMINAL_LEVELS
+    levels = levels or levels_of(df, columns)
     out = {}
     for c in columns:
         for v in levels[c]:
-            out[f"{c}_{v}"] = (F.col(c) == v).cast("int")
+            out[f"{c}_{v}"] = F.coalesce((F.col(c) == v).cast("int"), F.lit(0))
     keep = [c for c in df.columns if c not in columns]
-    return df.select(*keep, *[e.alias(n) for n, e in out.items()])
+    return df.select(*[F.col(f"`{c}`") for c in keep], *[e.alias(n) for n, e in out.items()])
 
 
-def numeric_only(df: DataFrame) -> DataFrame:
-    keep = [n for n, t in df.dtypes if t in ("int", "bigint", "double", "float", "smallint",
-                                              "tinyint", "boolean") or t.startswith("decimal")]
-    return df.select(*keep)
+NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean")
 
 
-EXACT_MEDIAN_MAX_DISTINCT = 100_000
+def is_numeric(kind: str) -> bool:
+    return kind in NUMERIC or kind.startswith("decimal")
 
 
-def median_impute(df: DataFrame, columns: list[str],
-                  max_distinct: int = EXACT_MEDIAN_MAX_DISTINCT) -> DataFrame:
-    """null -> column median.
+def numeric_only(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(f"`{n}`") for n, t in df.dtypes if is_numeric(t)])
 
-    The exact ``median`` keeps a value -> count map that is merged in one task,
-    so it is used only behind a size check: one pass of ``approx_count_distinct``
-    first; columns with at most ``max_distinct`` values (Likert items, flags,
-    counts) get the exact median, the others ``percentile_approx`` (bounded
-    sketch, relative rank error 1e-4).  Medians enter as scalar subqueries.
-    """
-    distinct = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
-    med = {}
-    for c in columns:
-        if distinct[c] <= max_distinct:
-            med[c] = df.select(F.median(c)).scalar()
-        else:
-            med[c] = df.select(F.percentile_approx(F.col(c).cast("double"), 0.5, 10000)).scalar()
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), med[c]) for c in columns})
+
+def median_impute(df: DataFrame, columns: list[str]) -> DataFrame:
+    """null -> exact column median.  The medians of all columns come from one pass over
+    value counts and enter as one scalar subquery (a map of one entry per column)."""
+    medians = quantiles(df, columns).agg(F.map_from_entries(F.collect_list(F.struct("column", "value")))).scalar()
+    out = df.withColumn("_medians", medians)
+    return out.withColumns({c: F.coalesce(F.col(c).cast("double"), F.element_at("_medians", F.lit(c))) for c in columns}).drop("_medians")
 
 
 def target_shift(df: DataFrame, target: str, out: str = "label") -> DataFrame:
@@ -163,7 +159,8 @@ def feature_table(df: DataFrame, target: str, leak_free: bool = False,
 
     features = all columns minus id, target and fraud_type (and for the fraud
     target reported_to_bank, fraud_resolved; for trust q_overall_satisfaction),
-    ordinals coded, nominals one-hot, remaining text dropped, nulls -> median.
+    ordinals coded, nominals one-hot by the levels in the data, booleans 0/1, decimals
+    double, remaining text dropped.
     """
     eng = engineer_features(df, leak_free=leak_free, target=target)
     exclude = {"respondent_id", target, "fraud_type", *(drop_cols or [])}
@@ -172,8 +169,15 @@ def feature_table(df: DataFrame, target: str, leak_free: bool = False,
     if target == S.TRUST_TARGET:
         exclude.add("q_overall_satisfaction")
     enc = onehot_encode(ordinal_encode(eng))
-    feats = [c for c, t in enc.dtypes if c not in exclude and t in ("int", "bigint", "double")]
-    out = enc.select("respondent_id", F.col(target).alias(target), *feats)
+    kinds = dict(enc.dtypes)
+    feats = [c for c, t in enc.dtypes if c not in exclude and is_numeric(t)]
+
+    def plain(c: str) -> Column:
+        if kinds[c] == "boolean":
+            return F.col(f"`{c}`").cast("int").alias(c)
+        return F.col(f"`{c}`").cast("double").alias(c) if kinds[c].startswith("decimal") else F.col(f"`{c}`")
+
+    out = enc.select("respondent_id", F.col(target).alias(target), *[plain(c) for c in feats])
     return out, feats
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from trustlens import functions as X
 from trustlens import schema as S
+from trustlens.operators.ranks import running
 
 RESULT_COLUMNS = ["test", "statistic", "p_value", "effect_size", "significant", "interpretation"]
 
@@ -100,32 +101,11 @@ def cronbach_alpha(df: DataFrame, columns: list[str], name: str = "scale") -> Da
 # Mid-ranks and correlations
 # ---------------------------------------------------------------------------
 
-MAX_RANK_VALUES = 1 << 16
-
-
-def require_ordinal(counts: DataFrame, part: str | None = None,
-                    limit: int = MAX_RANK_VALUES) -> None:
-    """The rank windows run over the distinct values of an item (five for a
-    Likert item, which the loader enforces).  Check that bound on the
-    already-aggregated counts before building a window over them."""
-    g = counts.groupBy(part).count() if part else counts.groupBy().count()
-    worst = g.agg(F.max("count")).first()[0] or 0
-    if worst > limit:
-        raise ValueError(f"rank statistics need ordinal values: {worst} distinct values "
-                         f"exceed {limit}")
-
-
-def mid_ranks(counts: DataFrame, part: str = "column", value: str = "rating",
-              n: str = "n", check: bool = True) -> DataFrame:
+def mid_ranks(counts: DataFrame, part: str = "column", value: str = "rating", n: str = "n") -> DataFrame:
     """Add ``rank2`` = 2 * average rank of each value within ``part``:
-    2 * (running count before the value) + n + 1.  Window over the distinct
-    values of each part (counts, not respondents; size-checked first)."""
-    if check:
-        require_ordinal(counts, part)
-    w = (Window.partitionBy(part).orderBy(value)
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    cum = F.sum(n).over(w)
-    return counts.withColumn("rank2", (2 * (cum - F.col(n)) + F.col(n) + 1).cast("bigint"))
+    2 * (running count before the value) + n + 1."""
+    out = running(counts, value, [n], [part])
+    return out.withColumn("rank2", (2 * F.col(f"{n}_before") + F.col(n) + 1).cast("bigint")).drop(f"{n}_before")
 
 
 def _complete(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -137,7 +117,7 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None,
     """Long-form correlation matrix (item_a, item_b, title_a, title_b, rho 3 dp).
 
     Spearman replaces each rating by its (doubled) mid-rank through a map built
-    from the item x rating counts (a scalar subquery of <= 5 entries per item),
+    from the item x rating counts (a scalar subquery, one entry per item and code),
     then both methods are Pearson sums over the rows: one aggregate with
     n, sum x_i and sum x_i x_j for every pair (i <= j).  The generated sums are
     SQL expressions (parsed once in the JVM).
@@ -147,10 +127,10 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None,
     rows = _complete(df, cols)
     if method == "spearman":
         ranks = mid_ranks(likert_counts(rows, cols))
-        idx = F.create_map(*[x for i, c in enumerate(cols) for x in (F.lit(c), F.lit(i))])
-        key = idx[F.col("column")] * 8 + F.col("rating")
-        rmap = ranks.agg(F.map_from_entries(F.collect_list(F.struct(key, F.col("rank2"))))).scalar()
-        vals = [F.element_at(rmap, F.lit(i * 8) + F.col(c)).cast("double").alias(f"v{i}")
+        rmap = ranks.agg(F.map_from_entries(F.collect_list(
+            F.struct(F.struct("column", F.col("rating").cast("double").alias("rating")), "rank2")))).scalar()
+        rows = rows.withColumn("_ranks", rmap)
+        vals = [F.element_at("_ranks", F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("rating"))).cast("double").alias(f"v{i}")
                 for i, c in enumerate(cols)]
     elif method == "pearson":
         vals = [F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)]
@@ -223,13 +203,9 @@ def mann_whitney(df: DataFrame, columns: list[str] | None = None,
     # all values tied -> sd = 0: z = -inf, p = 1 (as the normal tail gives)
     t = t.withColumn("_z", F.when(sd > 0, (u - mu - 0.5) / sd))
     p_norm = F.when(F.col("_z").isNotNull(), F.least(2 * X.norm_sf("_z"), F.lit(1.0))).otherwise(1.0)
-    # no ties and a group of at most 8 rows: exact null distribution of U
-    # exact tail only on eligible rows (Python UDFs run on every row they see)
-    eligible = ((F.col("ties") == 0) & (F.least(n1, n2) <= 8) & (n1 > 0) & (n2 > 0)
-                & (n1 * n2 <= X.EXACT_MWU_MAX_CELLS))
-    t = t.withColumn("_elig", eligible)
-    t = (t.where("_elig").withColumn("_p_exact", X.mwu_exact_p(n1, n2, u, F.col("ties")))
-         .unionByName(t.where("NOT _elig").withColumn("_p_exact", F.lit(None).cast("double"))))
+    # no ties and a group of at most 8 rows: exact null distribution of U, on the few
+    # result rows
+    t = t.withColumn("_p_exact", X.mwu_exact_p(n1, n2, u, F.col("ties")))
     p = F.coalesce(F.col("_p_exact"), p_norm)
     r = F.when(n1 * n2 > 0, 1 - (2 * u1) / (n1 * n2))
     out = F.broadcast(_items(df))
@@ -298,32 +274,26 @@ def kruskal(df: DataFrame, segment: str = "income_bracket",
             value: str = "q_trust_platform") -> DataFrame:
     """Kruskal-Wallis H of ``value`` across ``segment`` groups (tie-corrected),
     p from chi-square with k-1 dof, eta^2 = (H - k + 1)/(n - k)."""
-    n_all = df.select(F.count(F.lit(1)).cast("double")).scalar()
-    rows = df.where(F.col(segment).isNotNull() & F.col(value).isNotNull())
-    cnt = rows.groupBy(F.col(segment).alias("grp"), F.col(value).alias("rating")) \
-        .agg(F.count(F.lit(1)).alias("ng"))
-    per_rating = mid_ranks(cnt.groupBy("rating").agg(F.sum("ng").alias("n"))
+    # one scan: every row counts for n_all, rows with both values for the test
+    cells = df.groupBy(F.col(segment).alias("grp"), F.col(value).alias("rating")).agg(F.count(F.lit(1)).alias("ng"))
+    both = F.col("grp").isNotNull() & F.col("rating").isNotNull()
+    per_rating = mid_ranks(cells.where(both).groupBy("rating").agg(F.sum("ng").alias("n"), F.collect_list(F.struct("grp", "ng")).alias("of"))
                            .withColumn("part", F.lit(0)), part="part")
-    # one row per distinct value (5 for a Likert item); no hint: Spark's size
-    # check broadcasts it when small and shuffles otherwise
-    g = cnt.join(per_rating.select("rating", "rank2", "n"), "rating")
-    per_group = g.groupBy("grp").agg(F.sum("ng").alias("ng"),
-                                     F.sum(F.col("ng") * F.col("rank2")).alias("rx2"))
-    ties = per_rating.agg(F.sum(F.col("n").cast("double") ** 3 - F.col("n")).alias("ties"),
-                          F.sum("n").alias("n"))
-    tsum = ties.select("ties").scalar()
-    nsum = ties.select(F.col("n").cast("double")).scalar()
-    t = per_group.agg(F.sum((F.col("rx2") / 2.0) ** 2 / F.col("ng")).alias("srn"),
-                      F.count(F.lit(1)).alias("k"))
-    n = nsum
+    ranked = per_rating.select("rank2", "n", F.inline("of"))
+    per_group = ranked.groupBy("grp").agg(
+        F.sum("ng").alias("ng"), F.sum(F.col("ng") * F.col("rank2")).alias("rx2"),
+        # a value's tie term, spread over its groups by their share of its rows
+        F.sum((F.col("n").cast("double") ** 2 - 1) * F.col("ng")).alias("ties"))
+    t = per_group.agg(F.sum((F.col("rx2") / 2.0) ** 2 / F.col("ng")).alias("srn"), F.count(F.lit(1)).alias("k"),
+                      F.sum("ng").cast("double").alias("n"), F.sum("ties").alias("tsum"))
+    t = t.withColumn("n_all", cells.agg(F.sum("ng").cast("double")).scalar())
+    n = F.col("n")
     h0 = 12.0 / (n * (n + 1)) * F.col("srn") - 3 * (n + 1)
-    h = h0 / (1 - tsum / (n * n * n - n))
-    # h holds scalar subqueries; keep it a plain column under the tail's lambdas
-    t = t.withColumn("h", h).withColumn("dof", F.col("k") - 1)
+    t = t.withColumn("h", h0 / (1 - F.col("tsum") / (n * n * n - n))).withColumn("dof", F.col("k") - 1)
     h = F.col("h")
     k = F.col("k")
     p = X.chi2_sf("h", "dof")
-    eta2 = (h - k + 1) / (n_all - k)
+    eta2 = (h - k + 1) / (F.col("n_all") - k)
     return t.where(k >= 2).select(
         F.lit(f"Kruskal-Wallis: Trust by {segment}").alias("test"),
         X.rnd(h, 3).alias("statistic"), X.rnd(p, 4).alias("p_value"),

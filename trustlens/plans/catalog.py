@@ -195,28 +195,54 @@ def q_ordinal_encode(spark, sf):
     return FE.ordinal_encode(resp(spark, sf)).select("respondent_id", *S.ORDINAL_MAPS)
 
 
+def _with_new_level(df):
+    """``df`` with a region that no fixed list knows, by an id rule."""
+    return df.withColumn("region", F.expr("CASE WHEN respondent_id % 11 = 7 THEN 'Island' ELSE region END"))
+
+
+_ISLAND = "CASE WHEN respondent_id % 11 = 7 THEN 'Island' ELSE region END"
+
+
+def _level_sql(c: str, v: str) -> str:
+    value = _ISLAND if c == "region" else c
+    return f"CAST(CASE WHEN {value} = '{v}' THEN 1 ELSE 0 END AS INT) AS \"{c}_{v}\""
+
+
+_LEVELS = {c: S.NOMINAL_LEVELS[c] + (["Island"] if c == "region" else []) for c in S.NOMINAL_COLUMNS}
+
+
 @register("onehot_encode", Q.with_resp(
-    " SELECT respondent_id, " + ", ".join(
-        f"CAST(CASE WHEN {c} = '{v}' THEN 1 ELSE 0 END AS INT) AS \"{c}_{v}\""
-        for c in S.NOMINAL_COLUMNS for v in S.NOMINAL_LEVELS[c]) + " FROM respondents"))
+    " SELECT respondent_id, " + ", ".join(_level_sql(c, v) for c in S.NOMINAL_COLUMNS for v in _LEVELS[c]) + " FROM respondents"))
 def q_onehot_encode(spark, sf):
-    df = resp(spark, sf).select("respondent_id", *S.NOMINAL_COLUMNS)
+    """One-hot columns by the levels in the data, one of them in no list."""
+    df = _with_new_level(resp(spark, sf)).select("respondent_id", *S.NOMINAL_COLUMNS)
     return FE.onehot_encode(df)
 
 
-@register("numeric_only")
+_NUMERIC_SQL = [c for c in S.REQUIRED_COLUMNS if c not in {
+    "gender", "age_group", "education", "occupation", "income_bracket", "region", "bank_type", "usage_frequency",
+    "transaction_frequency", "avg_transaction_amount_tier", "device_type", "os_type", "fraud_type"}]
+
+
+@register("numeric_only", Q.with_resp(" SELECT " + ", ".join(_NUMERIC_SQL) + " FROM respondents"))
 def q_numeric_only(spark, sf):
     return FE.numeric_only(resp(spark, sf))
 
 
+_IMPUTED = ["years_digital_banking", "num_phishing_attempts_received", "q_trust_platform"]
+
+
+def _holed(c: str, i: int) -> str:
+    return f"CASE WHEN respondent_id % {7 + 4 * i} = {i + 1} THEN NULL ELSE {c} END"
+
+
 @register("median_impute", Q.with_resp(
-    " SELECT respondent_id, " + ", ".join(
-        f"coalesce(CAST({c} AS DOUBLE), (SELECT median({c}) FROM respondents)) AS {c}"
-        for c in ["years_digital_banking", "num_phishing_attempts_received", "q_trust_platform"])
-    + " FROM respondents"))
+    ", h AS (SELECT respondent_id, " + ", ".join(f"{_holed(c, i)} AS {c}" for i, c in enumerate(_IMPUTED)) + " FROM respondents)"
+    " SELECT respondent_id, " + ", ".join(f"coalesce(CAST({c} AS DOUBLE), (SELECT median({c}) FROM h)) AS {c}" for c in _IMPUTED) + " FROM h"))
 def q_median_impute(spark, sf):
-    cols = ["years_digital_banking", "num_phishing_attempts_received", "q_trust_platform"]
-    return FE.median_impute(resp(spark, sf).select("respondent_id", *cols), cols)
+    """Exact medians put in for values that are taken out by an id rule."""
+    df = resp(spark, sf).select("respondent_id", *[F.expr(_holed(c, i)).alias(c) for i, c in enumerate(_IMPUTED)])
+    return FE.median_impute(df, _IMPUTED)
 
 
 @register("cluster_features", Q.with_resp(

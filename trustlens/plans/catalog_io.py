@@ -34,9 +34,10 @@ def _scratch(spark, name: str) -> str:
 
 @register("scan_survey", Q.with_resp(" SELECT * FROM respondents"))
 def q_scan_survey(spark, sf):
-    """Respondent table written as CSV, read back with the explicit schema,
-    validated and coerced."""
-    path = SV.write_csv(resp(spark, sf), _scratch(spark, "survey_csv"))
+    """Respondent table written as CSV with its columns in reverse order and one more
+    column, read back by the header, validated and coerced."""
+    df = resp(spark, sf)
+    path = SV.write_csv(df.select(F.lit("note").alias("remark"), *reversed(df.columns)), _scratch(spark, "survey_csv"))
     return SV.read_survey(spark, path, "csv").select(*S.REQUIRED_COLUMNS)
 
 
@@ -50,46 +51,65 @@ _LEGACY_SQL = Q.with_resp(
 def q_scan_legacy(spark, sf):
     """Legacy 22-column profile (flags as True/False text) written as CSV, read
     back with the legacy schema, validated, flags coerced to 0/1."""
-    path = SV.write_csv(SV.legacy_projection(resp(spark, sf)), _scratch(spark, "legacy_csv"))
-    return SV.read_survey(spark, path, "csv", profile="legacy")
-
-
-@register("check_required")
-def q_check_required(spark, sf):
-    """Required main-profile columns missing from the legacy-shaped table."""
     legacy = SV.legacy_projection(resp(spark, sf))
-    missing = SV.check_required(legacy)
-    return spark.createDataFrame([(c,) for c in missing], "missing_column string")
+    path = SV.write_csv(legacy.select(*reversed(legacy.columns)), _scratch(spark, "legacy_csv"))
+    return SV.read_survey(spark, path, "csv", profile="legacy").select(*legacy.columns)
+
+
+#: Damage to the respondent table, so that the checks have something to find: (column,
+#: rows by id, value).  The same rules stand in the SQL checks.
+DAMAGE = [("q_feel_secure", "respondent_id % 17 = 3", "9"), ("q_saves_time", "respondent_id % 29 = 1", "0"),
+          ("q_trust_platform", "respondent_id % 23 = 5", "NULL"), ("q_saves_time", "respondent_id % 31 = 2", "NULL"),
+          ("uses_upi", "respondent_id % 19 = 4", "2"), ("uses_atm", "respondent_id % 37 = 6", "NULL")]
+
+
+def _damaged(df):
+    """``df`` with the values of DAMAGE put in, as far as it has the columns."""
+    for column, rows, value in DAMAGE:
+        if column in df.columns:
+            kind = dict(df.dtypes)[column]
+            if kind == "boolean":
+                df = df.withColumn(column, F.expr(f"CASE WHEN {rows} THEN {'NULL' if value == 'NULL' else repr(value)} ELSE CAST({column} AS STRING) END"))
+            else:
+                df = df.withColumn(column, F.expr(f"CASE WHEN {rows} THEN CAST({value} AS {kind}) ELSE {column} END"))
+    return df
+
+
+def _damaged_sql(column: str) -> str:
+    out = f"CAST({column} AS VARCHAR)"
+    for c, rows, value in DAMAGE:
+        if c == column:
+            out = f"CASE WHEN {rows} THEN {'NULL' if value == 'NULL' else repr(value)} ELSE {out} END"
+    return out
 
 
-_VIOL_EMPTY = (" SELECT CAST(NULL AS VARCHAR) AS \"column\", CAST(NULL AS BIGINT) AS n_bad,"
-               " CAST(NULL AS BIGINT) AS first_bad_id WHERE false")
+def _viol_body(cols, ok, more: str = "") -> str:
+    return ("SELECT column_name AS \"column\", count(*) AS n_bad, min(id) AS first_bad_id" + more
+            + " FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST(respondent_id AS BIGINT) AS id, {_damaged_sql(c)} AS value FROM respondents" for c in cols)
+            + f") WHERE NOT coalesce({ok}, false) GROUP BY column_name")
 
 
-def _viol_sql(cols, ok) -> str:
-    return Q.with_resp(
-        ", long AS (" + " UNION ALL ".join(
-            f"SELECT '{c}' AS column_name, CAST(respondent_id AS BIGINT) AS id,"
-            f" CAST({c} AS VARCHAR) AS value FROM respondents" for c in cols) + ")"
-        " SELECT column_name AS \"column\", count(*) AS n_bad, min(id) AS first_bad_id FROM long"
-        f" WHERE NOT coalesce({ok}, false) GROUP BY column_name")
+_LIKERT_OK = "TRY_CAST(value AS DOUBLE) BETWEEN 1 AND 5"
+_BINARY_OK = "value IN ('0', '1', 'true', 'false', 'True', 'False', 'TRUE', 'FALSE', '0.0', '1.0')"
 
 
-@register("check_likert_range", _viol_sql(S.LIKERT_COLUMNS, "TRY_CAST(value AS DOUBLE) BETWEEN 1 AND 5"))
+@register("check_likert_range", Q.with_resp(" " + _viol_body(S.LIKERT_COLUMNS, _LIKERT_OK)))
 def q_check_likert_range(spark, sf):
-    return SV.check_likert_range(resp(spark, sf))
+    """Likert violations in a table with values out of range and nulls put in."""
+    return SV.check_likert_range(_damaged(resp(spark, sf)))
 
 
-@register("check_binary", _viol_sql(S.BINARY_FEATURES, "value IN ('0', '1', 'true', 'false',"
-                                                         " 'True', 'False', 'TRUE', 'FALSE', '0.0', '1.0')"))
+@register("check_binary", Q.with_resp(" " + _viol_body(S.BINARY_FEATURES, _BINARY_OK)))
 def q_check_binary(spark, sf):
-    return SV.check_binary(resp(spark, sf))
+    """Flag violations in a table with wrong flags and nulls put in."""
+    return SV.check_binary(_damaged(resp(spark, sf)))
 
 
-@register("check_legacy")
+@register("check_legacy", Q.with_resp(" " + _viol_body(S.LEGACY_LIKERT_COLUMNS, _LIKERT_OK, ", 'likert' AS \"check\"")
+                                      + " UNION ALL " + _viol_body(S.LEGACY_SERVICE_COLUMNS, _BINARY_OK, ", 'binary' AS \"check\"")))
 def q_check_legacy(spark, sf):
-    """Legacy profile checks (Likert range and binary flags), one table."""
-    legacy = SV.legacy_projection(resp(spark, sf))
+    """Legacy profile checks (Likert range and binary flags) of a damaged table."""
+    legacy = _damaged(SV.legacy_projection(resp(spark, sf)))
     lk = SV.check_likert_range(legacy, S.LEGACY_LIKERT_COLUMNS).withColumn("check", F.lit("likert"))
     bn = SV.check_binary(legacy, S.LEGACY_SERVICE_COLUMNS).withColumn("check", F.lit("binary"))
     return lk.unionByName(bn)

@@ -6,11 +6,10 @@ SQL can state).  Model training (k-means, PCA, forests, boosting, isolation
 forest, attributions) has none: the driver records row counts only, and the
 tests check invariants.
 
-The registered queries use the ``fast()`` presets of the model settings (fewer
-trees, restarts and iterations than the reference's defaults) so a check run
-stays short; the functions default to the reference's sizes.  Fitted results
-are kept per Spark application and data folder, so the queries that share a
-fit (metrics, importance, best model, ...) fit once per session.
+The registered queries train at the reference's sizes but for the rounds of the
+boosted trees (``ModelSettings.registered``).  Fitted results are kept per Spark
+application, data folder and state of its files, so the queries that share a fit
+(metrics, importance, best model, ...) fit once.
 """
 
 from __future__ import annotations
@@ -25,7 +24,7 @@ from trustlens.ml import metrics as M
 from trustlens.ml import models as MD
 from trustlens.ml import pipeline as PL
 from trustlens.plans import sql as Q
-from trustlens.plans.catalog import resp
+from trustlens.plans.catalog import _FEATURE_SQL, resp
 from trustlens.session import scratch_path
 
 QUERIES: dict = {}
@@ -43,7 +42,8 @@ def register(key, sql=None):
 
 
 def _cached(spark, sf, name, make):
-    key = (spark.sparkContext.applicationId, sf, name)
+    from trustlens.sources.respondents import input_state
+    key = (spark.sparkContext.applicationId, sf, input_state(spark, sf), name)
     if key not in _CACHE:
         _CACHE[key] = make()
     return _CACHE[key]
@@ -51,30 +51,30 @@ def _cached(spark, sf, name, make):
 
 def fraud_result(spark, sf):
     return _cached(spark, sf, "fraud", lambda: MD.train_classifier(
-        resp(spark, sf), S.FRAUD_TARGET, MD.ModelSettings.fast()))
+        resp(spark, sf), S.FRAUD_TARGET, MD.ModelSettings.registered()))
 
 
 def trust_result(spark, sf):
     return _cached(spark, sf, "trust", lambda: MD.train_classifier(
-        resp(spark, sf), S.TRUST_TARGET, MD.ModelSettings.fast()))
+        resp(spark, sf), S.TRUST_TARGET, MD.ModelSettings.registered()))
 
 
 def cluster_result(spark, sf):
     return _cached(spark, sf, "cluster", lambda: CL.run_clustering(
-        resp(spark, sf), CL.ClusterSettings.fast()))
+        resp(spark, sf), CL.ClusterSettings()))
 
 
 def forest_result(spark, sf):
     def make():
         scaled = cluster_result(spark, sf)["scaled"]
-        return AN.isolation_forest(scaled, S.CLUSTER_FEATURES, AN.ForestSettings.fast())
+        return AN.isolation_forest(scaled, S.CLUSTER_FEATURES, AN.ForestSettings())
     return _cached(spark, sf, "iforest", make)
 
 
 # ---------------------------------------------------------------------------
 # split, folds, weights (SQL-checked)
 # ---------------------------------------------------------------------------
-_H = "((respondent_id + {s} * 7919) * 48271 % 2147483647)"
+_H = "('0x' || substr(md5(CAST(respondent_id AS VARCHAR) || ':{s}'), 1, 15))::BIGINT"
 
 
 def _rank_sql(label: str, seed: int) -> str:
@@ -249,43 +249,64 @@ def q_top_features(spark, sf):
 
 
 def _test_rows(res):
-    """Scaled test rows (features vector), seeded sample of <= 2,000."""
-    return AT.sample_rows(res["data"].where("is_test = 1").select("respondent_id", "features"))
+    """All scaled test rows (features vector)."""
+    return res["data"].where("is_test = 1").select("respondent_id", "features")
 
 
-@register("linear_attribution")
+#: Fixed weights, so that SQL can state the attributions.
+_FIXED_WEIGHTS = {"num_services_used": 0.75, "avg_literacy_score": -1.5, "years_digital_banking": 0.125}
+
+
+@register("linear_attribution", Q.with_resp(
+    ", a AS (SELECT " + ", ".join(f"{_FEATURE_SQL.get(c, c)} AS {c}" for c in _FIXED_WEIGHTS) + " FROM respondents),"
+    " m AS (SELECT " + ", ".join(f"avg({c}) AS {c}" for c in _FIXED_WEIGHTS) + " FROM a) "
+    + " UNION ALL ".join(f"SELECT '{c}' AS feature, {Q.r(f'avg(abs({w} * (a.{c} - m.{c})))', 6)} AS mean_abs_shap FROM a, m" for c, w in _FIXED_WEIGHTS.items())))
 def q_linear_attribution(spark, sf):
-    """w_j (x_j - mean_j) attributions of the fraud logistic model on <= 2,000
-    sampled test rows; mean |attribution| per feature."""
-    res = fraud_result(spark, sf)
-    lr = res["fitted"]["Logistic Regression"]
-    w = list(lr.coefficients.toArray())
-    return AT.linear_attribution(_test_rows(res), w, res["features"])
+    """w_j (x_j - mean_j) attributions of a linear score with fixed weights, all rows:
+    mean |attribution| per feature."""
+    from pyspark.ml.feature import VectorAssembler
+
+    from trustlens import functions as X
+    from trustlens.operators.features import engineer_features
+    names = list(_FIXED_WEIGHTS)
+    rows = VectorAssembler(inputCols=names, outputCol="features").transform(engineer_features(resp(spark, sf)))
+    per = AT.linear_attribution(rows.select("respondent_id", "features"), list(_FIXED_WEIGHTS.values()), names)
+    return per.select("feature", X.rnd(F.col("mean_abs_shap"), 6).alias("mean_abs_shap"))
 
 
 @register("tree_attribution")
 def q_tree_attribution(spark, sf):
-    """Per-row TreeSHAP values of the fraud boosted-tree model on <= 2,000
-    sampled test rows."""
+    """Per-row TreeSHAP values of the fraud boosted-tree model on all test rows."""
     res = fraud_result(spark, sf)
     gbt = res["fitted"]["Gradient Boosted Trees"]
     return AT.tree_attribution(_test_rows(res), gbt, "boosted", res["features"])
 
 
+def fraud_attributions(res):
+    """(feature, mean |attribution|) of the best fraud model: linear or TreeSHAP."""
+    best, rows = res["best_model_name"], _test_rows(res)
+    if best == "Logistic Regression":
+        return AT.linear_attribution(rows, list(res["fitted"][best].coefficients.toArray()), res["features"])
+    kind = "forest" if best == "Random Forest" else "boosted"
+    return AT.global_importance(AT.tree_attribution(rows, res["fitted"][best], kind, res["features"]), res["features"])
+
+
 @register("attribution_table")
 def q_attribution_table(spark, sf):
-    """Top-20 mean |attribution| of the best fraud model (linear or TreeSHAP)."""
-    res = fraud_result(spark, sf)
-    best = res["best_model_name"]
-    rows = _test_rows(res)
-    if best == "Logistic Regression":
-        lr = res["fitted"][best]
-        imp = AT.linear_attribution(rows, list(lr.coefficients.toArray()), res["features"])
-    else:
-        kind = "forest" if best == "Random Forest" else "boosted"
-        per = AT.tree_attribution(rows, res["fitted"][best], kind, res["features"])
-        imp = AT.global_importance(per, res["features"])
-    return AT.attribution_table(imp)
+    """Top-20 mean |attribution| of the best fraud model over all test rows."""
+    return AT.attribution_table(fraud_attributions(fraud_result(spark, sf)))
+
+
+@register("roc_curve_models")
+def q_roc_curve_models(spark, sf):
+    """ROC points of the fitted fraud models on the test rows."""
+    from pyspark.ml.functions import vector_to_array
+    res, out = fraud_result(spark, sf), None
+    for name, pred in res["predictions"].items():
+        scored = pred.select("label", vector_to_array("probability")[1].alias("s"))
+        part = M.roc_curve(scored, "s", "label", 1.0).withColumn("model", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 # ---------------------------------------------------------------------------
@@ -323,11 +344,36 @@ def q_run_clustering(spark, sf):
         "respondent_id", "cluster_id", "cluster_label", "pca_1", "pca_2")
 
 
-@register("join_cluster_label")
+#: A clustering that SQL can state: by the id and the service count.
+_RULE_CLUSTER = "CAST((respondent_id + num_services_used) % 4 AS INT)"
+
+
+def _rule_clusters(spark, sf):
+    from trustlens.operators.features import engineer_features
+    return engineer_features(resp(spark, sf)).withColumn("cluster_id", F.expr(_RULE_CLUSTER))
+
+
+_RULE_CLUSTER_SQL = (
+    ", f AS (SELECT respondent_id, has_experienced_fraud AS fraud, " + ", ".join(f"{_FEATURE_SQL.get(c, c)} AS {c}" for c in S.CLUSTER_FEATURES) + " FROM respondents),"
+    f" g AS (SELECT *, {_RULE_CLUSTER} AS cluster_id FROM f),"
+    " k AS (SELECT cluster_id, row_number() OVER (ORDER BY avg(security_posture_score) DESC, cluster_id) - 1 AS r FROM g GROUP BY cluster_id),"
+    " lab AS (SELECT cluster_id, CASE r " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(S.CLUSTER_LABELS))
+    + " ELSE 'Cluster ' || r END AS cluster_label FROM k)")
+
+
+@register("join_cluster_label", Q.with_resp(
+    _RULE_CLUSTER_SQL + " SELECT respondent_id, cluster_id, cluster_label FROM g LEFT JOIN lab USING (cluster_id)"))
 def q_join_cluster_label(spark, sf):
-    """Cluster ids joined to their posture-ranked labels."""
-    res = cluster_result(spark, sf)
-    return CL.cluster_labels(res["assignments"])
+    """Every respondent's cluster id (by a rule) joined to its posture-ranked label."""
+    return CL.join_cluster_label(_rule_clusters(spark, sf)).select("respondent_id", "cluster_id", "cluster_label")
+
+
+@register("rule_cluster_profiles", Q.with_resp(
+    _RULE_CLUSTER_SQL + " SELECT cluster_id, cluster_label, " + ", ".join(f"{Q.r(f'avg({c})', 3)} AS {c}" for c in S.CLUSTER_FEATURES)
+    + f", count(*) AS n_members, {Q.r('avg(fraud) * 100', 1)} AS fraud_rate_pct FROM g JOIN lab USING (cluster_id) GROUP BY ALL"))
+def q_rule_cluster_profiles(spark, sf):
+    """Profiles of clusters given by a rule."""
+    return CL.cluster_profiles(CL.join_cluster_label(_rule_clusters(spark, sf)))
 
 
 @register("cluster_profiles")
@@ -347,14 +393,20 @@ def q_attach_scores(spark, sf):
 
 @register("sink_models")
 def q_sink_models(spark, sf):
-    """k-means model saved to the shared folder, loaded back; its centres."""
+    """k-means and the best fraud classifier (with imputer, assembler and scaler) saved
+    to the shared folder and loaded back: cluster sizes and predicted classes of all
+    rows by the loaded models."""
+    from pyspark.ml import PipelineModel
     from pyspark.ml.clustering import KMeansModel
-    km = cluster_result(spark, sf)["model"]
+    clusters = cluster_result(spark, sf)
     path = scratch_path(spark, "kmeans_model")
-    km.write().overwrite().save(path)
-    back = KMeansModel.load(path)
-    rows = [(i, [float(v) for v in c]) for i, c in enumerate(back.clusterCenters())]
-    return spark.createDataFrame(rows, "cluster_id int, center array<double>")
+    clusters["model"].write().overwrite().save(path)
+    sizes = KMeansModel.load(path).transform(clusters["scaled"]).groupBy(F.col("cluster_id").alias("value")).count()
+    fraud = fraud_result(spark, sf)
+    best = MD.save_best(spark, {"fraud": fraud}).first()
+    said = PipelineModel.load(best["path"]).transform(fraud["frame"]).groupBy(F.col("prediction").cast("int").alias("value")).count()
+    return sizes.select(F.lit("kmeans").alias("model"), "value", "count").unionByName(
+        said.select(F.lit(best["model"]).alias("model"), "value", "count"))
 
 
 # ---------------------------------------------------------------------------

@@ -17,6 +17,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 
 from trustlens.ml import anomaly as AN
+from trustlens.ml import attribution as AT
 from trustlens.ml import cluster as CL
 from trustlens.ml import models as MD
 from trustlens.operators import descriptive as D
@@ -24,10 +25,11 @@ from trustlens.operators import report as RP
 from trustlens.operators import risk as R
 from trustlens.operators import stats as ST
 from trustlens import schema as S
+from trustlens.plans.catalog_ml import fraud_attributions
 from trustlens.sources import survey as SV
 
 
-def result_tables(df: DataFrame, skip_ml: bool = False, fast: bool = False) -> dict[str, DataFrame]:
+def result_tables(df: DataFrame, skip_ml: bool = False, sizes: tuple | None = None) -> dict[str, DataFrame]:
     """Name -> result DataFrame, in the reference's output set."""
     spark = df.sparkSession
     t = {
@@ -51,9 +53,7 @@ def result_tables(df: DataFrame, skip_ml: bool = False, fast: bool = False) -> d
     }
     if skip_ml:
         return t
-    ccfg = CL.ClusterSettings.fast() if fast else CL.ClusterSettings()
-    mcfg = MD.ModelSettings.fast() if fast else MD.ModelSettings()
-    fcfg = AN.ForestSettings.fast() if fast else AN.ForestSettings()
+    ccfg, mcfg, fcfg = sizes or (CL.ClusterSettings(), MD.ModelSettings(), AN.ForestSettings())
     clus = CL.run_clustering(df, ccfg)
     t["cluster_profiles"] = clus["profiles"]
     t["silhouette_analysis"] = clus["silhouette"]
@@ -64,14 +64,17 @@ def result_tables(df: DataFrame, skip_ml: bool = False, fast: bool = False) -> d
     t["fraud_feature_importance"] = MD.importance_frame(spark, fraud["feature_importance"])
     an = AN.isolation_forest(clus["scaled"], S.CLUSTER_FEATURES, fcfg)
     t["anomaly_summary"] = AN.anomaly_summary(an["scores"])
+    t["anomaly_scores"] = an["scores"]
+    t["fraud_attributions"] = AT.attribution_table(fraud_attributions(fraud))
+    t["best_models"] = MD.save_best(spark, {"fraud": fraud, "trust": trust})
     return t
 
 
 def run_all(spark: SparkSession, df: DataFrame, out_dir: str, skip_ml: bool = False,
-            fast: bool = False, csv: bool = True) -> dict[str, float]:
+            sizes: tuple | None = None, csv: bool = True) -> dict[str, float]:
     """Write every result table; returns seconds per table."""
     times = {}
-    for name, table in result_tables(df, skip_ml, fast).items():
+    for name, table in result_tables(df, skip_ml, sizes).items():
         t0 = time.time()
         SV.write_table(table, f"{out_dir.rstrip('/')}/parquet/{name}", "parquet")
         if csv:
@@ -87,7 +90,6 @@ def main() -> None:
     src.add_argument("--tpch", help="folder of TPC-H parquet tables (derived respondents)")
     ap.add_argument("--out", required=True)
     ap.add_argument("--skip-ml", action="store_true")
-    ap.add_argument("--fast", action="store_true", help="smaller model settings")
     a = ap.parse_args()
     from trustlens.session import get_session
     spark = get_session()
@@ -96,7 +98,7 @@ def main() -> None:
     else:
         from trustlens.sources.respondents import respondents_table
         df = respondents_table(spark, a.tpch)
-    for name, sec in run_all(spark, df, a.out, a.skip_ml, a.fast).items():
+    for name, sec in run_all(spark, df, a.out, a.skip_ml).items():
         print(f"{name:28s} {sec:8.2f}s")
 
 

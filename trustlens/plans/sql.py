@@ -88,14 +88,8 @@ def norm_sf(z: str) -> str:
 
 def chi2_sf(x: str, dof: str) -> str:
     half = f"(({x}) / 2.0)"
-    even = (f"exp(-{half}) * list_sum(list_transform(range(0, ({dof}) // 2),"
-            f" lambda i: pow({half}, i) / factorial(CAST(i AS INTEGER))))")
-    odd_terms = (f"list_sum(list_transform(range(0, (({dof}) - 1) // 2),"
-                 f" lambda i: pow({x}, i) * pow(2.0::DOUBLE, i) * factorial(CAST(i AS INTEGER))"
-                 f" / factorial(CAST(2 * i + 1 AS INTEGER))))")
-    odd = (f"{erfc(f'sqrt({half})')} + CASE WHEN ({dof}) >= 3 THEN sqrt(2.0 * ({x}) / pi())"
-           f" * exp(-{half}) * {odd_terms} ELSE 0.0 END")
-    k = f"CAST({dof} AS DOUBLE)"
-    wh = norm_sf(f"(pow(({x}) / {k}, 1.0 / 3.0) - (1 - 2.0 / (9 * {k}))) / sqrt(2.0 / (9 * {k}))")
-    return (f"(CASE WHEN ({x}) <= 0 THEN 1.0 WHEN ({dof}) > 21 THEN {wh}"
-            f" WHEN ({dof}) % 2 = 0 THEN {even} ELSE {odd} END)")
+    terms = lambda n, step: (f"list_sum(list_transform(range(0, {n}), lambda i:"
+                             f" exp(-{half} + coalesce(list_sum(list_transform(range(1, i + 1), lambda j: ln(({x}) / ({step})))), 0.0))))")
+    even = terms(f"({dof}) // 2", "2.0 * j")
+    odd = (f"{erfc(f'sqrt({half})')} + sqrt(2.0 * ({x}) / pi()) * coalesce({terms(f'(({dof}) - 1) // 2', '2.0 * j + 1')}, 0.0)")
+    return f"(CASE WHEN ({x}) <= 0 THEN 1.0 WHEN ({dof}) % 2 = 0 THEN {even} ELSE {odd} END)"

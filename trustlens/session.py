@@ -1,7 +1,8 @@
 """Spark session helpers.
 
 The checkpoint folder is the one the cluster names in ``spark.checkpoint.dir``.
-Only when that is unset (local runs, tests) a fresh scratch folder is set.
+Only when that is unset and Spark runs in this one process (tests) a fresh scratch
+folder is set; on a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -47,6 +48,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return sc.getCheckpointDir() or current
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     scratch = tempfile.mkdtemp(prefix="trustlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(scratch)
     return sc.getCheckpointDir() or scratch
@@ -89,17 +92,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tables/{name}"
 
 
-def fit_partitions(df, n_rows: int, rows_per_partition: int = 250_000):
-    """Partition count sized to the data for iterative ML inputs: about
-    ``rows_per_partition`` rows per task (small inputs -> few tasks, so the
-    per-task overhead of hundreds of training passes stays small; large inputs
-    keep one task per ~250k rows)."""
-    import math
-    want = max(1, math.ceil(n_rows / rows_per_partition))
-    have = df.rdd.getNumPartitions()
-    return df.coalesce(want) if want < have else (df.repartition(want) if want > have else df)
-
-
 def materialize(df, name: str):
     """Write ``df`` as Parquet under the shared checkpoint folder and read it
     back: cuts the lineage in one job (an uncached ``checkpoint()`` would

@@ -20,33 +20,52 @@ FALSE_TEXT = ["0", "false", "False", "FALSE", "0.0"]
 NUMERIC_TYPES = {"tinyint", "smallint", "int", "bigint", "float", "double"}
 
 
-def read_schema(profile: str = "main") -> T.StructType:
-    """Reader schema: the profile with binary flags as text and Likert as double."""
-    base = S.survey_schema() if profile == "main" else S.legacy_schema()
-    likert = set(S.LIKERT_COLUMNS)
-    binary = set(S.BINARY_FEATURES)
+def read_schema(header: list[str], profile: str = "main") -> T.StructType:
+    """Reader schema in the file's column order: known columns by the profile, with
+    binary flags as text and Likert items as double; any other column as text."""
+    base = {f.name: f for f in (S.survey_schema() if profile == "main" else S.legacy_schema()).fields}
+    likert, binary = set(S.LIKERT_COLUMNS), set(S.BINARY_FEATURES)
     fields = []
-    for f in base.fields:
-        if f.name in binary:
-            fields.append(T.StructField(f.name, T.StringType(), True))
-        elif f.name in likert:
-            fields.append(T.StructField(f.name, T.DoubleType(), True))
+    for name in header:
+        if name in binary or name not in base:
+            fields.append(T.StructField(name, T.StringType(), True))
+        elif name in likert:
+            fields.append(T.StructField(name, T.DoubleType(), True))
         else:
-            fields.append(f)
+            fields.append(base[name])
     return T.StructType(fields)
 
 
+def find_survey(spark: SparkSession, explicit: str | None = None, raw: str | None = None, synthetic: str | None = None) -> str:
+    """The path to load: the explicit one if given, else the raw one if it exists, else
+    the synthetic one.  FileNotFoundError if nothing lies there."""
+    def there(path: str) -> bool:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+    path = explicit or (raw if raw and there(raw) else synthetic)
+    if not path or not there(path):
+        raise FileNotFoundError(f"no survey data at {path}")
+    return path
+
+
 def read_survey(spark: SparkSession, path: str, fmt: str = "csv", profile: str = "main",
                 validate_rows: bool = True) -> DataFrame:
-    """Load a survey table (CSV with header, or Parquet), validate, coerce types."""
+    """Load a survey table (CSV with header, or Parquet), validate, coerce types.
+
+    CSV columns are found by the names in the header, in any order; further columns are
+    kept.  Files of a folder must agree on their header (Spark checks each)."""
+    required = S.REQUIRED_COLUMNS if profile == "main" else S.LEGACY_COLUMNS
     if fmt == "csv":
-        df = (spark.read.schema(read_schema(profile)).option("header", True)
-              .option("mode", "PERMISSIVE").csv(path))
+        header = spark.read.option("header", True).csv(path).columns  # reads the first line
+        if validate_rows and (missing := sorted(set(required) - set(header))):
+            raise ValueError(f"Dataset missing required columns: {missing}")
+        df = (spark.read.schema(read_schema(header, profile)).option("header", True)
+              .option("enforceSchema", False).option("mode", "PERMISSIVE").csv(path))
     elif fmt == "parquet":
         df = spark.read.parquet(path)
     else:
         raise ValueError(f"unknown format {fmt}")
-    required = S.REQUIRED_COLUMNS if profile == "main" else S.LEGACY_COLUMNS
     if validate_rows:
         validate(df, required=required)
     return coerce_types(df)
