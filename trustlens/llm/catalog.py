@@ -26,6 +26,7 @@ QUERIES = {
 ORACLE = {
     "op1_exact_dedup": exact_dedup.ORACLE,
     "op2_benchmark_decontamination": decontaminate.ORACLE,
+    "op3_suffix_array_dedup": substring_dedup.ORACLE,
     "op7_chat_formatting": chat_format.ORACLE,
     "op10_sharding": sharding.ORACLE,
 }

@@ -152,7 +152,7 @@ win AS (SELECT DISTINCT item, ws[i + 1 : i + 10] AS win FROM b, LATERAL unnest(r
 lens AS (SELECT DISTINCT len(win) AS n FROM win),
 dw AS (SELECT doc_id, i, n, ws[i + 1 : i + n] AS win FROM w, lens, LATERAL unnest(range(greatest(len(ws) - n + 1, 0))) r(i)),
 hit AS (SELECT DISTINCT doc_id, i, n, item FROM dw JOIN win USING (win)),
-nh AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM hit, LATERAL unnest(range(i, i + n)) r(at) GROUP BY doc_id),
+nh AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM hit, LATERAL unnest(range(i, i + n)) r(place) GROUP BY doc_id),
 it AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hit GROUP BY doc_id)
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated

@@ -512,3 +512,20 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, **how) -> DataFrame:
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strings of 100 bytes that start earlier, removed from the whole table ``documents``."""
     return remove_repeats(documents(spark, sf_dir))
+
+
+#: Every string of 100 bytes, as hex digits, with its first place.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+p AS (SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS s FROM d, LATERAL unnest(range(greatest(n - 99, 0))) r(i)),
+f AS (SELECT s, min((doc_id, i)) AS first FROM p GROUP BY s HAVING count(*) > 1),
+m AS (SELECT doc_id, i FROM p JOIN f USING (s) WHERE (doc_id, i) > first),
+b AS (SELECT doc_id, i, i - lag(i) OVER w AS gap, lead(i) OVER w AS nxt FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT doc_id, sum(least(coalesce(nxt, i + 100), i + 100) - i) AS n_removed, count(*) FILTER (gap IS NULL OR gap > 100) AS n_spans FROM b GROUP BY doc_id),
+e AS (SELECT doc_id, i, coalesce(lag(i) OVER w + 100, 0) AS kept_from, lead(i) OVER w AS nxt FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+k AS (SELECT doc_id, string_agg(substr(h, 2 * kept_from + 1, greatest(2 * (i - kept_from), 0)), '' ORDER BY i) || substr(any_value(h), 2 * (max(i) + 100) + 1) AS kept
+      FROM e JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(CASE WHEN kept IS NULL THEN encode(text) ELSE unhex(kept) END) AS kept_sha256
+FROM d LEFT JOIN s USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
