@@ -29,3 +29,29 @@ def test_validators_do_not_expand_rows(spark, resp_small):
     mode = df._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
     formatted = df._jdf.queryExecution().explainString(mode)
     assert "Expand" not in formatted
+
+
+def _scans(df):
+    """Parquet scans that ran, exchange and subquery reuse included."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    return final.count("FileScan parquet")
+
+
+def test_report_tables_read_the_respondents_few_times(spark, resp_small):
+    from trustlens.operators import descriptive as D
+    from trustlens.operators import report as RP
+    from trustlens.operators import stats as ST
+    assert _scans(D.spt_index_stats(resp_small)) == 1
+    assert _scans(RP.key_insights(resp_small)) <= 4
+    assert _scans(ST.kruskal(resp_small)) <= 2
+    assert _scans(ST.mann_whitney(resp_small)) <= 2
+
+
+def test_no_join_shuffles_rows_by_their_label(spark, resp_small):
+    from trustlens import schema as S
+    from trustlens.ml.pipeline import model_frame
+    frame, _ = model_frame(resp_small, S.FRAUD_TARGET)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning(label" not in plan.split("Subquery")[0]

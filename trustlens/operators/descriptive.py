@@ -124,9 +124,8 @@ def likert_diverging(df: DataFrame, columns: list[str] | None = None) -> DataFra
 def spt_index_stats(df: DataFrame, legacy: bool = False) -> DataFrame:
     """Mean, median, sample std (3 dp) of the SPT index, % index <= 2, % >= 4.
 
-    The index is (sum of items) / (non-null items); the median comes from the
-    histogram of (sum, count) pairs (at most a few hundred groups) and a running
-    count over it -- exact, and no group of raw rows is ever collected.
+    The index is (sum of items) / (non-null items).  Everything comes from one histogram
+    of its values: survey codes give a few hundred values at most, whatever the rows.
     """
     total = sum((F.coalesce(F.col(c), F.lit(0)) for c in S.SPT_COLUMNS), F.lit(0))
     cnt = sum((F.col(c).isNotNull().cast("int") for c in S.SPT_COLUMNS), F.lit(0))
@@ -137,16 +136,15 @@ def spt_index_stats(df: DataFrame, legacy: bool = False) -> DataFrame:
                F.sum(F.col("v") * F.col("n")).alias("sv"),
                F.sum(F.col("v") * F.col("v") * F.col("n")).alias("svv"),
                F.sum(F.when(F.col("v") <= 2.0, F.col("n")).otherwise(0)).alias("npos"),
-               F.sum(F.when(F.col("v") >= 4.0, F.col("n")).otherwise(0)).alias("nneg"))
-    # median: collapse to distinct index values, running count in value order
-    hv = h.groupBy("v").agg(F.sum("n").alias("n"))
-    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = hv.withColumn("cum", F.sum("n").over(w))  # one row per distinct index value
-    N = st.select("N").scalar()
-    lo_rank = F.floor((N - 1) / 2) + 1
-    hi_rank = F.floor(N / 2) + 1
-    lo = cum.where(F.col("cum") >= lo_rank).agg(F.min("v")).scalar()
-    hi = cum.where(F.col("cum") >= hi_rank).agg(F.min("v")).scalar()
+               F.sum(F.when(F.col("v") >= 4.0, F.col("n")).otherwise(0)).alias("nneg"),
+               F.sort_array(F.collect_list(F.struct("v", "n"))).alias("hist"))
+
+    def at(rank):
+        """The value that holds the row of this rank (from 1), by a running count."""
+        return F.expr(f"aggregate(hist, named_struct('seen', 0L, 'v', CAST(NULL AS DOUBLE)),"
+                      f" (a, e) -> named_struct('seen', a.seen + e.n, 'v', IF(a.seen < {rank}, e.v, a.v)), a -> a.v)")
+
+    lo, hi = at("floor((N - 1) / 2) + 1"), at("floor(N / 2) + 1")
     Nd = F.col("N").cast("double")
     var = (F.col("svv") - F.col("sv") * F.col("sv") / Nd) / (Nd - 1)
     d = 2 if legacy else 3  # legacy form: 2 dp and no pct_negative

@@ -58,32 +58,37 @@ def fill(template: str, *values: Column) -> Column:
 
 
 def _population(df: DataFrame) -> DataFrame:
+    """One row: respondents, the counts the texts need, and the adopters per service."""
     p = X.posture_expr()
     return df.agg(F.count(F.lit(1)).alias("n"), F.sum("has_mfa_enabled").alias("mfa"),
                   F.sum("has_experienced_fraud").alias("fraud"),
-                  F.sum((p >= 70).cast("int")).alias("hp"))
+                  F.sum((p >= 70).cast("int")).alias("hp"), *[F.sum(c).alias(c) for c in S.SERVICE_COLUMNS])
+
+
+def _one(df: DataFrame, *columns: str):
+    """The named columns of a one-row table as one scalar."""
+    return df.select(F.struct(*columns)).scalar()
 
 
 def key_insights(df: DataFrame) -> DataFrame:
-    """Seven sentences (ord, text) filled from the result tables."""
-    top = D.service_adoption(df).limit(1)
-    top_channel = top.select("channel").scalar()
-    top_pct = top.select("adoption_pct").scalar()
-    st = D.spt_index_stats(df)
+    """Seven sentences (ord, text) filled from one aggregate over the population and the
+    services, one table of Likert counts and one histogram of the SPT index."""
     counts = D.likert_counts(df)  # one counts plan shared by the Likert values
-    weak = D.weakest_dimension(df, counts)
-    trust_pos = D.likert_summary(df, [S.TRUST_TARGET], counts=counts).select("positive_pct").scalar()
-    pop = _population(df)
+    pop = _population(df).withColumns({
+        "st": _one(D.spt_index_stats(df), "mean", "pct_positive"),
+        "weak": _one(D.weakest_dimension(df, counts), "dimension", "positive_pct", "mean_score"),
+        "trust": _one(D.likert_summary(df, [S.TRUST_TARGET], counts=counts), "positive_pct"),
+        "top": F.array_max(F.array(*[F.struct(X.pct(F.col(w[0]), F.col("n")).alias("pct"), F.lit(-i).alias("place"), F.lit(w[2]).alias("channel"))
+                                     for i, w in enumerate(S.CHANNEL_WEIGHTS)]))})
     n = F.col("n")
     texts = [
-        fill(INSIGHTS[0], top_channel, top_pct),
+        fill(INSIGHTS[0], F.col("top.channel"), F.col("top.pct")),
         fill(INSIGHTS[1], X.pct(F.col("fraud"), n)),
         fill(INSIGHTS[2], X.pct(F.col("mfa"), n)),
-        fill(INSIGHTS[3], st.select("mean").scalar(), st.select("pct_positive").scalar()),
-        fill(INSIGHTS[4], weak.select("dimension").scalar(), weak.select("positive_pct").scalar(),
-             weak.select("mean_score").scalar()),
+        fill(INSIGHTS[3], F.col("st.mean"), F.col("st.pct_positive")),
+        fill(INSIGHTS[4], F.col("weak.dimension"), F.col("weak.positive_pct"), F.col("weak.mean_score")),
         fill(INSIGHTS[5], X.pct(F.col("hp"), n)),
-        fill(INSIGHTS[6], trust_pos),
+        fill(INSIGHTS[6], F.col("trust.positive_pct")),
     ]
     rows = F.array(*[F.struct(F.lit(i + 1).alias("ord"), t.alias("text")) for i, t in enumerate(texts)])
     return pop.select(F.explode(rows).alias("r")).select("r.ord", "r.text")

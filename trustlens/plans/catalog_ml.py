@@ -435,3 +435,72 @@ def q_anomaly_histogram(spark, sf):
     """30 equal-width bins of the 0-100 anomaly score (chart data)."""
     from trustlens.operators.descriptive import histogram
     return histogram(forest_result(spark, sf)["scores"], "anomaly_score", 30)
+
+
+# ---------------------------------------------------------------------------
+# summaries of models over rule-based results that SQL can state
+# ---------------------------------------------------------------------------
+#: An anomaly score by a rule, 0-100 with one decimal, and its flag.
+_RULE_ANOMALY = "round(((respondent_id * 37) % 1001) / 10.0, 1)"
+
+
+def _rule_scores(spark, sf):
+    from trustlens import functions as X
+    score = X.rnd(F.col("respondent_id") * 37 % 1001 / 10.0, 1)
+    return resp(spark, sf).select("respondent_id", score.alias("anomaly_score"), (score < 8).alias("is_anomaly")) \
+        .withColumn("anomaly_tier", X.anomaly_tier(F.col("anomaly_score")))
+
+
+_TIERS = [("Critical", 20), ("High", 40), ("Medium", 60), ("Low", 80), ("Normal", 100)]
+_RULE_ANOMALY_SQL = f", a AS (SELECT respondent_id, {Q.r('((respondent_id * 37) % 1001) / 10.0', 1)} AS score FROM respondents)"
+
+
+@register("rule_anomaly_profile", Q.with_resp(
+    _RULE_ANOMALY_SQL + ", f AS (SELECT respondent_id, " + ", ".join(f"{_FEATURE_SQL.get(c, c)} AS {c}" for c in S.CLUSTER_FEATURES)
+    + " FROM respondents) SELECT CASE WHEN score < 8 THEN 'Anomalous' ELSE 'Normal' END AS \"group\", "
+    + ", ".join(f"{Q.r(f'avg({c})', 3)} AS {c}" for c in S.CLUSTER_FEATURES) + " FROM f JOIN a USING (respondent_id) GROUP BY 1"))
+def q_rule_anomaly_profile(spark, sf):
+    """Feature means of anomalous and normal rows, the flag given by a rule."""
+    from trustlens.operators.features import cluster_features
+    return AN.anomaly_profile(_rule_scores(spark, sf), cluster_features(resp(spark, sf)))
+
+
+def _rule_metrics(spark, sf):
+    """Metrics of three rules (risk score over 30, 40, 50) as fraud predictors."""
+    out = None
+    for i, cut in enumerate((30, 40, 50)):
+        pred = _rule_frame(spark, sf).withColumn("prediction", (F.col("score") > cut).cast("double"))
+        one = M.class_metrics(pred).select(F.lit(f"over {cut}").alias("model"), F.lit(i).alias("ord"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _rule_metrics_sql() -> str:
+    parts, ctes = [], []
+    for i, cut in enumerate((30, 40, 50)):
+        body = _metrics_sql().replace("> 40", f"> {cut}")
+        names = ("p", "conf", "sup", "prd", "per", "pr", "f")
+        for n in names:
+            body = body.replace(f", {n} AS (", f", {n}{i} AS (").replace(f" {n} AS (", f" {n}{i} AS (")
+            body = body.replace(f"FROM {n} ", f"FROM {n}{i} ").replace(f"FROM {n})", f"FROM {n}{i})").replace(f"JOIN {n} ", f"JOIN {n}{i} ")
+        body = body.replace("sup.", f"sup{i}.").replace("prd.", f"prd{i}.")
+        cte, _, select = body.rpartition(" SELECT ")
+        ctes.append(cte)
+        select = select.rpartition(" FROM f")[0]
+        parts.append(f"SELECT 'over {cut}' AS model, {i} AS ord, {select} FROM f{i}")
+    return "".join(ctes) + ", metrics AS (" + " UNION ALL ".join(parts) + ")"
+
+
+@register("rule_metrics_long", Q.with_resp(
+    _rule_metrics_sql() + " SELECT model, metric, value FROM (SELECT model, accuracy, f1, precision, recall FROM metrics)"
+    " UNPIVOT (value FOR metric IN (accuracy, f1, precision, recall))"))
+def q_rule_metrics_long(spark, sf):
+    """Long form (model, metric, value) of the metrics of three rules."""
+    return MD.metrics_long(_rule_metrics(spark, sf).drop("ord"))
+
+
+@register("rule_best_model", Q.with_resp(
+    _rule_metrics_sql() + " SELECT model AS best_model, f1 FROM metrics ORDER BY f1 DESC, ord LIMIT 1"))
+def q_rule_best_model(spark, sf):
+    """The rule with the highest weighted F1, the first on a tie."""
+    return MD.best_model(_rule_metrics(spark, sf), "f1")
