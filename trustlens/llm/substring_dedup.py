@@ -49,8 +49,8 @@ from trustlens.session import materialize, scratch_path
 LEAST = 100
 GRAM = 32
 #: Bytes whose hashes are held at once, and text of one batch of anchors.
-PIECE = 1 << 21
-GROUP_BYTES = 1 << 23
+PIECE = 1 << 20
+GROUP_BYTES = 1 << 22
 #: Contexts of one anchor that one task takes, and contexts taken together.
 GROUP_ROWS = 50_000
 TREE_ROWS = 16_384
