@@ -78,7 +78,7 @@ def test_words_are_cut_as_by_the_library(name):
 
     import pyarrow as pa
 
-    from trustlens.llm.bpe_words import encode_batch, encode_words, load_tokenizer, odd_texts
+    from trustlens.llm.bpe_words import encode_batch, encode_words, load_tokenizer, odd_texts, word_tails
     split, _ = LIBRARY[name]
     lib = load_tokenizer(spec_of(name))
     rnd = random.Random(12)
@@ -88,7 +88,7 @@ def test_words_are_cut_as_by_the_library(name):
     given += ["".join(rnd.choice(more) for _ in range(rnd.randrange(1, 14))) for _ in range(4000)]
     texts = pa.array(given)
     assert not odd_texts(texts, split).any()
-    ids, counts = encode_batch(texts, split, lambda ws: encode_words(lib, ws), lib)
+    ids, counts = encode_batch(texts, split, lambda ws: encode_words(lib, ws, word_tails(lib)), lib)
     want = [e.ids for e in lib.encode_batch_fast(given, add_special_tokens=False)]
     got = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
     assert [(t, a, b) for t, a, b in zip(given, got, want, strict=True) if a != b] == []

@@ -117,7 +117,12 @@ def cut(texts: pa.Array, how: WordSplit) -> tuple[pa.Array, np.ndarray]:
     per_text = np.diff(np.searchsorted(begins, offsets))
     ends = np.append(begins, n).astype(np.int32)
     words = pa.StringArray.from_buffers(len(begins), pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes()))
-    return words, per_text
+    if how.glued:
+        return words, per_text
+    seen = run[begins] != GAP  # white space is no word here
+    before = np.concatenate([[0], np.cumsum(seen)])
+    at = np.concatenate([[0], np.cumsum(per_text)])
+    return words.filter(pa.array(seen)), np.diff(before[at])
 
 
 def load_tokenizer(spec: str):
@@ -131,17 +136,37 @@ def load_tokenizer(spec: str):
     return t
 
 
-def encode_words(tokenizer, words: list[str], step: int = 1024) -> list[bytes]:
+WORD_TAIL = "</w>"
+
+
+def word_tails(tokenizer) -> np.ndarray | None:
+    """Which ids end a word, if the vocabulary marks word ends; else None."""
+    vocab = tokenizer.get_vocab(with_added_tokens=False)
+    tails = np.zeros(max(vocab.values()) + 1, dtype=bool)
+    tails[[i for piece, i in vocab.items() if piece.endswith(WORD_TAIL)]] = True
+    return tails if tails.any() else None
+
+
+def encode_words(tokenizer, words: list[str], tails: np.ndarray | None = None, step: int = 1024) -> list[bytes]:
     """The ids of each word, as little-endian unsigned 32-bit integers.  Words go to the
-    library many at a time, with a special token between them: it cuts a text there
-    before anything else, and no word holds one."""
+    library many at a time.  Where the vocabulary marks word ends (``tails``) they stand
+    apart by a blank; else by a special token: it cuts a text there before anything
+    else, and no word holds one."""
     special = "<|endoftext|>"
     mark = tokenizer.token_to_id(special)
     out: list[bytes] = []
     for a in range(0, len(words), step):
-        ids = np.array(tokenizer.encode(special.join(["", *words[a:a + step], ""]), add_special_tokens=False).ids, dtype="<u4")
-        raw, cuts = ids.tobytes(), (np.flatnonzero(ids == mark) * 4).tolist()
-        out += [raw[i + 4:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        text = " ".join(words[a:a + step]) if tails is not None else special.join(["", *words[a:a + step], ""])
+        ids = np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        raw = ids.tobytes()
+        if tails is not None:
+            ends = ((np.flatnonzero(tails[ids]) + 1) * 4).tolist()
+            out += [raw[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+        else:
+            cuts = (np.flatnonzero(ids == mark) * 4).tolist()
+            out += [raw[i + 4:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+    if len(out) != len(words):
+        raise ValueError("the library cut a word otherwise")
     return out
 
 

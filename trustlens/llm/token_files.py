@@ -30,7 +30,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trustlens.llm.bpe_words import WORD_END, WordSplit, encode_batch, encode_words, load_tokenizer
+from trustlens.llm.bpe_words import WORD_END, WordSplit, encode_batch, encode_words, load_tokenizer, word_tails
 from trustlens.llm.common import bounded_batches, by_bytes, documents, text_or_empty
 from trustlens.session import scratch_path
 
@@ -38,7 +38,7 @@ MAGIC = b"TOKREC01"
 MASK_DELTA = 0xA282EAD8
 #: Words that a Python worker keeps with their ids, the first that it meets; they have
 #: at most so many characters.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 200_000
 MEMO_CHARS = 32
 #: Files for each shuffle partition: evens out what a task writes.
 FILES_PER_PARTITION = 4
@@ -68,7 +68,7 @@ def unframe(record: bytes) -> bytes:
 
 
 _MEMO: dict[str, bytes] = {}
-_LOADED: dict[int, object] = {}
+_LOADED: dict[int, tuple] = {}
 
 
 def _tokenizer(spec: str):
@@ -76,17 +76,18 @@ def _tokenizer(spec: str):
     if key not in _LOADED:
         _MEMO.clear()
         _LOADED.clear()
-        _LOADED[key] = load_tokenizer(spec)
+        tokenizer = load_tokenizer(spec)
+        _LOADED[key] = tokenizer, word_tails(tokenizer)
     return _LOADED[key]
 
 
 def _encoder(spec, split: WordSplit, end_id: int, dtype: str, bounds: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(spec.value)
+        tokenizer, tails = _tokenizer(spec.value)
 
         def lookup(words: list[str]) -> list:
             new = [w for w in words if w not in _MEMO]
-            own = dict(zip(new, encode_words(tokenizer, new), strict=True))
+            own = dict(zip(new, encode_words(tokenizer, new, tails), strict=True))
             _MEMO.update((w, own[w]) for w in islice((w for w in new if len(w) <= MEMO_CHARS), max(0, MEMO_WORDS - len(_MEMO))))
             return [own[w] if w in own else _MEMO[w] for w in words]
 
@@ -141,7 +142,7 @@ def write_token_files(docs: DataFrame, folder: str, spec: str, split: WordSplit,
     lies as Parquet in ``folder/index``.  ``spec``: the tokenizer's JSON text; ``ids``:
     the size of its vocabulary (two bytes an id if that is enough)."""
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, 1024)
     width = 2 if max(ids, end_id + 1) <= 1 << 16 else 4
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     files = partitions * FILES_PER_PARTITION
