@@ -124,9 +124,11 @@ def join_cluster_label(assigned: DataFrame) -> DataFrame:
     return assigned.join(F.broadcast(cluster_labels(assigned)), "cluster_id", "left")
 
 
-def run_clustering(df: DataFrame, cfg: ClusterSettings | None = None) -> dict:
+def run_clustering(df: DataFrame, cfg: ClusterSettings | None = None, scaled: DataFrame | None = None) -> dict:
+    """Sweep, final model, PCA, labels and profiles.  ``scaled``: ``scaled_features(df)``
+    if there already."""
     cfg = cfg or ClusterSettings()
-    scaled = scaled_features(df)
+    scaled = scaled_features(df) if scaled is None else scaled
     pca_model, _ = pca(scaled)
     # sweep fits and the final restarts share one pool of driver threads
     with ThreadPoolExecutor(max_workers=cfg.parallelism) as pool:

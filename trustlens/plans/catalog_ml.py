@@ -59,14 +59,18 @@ def trust_result(spark, sf):
         resp(spark, sf), S.TRUST_TARGET, MD.ModelSettings.registered()))
 
 
+def scaled_result(spark, sf):
+    return _cached(spark, sf, "scaled", lambda: CL.scaled_features(resp(spark, sf)))
+
+
 def cluster_result(spark, sf):
     return _cached(spark, sf, "cluster", lambda: CL.run_clustering(
-        resp(spark, sf), CL.ClusterSettings()))
+        resp(spark, sf), CL.ClusterSettings(), scaled_result(spark, sf)))
 
 
 def forest_result(spark, sf):
     def make():
-        scaled = cluster_result(spark, sf)["scaled"]
+        scaled = scaled_result(spark, sf)
         return AN.isolation_forest(scaled, S.CLUSTER_FEATURES, AN.ForestSettings())
     return _cached(spark, sf, "iforest", make)
 
@@ -331,11 +335,9 @@ def q_best_k(spark, sf):
 @register("pca")
 def q_pca(spark, sf):
     """Two principal components per row and the explained variance %."""
-    res = cluster_result(spark, sf)
-    ev = res["explained_variance_pct"]
-    return res["assignments"].select("respondent_id", "pca_1", "pca_2",
-                                     F.lit(ev[0]).alias("explained_var_1"),
-                                     F.lit(ev[1]).alias("explained_var_2"))
+    model, rows = CL.pca(scaled_result(spark, sf))
+    ev = [round(float(v) * 100, 1) for v in model.explainedVariance.toArray()]
+    return rows.select("respondent_id", "pca_1", "pca_2", F.lit(ev[0]).alias("explained_var_1"), F.lit(ev[1]).alias("explained_var_2"))
 
 
 @register("run_clustering")
@@ -425,9 +427,8 @@ def q_anomaly_summary(spark, sf):
 
 @register("anomaly_profile")
 def q_anomaly_profile(spark, sf):
-    res = cluster_result(spark, sf)
     return AN.anomaly_profile(forest_result(spark, sf)["scores"],
-                              res["scaled"].select("respondent_id", *S.CLUSTER_FEATURES))
+                              scaled_result(spark, sf).select("respondent_id", *S.CLUSTER_FEATURES))
 
 
 @register("anomaly_histogram")
