@@ -11,3 +11,12 @@ def test_run_all_without_ml(spark, resp_small, tmp_path):
         assert os.path.isdir(os.path.join(out, "parquet", name))
     back = spark.read.parquet(os.path.join(out, "parquet", "scale_reliability"))
     assert back.count() == 6
+
+
+def test_release_deletes_intermediate_tables(spark, monkeypatch, tmp_path):
+    from trustlens import session
+    monkeypatch.setattr(session, "ensure_checkpoint_dir", lambda s: str(tmp_path))
+    kept = session.materialize(spark.range(5), "some")
+    assert kept.count() == 5 and os.listdir(tmp_path / "tables")
+    session.release(spark)
+    assert not os.path.exists(tmp_path / "tables")

@@ -91,7 +91,7 @@ def main() -> None:
     ap.add_argument("--out", required=True)
     ap.add_argument("--skip-ml", action="store_true")
     a = ap.parse_args()
-    from trustlens.session import get_session
+    from trustlens.session import get_session, release
     spark = get_session()
     if a.survey:
         df = SV.read_survey(spark, a.survey, "csv")
@@ -100,6 +100,7 @@ def main() -> None:
         df = respondents_table(spark, a.tpch)
     for name, sec in run_all(spark, df, a.out, a.skip_ml).items():
         print(f"{name:28s} {sec:8.2f}s")
+    release(spark)
 
 
 if __name__ == "__main__":

@@ -101,3 +101,11 @@ def materialize(df, name: str):
     path = scratch_path(spark, f"{name}_{uuid.uuid4().hex[:8]}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def release(spark) -> None:
+    """End of a run: drop cached tables and delete the written intermediate tables of
+    this application (results that are still lazy can't be read after this)."""
+    spark.catalog.clearCache()
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, ""))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
