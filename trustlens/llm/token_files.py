@@ -86,10 +86,14 @@ def _encoder(spec, split: WordSplit, end_id: int, dtype: str, bounds: list[int])
         tokenizer, tails = _tokenizer(spec.value)
 
         def lookup(words: list[str]) -> list:
-            new = [w for w in words if w not in _MEMO]
-            own = dict(zip(new, encode_words(tokenizer, new, tails), strict=True))
-            _MEMO.update((w, own[w]) for w in islice((w for w in new if len(w) <= MEMO_CHARS), max(0, MEMO_WORDS - len(_MEMO))))
-            return [own[w] if w in own else _MEMO[w] for w in words]
+            known = list(map(_MEMO.get, words))
+            missing = [i for i, ids in enumerate(known) if ids is None]
+            own = encode_words(tokenizer, [words[i] for i in missing], tails)
+            for i, ids in zip(missing, own, strict=True):
+                known[i] = ids
+            if len(_MEMO) < MEMO_WORDS:
+                _MEMO.update(islice(((words[i], known[i]) for i in missing if len(words[i]) <= MEMO_CHARS), MEMO_WORDS - len(_MEMO)))
+            return known
 
         for b in (part for batch in batches for part in by_bytes(batch, "text")):
             ids, counts = encode_batch(b.column("text"), split, lookup, tokenizer)
