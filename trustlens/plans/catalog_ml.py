@@ -505,3 +505,13 @@ def q_rule_metrics_long(spark, sf):
 def q_rule_best_model(spark, sf):
     """The rule with the highest weighted F1, the first on a tie."""
     return MD.best_model(_rule_metrics(spark, sf), "f1")
+
+
+#: What several queries share, and for each of those queries the last fit it needs.
+FITS = {"scaled": scaled_result, "iforest": forest_result, "cluster": cluster_result, "fraud": fraud_result, "trust": trust_result}
+FITTED = {
+    "pca": "scaled", "isolation_forest": "iforest", "anomaly_summary": "iforest", "anomaly_profile": "iforest", "anomaly_histogram": "iforest",
+    "kmeans": "cluster", "silhouette": "cluster", "best_k": "cluster", "run_clustering": "cluster", "cluster_profiles": "cluster",
+    "attach_scores": "cluster", "sink_models": "fraud", "fraud_classifier": "fraud", "logistic": "fraud", "random_forest": "fraud",
+    "boosted_trees": "fraud", "cv_score": "fraud", "metrics_long": "fraud", "feature_importance": "fraud", "tree_attribution": "fraud",
+    "attribution_table": "fraud", "roc_curve_models": "fraud", "trust_classifier": "trust", "best_model": "trust", "top_features": "trust"}
