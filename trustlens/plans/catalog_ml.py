@@ -6,8 +6,8 @@ SQL can state).  Model training (k-means, PCA, forests, boosting, isolation
 forest, attributions) has none: the driver records row counts only, and the
 tests check invariants.
 
-The registered queries train at the reference's sizes but for the rounds of the
-boosted trees (``ModelSettings.registered``).  Fitted results are kept per Spark
+The registered queries train at the reference's sizes but for the numbers of trees of
+the forest and the booster (``ModelSettings.registered``).  Fitted results are kept per Spark
 application, data folder and state of its files, so the queries that share a fit
 (metrics, importance, best model, ...) fit once.
 """
