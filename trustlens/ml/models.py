@@ -50,8 +50,8 @@ class ModelSettings:
 
     @staticmethod
     def registered() -> "ModelSettings":
-        """The reference's sizes but for the numbers of trees: README has figures."""
-        return ModelSettings(rf_trees=60, gbt_rounds=20, gbt_step=0.3)
+        """The reference's sizes but for the numbers of trees and the booster's depth: README has figures."""
+        return ModelSettings(rf_trees=60, gbt_rounds=20, gbt_depth=4, gbt_step=0.3)
 
 
 def estimators(n_train: int, n_classes: int, cfg: ModelSettings, parallelism: int = 1) -> dict:
