@@ -81,3 +81,33 @@ def test_no_labels_repeated_rows_and_empty_tables(spark):
     one = spark.createDataFrame([(1, 1, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")
     assert len({s for _, s in rows(Q.score(df, Q.train(df, one)))}) == 1
     assert rows(Q.score(docs(spark, []), Q.train(docs(spark, []), none))) == []
+
+
+def test_lines_after_the_300th_are_learned(spark):
+    rnd = random.Random(5)
+    line = lambda: " ".join("".join(rnd.choice("etaoinshr") for _ in range(rnd.randrange(2, 8))) for _ in range(6))
+    good = [int(i % 2 == 0) for i in range(60)]
+    texts = ["\n".join([line() for _ in range(300)] + [line() if y else line().upper() + "!!" for _ in range(300)]) for y in good]
+    df = docs(spark, texts)
+    labels = spark.createDataFrame([(i, y, 0) for i, y in enumerate(good)], "doc_id long, quality int, toxic int")
+    got = dict(rows(Q.score(df, Q.train(df, labels))))
+    assert all((got[i] >= Q.THRESHOLD) == bool(y) for i, y in enumerate(good))
+    assert [r.doc_id for r in Q.keep_good(df, labels).orderBy("doc_id").collect()] == [i for i, y in enumerate(good) if y]
+
+
+def test_one_row_of_a_repeated_doc_id_is_learned(spark):
+    texts, good = corpus(9, 60)
+    labels = spark.createDataFrame([(i, y, 0) for i, y in enumerate(good)], "doc_id long, quality int, toxic int")
+    df = docs(spark, texts)
+    ids = [i for i, y in enumerate(good) if not y and zlib.crc32(str(i).encode()) % 4 != 2][:1]
+    more = docs(spark, ["~ " + "etaoin shr " * 40] * 300, ids * 300)  # sorts after every text of the corpus
+    assert dict(rows(Q.score(df, Q.train(df.unionAll(more), labels)))) == dict(rows(Q.score(df, Q.train(df, labels))))
+
+
+def test_chains_in_pieces():
+    rnd = np.random.default_rng(2)
+    lines = np.array([1, 40, 16, 17, 3, 100])
+    unary, pair = rnd.normal(size=lines.sum()) * 3, rnd.normal(size=(2, 2))
+    whole = Q.chain(unary, lines, pair, piece=1000)
+    for piece in (1, 8, 16, 33):
+        assert all(np.allclose(a, b) for a, b in zip(whole, Q.chain(unary, lines, pair, piece), strict=True))

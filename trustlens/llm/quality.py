@@ -6,12 +6,14 @@ on lines that take the label of their document; forward-backward gives each line
 probability to be good, their mean weighted by line length gives the document's, and a
 logistic curve fitted to the training documents turns it into a score.
 
-Training takes at most TRAIN_DOCS labelled documents, those of smallest hash, and of
-each the first TRAIN_LINES lines; only their line features come to the driver.  Scoring
+Training takes at most TRAIN_DOCS labelled documents, those of smallest hash, each with
+its whole text.  Only the features of their lines come to the driver, 72 bytes a line;
+more than spark.driver.maxResultSize of them is an error, never a shorter text.  Scoring
 takes whole texts.
 
 Defined results: a null or empty text is one empty line.  Labels that are null are left
-out; of several for a doc_id the smallest counts.  Without labels, or with one kind only,
+out; of several for a doc_id the smallest counts, and training takes the smallest text of
+a doc_id with several rows.  Without labels, or with one kind only,
 all scores are equal: the share of good labels (a half without any).  Rows that repeat a
 doc_id each get a row.  Columns other than doc_id and text are not read.
 """
@@ -28,9 +30,10 @@ from pyspark.sql import functions as F
 from trustlens.llm.common import bounded_batches, by_bytes, documents, powers, table, text_or_empty
 
 TRAIN_DOCS = 4000
-TRAIN_LINES = 300
 THRESHOLD = 0.7
 STEPS = 150
+#: Lines of a chain walked one by one.
+PIECE = 256
 HASH_BASE = 0x100000001B3
 
 UPPER, LOWER, HIGH, DIGIT, SPACE, STOP, MARK, OTHER = range(8)
@@ -49,9 +52,9 @@ KINDS = _byte_kinds()
 FEATURES = ["upper", "high", "digit", "space", "stop", "mark", "other", "pipe", "run", "word_length", "word_ends", "size", "repeated", "echo", "echo2", "there"]
 
 
-def line_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features, bytes, lines) of texts that lie end to end: a row per line, the bytes
-    of each line and the number of lines of each text."""
+def own_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, bytes, lines) of texts that lie end to end: a row per line without its
+    neighbours, the bytes of each line and the number of lines of each text."""
     breaks = np.flatnonzero(data == 10)
     first = np.searchsorted(breaks, starts)
     lines = np.searchsorted(breaks, ends) - first + 1
@@ -101,7 +104,20 @@ def line_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tup
         by[UPPER] / letters, by[HIGH] / n, by[DIGIT] / n, by[SPACE] / n, by[STOP] / words, by[MARK] / words, by[OTHER] / words,
         count(data == 124) / words, count(again) / words, np.log1p((size - by[SPACE]) / words), count(closed) / words,
         np.log1p(size), (times[which] > 1) & (size > 0), echo(1), echo(2), np.ones(total)], axis=1).astype(np.float32)
-    inner = number > 0
+    return own, size, lines
+
+
+def not_first(lines: np.ndarray) -> np.ndarray:
+    """Of each line, whether one of the same text stands before it."""
+    inner = np.ones(int(lines.sum()), dtype=bool)
+    inner[np.cumsum(lines) - lines] = False
+    return inner
+
+
+def line_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``own_features`` with those of the line before and of the next beside them."""
+    own, size, lines = own_features(data, starts, ends)
+    inner = not_first(lines)
     before = np.zeros_like(own)
     before[1:][inner[1:]] = own[:-1][inner[1:]]
     after = np.zeros_like(own)
@@ -109,28 +125,47 @@ def line_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tup
     return np.concatenate([own, before, after], axis=1), size, lines
 
 
-def chain(unary: np.ndarray, lines: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def messages(unary: np.ndarray, lines: np.ndarray, pair: np.ndarray, piece: int) -> np.ndarray:
+    """Log odds of what stands before each line of its chain.  Long chains are cut into
+    pieces: the odds a piece passes on follow from its matrix, all pieces' taken at once."""
+    head, out = np.cumsum(lines) - lines, np.zeros(len(unary))
+    count = np.maximum(-(-lines // piece), 1)
+    first = np.cumsum(count) - count
+    number = np.arange(int(count.sum())) - np.repeat(first, count)
+    start = np.repeat(head, count) + number * piece
+    n = np.minimum(piece, np.repeat(lines, count) - number * piece)
+    pieces = int(count.max()) if len(count) else 0
+    if pieces > 1:
+        goes_on = number < np.repeat(count, count) - 1
+        # rows good and bad, columns the good and bad that come in
+        m = np.where(np.eye(2, dtype=bool), 0.0, -np.inf)[:, :, None] + np.zeros(int(goes_on.sum()))
+        for t in range(piece):
+            good = m[0] + unary[start[goes_on] + t]
+            m = np.stack([np.logaddexp(good + pair[1, 1], m[1] + pair[0, 1]), np.logaddexp(good + pair[1, 0], m[1] + pair[0, 0])])
+            m -= m.max(axis=(0, 1))
+        place = np.cumsum(goes_on) - 1
+        for k in range(1, pieces):
+            at = first[count > k] + k - 1
+            odds, ((a, b), (c, d)) = out[start[at]], m[:, :, place[at]]
+            out[start[at + 1]] = np.logaddexp(odds + a, b) - np.logaddexp(odds + c, d)
+    order = np.argsort(-n, kind="stable")
+    start, longest = start[order], int(n.max()) if len(n) else 0
+    active = np.searchsorted(-n[order], -np.arange(longest), side="left")  # pieces with more than t lines
+    for t in range(1, longest):
+        i = start[:active[t]] + t
+        odds = out[i - 1] + unary[i - 1]
+        out[i] = np.logaddexp(odds + pair[1, 1], pair[0, 1]) - np.logaddexp(odds + pair[1, 0], pair[0, 0])
+    return out
+
+
+def chain(unary: np.ndarray, lines: np.ndarray, pair: np.ndarray, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Forward-backward over chains of two labels (1 good, 0 bad), in log odds.
 
     ``unary``: log odds of good of every line; ``pair[i, j]``: log weight of label j
     after i.  Returns the forward and backward messages (log odds of what stands before
     and after a line) and the probability that it is good."""
-    head = np.cumsum(lines) - lines
-    order = np.argsort(-lines, kind="stable")
-    head, longest = head[order], int(lines.max()) if len(lines) else 0
-    active = np.searchsorted(-lines[order], -np.arange(longest), side="left")  # chains with more than t lines
-    forward, backward = np.zeros(len(unary)), np.zeros(len(unary))
-
-    def step(odds: np.ndarray, p: np.ndarray) -> np.ndarray:
-        return np.logaddexp(odds + p[1, 1], p[0, 1]) - np.logaddexp(odds + p[1, 0], p[0, 0])
-
-    for t in range(1, longest):
-        i = head[:active[t]] + t
-        forward[i] = step(forward[i - 1] + unary[i - 1], pair)
-    tail = head + lines[order] - 1
-    for t in range(1, longest):
-        i = tail[:active[t]] - t
-        backward[i] = step(backward[i + 1] + unary[i + 1], pair.T)
+    forward = messages(unary, lines, pair, piece)
+    backward = messages(unary[::-1], lines[::-1], pair.T, piece)[::-1]
     odds = forward + unary + backward
     return forward, backward, 1 / (1 + np.exp(-np.clip(odds, -60, 60)))
 
@@ -163,48 +198,74 @@ def log_odds(p: np.ndarray) -> np.ndarray:
 
 
 def fit_curve(value: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> tuple[float, float]:
-    """A logistic curve by Newton steps; the slope is drawn towards one."""
-    a, b = 1.0, 0.0
+    """A logistic curve by Newton steps, halved until they descend; the slope is drawn
+    towards one."""
     x = np.stack([value, np.ones(len(value))], axis=1)
+    pull, aim = np.array([penalty, 0.01]), np.array([1.0, 0.0])
+
+    def loss(c: np.ndarray) -> float:
+        z = x @ c
+        return float((np.logaddexp(0, z) - y * z).sum() + 0.5 * pull @ (c - aim) ** 2)
+
+    c = aim.copy()
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ [a, b], -30, 30)))
-        grad = x.T @ (p - y) + [penalty * (a - 1), 0.01 * b]
-        hess = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag([penalty, 0.01])
-        da, db = np.linalg.solve(hess, grad)
-        a, b = a - da, b - db
-    return float(max(a, 0.05)), float(b)
-
-
-def fit(x: np.ndarray, size: np.ndarray, lines: np.ndarray, y: np.ndarray, steps: int = STEPS, penalty: float = 1e-3) -> Field:
-    """Train on documents with ``lines`` lines each (rows of ``x``) and labels ``y``."""
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
-    z = (x - mean) / scale
+        p = 1 / (1 + np.exp(-np.clip(x @ c, -30, 30)))
+        grad = x.T @ (p - y) + pull * (c - aim)
+        hess = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(pull)
+        step, now = np.linalg.solve(hess, grad), loss(c)
+        while loss(c - step) > now and np.abs(step).max() > 1e-9:
+            step = step / 2
+        c = c - step
+    return float(max(c[0], 0.05)), float(c[1])
+
+
+def fit(own: np.ndarray, size: np.ndarray, lines: np.ndarray, y: np.ndarray, steps: int = STEPS, penalty: float = 1e-3) -> Field:
+    """Train on documents with ``lines`` lines each (rows of ``own``) and labels ``y``.
+    The neighbours' features are never laid out: products with them are shifted."""
+    inner = not_first(lines)
+    nxt = np.flatnonzero(inner)
+
+    def apply(w: np.ndarray) -> np.ndarray:
+        """The features of lines and neighbours times ``w``."""
+        part = own @ w.reshape(3, -1).T
+        out = part[:, 0].copy()
+        out[nxt] += part[nxt - 1, 1]
+        out[nxt - 1] += part[nxt, 2]
+        return out
+
+    def collect(rows: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """``v`` times the features ``rows`` of lines and neighbours."""
+        return np.concatenate([v @ rows, (v[1:] * inner[1:]) @ rows[:-1], (v[:-1] * inner[1:]) @ rows[1:]])
+
+    each = np.full(len(own), 1 / len(own))
+    mean = collect(own, each)
+    scale = np.sqrt(np.maximum(collect(own ** 2, each) - mean ** 2, 0)) + 1e-3
     label = np.repeat(y, lines).astype(float)
     # every document weighs the same, and both labels together
     share = np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y == 0).sum(), 1))
     weight = np.repeat(share / lines, lines)
-    inner = np.ones(len(label), dtype=bool)
-    inner[np.cumsum(lines) - lines] = False
-    nxt = np.flatnonzero(inner)
     pairs_seen = np.zeros((2, 2))
     for k in (0, 1):
         pairs_seen[k, k] = weight[nxt][label[nxt] == k].sum()
-    theta = np.zeros(z.shape[1] + 5)
+    theta = np.zeros(len(mean) + 5)
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, steps + 1):
-        w, bias, pair = theta[:-5], theta[-5], theta[-4:].reshape(2, 2)
-        unary = z @ w + bias
+        w, bias, pair = theta[:-5] / scale, theta[-5], theta[-4:].reshape(2, 2)
+        unary = apply(w) + (bias - mean @ w)
         forward, backward, good = chain(unary, lines, pair)
         before, after = (forward + unary)[nxt - 1], (unary + backward)[nxt]
         joint = np.stack([np.zeros(len(nxt)) + pair[0, 0], after + pair[0, 1], before + pair[1, 0], before + after + pair[1, 1]], axis=1)
         joint = np.exp(joint - joint.max(axis=1, keepdims=True))
         joint /= joint.sum(axis=1, keepdims=True)
         error = weight * (good - label)
-        grad = np.concatenate([z.T @ error, [error.sum()], (weight[nxt] @ joint) - pairs_seen.ravel()]) + penalty * theta
+        grad = np.concatenate([(collect(own, error) - mean * error.sum()) / scale, [error.sum()], (weight[nxt] @ joint) - pairs_seen.ravel()]) + penalty * theta
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad ** 2
-        theta -= 0.1 * (first / (1 - 0.9 ** t)) / (np.sqrt(second / (1 - 0.99 ** t)) + 1e-9)
+        # smaller steps towards the end: one step moves all lines of a long chain
+        theta -= 0.1 * (1 - (t - 1) / steps) * (first / (1 - 0.9 ** t)) / (np.sqrt(second / (1 - 0.99 ** t)) + 1e-9)
+    w, bias, pair = theta[:-5] / scale, theta[-5], theta[-4:].reshape(2, 2)
+    good = chain(apply(w) + (bias - mean @ w), lines, pair)[2]
     field = Field(mean, scale, theta[:-5], theta[-5], theta[-4:].reshape(2, 2), (1.0, 0.0))
-    field.curve = fit_curve(log_odds(length_weighted(field.good(x, lines), size, lines)), y)
+    field.curve = fit_curve(log_odds(length_weighted(good, size, lines)), y)
     return field
 
 
@@ -225,8 +286,9 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS, max_lines: int = TRAIN_LINES) -> Field:
-    """Fit on the labelled documents that are not held out, ``max_docs`` at most."""
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS) -> Field:
+    """Fit on the labelled documents that are not held out, ``max_docs`` at most,
+    one row and the whole text of each."""
     spark = docs.sparkSession
     bounded_batches(spark)
     taken = (labels.select("doc_id", "quality").filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -235,24 +297,25 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS, max_li
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in by_bytes(b, "text"):
-                x, size, lines = line_features(*_layout(part.column("text")))
-                cut, rows = np.cumsum(lines) - lines, []
-                for i, (at, n) in enumerate(zip(cut, np.minimum(lines, max_lines), strict=True)):
-                    rows.append((x[at:at + n].astype(np.float32).tobytes(), size[at:at + n].astype(np.int64).tobytes()))
+                x, size, lines = own_features(*_layout(part.column("text")))
+                rows = [(x[at:at + n].tobytes(), size[at:at + n].astype(np.int64).tobytes())
+                        for at, n in zip(np.cumsum(lines) - lines, lines, strict=True)]
                 xs, sizes = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), pa.array(xs, pa.binary()), pa.array(sizes, pa.binary())],
                                                  names=["doc_id", "quality", "x", "size"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     taken = taken.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    got = own.join(F.broadcast(taken), "doc_id").mapInArrow(features, "doc_id long, quality int, x binary, size binary")  # max_docs rows at most
-    rows = sorted(got.collect(), key=lambda r: (r.doc_id, r.x))[:2 * max_docs]
+    # max_docs rows at most
+    one = own.join(F.broadcast(taken), "doc_id").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("text").alias("text"))
+    rows = sorted(one.mapInArrow(features, "doc_id long, quality int, x binary, size binary").collect(), key=lambda r: r.doc_id)
     y = np.array([int(r.quality == 1) for r in rows])
     if len(set(y.tolist())) < 2:
         return constant_field((y.sum() + 0.5) / (len(y) + 1))
     size = [np.frombuffer(r.size, dtype=np.int64) for r in rows]
-    x = np.concatenate([np.frombuffer(r.x, dtype=np.float32).reshape(len(s), -1) for r, s in zip(rows, size, strict=True)])
-    return fit(x.astype(np.float64), np.concatenate(size), np.array([len(s) for s in size]), y)
+    x = np.concatenate([np.frombuffer(r.x, dtype=np.float32) for r in rows], dtype=np.float64).reshape(-1, len(FEATURES))
+    del rows
+    return fit(x, np.concatenate(size), np.array([len(s) for s in size]), y)
 
 
 def score(docs: DataFrame, field: Field, keep: bool = False) -> DataFrame:
