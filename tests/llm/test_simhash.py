@@ -88,3 +88,17 @@ def test_components(spark):
     got = dict(rows(components(spark.createDataFrame(links, "a long, b long"))))
     want = {i: 0 for i in range(61)} | {100 + i: 100 for i in range(50)} | {400: 400, 500: 400, 450: 400}
     assert got == want
+
+
+def test_keep_one_rows_without_or_with_repeated_ids(spark):
+    pairs = [(7, "a b c d"), (7, "a b c d"), (None, "a b c d"), (2, "a  b c D"),  # component 2
+             (None, "x y z"), (None, "x  y Z"), (None, "x y z"),  # without an id
+             (None, "k l m n o"),  # alone
+             (1, "p q r s"), (9, "p q r s"),  # component 1
+             (9, "m n o p"), (9, "m n o p"), (None, "m n o p"),  # component 9
+             (4, None), (None, "")]
+    df = docs(spark, [t for _, t in pairs], [i for i, _ in pairs])
+    assert rows(S.keep_one(df).select("doc_id", "text")) == sorted(
+        [(2, "a  b c D"), (None, "x  y Z"), (None, "k l m n o"), (1, "p q r s"), (9, "m n o p"), (9, "m n o p"), (4, None)], key=repr)
+    alone = df.filter("doc_id is null and text like 'x%'")
+    assert rows(S.keep_one(alone).select("doc_id", "text")) == [(None, "x  y Z")]

@@ -17,6 +17,7 @@ doc_id and text are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations, islice
 
 import numpy as np
@@ -174,24 +175,48 @@ def near_links(distinct: DataFrame, n: int, budget: int = MAX_DISTANCE, subtree:
     return pairs.groupBy("p", "q").applyInArrow(_walker(depth, budget), "a long, b long")
 
 
-def near_groups(docs: DataFrame, k: int = SHINGLE_WORDS, budget: int = MAX_DISTANCE, subtree: int = SUBTREE) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
+def _members(docs: DataFrame, k: int, budget: int, subtree: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of every document, and (fp, root, component_id) of every fingerprint."""
     prints = materialize(fingerprints(docs, k), "simhash_fingerprints")
     least = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash_distinct")
     roots = components(near_links(least.select("fp"), least.count(), budget, subtree))
     member = (least.join(roots, least.fp == roots.node, "left")
               .select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
     named = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_fp = member.join(named, "root").select("fp", "component_id")
+    return prints, member.join(named, "root").select("fp", "root", "component_id")
+
+
+def near_groups(docs: DataFrame, k: int = SHINGLE_WORDS, budget: int = MAX_DISTANCE, subtree: int = SUBTREE) -> DataFrame:
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
+    prints, by_fp = _members(docs, k, budget, subtree)
     return prints.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, k: int = SHINGLE_WORDS, budget: int = MAX_DISTANCE) -> DataFrame:
     """``docs`` with the document of smallest doc_id of each component, all columns kept.
-    Documents without an id stay only where their whole component has none; rows that
-    repeat the doc_id of a kept one stay with it."""
-    keep = near_groups(docs, k, budget).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(keep, docs.doc_id.eqNullSafe(keep.doc_id), "left_semi")
+    A component without an id keeps its row of smallest text (then smallest other
+    columns); elsewhere rows without an id go.  Rows of a component that repeat the
+    doc_id of its kept one stay with it; in another component that doc_id counts anew."""
+    prints, by_fp = _members(docs, k, budget, SUBTREE)
+    own = F.col("doc_id") == F.col("component_id")
+    found = prints.filter(F.col("doc_id").isNotNull()).join(by_fp, "fp")
+    kept = materialize(found.groupBy("doc_id").agg(F.max(own).alias("some"), F.min(own).alias("all")).filter("some"), "simhash_kept")
+    parts = [docs.join(kept.filter("all"), "doc_id", "left_semi")]
+
+    def with_fp(rows: DataFrame) -> DataFrame:
+        return fingerprints(rows.select(F.struct(*docs.columns).alias("doc_id"), "text"), k).withColumnRenamed("doc_id", "row")
+
+    # where the id alone doesn't tell a kept row, the fingerprint does
+    mixed = kept.filter(~F.col("all"))
+    if not mixed.isEmpty():
+        right = found.filter(own).select("doc_id", "fp").distinct()
+        rows = with_fp(docs.join(mixed, "doc_id", "left_semi"))
+        parts.append(rows.join(right, (rows["row"]["doc_id"] == right.doc_id) & (rows.fp == right.fp), "left_semi").select("row.*"))
+    if not prints.filter(F.col("doc_id").isNull()).isEmpty():
+        order = ["text", *(f.name for f in docs.schema if f.name != "text" and "map<" not in f.dataType.simpleString())]
+        rows = with_fp(docs.filter(F.col("doc_id").isNull())).join(by_fp.filter(F.col("component_id").isNull()), "fp")
+        parts.append(rows.groupBy("root").agg(F.min_by("row", F.struct(*(F.col("row")[c] for c in order))).alias("row")).select("row.*"))
+    return reduce(DataFrame.unionAll, (p.select(*docs.columns) for p in parts))
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
