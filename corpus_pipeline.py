@@ -19,7 +19,7 @@ from trustlens.session import materialize, prepare
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line field does not reject."""
+    """Documents that the line field does not reject; all, without a label to learn from."""
     prepare(spark)
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 

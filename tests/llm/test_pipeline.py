@@ -64,3 +64,10 @@ def test_empty_tables(spark, tables, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert rows(P.run(spark, str(tmp_path))) == []
+
+
+def test_quality_stage_without_a_label_to_learn_from(spark, tables, tmp_path):
+    docs, labels = (spark.read.parquet(f"{tables[0]}/{name}.parquet") for name in ("documents", "labels"))
+    for name, some in (("none", labels.limit(0)), ("held_out", labels.filter(Q.held_out(labels.doc_id)))):
+        some.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        assert rows(P.quality_stage(spark, docs, f"{tmp_path}/{name}")) == rows(docs)

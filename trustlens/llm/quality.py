@@ -14,7 +14,8 @@ takes whole texts.
 Defined results: a null or empty text is one empty line.  Labels that are null are left
 out; of several for a doc_id the smallest counts, and training takes the smallest text of
 a doc_id with several rows.  Without labels, or with one kind only,
-all scores are equal: the share of good labels (a half without any).  Rows that repeat a
+all scores are equal: the share of good labels (a half without any); keep_good keeps all
+documents when there is no label to learn from.  Rows that repeat a
 doc_id each get a row.  Columns other than doc_id and text are not read.
 """
 
@@ -171,7 +172,10 @@ def chain(unary: np.ndarray, lines: np.ndarray, pair: np.ndarray, piece: int = P
 
 
 class Field:
-    """A trained field: scaling, weights of the features, pair weights, score curve."""
+    """A trained field: scaling, weights of the features, pair weights, score curve.
+    ``learned`` is false if there was no labelled document."""
+
+    learned = True
 
     def __init__(self, mean, scale, weights, bias, pair, curve):
         self.mean, self.scale, self.weights, self.bias, self.pair, self.curve = mean, scale, weights, bias, pair, curve
@@ -311,7 +315,9 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS) -> Fie
     rows = sorted(one.mapInArrow(features, "doc_id long, quality int, x binary, size binary").collect(), key=lambda r: r.doc_id)
     y = np.array([int(r.quality == 1) for r in rows])
     if len(set(y.tolist())) < 2:
-        return constant_field((y.sum() + 0.5) / (len(y) + 1))
+        field = constant_field((y.sum() + 0.5) / (len(y) + 1))
+        field.learned = len(y) > 0
+        return field
     size = [np.frombuffer(r.size, dtype=np.int64) for r in rows]
     x = np.concatenate([np.frombuffer(r.x, dtype=np.float32) for r in rows], dtype=np.float64).reshape(-1, len(FEATURES))
     del rows
@@ -338,8 +344,13 @@ def score(docs: DataFrame, field: Field, keep: bool = False) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the documents scored below ``threshold``, all columns kept."""
-    return score(docs, train(docs, labels), keep=True).filter(F.col("score") >= threshold).select("row.*")
+    """``docs`` without the documents scored below ``threshold``, all columns kept.
+    Without a label to learn from (none, or of held-out documents only) nothing speaks
+    against a document: all are kept."""
+    field = train(docs, labels)
+    if not field.learned:
+        return docs
+    return score(docs, field, keep=True).filter(F.col("score") >= threshold).select("row.*")
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
