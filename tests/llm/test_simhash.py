@@ -102,3 +102,30 @@ def test_keep_one_rows_without_or_with_repeated_ids(spark):
         [(2, "a  b c D"), (None, "x  y Z"), (None, "k l m n o"), (1, "p q r s"), (9, "m n o p"), (9, "m n o p"), (4, None)], key=repr)
     alone = df.filter("doc_id is null and text like 'x%'")
     assert rows(S.keep_one(alone).select("doc_id", "text")) == [(None, "x  y Z")]
+
+
+def test_fingerprints_with_shared_leading_bits_are_dealt_on(spark):
+    rnd = random.Random(8)
+    hot = rnd.getrandbits(40) << 24
+    fps = {hot | rnd.getrandbits(24) for _ in range(1500)}
+    fps |= {f ^ (1 << rnd.randrange(64)) ^ (1 << rnd.randrange(64)) for f in rnd.sample(sorted(fps), 60)}
+    fps = sorted(fps | {rnd.getrandbits(64) for _ in range(1500)})
+    distinct = spark.createDataFrame([(S._signed(f),) for f in fps], "fp long")
+    subtree = 64
+    dealt = list(S.deal(distinct, len(fps), 2, subtree))
+    assert max(r["count"] for _, pairs in dealt for r in pairs.groupBy("p", "q").count().collect()) <= 4 * subtree
+    links = [(r.a % (1 << 64), r.b % (1 << 64)) for r in S.near_links(distinct, len(fps), 2, subtree).collect()]
+
+    def classes(pairs):
+        root = {f: f for f in fps}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+        for a, b in pairs:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+        return {f: find(f) for f in fps}
+    want = classes((a, b) for i, a in enumerate(fps) for b in fps[:i] if (a ^ b).bit_count() <= 2)
+    assert len(set(want.values())) < len(fps) and classes(links) == want

@@ -1,8 +1,8 @@
 """SimHash near duplicates by a self-join of the binary trie of fingerprints.
 
 Fingerprints are 64 bits over word shingles.  The trie's upper levels are dealt to
-tasks as node pairs whose prefixes differ in no more bits than the budget; inside a
-task the two subtrees are walked together, the differing bits of a pair of nodes add
+tasks as node pairs whose prefixes differ in no more bits than the budget, deeper where
+many fingerprints share their leading bits; inside a task the two subtrees are walked together, the differing bits of a pair of nodes add
 up, and a pair is left as soon as they exceed the budget (or all below it is linked
 already).  A task gives a spanning forest of its links, never all pairs; components
 are found over distinct fingerprints and joined back to documents.
@@ -35,6 +35,8 @@ MAX_DISTANCE = 2
 SEED = 42
 #: Aim for the number of fingerprints under a node that goes to a task.
 SUBTREE = 8192
+#: Bits by which larger nodes are dealt on.
+STEP = 4
 #: Node pairs walked at once in a task, and shingles hashed at once.
 BLOCK = 1 << 18
 SHINGLE_BLOCK = 1 << 16
@@ -163,16 +165,40 @@ def _walker(depth: int, budget: int):
     return walk
 
 
-def near_links(distinct: DataFrame, n: int, budget: int = MAX_DISTANCE, subtree: int = SUBTREE) -> DataFrame:
-    """Links (a, b) that connect all of ``distinct`` (fp) at ``budget`` bits or fewer.
-    The number of dealt levels follows from the number of fingerprints n."""
+def deal(distinct: DataFrame, n: int, budget: int = MAX_DISTANCE, subtree: int = SUBTREE) -> Iterator[tuple[int, DataFrame]]:
+    """(depth, rows fp, p, q): node pairs (p, q) of a depth, each with its fingerprints.
+    The first depth follows from the number of fingerprints n; pairs with a node of more
+    than twice ``subtree`` are dealt on by further bits until there is none."""
     depth = min(24, max(0, (n // subtree).bit_length()))
-    prefix = F.shiftrightunsigned("fp", 64 - depth) if depth else F.lit(0).cast("long")
-    other = F.explode(F.array(*[F.lit(m).cast("long") for m in _masks(depth, budget)]))
-    pairs = (distinct.select("fp", prefix.alias("own")).select("fp", "own", other.alias("mask"))
-             .select("fp", F.least("own", F.col("own").bitwiseXOR(F.col("mask"))).alias("p"),
-                     F.greatest("own", F.col("own").bitwiseXOR(F.col("mask"))).alias("q")))
-    return pairs.groupBy("p", "q").applyInArrow(_walker(depth, budget), "a long, b long")
+    rows = distinct.select("fp", F.explode(F.array(*[F.lit(m).cast("long") for m in _masks(depth, budget)])).alias("diff"))
+    while True:
+        prefix = F.shiftrightunsigned("fp", 64 - depth) if depth else F.lit(0).cast("long")
+        other = prefix.bitwiseXOR(F.col("diff"))
+        pairs = rows.select("fp", "diff", prefix.alias("own"), other.alias("other"))
+        nodes = materialize(distinct.groupBy(prefix.alias("node")).count(), "simhash_nodes")
+        large = nodes.filter(F.col("count") > 2 * subtree).select("node")
+        more = depth < 64 and not large.isEmpty()
+        if more:
+            for side in ("own", "other"):
+                pairs = pairs.join(F.broadcast(large.select(F.col("node").alias(side), F.lit(True).alias(f"large_{side}"))), side, "left")
+            split = F.coalesce("large_own", "large_other", F.lit(False))
+            # pairs with an empty node link nothing
+            rest = materialize(pairs.filter(split).join(nodes.select(F.col("node").alias("other")), "other", "left_semi").select("fp", "diff"), "simhash_large")
+            pairs = pairs.filter(~split)
+        yield depth, pairs.select("fp", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+        if not more:
+            return
+        bits = min(STEP, 64 - depth)
+        depth += bits
+        left = F.lit(budget) - F.bit_count("diff")
+        masks = reduce(lambda w, b: w.when(left == b, F.array(*[F.lit(m).cast("long") for m in _masks(bits, b)])), range(budget + 1), F)
+        rows = rest.select("fp", "diff", F.explode(masks).alias("mask")).select("fp", F.shiftleft("diff", bits).bitwiseOR(F.col("mask")).alias("diff"))
+
+
+def near_links(distinct: DataFrame, n: int, budget: int = MAX_DISTANCE, subtree: int = SUBTREE) -> DataFrame:
+    """Links (a, b) that connect all of ``distinct`` (fp) at ``budget`` bits or fewer."""
+    return reduce(DataFrame.unionAll, (pairs.groupBy("p", "q").applyInArrow(_walker(depth, budget), "a long, b long")
+                                       for depth, pairs in deal(distinct, n, budget, subtree)))
 
 
 def _members(docs: DataFrame, k: int, budget: int, subtree: int) -> tuple[DataFrame, DataFrame]:
