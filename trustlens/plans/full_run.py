@@ -29,6 +29,10 @@ from trustlens.plans.catalog_ml import fraud_attributions
 from trustlens.sources import survey as SV
 
 
+#: Tables of one row per respondent: written as many parts.  The others have few rows.
+ROW_LEVEL = {"anomaly_scores"}
+
+
 def result_tables(df: DataFrame, skip_ml: bool = False, sizes: tuple | None = None) -> dict[str, DataFrame]:
     """Name -> result DataFrame, in the reference's output set."""
     spark = df.sparkSession
@@ -78,7 +82,7 @@ def run_all(spark: SparkSession, df: DataFrame, out_dir: str, skip_ml: bool = Fa
         t0 = time.time()
         SV.write_table(table, f"{out_dir.rstrip('/')}/parquet/{name}", "parquet")
         if csv:
-            SV.write_table(table.coalesce(1), f"{out_dir.rstrip('/')}/csv/{name}", "csv")
+            SV.write_table(table if name in ROW_LEVEL else table.coalesce(1), f"{out_dir.rstrip('/')}/csv/{name}", "csv")
         times[name] = round(time.time() - t0, 3)
     return times
 
