@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from trustlens.llm import bpe, chat_format, decontaminate, exact_dedup, license_scan, quality, sharding, simhash, substring_dedup, token_files
+from trustlens.llm import (bpe, chat_format, decontaminate, exact_dedup, fill_in_middle, license_scan, mixing, periodic_runs, quality, sharding, simhash,
+                           substring_dedup, token_files)
 from trustlens.session import prepare
 
 QUERIES = {
@@ -21,6 +22,9 @@ QUERIES = {
     "op8_bpe_round_trip": bpe.op8_bpe_round_trip,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_sharding": sharding.op10_sharding,
+    "op11_source_mixing": mixing.op11_source_mixing,
+    "op12_fill_in_middle": fill_in_middle.op12_fill_in_middle,
+    "op13_periodic_runs": periodic_runs.op13_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE = {
@@ -29,6 +33,8 @@ ORACLE = {
     "op3_suffix_array_dedup": substring_dedup.ORACLE,
     "op7_chat_formatting": chat_format.ORACLE,
     "op10_sharding": sharding.ORACLE,
+    "op12_fill_in_middle": fill_in_middle.ORACLE,
+    "op13_periodic_runs": periodic_runs.ORACLE,
 }
 
 
