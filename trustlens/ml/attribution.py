@@ -3,21 +3,26 @@
 Linear models: attribution_j = w_j * (x_j - mean_j) on the scaled features, a
 column expression per feature; global importance = mean |attribution|.
 
-Tree ensembles: path-dependent TreeSHAP (Lundberg, Erion, Lee 2018).  The
-fitted model is saved to the shared checkpoint folder and its node table read
-back with Spark (model parameters: trees x nodes, bounded by the model
-settings); it is broadcast and ``mapInPandas`` computes the attributions for
-each batch of rows.  The tree is walked once per batch, with a list of nodes to
-visit: the paths of all rows of the batch are carried together as numpy
-arrays (the hot/cold choice at a split is a per-row 0/1 one-fraction), so the
-Python work grows with the tree size, not with the rows.  Forests average the
-per-tree values (probability of class 1); boosted trees sum weight * value
-(margin scale).
+Tree ensembles: path-dependent TreeSHAP (Lundberg, Erion, Lee 2018), from one table per
+tree that is prepared once.  A leaf asks for one interval of every feature on its path; let
+``o_j`` be 1 where a row lies in the interval of feature j and ``z_j`` the share of the
+training rows that the splits on j let by.  The Shapley weight ``k! (m-1-k)! / m!`` is the
+integral of ``y^k (1-y)^(m-1-k)`` over [0, 1], so the leaf gives feature i
+
+    value * (o_i - z_i) * integral of prod_{j != i} (o_j y + z_j (1 - y)) dy,
+
+a polynomial that ``ceil(m / 2)`` Gauss-Legendre points integrate exactly.  All leaves and
+all rows of a batch are handled by array products; nothing is copied along paths.
+
+Node tables (model parameters: trees x nodes, bounded by the model settings) are broadcast;
+``mapInPandas`` computes the attributions of each batch of rows.  Forests average the
+per-tree values (probability of class 1); boosted trees add them up (margin scale).
 """
 
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -26,8 +31,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trustlens import functions as X
+from trustlens.ml.boosting import BoostedModel
 from trustlens.session import scratch_path
 
+
 def linear_attribution_rows(rows: DataFrame, weights: list[float], features: list[str],
                             vector_col: str = "features") -> DataFrame:
     """Per-row attributions w_j * (x_j - mean_j) (respondent_id, one column per
@@ -52,70 +59,77 @@ def linear_attribution(rows: DataFrame, weights: list[float], features: list[str
 # TreeSHAP
 # ---------------------------------------------------------------------------
 
-def _extend(m, pz, po, pi, R):
-    l = len(m)
-    m = [[e[0], e[1], e[2], e[3].copy()] for e in m]
-    m.append([pi, pz, po, np.ones(R) if l == 0 else np.zeros(R)])
-    for i in range(l - 1, -1, -1):
-        m[i + 1][3] = m[i + 1][3] + po * m[i][3] * (i + 1) / (l + 1)
-        m[i][3] = pz * m[i][3] * (l - i) / (l + 1)
-    return m
-
-
-def _unwind(m, i):
-    l = len(m)
-    z_i, o_i = m[i][1], m[i][2]
-    hot = o_i != 0
-    safe_o = np.where(hot, o_i, 1.0)
-    n = m[l - 1][3].copy()
-    w = [e[3].copy() for e in m]
-    for j in range(l - 2, -1, -1):
-        t = w[j]
-        w_hot = n * l / ((j + 1) * safe_o)
-        n_hot = t - w_hot * z_i * (l - (j + 1)) / l
-        w_cold = t * l / (z_i * (l - (j + 1))) if z_i != 0 else np.zeros_like(t)
-        w[j] = np.where(hot, w_hot, w_cold)
-        n = np.where(hot, n_hot, n)
-    out = []
-    for j in range(l - 1):
-        src = m[j + 1] if j >= i else m[j]
-        out.append([src[0], src[1], src[2], w[j]])
-    return out
-
-
-def tree_shap(x: np.ndarray, tree: dict, phi: np.ndarray, scale: float = 1.0) -> float:
-    """Add scale * TreeSHAP values of one tree for all rows of x into phi;
-    returns scale * the tree's expected value."""
-    R = x.shape[0]
+#: Numbers of one (row, leaf, feature) array at a time.
+WORK = 1 << 21
+
+
+@dataclass(frozen=True)
+class LeafTable:
+    """One tree as (leaf, feature) entries, leaf after leaf: feature, interval (low, high],
+    share z; per leaf its first entry and value; the mean value over the training rows."""
+    feature: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    share: np.ndarray
+    first: np.ndarray
+    value: np.ndarray
+    expected: float
+
+
+def leaf_table(tree: dict) -> LeafTable:
+    """The leaves of a tree given as node arrays (left when x <= threshold)."""
     left, right, feat = tree["left"], tree["right"], tree["feature"]
     thr, value, cover = tree["threshold"], tree["value"], tree["cover"]
-
-    # nodes to visit: node, path above it, share of the cover and rows that come by, feature
-    todo = [(0, [], 1.0, np.ones(R), -1)]
+    entries, first, values, expected = [], [], [], 0.0
+    todo: list[tuple[int, dict]] = [(0, {})]
     while todo:
-        j, above, pz, po, pi = todo.pop()
-        m = _extend(above, pz, po, pi, R)
+        j, path = todo.pop()
         if left[j] < 0:
-            for i in range(1, len(m)):
-                w = sum(e[3] for e in _unwind(m, i))
-                phi[:, m[i][0]] += scale * w * (m[i][2] - m[i][1]) * value[j]
+            expected += float(value[j]) * float(cover[j] / cover[0]) if cover[0] else 0.0
+            if path:  # a tree of one leaf says the same for all rows
+                first.append(len(entries))
+                values.append(float(value[j]))
+                entries += [(f, *ask) for f, ask in path.items()]
             continue
-        d = feat[j]
-        go_left = (x[:, d] <= thr[j]).astype(float)
-        iz, io = 1.0, np.ones(R)
-        k = next((i for i in range(1, len(m)) if m[i][0] == d), None)
-        if k is not None:
-            iz, io = m[k][1], m[k][2]
-            m = _unwind(m, k)
-        rj = cover[j]
-        todo.append((left[j], m, iz * cover[left[j]] / rj, io * go_left, d))
-        todo.append((right[j], m, iz * cover[right[j]] / rj, io * (1.0 - go_left), d))
-    leaves = left < 0
-    return scale * float((value[leaves] * cover[leaves]).sum() / cover[0])
+        f = int(feat[j])
+        low, high, share = path.get(f, (-np.inf, np.inf, 1.0))
+        to_left, to_right = (share * float(cover[c] / cover[j]) if cover[j] else 0.0 for c in (left[j], right[j]))
+        todo.append((right[j], path | {f: (max(low, thr[j]), high, to_right)}))
+        todo.append((left[j], path | {f: (low, min(high, thr[j]), to_left)}))
+    a = np.array(entries, dtype=float).reshape(-1, 4)
+    return LeafTable(a[:, 0].astype(np.int64), a[:, 1], a[:, 2], a[:, 3], np.array(first, dtype=np.int64), np.array(values), expected)
+
+
+def tree_shap(x: np.ndarray, table: LeafTable, phi: np.ndarray, scale: float = 1.0) -> float:
+    """Add scale * the attributions of one tree for all rows of x into phi; returns scale *
+    the tree's expected value."""
+    if len(table.first):
+        sizes = np.diff(np.append(table.first, len(table.feature)))
+        points, weights = np.polynomial.legendre.leggauss(int(-(-sizes.max() // 2)))
+        points, weights = (points + 1) / 2, weights / 2
+        leaf = np.repeat(np.arange(len(sizes)), sizes)
+        onto = np.zeros((len(table.feature), x.shape[1]))
+        onto[np.arange(len(leaf)), table.feature] = scale * table.value[leaf]
+        step = max(1, WORK // len(leaf))
+        for at in range(0, len(x), step):
+            v = x[at:at + step][:, table.feature]
+            inside = ((v > table.low) & (v <= table.high)).astype(float)
+            gap = inside - table.share
+            total = np.zeros_like(gap)
+            for y, w in zip(points, weights, strict=True):
+                factor = table.share + gap * y  # share (1 - y) + inside y, over 0 for rows that a split can meet
+                factor = np.maximum(factor, 1e-300)
+                total += w * np.multiply.reduceat(factor, table.first, axis=1)[:, leaf] / factor
+            phi[at:at + step] += (gap * total) @ onto
+    return scale * table.expected
 
 
 def tree_table(model, kind: str) -> tuple[list[dict], list[float]]:
-    """Node arrays per tree and tree weights, read from the saved model."""
+    """Node arrays per tree and tree weights; of a Spark model read from its saved form.
+    Boosted trees of more than two classes give those of the highest class."""
+    if isinstance(model, BoostedModel):
+        trees = model.tree_arrays(0 if model.n_classes == 2 else model.n_classes - 1)
+        return trees, [1.0] * len(trees)
     spark = SparkSession.getActiveSession()
     path = scratch_path(spark, f"model_{uuid.uuid4().hex[:8]}")
     model.write().overwrite().save(path)
@@ -158,7 +172,7 @@ def tree_attribution(rows: DataFrame, model, kind: str, features: list[str],
     feature) for a random forest (kind='forest') or boosted trees ('boosted')."""
     spark = rows.sparkSession
     trees, weights = tree_table(model, kind)
-    bc = spark.sparkContext.broadcast((trees, weights))
+    bc = spark.sparkContext.broadcast(([leaf_table(t) for t in trees], weights))
     d = len(features)
     cols = [f"shap_{i}" for i in range(d)]
 

@@ -12,6 +12,7 @@ rank is offset + position inside the bucket, a window over one bucket's rows
 from __future__ import annotations
 
 from pyspark.ml.feature import Imputer, ImputerModel, StandardScaler, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,6 +104,27 @@ def assembler(features: list[str], scale: bool = True, imputed: list | None = No
     return stages
 
 
+def fold_scalers(train: DataFrame, values: F.Column, folds: int) -> DataFrame:
+    """(fold, feature, n, mean, std): the scaler of the rows outside each fold, for every
+    entry of the array ``values``.  Counts, sums and sums of squares of all folds come from
+    one aggregate; a fold's scaler is the total minus the fold."""
+    long = train.select("fold", F.posexplode(values).alias("feature", "x"))
+    per = long.groupBy("fold", "feature").agg(F.count("x").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
+    every = train.sparkSession.range(folds).select(F.col("id").cast("int").alias("_without"))
+    n, s, q = (F.sum(c) for c in ("n", "s", "q"))
+    rest = (per.join(F.broadcast(every), F.col("fold") != F.col("_without"))  # folds x folds x features rows
+            .groupBy(F.col("_without").alias("fold"), "feature").agg(n.alias("n"), s.alias("s"), q.alias("q")))
+    spread = F.greatest(F.col("q") - F.col("s") * F.col("s") / F.col("n"), F.lit(0.0)) / (F.col("n") - 1)
+    return rest.select("fold", "feature", "n", (F.col("s") / F.col("n")).alias("mean"), F.sqrt(spread).alias("std"))
+
+
+def rescaled(vector_col: str, means: list[float], stds: list[float]) -> F.Column:
+    """A vector column less ``means``, over ``stds``; 0 where a column is constant."""
+    lit = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
+    moved = F.zip_with(vector_to_array(vector_col), lit(means), lambda x, m: x - m)
+    return array_to_vector(F.zip_with(moved, lit([1 / s if s > 1e-12 else 0.0 for s in stds]), lambda x, f: x * f))
+
+
 def model_frame(df: DataFrame, target: str, leak_free: bool = True,
                 test_size: float = 0.2, seed: int = 42, k_folds: int = 5) -> tuple[DataFrame, list[str]]:
     """Flat feature table + label, split flag, CV fold and class weight, for one
