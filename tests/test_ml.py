@@ -85,9 +85,60 @@ def test_isolation_forest_flags_contamination_share(spark, resp_small):
 
 def test_kmeans_same_seed_same_result(spark, resp_small):
     scaled = CL.scaled_features(resp_small)
-    a = CL.fit_kmeans(scaled, 4, 42, 2, 20)
-    b = CL.fit_kmeans(scaled, 4, 42, 2, 20)
-    assert a.summary.trainingCost == pytest.approx(b.summary.trainingCost)
+    a, b = (CL.fit_shared(scaled, [(4, 2, 20)])[0] for _ in range(2))
+    assert a.cost == pytest.approx(b.cost) and np.allclose(a.centres, b.centres)
+
+
+def test_shared_fits_reach_the_cost_of_single_fits(spark):
+    from pyspark.ml.clustering import KMeans
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(c, 0.6, size=(n, 3)) for c, n in (((0, 0, 0), 500), ((3, 0, 1), 300), ((0, 4, 0), 80), ((2, 2, 5), 20))])
+    df = points(spark, x)
+    fits = CL.fit_shared(df, [(k, 10, 300) for k in (2, 3, 4, 5)])
+    for k, model in zip((2, 3, 4, 5), fits):
+        single = min(KMeans(k=k, seed=s, maxIter=300, featuresCol="features").fit(df).summary.trainingCost for s in range(5))
+        far = ((x[:, None, :] - model.centres) ** 2).sum(axis=2)
+        assert model.cost == pytest.approx(far.min(axis=1).sum()) and model.cost <= single * 1.001
+        got = model.transform(df).select("respondent_id", "cluster_id").toPandas().sort_values("respondent_id")
+        assert (got.cluster_id.to_numpy() == far.argmin(axis=1)).all()
+
+
+def test_kmeans_of_fewer_rows_than_centres(spark):
+    model = CL.fit_shared(points(spark, np.array([[1.0, 2.0], [1.0, 2.0]])), [(4, 3, 10)])[0]
+    assert model.cost == 0 and CL.fit_shared(points(spark, np.array([[5.0]])), [(1, 1, 5)])[0].centres.tolist() == [[5.0]]
+    with pytest.raises(ValueError):
+        CL.fit_shared(points(spark, np.array([[5.0]])).where("false"), [(1, 1, 5)])
+
+
+def points(spark, x):
+    from pyspark.ml.functions import array_to_vector
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    return spark.createDataFrame(rows, "respondent_id long, x array<double>").repartition(3).withColumn("features", array_to_vector("x"))
+
+
+@pytest.mark.parametrize("limit", [40, 500])
+def test_silhouette_by_definition(spark, limit):
+    rng = np.random.default_rng(0)
+    x = np.round(rng.normal(size=(90, 3)), 1)
+    x[5] = x[4]
+    labels = {"a": rng.integers(0, 3, 90), "b": np.zeros(90, int), "c": np.arange(90) // 2}
+    labels["a"][7] = 9  # a cluster of one row
+    df = points(spark, x)
+    for name, v in labels.items():
+        df = df.withColumn(name, F.element_at(F.array(*[F.lit(int(i)) for i in v]), (F.col("respondent_id") + 1).cast("int")))
+    got = CL.silhouette_rows(df, ["a", "b", "c"], F.col("x"), limit).toPandas().set_index("respondent_id")
+    taken = np.array(sorted(got.index))
+    assert len(taken) == min(limit, 90)
+    far = np.sqrt(((x[:, None] - x) ** 2).sum(axis=2))
+    for i in taken:
+        for name, v in labels.items():
+            own = [j for j in taken if v[j] == v[i] and j != i]
+            rest = [np.mean([far[i, j] for j in taken if v[j] == c]) for c in set(v[taken]) - {v[i]}]
+            want = 0.0
+            if own and rest:
+                a, b = np.mean(far[i, own]), min(rest)
+                want = (b - a) / max(a, b) if max(a, b) else 0.0
+            assert got.loc[i, f"silhouette_{name}"] == pytest.approx(want, abs=1e-12)
 
 
 def test_tree_shap_additivity(spark):
@@ -170,11 +221,78 @@ def test_auc_and_roc_of_many_distinct_scores_are_exact(spark):
     assert abs(at["tpr"] - (p.score[one] >= at["threshold"]).mean()) <= 5.1e-5
 
 
-def test_tree_samples_are_independent(spark):
-    """Sampled ids of one tree have no regular gaps, and trees differ."""
+def test_tree_samples_are_exact_and_independent(spark):
+    """Every tree has exactly min(256, n) rows, spread over the ids; trees differ."""
     from pyspark.ml.functions import array_to_vector
     df = spark.range(4000).select(F.col("id").alias("respondent_id"), array_to_vector(F.array(F.rand(1), F.rand(2))).alias("features"))
+    t = AN.tree_samples(df, 40, 256, 7).toPandas()
+    assert (t.groupby("tree").size() == 256).all() and t.tree.nunique() == 40 and not t.duplicated().any()
+    assert (abs(t.groupby("tree").respondent_id.mean() - 2000) < 350).all()  # five standard errors
+    sets = [set(g.respondent_id) for _, g in t.groupby("tree")]
+    common = [len(a & b) for i, a in enumerate(sets) for b in sets[:i]]
+    assert abs(np.mean(common) - 256 * 256 / 4000) < 1.5 and max(common) < 45
+    few = AN.tree_samples(df.limit(100), 5, 256, 7).toPandas()
+    assert (few.groupby("tree").size() == 100).all()
     res = AN.isolation_forest(df, ["a", "b"], AN.ForestSettings(trees=20))
-    sizes = res["nodes"].query("node == 0")["size"]
-    assert abs(sizes.mean() - 256) < 15 and sizes.std() > 5  # binomial, not a fixed window
+    assert set(res["nodes"].query("node == 0")["size"]) == {256}
+    assert res["rows"].columns == ["respondent_id", "features", "anomaly_score_raw", "anomaly_score", "is_anomaly", "anomaly_tier"]
     assert res["scores"].where("is_anomaly").count() == pytest.approx(0.08 * 4000, abs=2)
+
+
+def test_tree_samples_widen_until_every_tree_is_full(spark):
+    df = spark.range(3000).select(F.col("id").alias("respondent_id"))
+    want = AN.tree_samples(df, 6, 64, 1).toPandas()
+    small = AN.tree_samples(df, 6, 64, 1, first_share=0.001).toPandas()
+    key = ["tree", "respondent_id"]
+    assert small.sort_values(key).to_numpy().tolist() == want.sort_values(key).to_numpy().tolist()
+
+
+def test_models_are_visible_only_through_their_manifest(spark, monkeypatch, tmp_path):
+    from trustlens.ml import store
+    monkeypatch.setattr(store, "scratch_path", lambda s, name: str(tmp_path / name))
+    with pytest.raises(KeyError):
+        store.manifest(spark, "kmeans")
+    first, second = (CL.CentreModel(np.array([[float(i), 1.0], [2.0, 3.0]]), 4.0) for i in range(2))
+    store.publish_clusters(spark, "kmeans", first, {}, "state 1")
+    # A run that ends between the model and its manifest: nothing changes for readers.
+    monkeypatch.setattr(store, "_publish", lambda *a: (_ for _ in ()).throw(RuntimeError("killed")))
+    with pytest.raises(RuntimeError):
+        store.publish_clusters(spark, "kmeans", second, {}, "state 2")
+    assert np.array_equal(store.load(spark, "kmeans").centres, first.centres)
+    monkeypatch.undo()
+    monkeypatch.setattr(store, "scratch_path", lambda s, name: str(tmp_path / name))
+    store.publish_clusters(spark, "kmeans", second, {"m": spark.range(1)}, "state 2")
+    said = store.manifest(spark, "kmeans")
+    assert (said["state"], said["metrics"], said["settings"]) == ("state 2", {"m": [{"id": 0}]}, {"k": 2})
+    assert np.array_equal(store.load(spark, "kmeans").centres, second.centres)
+
+
+def test_concurrent_publishers_leave_whole_models(spark, monkeypatch, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from trustlens.ml import store
+    monkeypatch.setattr(store, "scratch_path", lambda s, name: str(tmp_path / name))
+    models = [CL.CentreModel(np.full((3, 2), float(i)), float(i)) for i in range(6)]
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(lambda m: store.publish_clusters(spark, "kmeans", m, {}, ""), models))
+        seen = [store.load(spark, "kmeans") for _ in range(2)]
+    for m in seen:
+        assert (m.centres == m.cost).all() and m.centres.shape == (3, 2)
+
+
+def test_classifiers_train_save_and_load(spark, resp_small, monkeypatch, tmp_path):
+    from trustlens.ml import models as MD
+    from trustlens.ml import store
+    from trustlens.ml.boosting import BoostSettings
+    monkeypatch.setattr(store, "scratch_path", lambda s, name: str(tmp_path / name))
+    small = MD.ModelSettings(lr_max_iter=20, rf_trees=5, rf_depth=4, cv_folds=2, boost=BoostSettings(rounds=4, depth=3, step=0.3))
+    res = MD.train_classifier(resp_small, S.TRUST_TARGET, small)
+    rows = res["metrics"].collect()
+    assert [r["model"] for r in rows] == MD.MODEL_NAMES and res["n_classes"] == 5
+    assert all(0 <= r[c] <= 1 for r in rows for c in ("accuracy", "f1", "auc_roc", "cv_accuracy_mean"))
+    assert res["predictions"][MD.BOOSTED].count() == res["data"].where("is_test = 1").count()
+    for best in (MD.BOOSTED, MD.MODEL_NAMES[0]):
+        store.publish_classifier(spark, "trust", res | {"best_model_name": best}, "s")
+        key = lambda df: {r["respondent_id"]: r["prediction"] for r in df.select("respondent_id", "prediction").collect()}
+        assert key(store.load(spark, "trust").transform(res["frame"])) == key(res["fitted"][best].transform(res["data"]))
+        assert store.manifest(spark, "trust")["model"] == best

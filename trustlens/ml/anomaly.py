@@ -1,15 +1,15 @@
 """Isolation forest (Liu, Ting, Zhou 2008) as Spark jobs.
 
-1. Tree samples: a Bernoulli pre-sample by row hash (its expected size
-   4 * trees * psi does not grow with the data), then each pre-sampled row
-   joins tree t with probability psi / (pre-sample size), by a hash of
-   (id, seed, t) -- every tree gets about psi = min(256, n) rows.
+1. Tree samples: the min(256, n) rows of smallest hash of (id, seed, tree), exactly.  Only
+   hashes below a bound that about twice as many rows meet take part (were a tree short of
+   rows, the bound would be doubled); every task then keeps the smallest of each tree before
+   the shuffle, so that what meets does not grow with the data.
 2. ``groupBy(tree).applyInPandas`` grows one tree per group (random feature,
    uniform cut between the node's min and max, height limit ceil(log2 psi)) and
    emits its node rows.
 3. The node table (trees x at most 2 psi nodes: model parameters, bounded by
-   the settings, not the data) is broadcast; ``mapInPandas`` scores every row:
-   s = -2^(-mean path length / c(psi)).
+   the settings, not the data) is broadcast; a pandas function scores every row:
+   s = -2^(-mean path length / c(psi)), as a column, so that rows keep their columns.
 4. offset = the exact contamination quantile of s; raw
    score = s - offset, flagged when negative; 0-100 min-max score and tiers.
 """
@@ -22,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trustlens import functions as X
@@ -124,53 +124,65 @@ def _path_lengths(x: np.ndarray, forest: dict) -> np.ndarray:
     return total / n_trees
 
 
+#: Modulus of the trees' hashes, and bits of the two numbers that they are made of.
+HASH_MODULUS, HASH_DIGITS = (1 << 52) - 47, 13
+
+
+def tree_samples(rows: DataFrame, trees: int, size: int, seed: int, keep: list[str] | None = None,
+                 first_share: float | None = None) -> DataFrame:
+    """(tree, respondent_id, the columns ``keep``): for every tree the min(size, n) rows of
+    smallest hash.  A row's hash for tree t is (a + t b) modulo a number near 2^52, a and b
+    being the first and the next 13 hex digits of the md5 of ``id:seed``."""
+    n = rows.count()
+    digest = F.md5(F.concat(F.col("respondent_id").cast("bigint").cast("string"), F.lit(f":{seed}")))
+    number = lambda at: F.conv(F.substring(digest, at, HASH_DIGITS), 16, 10).cast("bigint")
+    slim = rows.select("respondent_id", *(keep or []), number(1).alias("_a"), number(1 + HASH_DIGITS).alias("_b"))
+    share = first_share or 2.0 * size / max(n, 1)
+    while True:
+        bound = HASH_MODULUS if share >= 1 else int(HASH_MODULUS * share)
+        hashes = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(trees - 1).cast("bigint")), lambda t: F.struct(
+            t.cast("int").alias("tree"), ((F.col("_a") + t * F.col("_b")) % HASH_MODULUS).alias("hash")))
+        near = slim.select("respondent_id", *(keep or []), F.explode(F.filter(hashes, lambda h: h["hash"] < bound)).alias("h"))
+        rank = F.row_number().over(Window.partitionBy("h.tree").orderBy("h.hash", "respondent_id"))
+        kept = near.withColumn("_r", rank).where(F.col("_r") <= size)
+        taken = materialize(kept.select("h.tree", "respondent_id", *(keep or [])), "tree_samples")
+        if share >= 1 or taken.count() == trees * min(size, n):
+            return taken
+        share *= 2
+
+
 def isolation_forest(scaled: DataFrame, features: list[str], cfg: ForestSettings | None = None,
                      vector_col: str = "features") -> dict:
-    """Fit and score; returns per-row scores and the summary tables."""
+    """Fit and score: ``rows`` (all columns of ``scaled`` and the scores), ``scores`` (ids
+    and scores), the trees' nodes."""
     cfg = cfg or ForestSettings()
     spark = scaled.sparkSession
     n = scaled.count()
     psi = min(cfg.max_samples, n)
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
-    frac = min(1.0, 4.0 * cfg.trees * psi / max(n, 1))
-    q = min(1.0, psi / max(frac * n, 1.0))
-    hid = F.col("respondent_id").cast("bigint")
-
-    def draw(*parts) -> F.Column:
-        """A mixing hash of (seed, id, parts), uniform in [0, 1)."""
-        return F.shiftrightunsigned(F.xxhash64(F.lit(cfg.seed), hid, *parts), 11) / float(1 << 53)
-
-    rows = scaled.select("respondent_id", vector_to_array(vector_col).alias("x")).where(draw(F.lit(-1)) < frac)
-    member = F.filter(F.sequence(F.lit(0), F.lit(cfg.trees - 1)), lambda t: draw(t) < q)
-    samples = rows.select(F.explode(member).alias("tree"), "x")
+    points = scaled.withColumn("_x", vector_to_array(vector_col))
+    samples = tree_samples(points, cfg.trees, cfg.max_samples, cfg.seed, ["_x"]).select("tree", F.col("_x").alias("x"))
     d, seed = len(features), cfg.seed
     nodes = samples.groupBy("tree").applyInPandas(
         lambda pdf: _grow(pdf, d, max_depth, seed), NODE_SCHEMA)
     node_pdf = nodes.toPandas()  # model parameters: trees x <= 2*psi nodes
-    forest = spark.sparkContext.broadcast(_forest_arrays(node_pdf))
+    forest = spark.sparkContext.broadcast(_forest_arrays(node_pdf) if len(node_pdf) else None)
     c_psi = float(c_factor([psi])[0])
 
-    def score(batches):
-        fa = forest.value
-        for pdf in batches:
-            x = np.stack(pdf["x"].to_numpy()) if len(pdf) else np.zeros((0, d))
-            s = -np.power(2.0, -_path_lengths(x, fa) / c_psi)
-            yield pd.DataFrame({"respondent_id": pdf["respondent_id"], "score_samples": s})
-
-    scored = (scaled.select("respondent_id", vector_to_array(vector_col).alias("x"))
-              .mapInPandas(score, "respondent_id bigint, score_samples double"))
-    scored = materialize(scored, "iforest_scores")
-    offset = quantiles(scored, ["score_samples"], cfg.contamination).select("value").scalar()
-    raw = F.col("score_samples") - offset
-    out = scored.withColumn("anomaly_score_raw", raw)
-    lo = out.select(F.min("anomaly_score_raw")).scalar()
-    hi = out.select(F.max("anomaly_score_raw")).scalar()
-    norm = (F.col("anomaly_score_raw") - lo) / (hi - lo + 1e-9) * 100
-    out = out.select("respondent_id", X.rnd(F.col("anomaly_score_raw"), 4).alias("anomaly_score_raw"),
-                     X.rnd(norm, 1).alias("anomaly_score"),
-                     (F.col("anomaly_score_raw") < 0).alias("is_anomaly"))
-    out = out.withColumn("anomaly_tier", X.anomaly_tier(F.col("anomaly_score")))
-    return {"scores": out, "nodes": node_pdf, "psi": psi, "n": n}
+    @F.pandas_udf("double")
+    def score(x: pd.Series) -> pd.Series:
+        return pd.Series(-np.power(2.0, -_path_lengths(np.stack(x.to_numpy()), forest.value) / c_psi) if len(x) else np.zeros(0))
+
+    scored = materialize(points.withColumn("_s", score("_x")).drop("_x"), "iforest_scores")
+    offset = quantiles(scored, ["_s"], cfg.contamination).select("value").scalar()
+    lo = scored.select(F.min("_s")).scalar() - offset
+    hi = scored.select(F.max("_s")).scalar() - offset
+    out = scored.withColumn("_raw", F.col("_s") - offset)
+    norm = (F.col("_raw") - lo) / (hi - lo + 1e-9) * 100
+    out = out.withColumns({"anomaly_score_raw": X.rnd(F.col("_raw"), 4), "anomaly_score": X.rnd(norm, 1), "is_anomaly": F.col("_raw") < 0})
+    out = out.withColumn("anomaly_tier", X.anomaly_tier(F.col("anomaly_score"))).drop("_s", "_raw")
+    scores = out.select("respondent_id", "anomaly_score_raw", "anomaly_score", "is_anomaly", "anomaly_tier")
+    return {"rows": out, "scores": scores, "nodes": node_pdf, "psi": psi, "n": n}
 
 
 def anomaly_summary(scores: DataFrame) -> DataFrame:
@@ -183,9 +195,9 @@ def anomaly_summary(scores: DataFrame) -> DataFrame:
             .orderBy("_o").drop("_o"))
 
 
-def anomaly_profile(scores: DataFrame, features: DataFrame) -> DataFrame:
-    """Mean of each clustering feature for anomalous and normal rows (3 dp)."""
-    j = scores.select("respondent_id", "is_anomaly").join(features, "respondent_id")
-    return (j.groupBy(F.when(F.col("is_anomaly"), "Anomalous").otherwise("Normal").alias("group"))
+def anomaly_profile(rows: DataFrame) -> DataFrame:
+    """Mean of each clustering feature for anomalous and normal rows (3 dp); ``rows`` hold
+    the flag and the features."""
+    return (rows.groupBy(F.when(F.col("is_anomaly"), "Anomalous").otherwise("Normal").alias("group"))
             .agg(*[X.rnd(F.avg(c), 3).alias(c) for c in S.CLUSTER_FEATURES])
             .orderBy("group"))

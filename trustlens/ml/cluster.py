@@ -1,31 +1,39 @@
 """Segmentation: k-means on the 11 scaled clustering features, silhouette by k,
 PCA to two components, cluster labels by mean posture, cluster profiles.
 
-The scaler is fit once and its output checkpointed; every k-means restart and
-every k of the silhouette sweep then reads the scaled vectors.  Silhouette is
-Spark's ``ClusteringEvaluator`` (squared Euclidean, all rows, linear time) --
-no sampled all-pairs distance table.
+**k-means.**  All restarts of all k share the scans: one pass assigns every row under every
+(k, restart) set of centres and sums count, cost and vectors per (set, centre); sets that
+have settled leave.  The sums are bounded by the settings, whatever the rows.  Every set
+starts from centres that k-means++ draws in a sample of ``init_rows`` rows of smallest hash;
+the passes cover all rows.
+
+**Silhouette** is Euclidean, over the ``silhouette_rows`` rows of smallest hash (all, if there
+are no more), as the reference takes at most 3,000.  The sample is broadcast, its size being a
+setting; its rows are dealt over the tasks, each of which takes a block of them against the
+sample, for all clusterings at once.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trustlens import functions as X
 from trustlens import schema as S
-from trustlens.ml.pipeline import assembler, imputer
+from trustlens.ml.pipeline import assembler, imputer, row_hash
+from trustlens.operators.features import engineer_features
 from trustlens.session import materialize
-from trustlens.operators.features import cluster_features
+
+#: Rows that a task takes against all centres, or all sample rows, at once.
+BATCH = 2048
 
 
 @dataclass(frozen=True)
@@ -38,56 +46,205 @@ class ClusterSettings:
     sweep_max_iter: int = 300
     k_range: tuple = (2, 3, 4, 5, 6, 7)
     seed: int = 42
-    parallelism: int = 4
+    init_rows: int = 4096
+    silhouette_rows: int = 3000
+    tolerance: float = 1e-4
 
 
 def scaled_features(df: DataFrame) -> DataFrame:
-    """(respondent_id, the 11 features, features vector), median-imputed and
-    standardised; the feature table is written once to the shared folder and
-    the scaled vectors are persisted (reused by every fit)."""
-    feats = materialize(cluster_features(df), "cluster_features")
+    """The rows of ``df`` with the engineered features and ``features``, the vector of the
+    11 clustering features, median-imputed and standardised.  The feature table is written
+    once to the shared folder and the scaled rows are persisted (reused by every pass)."""
+    feats = materialize(engineer_features(df), "cluster_features")
     nulls = feats.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in S.CLUSTER_FEATURES]).first()
     todo = [c for c in S.CLUSTER_FEATURES if nulls[c] > 0]
     model = Pipeline(stages=assembler(S.CLUSTER_FEATURES, imputed=[imputer(feats, todo)] if todo else None)).fit(feats)
-    out = model.transform(feats).select("respondent_id", *S.CLUSTER_FEATURES, "features")
+    out = model.transform(feats).select(*feats.columns, "features")
     return out.repartition("respondent_id").persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _fit_one(scaled: DataFrame, k: int, seed: int, max_iter: int):
-    return KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features",
-                  predictionCol="cluster_id").fit(scaled)
-
-
-def fit_kmeans(scaled: DataFrame, k: int, seed: int, restarts: int, max_iter: int,
-               parallelism: int = 4):
-    """Best of ``restarts`` k-means fits (seeds seed .. seed + restarts - 1) by
-    training cost; the independent fits are submitted from driver threads."""
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, restarts))) as pool:
-        fits = list(pool.map(lambda r: _fit_one(scaled, k, seed + r, max_iter), range(restarts)))
-    return min(fits, key=lambda m: m.summary.trainingCost)
-
-
-def _sweep_row(scaled: DataFrame, models: list, k: int) -> tuple:
-    ev = ClusteringEvaluator(featuresCol="features", predictionCol="cluster_id",
-                             distanceMeasure="squaredEuclidean")
-    m = min(models, key=lambda x: x.summary.trainingCost)
-    return (int(k), float(ev.evaluate(m.transform(scaled))), float(m.summary.trainingCost))
-
-
-def _silhouette_frame(scaled: DataFrame, rows: list) -> DataFrame:
-    sdf = scaled.sparkSession.createDataFrame(rows, "k int, silhouette double, inertia double")
-    return sdf.select("k", X.rnd(F.col("silhouette"), 4).alias("silhouette_score"),
-                      X.rnd(F.col("inertia"), 1).alias("inertia"))
-
-
-def silhouette(scaled: DataFrame, cfg: ClusterSettings, parallelism: int = 8) -> DataFrame:
-    """(k, silhouette_score, inertia) for each k of the sweep; every (k, restart)
-    fit is an independent job submitted from a driver thread."""
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        fits = {k: [pool.submit(_fit_one, scaled, k, cfg.seed + r, cfg.sweep_max_iter)
-                    for r in range(cfg.sweep_restarts)] for k in cfg.k_range}
-        rows = [_sweep_row(scaled, [f.result() for f in fs], k) for k, fs in fits.items()]
-    return _silhouette_frame(scaled, rows)
+# ---------------------------------------------------------------------------
+# k-means, all sets of centres in one pass
+# ---------------------------------------------------------------------------
+@dataclass(frozen=True)
+class CentreModel:
+    """Fitted centres (cluster, feature) and the cost of the training rows."""
+    centres: np.ndarray
+    cost: float
+
+    def distances(self, x: Column) -> list[Column]:
+        """The squared distance of an array column to every centre."""
+        return [sum(((x[i] - float(v)) * (x[i] - float(v)) for i, v in enumerate(c)), F.lit(0.0)) for c in self.centres]
+
+    def transform(self, rows: DataFrame, vector_col: str = "features") -> DataFrame:
+        """``rows`` with cluster_id: the nearest centre, the first on a tie."""
+        near = F.array_min(F.array(*[F.struct(d.alias("d"), F.lit(i).alias("i")) for i, d in enumerate(self.distances(F.col("_x")))]))
+        return rows.withColumn("_x", vector_to_array(vector_col)).withColumn("cluster_id", near["i"]).drop("_x")
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame([(i, [float(v) for v in c], float(self.cost)) for i, c in enumerate(self.centres)],
+                                     "cluster_id int, centre array<double>, cost double")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "CentreModel":
+        rows = spark.read.parquet(path).orderBy("cluster_id").collect()  # k rows
+        return CentreModel(np.array([r["centre"] for r in rows]), rows[0]["cost"])
+
+
+def squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of x to all rows of y."""
+    return np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ y.T + (y * y).sum(axis=1), 0.0)
+
+
+def matrix(batch, column: str = "x") -> np.ndarray:
+    """A column of arrays of one length as a matrix."""
+    values = batch.column(column)
+    flat = values.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(values), -1) if len(values) else np.zeros((0, 0))
+
+
+def lloyd_sums(points: DataFrame, sets: list[np.ndarray]) -> DataFrame:
+    """One pass over ``points`` (x: array): (set, centre, n, cost, one sum per feature)."""
+    import pyarrow as pa
+    d = sets[0].shape[1]
+    first = np.cumsum([0] + [len(c) for c in sets])
+    every = np.concatenate(sets)
+    names = [f"s{i}" for i in range(d)]
+
+    def run(batches):
+        n, cost, sums = np.zeros(len(every)), np.zeros(len(every)), np.zeros((len(every), d))
+        for batch in batches:
+            x = matrix(batch)
+            for at in range(0, len(x), BATCH):
+                rows = x[at:at + BATCH]
+                far = squared(rows, every)
+                for a, b in zip(first, first[1:]):
+                    own = far[:, a:b].argmin(axis=1)
+                    member = (own[:, None] == np.arange(b - a)).astype(float)
+                    n[a:b] += member.sum(axis=0)
+                    sums[a:b] += member.T @ rows
+                    cost[a:b] += member.T @ far[np.arange(len(rows)), a + own]
+        which = np.repeat(np.arange(len(sets)), np.diff(first))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(which.astype(np.int32)), pa.array((np.arange(len(every)) - first[which]).astype(np.int32)),
+             pa.array(n.astype(np.int64)), pa.array(cost), *[pa.array(sums[:, i]) for i in range(d)]],
+            names=["set", "centre", "n", "cost", *names])
+
+    parts = points.select("x").mapInArrow(run, "set int, centre int, n long, cost double, " + ", ".join(f"{c} double" for c in names))
+    return parts.groupBy("set", "centre").agg(*[F.sum(c).alias(c) for c in ["n", "cost", *names]])
+
+
+def _first_centres(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k-means++: each next centre with a chance that grows with the squared distance."""
+    rng = np.random.default_rng([seed, k])
+    centres = sample[[rng.integers(len(sample))]]
+    near = squared(sample, centres)[:, 0]
+    while len(centres) < k:
+        total = near.sum()
+        at = rng.choice(len(sample), p=near / total) if total > 0 else rng.integers(len(sample))
+        centres = np.concatenate([centres, sample[[at]]])
+        near = np.minimum(near, squared(sample, sample[[at]])[:, 0])
+    return centres
+
+
+def hash_sample(rows: DataFrame, n: int, seed: int) -> DataFrame:
+    """The n rows of smallest hash of (respondent_id, seed)."""
+    return rows.orderBy(row_hash("respondent_id", seed), "respondent_id").limit(n)
+
+
+def fit_shared(scaled: DataFrame, fits: list[tuple[int, int, int]], cfg: "ClusterSettings | None" = None,
+               vector_col: str = "features") -> list[CentreModel]:
+    """For each (k, restarts, iterations) the model of least cost among its restarts."""
+    cfg = cfg or ClusterSettings()
+    points = scaled.select("respondent_id", vector_to_array(vector_col).alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
+    sample = np.array([r["x"] for r in hash_sample(points, cfg.init_rows, cfg.seed).select("x").collect()])
+    if not len(sample):
+        raise ValueError("no rows to cluster")
+    settled = cfg.tolerance * sample.var(axis=0).mean()  # the reference's rule
+    owner, left, centres = [], [], []
+    for i, (k, restarts, iterations) in enumerate(fits):
+        for r in range(restarts):
+            owner.append(i)
+            left.append(iterations)
+            centres.append(_first_centres(sample, k, cfg.seed + r))
+    active = list(range(len(centres)))
+    while active:
+        found = lloyd_sums(points, [centres[j] for j in active]).collect()  # one row a centre
+        moved = [centres[j].copy() for j in active]
+        for r in found:
+            if r["n"]:  # a centre without rows stays
+                moved[r["set"]][r["centre"]] = [r[f"s{i}"] / r["n"] for i in range(sample.shape[1])]
+        still = []
+        for j, new in zip(active, moved, strict=True):
+            shift = ((new - centres[j]) ** 2).sum()
+            centres[j], left[j] = new, left[j] - 1
+            if shift > settled and left[j] > 0:
+                still.append(j)
+        active = still
+    costs = np.zeros(len(centres))
+    for r in lloyd_sums(points, centres).groupBy("set").agg(F.sum("cost").alias("cost")).collect():
+        costs[r["set"]] = r["cost"]
+    points.unpersist()
+    best = [min((j for j, o in enumerate(owner) if o == i), key=lambda j: costs[j]) for i in range(len(fits))]
+    return [CentreModel(centres[j], float(costs[j])) for j in best]
+
+
+# ---------------------------------------------------------------------------
+# silhouette
+# ---------------------------------------------------------------------------
+def silhouette_rows(rows: DataFrame, labels: list[str], vector: Column, limit: int = 3000, seed: int = 42) -> DataFrame:
+    """(respondent_id, one silhouette per label column) of the sampled rows: (b - a) /
+    max(a, b) with a the mean Euclidean distance to the other rows of the own cluster and b
+    the least mean distance to another cluster's; 0 in a cluster of one row.  Labels are
+    whole numbers."""
+    spark = rows.sparkSession
+    slim = rows.select("respondent_id", vector.alias("x"), *[F.col(c).cast("int").alias(c) for c in labels])
+    sample = materialize(hash_sample(slim, limit, seed), "silhouette_sample")
+    held = sample.toPandas()  # at most ``limit`` rows
+    names = [f"silhouette_{c}" for c in labels]
+    if not len(held):
+        return sample.select("respondent_id", *[F.lit(None).cast("double").alias(c) for c in names])
+    every = spark.sparkContext.broadcast((np.stack(held["x"].to_numpy()), {c: held[c].to_numpy() for c in labels}))
+
+    def run(batches):
+        x, groups = every.value
+        member = {c: (g[:, None] == np.unique(g)).astype(float) for c, g in groups.items()}
+        for pdf in batches:
+            for at in range(0, len(pdf), BATCH):
+                part = pdf.iloc[at:at + BATCH]
+                own = np.stack(part["x"].to_numpy())
+                far = np.zeros((len(own), len(x)))
+                for i in range(own.shape[1]):  # differences, not products: equal rows are at 0
+                    far += (own[:, i, None] - x[:, i]) ** 2
+                far = np.sqrt(far)
+                out = {"respondent_id": part["respondent_id"].to_numpy()}
+                for c, name in zip(labels, names, strict=True):
+                    total, sizes = far @ member[c], member[c].sum(axis=0)
+                    mine = part[c].to_numpy()[:, None] == np.unique(groups[c])
+                    size = (mine * sizes).sum(axis=1)
+                    a = (total * mine).sum(axis=1) / np.maximum(size - 1, 1)
+                    b = np.where(mine, np.inf, total / sizes).min(axis=1)
+                    with np.errstate(invalid="ignore"):
+                        s = (b - a) / np.maximum(a, b)
+                    out[name] = np.where((size > 1) & np.isfinite(b) & (np.maximum(a, b) > 0), s, 0.0)
+                yield pd.DataFrame(out)
+
+    dealt = sample.repartition(spark.sparkContext.defaultParallelism, "respondent_id")
+    return dealt.mapInPandas(run, "respondent_id bigint, " + ", ".join(f"{c} double" for c in names))
+
+
+def silhouette(scaled: DataFrame, cfg: ClusterSettings, models: list[CentreModel] | None = None) -> DataFrame:
+    """(k, silhouette_score, inertia) for each k of the sweep."""
+    models = models or fit_shared(scaled, [(k, cfg.sweep_restarts, cfg.sweep_max_iter) for k in cfg.k_range], cfg)
+    rows, labels = scaled, []
+    for k, model in zip(cfg.k_range, models, strict=True):
+        rows = model.transform(rows).withColumnRenamed("cluster_id", f"k{k}")
+        labels.append(f"k{k}")
+    found = silhouette_rows(rows, labels, vector_to_array("features"), cfg.silhouette_rows, cfg.seed)
+    score = found.agg(*[F.avg(f"silhouette_{c}").alias(c) for c in labels]).first()
+    sdf = scaled.sparkSession.createDataFrame(
+        [(int(k), score[f"k{k}"], m.cost) for k, m in zip(cfg.k_range, models, strict=True)], "k int, silhouette double, inertia double")
+    return sdf.select("k", X.rnd(F.col("silhouette"), 4).alias("silhouette_score"), X.rnd(F.col("inertia"), 1).alias("inertia"))
 
 
 def best_k(sil: DataFrame) -> DataFrame:
@@ -130,22 +287,15 @@ def run_clustering(df: DataFrame, cfg: ClusterSettings | None = None, scaled: Da
     cfg = cfg or ClusterSettings()
     scaled = scaled_features(df) if scaled is None else scaled
     pca_model, _ = pca(scaled)
-    # sweep fits and the final restarts share one pool of driver threads
-    with ThreadPoolExecutor(max_workers=cfg.parallelism) as pool:
-        sweep = {k: [pool.submit(_fit_one, scaled, k, cfg.seed + r, cfg.sweep_max_iter)
-                     for r in range(cfg.sweep_restarts)] for k in cfg.k_range}
-        final = [pool.submit(_fit_one, scaled, cfg.k, cfg.seed + r, cfg.max_iter)
-                 for r in range(cfg.restarts)]
-        rows = [_sweep_row(scaled, [f.result() for f in fs], k) for k, fs in sweep.items()]
-        km = min((f.result() for f in final), key=lambda m: m.summary.trainingCost)
-    sil = _silhouette_frame(scaled, rows)
+    # the final restarts and the sweep share their passes
+    km, *sweep = fit_shared(scaled, [(cfg.k, cfg.restarts, cfg.max_iter),
+                                     *[(k, cfg.sweep_restarts, cfg.sweep_max_iter) for k in cfg.k_range]], cfg)
+    sil = silhouette(scaled, cfg, sweep)
     # the two models are applied one after the other: no join of their outputs
-    assigned = pca_columns(pca_model, km.transform(scaled)).drop("features")
-    labelled = join_cluster_label(assigned)
-    rows = labelled
+    labelled = join_cluster_label(pca_columns(pca_model, km.transform(scaled)))
     profiles = cluster_profiles(labelled)
     ev = [round(float(v) * 100, 1) for v in pca_model.explainedVariance.toArray()]
-    return {"assignments": rows, "profiles": profiles, "silhouette": sil, "best_k": best_k(sil),
+    return {"assignments": labelled, "profiles": profiles, "silhouette": sil, "best_k": best_k(sil),
             "model": km, "pca_model": pca_model, "explained_variance_pct": ev, "scaled": scaled}
 
 

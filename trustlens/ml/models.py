@@ -12,12 +12,11 @@ lineage, and a lost executor re-reads files.
 from __future__ import annotations
 
 import math
-import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +27,6 @@ from trustlens import schema as S
 from trustlens.ml import metrics as M
 from trustlens.ml.boosting import BoostedModel, BoostSettings, fit_boosted
 from trustlens.ml.pipeline import assembler, fold_scalers, imputer, model_frame, rescaled
-from trustlens.session import scratch_path
 
 BOOSTED = "Gradient Boosted Trees"
 MODEL_NAMES = ["Logistic Regression", "Random Forest", BOOSTED]
@@ -141,7 +139,7 @@ def train_classifier(df: DataFrame, target: str, cfg: ModelSettings | None = Non
     importance = feature_importance(fitted[BOOSTED], feats)
     return {"task": target, "metrics": metrics.orderBy("ord"), "best_model_name": best,
             "fitted": fitted, "prep": prep, "features": feats, "predictions": preds,
-            "data": data, "frame": frame, "feature_importance": importance, "n_classes": n_classes}
+            "data": data, "frame": frame, "feature_importance": importance, "n_classes": n_classes, "settings": cfg}
 
 
 def scalers_of(table: DataFrame, folds: int, n_features: int) -> list[tuple[list[float], list[float]]]:
@@ -186,14 +184,3 @@ def best_model(metrics: DataFrame, by: str, order: str = "ord") -> DataFrame:
 def metrics_long(metrics: DataFrame) -> DataFrame:
     vals = [c for c in metrics.columns if c != "model"]
     return metrics.unpivot(["model"], vals, "metric", "value")
-
-
-def save_best(spark: SparkSession, results: dict[str, dict]) -> DataFrame:
-    """The best classifier of each task with its imputer, assembler and scaler, saved as
-    one ``PipelineModel`` under the shared folder: (task, model, path)."""
-    rows = []
-    for task, res in results.items():
-        path = scratch_path(spark, f"best_{task}_{uuid.uuid4().hex[:8]}")
-        PipelineModel([*res["prep"].stages, res["fitted"][res["best_model_name"]]]).write().overwrite().save(path)
-        rows.append((task, res["best_model_name"], path))
-    return spark.createDataFrame(rows, "task string, model string, path string")

@@ -18,13 +18,13 @@ from pyspark.sql import functions as F
 from trustlens import schema as S
 from trustlens.ml import anomaly as AN
 from trustlens.ml import attribution as AT
+from trustlens.ml import boosting as BO
 from trustlens.ml import cluster as CL
 from trustlens.ml import metrics as M
 from trustlens.ml import models as MD
 from trustlens.ml import pipeline as PL
 from trustlens.plans import sql as Q
 from trustlens.plans.catalog import _FEATURE_SQL, resp
-from trustlens.session import scratch_path
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -383,30 +383,29 @@ def q_cluster_profiles(spark, sf):
 
 @register("attach_scores")
 def q_attach_scores(spark, sf):
-    """Cluster and anomaly results attached to the respondent rows by id."""
-    res = cluster_result(spark, sf)
-    an = forest_result(spark, sf)["scores"]
-    return (resp(spark, sf).join(res["assignments"].select("respondent_id", "cluster_id", "cluster_label"),
-                                 "respondent_id")
-            .join(an, "respondent_id"))
+    """Respondent rows with cluster and anomaly results: the scored rows keep their columns
+    and go through the cluster model, so that nothing is joined by id."""
+    rows = forest_result(spark, sf)["rows"]
+    done = CL.join_cluster_label(cluster_result(spark, sf)["model"].transform(rows))
+    return done.select(*resp(spark, sf).columns, "cluster_id", "cluster_label",
+                       "anomaly_score_raw", "anomaly_score", "is_anomaly", "anomaly_tier")
 
 
 @register("sink_models")
 def q_sink_models(spark, sf):
-    """k-means and the best fraud classifier (with imputer, assembler and scaler) saved
-    to the shared folder and loaded back: cluster sizes and predicted classes of all
-    rows by the loaded models."""
-    from pyspark.ml import PipelineModel
-    from pyspark.ml.clustering import KMeansModel
-    clusters = cluster_result(spark, sf)
-    path = scratch_path(spark, "kmeans_model")
-    clusters["model"].write().overwrite().save(path)
-    sizes = KMeansModel.load(path).transform(clusters["scaled"]).groupBy(F.col("cluster_id").alias("value")).count()
-    fraud = fraud_result(spark, sf)
-    best = MD.save_best(spark, {"fraud": fraud}).first()
-    said = PipelineModel.load(best["path"]).transform(fraud["frame"]).groupBy(F.col("prediction").cast("int").alias("value")).count()
+    """k-means and the best fraud classifier (with imputer, assembler and scaler) published
+    to the shared folder and loaded back through their manifests: cluster sizes and
+    predicted classes of all rows by the loaded models."""
+    from trustlens.ml import store
+    from trustlens.sources.respondents import input_state
+    clusters, fraud = cluster_result(spark, sf), fraud_result(spark, sf)
+    state = str(input_state(spark, sf))
+    store.publish_clusters(spark, "kmeans", clusters["model"], {"silhouette": clusters["silhouette"]}, state)
+    store.publish_classifier(spark, "fraud", fraud, state)
+    sizes = store.load(spark, "kmeans").transform(clusters["scaled"]).groupBy(F.col("cluster_id").alias("value")).count()
+    said = store.load(spark, "fraud").transform(fraud["frame"]).groupBy(F.col("prediction").cast("int").alias("value")).count()
     return sizes.select(F.lit("kmeans").alias("model"), "value", "count").unionByName(
-        said.select(F.lit(best["model"]).alias("model"), "value", "count"))
+        said.select(F.lit(fraud["best_model_name"]).alias("model"), "value", "count"))
 
 
 # ---------------------------------------------------------------------------
@@ -425,8 +424,7 @@ def q_anomaly_summary(spark, sf):
 
 @register("anomaly_profile")
 def q_anomaly_profile(spark, sf):
-    return AN.anomaly_profile(forest_result(spark, sf)["scores"],
-                              scaled_result(spark, sf).select("respondent_id", *S.CLUSTER_FEATURES))
+    return AN.anomaly_profile(forest_result(spark, sf)["rows"])
 
 
 @register("anomaly_histogram")
@@ -446,11 +444,10 @@ _RULE_ANOMALY = "round(((respondent_id * 37) % 1001) / 10.0, 1)"
 def _rule_scores(spark, sf):
     from trustlens import functions as X
     score = X.rnd(F.col("respondent_id") * 37 % 1001 / 10.0, 1)
-    return resp(spark, sf).select("respondent_id", score.alias("anomaly_score"), (score < 8).alias("is_anomaly")) \
+    return resp(spark, sf).withColumns({"anomaly_score": score, "is_anomaly": score < 8}) \
         .withColumn("anomaly_tier", X.anomaly_tier(F.col("anomaly_score")))
 
 
-_TIERS = [("Critical", 20), ("High", 40), ("Medium", 60), ("Low", 80), ("Normal", 100)]
 _RULE_ANOMALY_SQL = f", a AS (SELECT respondent_id, {Q.r('((respondent_id * 37) % 1001) / 10.0', 1)} AS score FROM respondents)"
 
 
@@ -460,8 +457,139 @@ _RULE_ANOMALY_SQL = f", a AS (SELECT respondent_id, {Q.r('((respondent_id * 37)
     + ", ".join(f"{Q.r(f'avg({c})', 3)} AS {c}" for c in S.CLUSTER_FEATURES) + " FROM f JOIN a USING (respondent_id) GROUP BY 1"))
 def q_rule_anomaly_profile(spark, sf):
     """Feature means of anomalous and normal rows, the flag given by a rule."""
-    from trustlens.operators.features import cluster_features
-    return AN.anomaly_profile(_rule_scores(spark, sf), cluster_features(resp(spark, sf)))
+    from trustlens.operators.features import engineer_features
+    return AN.anomaly_profile(engineer_features(_rule_scores(spark, sf)))
+
+
+@register("rule_anomaly_summary", Q.with_resp(
+    _RULE_ANOMALY_SQL + ", t AS (SELECT CASE WHEN score <= 20 THEN 'Critical' WHEN score <= 40 THEN 'High' WHEN score <= 60 THEN 'Medium'"
+    " ELSE 'Normal' END AS tier FROM a) SELECT tier, count(*) AS count,"
+    f" {Q.pct('count(*)', '(SELECT count(*) FROM t)')} AS pct FROM t GROUP BY tier"))
+def q_rule_anomaly_summary(spark, sf):
+    """Rows and share of every tier, the score given by a rule."""
+    return AN.anomaly_summary(_rule_scores(spark, sf))
+
+
+_FOREST = AN.ForestSettings()
+
+
+@register("iforest_samples", Q.with_resp(
+    ", d AS (SELECT respondent_id, md5(CAST(respondent_id AS VARCHAR) || ':42') AS x FROM respondents),"
+    " h AS (SELECT respondent_id, ('0x' || substr(x, 1, 13))::BIGINT AS a, ('0x' || substr(x, 14, 13))::BIGINT AS b FROM d),"
+    f" r AS (SELECT t::INT AS tree, respondent_id, row_number() OVER (PARTITION BY t ORDER BY (a + t * b) % {AN.HASH_MODULUS}, respondent_id) AS k"
+    f" FROM h, range({_FOREST.trees}) g(t)) SELECT tree, respondent_id FROM r WHERE k <= {_FOREST.max_samples}"))
+def q_iforest_samples(spark, sf):
+    """Which rows each tree of the isolation forest is grown from."""
+    return AN.tree_samples(resp(spark, sf), _FOREST.trees, _FOREST.max_samples, _FOREST.seed)
+
+
+# ---------------------------------------------------------------------------
+# parts of the fits that SQL can state
+# ---------------------------------------------------------------------------
+_RAW_SQL = "SELECT respondent_id, has_experienced_fraud AS label, " + ", ".join(
+    f"CAST({_FEATURE_SQL.get(c, c)} AS DOUBLE) AS f{i}" for i, c in enumerate(S.CLUSTER_FEATURES)) + " FROM respondents"
+_LONG_SQL = " UNION ALL ".join(f"SELECT respondent_id, label, {i} AS feature, f{i} AS value FROM raw" for i in range(len(S.CLUSTER_FEATURES)))
+_BINS = 16
+
+
+def _raw_features(spark, sf):
+    """respondent_id, label (fraud), fold (none), features: the unscaled clustering features."""
+    from pyspark.ml.feature import VectorAssembler
+
+    from trustlens.operators.features import engineer_features
+    rows = engineer_features(resp(spark, sf)).withColumn("label", F.col(S.FRAUD_TARGET)).withColumn("fold", F.lit(None).cast("int"))
+    return VectorAssembler(inputCols=S.CLUSTER_FEATURES, outputCol="features").transform(rows)
+
+
+_BINS_SQL = (
+    f", raw AS ({_RAW_SQL}), long AS ({_LONG_SQL}),"
+    " c AS (SELECT feature, value, count(*) AS n FROM long GROUP BY ALL),"
+    " s AS (SELECT *, sum(n) OVER (PARTITION BY feature ORDER BY value ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER (PARTITION BY feature) AS total,"
+    " count(*) OVER (PARTITION BY feature) AS k FROM c),"
+    f" e AS (SELECT feature, value AS upper, upto FROM s WHERE k <= {_BINS} OR upto * {_BINS} // total > (upto - n) * {_BINS} // total),"
+    " bins AS (SELECT feature, row_number() OVER w - 1 AS bin, upper, upto - coalesce(lag(upto) OVER w, 0) AS n FROM e"
+    " WINDOW w AS (PARTITION BY feature ORDER BY upper))")
+
+
+@register("boost_bins", Q.with_resp(
+    _BINS_SQL + " SELECT CAST(feature AS INT) AS feature, CAST(bin AS INT) AS bin, upper, CAST(n AS BIGINT) AS n FROM bins"))
+def q_boost_bins(spark, sf):
+    """Bins of the clustering features, 16 at most."""
+    from pyspark.ml.functions import vector_to_array
+    return BO.bin_table(_raw_features(spark, sf), vector_to_array("features"), _BINS)
+
+
+@register("boost_root_sums", Q.with_resp(
+    _BINS_SQL + ", b AS (SELECT l.feature, l.label, min(bins.bin) AS bin FROM long l JOIN bins ON bins.feature = l.feature AND bins.upper >= l.value"
+    " GROUP BY l.feature, l.label, l.respondent_id) SELECT 0::INT AS class, feature::INT AS feature, bin::INT AS bin,"
+    " sum(0.5::DOUBLE - label) AS gradient, sum(0.25::DOUBLE) AS curvature FROM b GROUP BY ALL"))
+def q_boost_root_sums(spark, sf):
+    """Gradient and curvature by bin in the root of the first tree, all rows and columns."""
+    cfg = BO.BoostSettings(row_share=1.0, column_share=1.0, max_bins=_BINS)
+    return BO.root_sums(_raw_features(spark, sf), len(S.CLUSTER_FEATURES), 2, cfg)
+
+
+@register("fold_scalers", Q.with_resp(
+    f", r AS ({_rank_sql('has_experienced_fraud', 43)}), raw AS ({_RAW_SQL}), long AS ({_LONG_SQL}),"
+    " j AS (SELECT feature, value, rk % 5 AS own FROM long JOIN r USING (respondent_id))"
+    f" SELECT f::INT AS fold, feature::INT AS feature, count(*) AS n, {Q.r('avg(value)', 6)} AS mean, {Q.r('stddev_samp(value)', 6)} AS std"
+    " FROM j, range(5) g(f) WHERE own <> f GROUP BY f, feature"))
+def q_fold_scalers(spark, sf):
+    """The scaler of every fold: mean and deviation of the clustering features outside it."""
+    from pyspark.ml.functions import vector_to_array
+
+    from trustlens import functions as X
+    folds = PL.stratified_kfold(_raw_features(spark, sf).drop("fold"), S.FRAUD_TARGET, 5, 43)
+    return PL.fold_scalers(folds, vector_to_array("features"), 5).select(
+        "fold", "feature", "n", X.rnd(F.col("mean"), 6).alias("mean"), X.rnd(F.col("std"), 6).alias("std"))
+
+
+#: Centres of one step of k-means that SQL can state: on the values' scale, without ties.
+_CENTRES = [[20.31 + 23.17 * j if i == 0 else 0.37 + 0.83 * j + 0.11 * i for i in range(len(S.CLUSTER_FEATURES))] for j in range(3)]
+
+
+def _nearest_sql() -> str:
+    far = [" + ".join(f"(f{i} - {v!r}::DOUBLE) * (f{i} - {v!r}::DOUBLE)" for i, v in enumerate(c)) for c in _CENTRES]
+    d = ", ".join(f"{e} AS d{j}" for j, e in enumerate(far))
+    return (f", raw AS ({_RAW_SQL}), far AS (SELECT *, {d} FROM raw),"
+            " near AS (SELECT *, CASE WHEN d0 <= d1 AND d0 <= d2 THEN 0 WHEN d1 <= d2 THEN 1 ELSE 2 END AS centre, least(d0, d1, d2) AS d FROM far)")
+
+
+@register("lloyd_step", Q.with_resp(
+    _nearest_sql() + f" SELECT centre, count(*) AS n, {Q.r('sum(d)', 2)} AS cost, "
+    + ", ".join(f"{Q.r(f'avg(f{i})', 4)} AS {c}" for i, c in enumerate(S.CLUSTER_FEATURES)) + " FROM near GROUP BY centre"))
+def q_lloyd_step(spark, sf):
+    """One pass of k-means from fixed centres: rows, cost and new centre of each."""
+    import numpy as np
+    from pyspark.ml.functions import vector_to_array
+
+    from trustlens import functions as X
+    sums = CL.lloyd_sums(_raw_features(spark, sf).select(vector_to_array("features").alias("x")), [np.array(_CENTRES)])
+    return sums.where("n > 0").select("centre", "n", X.rnd(F.col("cost"), 2).alias("cost"), *[
+        X.rnd(F.col(f"s{i}") / F.col("n"), 4).alias(c) for i, c in enumerate(S.CLUSTER_FEATURES)])
+
+
+_SILHOUETTE_ROWS = 1200
+
+
+@register("rule_silhouette", Q.with_resp(
+    f", raw AS ({_RAW_SQL}), g AS (SELECT *, CAST((respondent_id + f4) % 4 AS INT) AS c FROM raw),"
+    f" s AS (SELECT * FROM g ORDER BY {_H.format(s=42)}, respondent_id LIMIT {_SILHOUETTE_ROWS}),"
+    " p AS (SELECT a.respondent_id, a.c AS own, b.c, sum(sqrt(" + " + ".join(f"(a.f{i} - b.f{i}) * (a.f{i} - b.f{i})" for i in range(len(S.CLUSTER_FEATURES)))
+    + ")) AS total, count(*) AS n FROM s a, s b GROUP BY ALL),"
+    " m AS (SELECT respondent_id, own, sum(CASE WHEN c = own THEN total / greatest(n - 1, 1) END) AS a,"
+    " sum(CASE WHEN c = own THEN n END) AS n, min(CASE WHEN c <> own THEN total / n END) AS b FROM p GROUP BY respondent_id, own)"
+    f" SELECT own AS cluster_id, count(*) AS n, {Q.r('avg(CASE WHEN n > 1 AND b IS NOT NULL AND greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END)', 4)}"
+    " AS silhouette FROM m GROUP BY own"))
+def q_rule_silhouette(spark, sf):
+    """Mean Euclidean silhouette of clusters given by a rule, over a hash sample of 1,200 rows."""
+    from pyspark.ml.functions import vector_to_array
+
+    from trustlens import functions as X
+    rows = _raw_features(spark, sf).withColumn("cluster_id", F.expr(_RULE_CLUSTER))
+    found = CL.silhouette_rows(rows, ["cluster_id"], vector_to_array("features"), _SILHOUETTE_ROWS)
+    own = rows.select("respondent_id", "cluster_id").join(found, "respondent_id")
+    return own.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), X.rnd(F.avg("silhouette_cluster_id"), 4).alias("silhouette"))
 
 
 def _rule_metrics(spark, sf):

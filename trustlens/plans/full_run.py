@@ -20,6 +20,7 @@ from trustlens.ml import anomaly as AN
 from trustlens.ml import attribution as AT
 from trustlens.ml import cluster as CL
 from trustlens.ml import models as MD
+from trustlens.ml import store
 from trustlens.operators import descriptive as D
 from trustlens.operators import report as RP
 from trustlens.operators import risk as R
@@ -70,7 +71,9 @@ def result_tables(df: DataFrame, skip_ml: bool = False, sizes: tuple | None = No
     t["anomaly_summary"] = AN.anomaly_summary(an["scores"])
     t["anomaly_scores"] = an["scores"]
     t["fraud_attributions"] = AT.attribution_table(fraud_attributions(fraud))
-    t["best_models"] = MD.save_best(spark, {"fraud": fraud, "trust": trust})
+    store.publish_clusters(spark, "kmeans", clus["model"], {"silhouette": clus["silhouette"]}, "full run")
+    saved = [store.publish_classifier(spark, name, res, "full run") for name, res in (("fraud", fraud), ("trust", trust))]
+    t["best_models"] = spark.createDataFrame([(m["name"], m["model"], m["folder"]) for m in saved], "task string, model string, path string")
     return t
 
 
