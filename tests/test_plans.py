@@ -55,3 +55,25 @@ def test_no_join_shuffles_rows_by_their_label(spark, resp_small):
     frame, _ = model_frame(resp_small, S.FRAUD_TARGET)
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "hashpartitioning(label" not in plan.split("Subquery")[0]
+
+
+def test_report_cube_is_one_scan_counted_before_the_shuffle(spark, resp_small):
+    from trustlens.operators import stats as ST
+    cube = ST.report_cube(resp_small)
+    assert _scans(cube) == 1 and cube.count() < 400
+    assert "partial_count" in cube._jdf.queryExecution().executedPlan().toString()
+    source = resp_small.inputFiles()[0].rsplit("/", 1)[0]
+    report = ST.stat_report(resp_small)
+    assert not any(f.startswith(source) for f in report.inputFiles())  # only the cube is read
+
+
+def test_scores_and_clusters_are_attached_without_a_join(spark):
+    from trustlens.ml import anomaly as AN
+    from trustlens.ml.cluster import CentreModel
+    import numpy as np
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+    df = spark.range(300).select(F.col("id").alias("respondent_id"), array_to_vector(F.array(F.rand(1), F.rand(2))).alias("features"))
+    rows = AN.isolation_forest(df, ["a", "b"], AN.ForestSettings(trees=5))["rows"]
+    done = CentreModel(np.array([[0.2, 0.2], [0.8, 0.8]]), 0.0).transform(rows)
+    assert "Join" not in done._jdf.queryExecution().executedPlan().toString().split("Subquery")[0] and done.count() == 300

@@ -184,3 +184,27 @@ def test_spearman_of_wide_codes(spark):
     got = {(r["item_a"], r["item_b"]): r["rho"] for r in ST.correlation_matrix(df, ["q1", "q2", "q3"]).collect()}
     want = df.toPandas().rank().corr()
     assert all(abs(v - want.loc[a, b]) < 6e-4 for (a, b), v in got.items()) and got["q1", "q3"] == -1.0
+
+
+def test_spearman_of_continuous_columns(spark):
+    df = spark.range(5000).select((F.col("id") * 48271 % 2147483647 / 7.0).alias("a"), (F.col("id") * 69623 % 1009).alias("b"),
+                                  F.when(F.col("id") % 11 > 0, F.col("id") % 3).alias("c"))
+    out = ST.correlation_matrix(df.withColumn("d", F.col("a") + F.col("b") * 1e6), ["a", "b", "c", "d"])
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    want = df.toPandas().assign(d=lambda p: p.a + p.b * 1e6).dropna().rank().corr()
+    for r in out.collect():
+        assert r["rho"] == pytest.approx(want.loc[r["item_a"], r["item_b"]], abs=6e-4)
+
+
+def test_report_from_the_cube_equals_the_single_tests(spark, resp_small):
+    got = {r["test"]: r for r in ST.stat_report(resp_small).collect()}
+    single = [*ST.mann_whitney(resp_small).collect(), *ST.chi_square(resp_small).collect(),
+              *ST.kruskal(resp_small, "income_bracket").collect(), *ST.kruskal(resp_small, "region").collect()]
+    assert len(got) == len(single) and all(all(got[r["test"]][c] == r[c] for c in ST.RESULT_COLUMNS) for r in single)
+
+
+def test_constant_column_has_no_correlation(spark):
+    df = spark.createDataFrame([(i, 7) for i in range(9)], "a int, b int")
+    for method in ("spearman", "pearson"):
+        got = {(r["item_a"], r["item_b"]): r["rho"] for r in ST.correlation_matrix(df, ["a", "b"], method).collect()}
+        assert got == {("a", "a"): 1.0, ("a", "b"): None, ("b", "a"): None, ("b", "b"): None}

@@ -105,3 +105,23 @@ def test_path_precedence(spark, tmp_path):
         SV.find_survey(spark, a, b, c)
     with pytest.raises(FileNotFoundError):
         SV.find_survey(spark)
+
+
+DAMAGED = SV.DAMAGED
+
+
+def test_damaged_lines_raise_or_go_to_quarantine(spark, tmp_path):
+    good = survey_rows(6)
+    text = [",".join(str(r[c]) for c in S.REQUIRED_COLUMNS) for r in good]
+    bad = [text[0] + ",x,y", text[1].rsplit(",", 1)[0], text[2].rsplit(",", 1)[0] + ",often"]
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    header = ",".join(S.REQUIRED_COLUMNS)
+    (folder / "a.csv").write_text("\n".join([header, bad[0], text[3], bad[1]]) + "\n")
+    (folder / "b.csv").write_text("\n".join([header, text[4], bad[2], text[5]]) + "\n")
+    with pytest.raises(ValueError, match="3 damaged lines"):
+        SV.read_survey(spark, str(folder))
+    rows = SV.read_survey(spark, str(folder), quarantine=str(tmp_path / "aside"))
+    assert sorted(r["respondent_id"] for r in rows.collect()) == [4, 5, 6] and DAMAGED not in rows.columns
+    aside = {(r["file"].rsplit("/", 1)[1], r["line"]) for r in spark.read.parquet(str(tmp_path / "aside")).collect()}
+    assert aside == {("a.csv", bad[0]), ("a.csv", bad[1]), ("b.csv", bad[2])}

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from trustlens import functions as X
 from trustlens import schema as S
 from trustlens.operators.ranks import running
+from trustlens.session import materialize
 
 RESULT_COLUMNS = ["test", "statistic", "p_value", "effect_size", "significant", "interpretation"]
 
@@ -116,22 +117,24 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None,
                        method: str = "spearman") -> DataFrame:
     """Long-form correlation matrix (item_a, item_b, title_a, title_b, rho 3 dp).
 
-    Spearman replaces each rating by its (doubled) mid-rank through a map built
-    from the item x rating counts (a scalar subquery, one entry per item and code),
-    then both methods are Pearson sums over the rows: one aggregate with
-    n, sum x_i and sum x_i x_j for every pair (i <= j).  The generated sums are
-    SQL expressions (parsed once in the JVM).
+    Spearman replaces each value by its (doubled) mid-rank: ranks per (column, value) are
+    written once and joined back column by column.  Spark broadcasts them while their
+    written size is below its threshold (codes, flags) and shuffles beyond (continuous
+    columns), so that columns may have any number of distinct values.  Then both methods
+    are Pearson sums over the rows: one aggregate with n, sum x_i and sum x_i x_j for every
+    pair (i <= j).  The generated sums are SQL expressions (parsed once in the JVM).  A
+    constant column has no correlation: null.
     """
-    from trustlens.operators.descriptive import likert_counts
     cols = [c for c in (columns or S.SPT_COLUMNS) if c in df.columns]
     rows = _complete(df, cols)
     if method == "spearman":
-        ranks = mid_ranks(likert_counts(rows, cols))
-        rmap = ranks.agg(F.map_from_entries(F.collect_list(
-            F.struct(F.struct("column", F.col("rating").cast("double").alias("rating")), "rank2")))).scalar()
-        rows = rows.withColumn("_ranks", rmap)
-        vals = [F.element_at("_ranks", F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("rating"))).cast("double").alias(f"v{i}")
-                for i, c in enumerate(cols)]
+        rows = rows.select(*[F.col(c).cast("double").alias(c) for c in cols])
+        counts = rows.unpivot([], cols, "column", "rating").groupBy("column", "rating").agg(F.count(F.lit(1)).alias("n"))
+        ranks = materialize(mid_ranks(counts).select("column", "rating", F.col("rank2").cast("double").alias("rank2")), "mid_ranks")
+        for i, c in enumerate(cols):
+            of = ranks.where(F.col("column") == c).select(F.col("rating").alias(f"_v{i}"), F.col("rank2").alias(f"_r{i}"))
+            rows = rows.join(of, F.col(c) == F.col(f"_v{i}"))
+        vals = [F.col(f"_r{i}").alias(f"v{i}") for i in range(len(cols))]
     elif method == "pearson":
         vals = [F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)]
     else:
@@ -146,7 +149,7 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None,
         sxy = f"(n * p{i}_{j} - s{i} * s{j})"
         sxx = f"(n * p{i}_{i} - s{i} * s{i})"
         syy = f"(n * p{j}_{j} - s{j} * s{j})"
-        return f"CAST(floor({sxy} / sqrt({sxx} * {syy}) * 1000 + 0.5) / 1000 AS DOUBLE) AS c{i}_{j}"
+        return f"CAST(floor({sxy} / nullif(sqrt({sxx} * {syy}), 0) * 1000 + 0.5) / 1000 AS DOUBLE) AS c{i}_{j}"
 
     wide = one.selectExpr(*[rho(i, j) for i, j in pairs])
     long = wide.unpivot([], [f"c{i}_{j}" for i, j in pairs], "cell", "rho")
@@ -182,12 +185,14 @@ def mann_whitney(df: DataFrame, columns: list[str] | None = None,
     exact distribution of U when there are no ties and a group has at most 8
     rows), rank-biserial r = 1 - 2U/(n1 n2), effect = |r|."""
     cols = [c for c in (columns or S.SPT_COLUMNS) if c in df.columns]
-    rows = df.where(F.col(group).isin(0, 1))
-    long = rows.select(F.col(group).alias("g"), *cols).unpivot(["g"], cols, "column", "rating") \
-        .where(F.col("rating").isNotNull())
-    cnt = long.groupBy("column", "rating").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.when(F.col("g") == 1, 1).otherwise(0)).alias("n1r"))
+    return mann_whitney_of(df.select(F.col(group).alias("g"), *cols).unpivot(["g"], cols, "column", "rating")
+                           .groupBy("column", "rating", "g").agg(F.count(F.lit(1)).alias("n")))
+
+
+def mann_whitney_of(counts: DataFrame) -> DataFrame:
+    """The test rows from counts ``n`` by (column, rating, g)."""
+    cnt = counts.where(F.col("g").isin(0, 1) & F.col("rating").isNotNull()).groupBy("column", "rating").agg(
+        F.sum(F.when(F.col("g") == 1, F.col("n")).otherwise(0)).alias("n1r"), F.sum("n").alias("n"))
     ranked = mid_ranks(cnt)
     t = ranked.groupBy("column").agg(
         F.sum("n1r").alias("n1"), F.sum("n").alias("n"),
@@ -208,7 +213,7 @@ def mann_whitney(df: DataFrame, columns: list[str] | None = None,
     t = t.withColumn("_p_exact", X.mwu_exact_p(n1, n2, u, F.col("ties")))
     p = F.coalesce(F.col("_p_exact"), p_norm)
     r = F.when(n1 * n2 > 0, 1 - (2 * u1) / (n1 * n2))
-    out = F.broadcast(_items(df))
+    out = F.broadcast(_items(counts))
     res = t.join(out, "column", "left").select(
         F.concat(F.lit("Mann-Whitney U: "), F.coalesce("title", "column")).alias("test"),
         X.rnd(u1, 2).alias("statistic"), X.rnd(p, 4).alias("p_value"),
@@ -228,13 +233,16 @@ def chi_square(df: DataFrame, segments: list[str] | None = None,
     """Fraud flag vs each segment: chi2 (Yates correction when dof = 1), p,
     Cramer's V = sqrt(chi2 / (n (min(r, c) - 1)))."""
     segs = [c for c in (segments or S.CHI_SQUARE_SEGMENTS) if c in df.columns]
-    long = (df.where(F.col(target).isNotNull())
-            .select(F.col(target).alias("y"), *[F.col(c).cast("string").alias(c) for c in segs])
-            .unpivot(["y"], segs, "segment", "value").where(F.col("value").isNotNull()))
+    long = df.select(F.col(target).alias("y"), *[F.col(c).cast("string").alias(c) for c in segs]).unpivot(["y"], segs, "segment", "value")
+    return chi_square_of(long.groupBy("segment", "value", "y").agg(F.count(F.lit(1)).alias("n")), segs)
+
+
+def chi_square_of(counts: DataFrame, segs: list[str]) -> DataFrame:
+    """The test rows from counts ``n`` by (segment, value, y)."""
     # contingency cells, one row per (segment, value) with both target levels
-    cells = (long.groupBy("segment", "value")
-             .agg(F.sum(F.when(F.col("y") == 0, 1).otherwise(0)).alias("o0"),
-                  F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("o1")))
+    cells = (counts.where(F.col("y").isNotNull() & F.col("value").isNotNull()).groupBy("segment", "value")
+             .agg(F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("o0"),
+                  F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("o1")))
     ws = Window.partitionBy("segment")
     c = (cells.withColumn("row", F.col("o0") + F.col("o1"))
          .withColumn("c0", F.sum("o0").over(ws)).withColumn("c1", F.sum("o1").over(ws))
@@ -275,7 +283,11 @@ def kruskal(df: DataFrame, segment: str = "income_bracket",
     """Kruskal-Wallis H of ``value`` across ``segment`` groups (tie-corrected),
     p from chi-square with k-1 dof, eta^2 = (H - k + 1)/(n - k)."""
     # one scan: every row counts for n_all, rows with both values for the test
-    cells = df.groupBy(F.col(segment).alias("grp"), F.col(value).alias("rating")).agg(F.count(F.lit(1)).alias("ng"))
+    return kruskal_of(df.groupBy(F.col(segment).alias("grp"), F.col(value).alias("rating")).agg(F.count(F.lit(1)).alias("ng")), segment)
+
+
+def kruskal_of(cells: DataFrame, segment: str) -> DataFrame:
+    """The test row from counts ``ng`` by (grp, rating)."""
     both = F.col("grp").isNotNull() & F.col("rating").isNotNull()
     per_rating = mid_ranks(cells.where(both).groupBy("rating").agg(F.sum("ng").alias("n"), F.collect_list(F.struct("grp", "ng")).alias("of"))
                            .withColumn("part", F.lit(0)), part="part")
@@ -304,11 +316,30 @@ def kruskal(df: DataFrame, segment: str = "income_bracket",
         .alias("interpretation"))
 
 
+def report_cube(df: DataFrame, group: str = S.FRAUD_TARGET, value: str = S.TRUST_TARGET,
+                tests: tuple[str, ...] = ("income_bracket", "region")) -> DataFrame:
+    """(family, name, level, other, n): the counts that all tests of the report need, from
+    one scan.  Every row stands in one cell of each test, and cells are counted before the
+    shuffle: a few hundred rows."""
+    cell = lambda family, name, level, other: F.struct(
+        F.lit(family).alias("family"), F.lit(name).alias("name"), F.col(level).cast("string").alias("level"), F.col(other).cast("int").alias("other"))
+    cells = [cell("ratings", c, c, group) for c in S.SPT_COLUMNS if c in df.columns]
+    cells += [cell("segments", c, c, group) for c in S.CHI_SQUARE_SEGMENTS if c in df.columns]
+    cells += [cell("trust", c, c, value) for c in tests]
+    return df.select(F.explode(F.array(*cells)).alias("c")).groupBy("c.family", "c.name", "c.level", "c.other").agg(F.count(F.lit(1)).alias("n"))
+
+
 def stat_report(df: DataFrame) -> DataFrame:
-    """All test rows on the TestResult schema, with their family."""
-    parts = [mann_whitney(df).withColumn("family", F.lit("fraud_vs_trust")),
-             chi_square(df).withColumn("family", F.lit("fraud_vs_demographics")),
-             kruskal(df, "income_bracket").withColumn("family", F.lit("trust_by_income")),
-             kruskal(df, "region").withColumn("family", F.lit("trust_by_region"))]
+    """All test rows on the TestResult schema, with their family: one scan of ``df`` counts
+    the cells of all tests, which is written and read by each."""
+    cube = materialize(report_cube(df), "report_cube")
+    part = lambda family: cube.where(F.col("family") == family)
+    ratings = part("ratings").select(F.col("name").alias("column"), F.col("level").cast("double").alias("rating"), F.col("other").alias("g"), "n")
+    segments = part("segments").select(F.col("name").alias("segment"), F.col("level").alias("value"), F.col("other").alias("y"), "n")
+    trust = lambda c: kruskal_of(part("trust").where(F.col("name") == c).select(
+        F.col("level").alias("grp"), F.col("other").alias("rating"), F.col("n").alias("ng")), c)
+    parts = [mann_whitney_of(ratings).withColumn("family", F.lit("fraud_vs_trust")),
+             chi_square_of(segments, [c for c in S.CHI_SQUARE_SEGMENTS if c in df.columns]).withColumn("family", F.lit("fraud_vs_demographics")),
+             trust("income_bracket").withColumn("family", F.lit("trust_by_income")),
+             trust("region").withColumn("family", F.lit("trust_by_region"))]
     return reduce(lambda a, b: a.unionByName(b), parts).select("family", *RESULT_COLUMNS)
-

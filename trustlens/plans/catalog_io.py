@@ -56,6 +56,34 @@ def q_scan_legacy(spark, sf):
     return SV.read_survey(spark, path, "csv", profile="legacy").select(*legacy.columns)
 
 
+#: Lines of the CSV that get two more fields, lose the last one, or have text for a number.
+_RAGGED = "CASE WHEN respondent_id % 41 = 7 THEN 'long' WHEN respondent_id % 43 = 5 THEN 'short' WHEN respondent_id % 47 = 3 THEN 'text' END"
+
+
+def _line_sql() -> str:
+    cut = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in S.REQUIRED_COLUMNS[:-1])
+    last = f"coalesce(CAST({S.REQUIRED_COLUMNS[-1]} AS VARCHAR), '')"
+    return (f" SELECT respondent_id, CASE {_RAGGED} WHEN 'long' THEN concat_ws(',', {cut}, {last}, 'more', '') WHEN 'short' THEN concat_ws(',', {cut})"
+            f" ELSE concat_ws(',', {cut}, 'often') END AS line FROM respondents WHERE {_RAGGED} IS NOT NULL")
+
+
+@register("csv_quarantine", Q.with_resp(_line_sql()))
+def q_csv_quarantine(spark, sf):
+    """Survey CSV in which some lines have two fields too many, one too few, or text where
+    a number belongs: the lines that the reader puts aside, as they stand in the file."""
+    df = resp(spark, sf)
+    text = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in S.REQUIRED_COLUMNS]
+    kind = F.expr(_RAGGED)
+    line = (F.when(kind == "long", F.concat_ws(",", *text, F.lit("more"), F.lit(""))).when(kind == "short", F.concat_ws(",", *text[:-1]))
+            .when(kind == "text", F.concat_ws(",", *text[:-1], F.lit("often"))).otherwise(F.concat_ws(",", *text)))
+    path, aside = _scratch(spark, "ragged_csv"), _scratch(spark, "quarantine")
+    # One column of whole lines, named like the header, without quoting.
+    (df.select(line.alias(",".join(S.REQUIRED_COLUMNS))).write.option("header", True).option("sep", "\u0001")
+     .option("quote", "").option("escapeQuotes", False).csv(path))
+    SV.read_survey(spark, path, "csv", quarantine=aside)
+    return spark.read.parquet(aside).select(F.substring_index("line", ",", 1).cast(dict(df.dtypes)["respondent_id"]).alias("respondent_id"), "line")
+
+
 #: Damage to the respondent table, so that the checks have something to find: (column,
 #: rows by id, value).  The same rules stand in the SQL checks.
 DAMAGE = [("q_feel_secure", "respondent_id % 17 = 3", "9"), ("q_saves_time", "respondent_id % 29 = 1", "0"),
@@ -124,7 +152,15 @@ def q_coerce_types(spark, sf):
     return SV.coerce_types(raw).select(*S.REQUIRED_COLUMNS)
 
 
-@register("sink_tables")
+def _sink_sql() -> str:
+    from trustlens.plans.catalog import ORACLE as checks
+    names = {"service_adoption": "service_adoption", "likert_summary": "likert_summary", "fraud_profile": "fraud_profile",
+             "channel_risk_matrix": "channel_risk_matrix", "security_gap_matrix": "security_gaps", "vulnerable_cohorts": "vulnerable_cohorts"}
+    counts = " UNION ALL ".join(f"SELECT '{table}' AS name, count(*) AS n FROM ({checks[key]}) q" for table, key in names.items())
+    return f"SELECT name AS \"table\", format, n AS rows FROM ({counts}) c, (VALUES ('parquet'), ('csv')) f(format)"
+
+
+@register("sink_tables", _sink_sql())
 def q_sink_tables(spark, sf):
     """Write the main result tables (parquet and CSV) and read back row counts."""
     df = resp(spark, sf)

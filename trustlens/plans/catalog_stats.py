@@ -91,6 +91,32 @@ def q_pearson_matrix(spark, sf):
     return ST.correlation_matrix(resp(spark, sf), S.SPT_COLUMNS, "pearson")
 
 
+#: Columns of few, of many and of nearly only distinct values.
+_WIDE = ["q_trust_platform", "security_posture_score", "c_acctbal", "spent"]
+
+
+def _wide_sql() -> str:
+    ranks = ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2 AS r{i}" for i, c in enumerate(_WIDE))
+    cells = " UNION ALL ".join(f"SELECT '{a}' AS item_a, '{b}' AS item_b, {Q.r(f'corr(r{i}, r{j})', 3)} AS rho FROM rk"
+                               for i, a in enumerate(_WIDE) for j, b in enumerate(_WIDE))
+    return (", o AS (SELECT o_custkey, CAST(sum(o_totalprice) AS DOUBLE) AS spent FROM orders GROUP BY o_custkey),"
+            f" w AS (SELECT q_trust_platform, {Q.POSTURE} AS security_posture_score, CAST(c_acctbal AS DOUBLE) AS c_acctbal, spent"
+            " FROM respondents JOIN customer ON c_custkey = respondent_id JOIN o ON o_custkey = respondent_id),"
+            f" rk AS (SELECT {ranks} FROM w) {cells}")
+
+
+@register("spearman_wide", Q.with_resp(_wide_sql()))
+def q_spearman_wide(spark, sf):
+    """Rank correlations of a Likert item, the posture score, the account balance and the
+    sum of the orders: columns of any number of distinct values."""
+    from trustlens.operators.features import engineer_features
+    read = lambda name: spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
+    spent = read("orders").groupBy(F.col("o_custkey").alias("respondent_id")).agg(F.sum("o_totalprice").cast("double").alias("spent"))
+    balance = read("customer").select(F.col("c_custkey").alias("respondent_id"), F.col("c_acctbal").cast("double").alias("c_acctbal"))
+    rows = engineer_features(resp(spark, sf)).join(balance, "respondent_id").join(spent, "respondent_id")
+    return ST.correlation_matrix(rows, _WIDE, "spearman").select("item_a", "item_b", "rho")
+
+
 def _fmt3(x: str) -> str:
     return f"printf('%.3f', {Q.r(x, 3)})"
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trustlens import schema as S
+from trustlens.session import materialize
 
 TRUE_TEXT = ["1", "true", "True", "TRUE", "1.0"]
 FALSE_TEXT = ["0", "false", "False", "FALSE", "0.0"]
@@ -49,19 +50,41 @@ def find_survey(spark: SparkSession, explicit: str | None = None, raw: str | Non
     return path
 
 
+#: The column in which the CSV reader puts the text of a line that doesn't fit the schema.
+DAMAGED = "_damaged_line"
+
+
+def load_csv(spark: SparkSession, path: str, profile: str = "main", required: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, damaged) of a CSV survey with header.  ``damaged`` (file, line) has every line
+    with too few or too many fields or with text where a number belongs, as it stands in
+    the file.  Both come from the one pass that reads: it writes the typed rows, damaged
+    lines beside them, and what follows reads that table."""
+    header = spark.read.option("header", True).csv(path).columns  # reads the first line
+    if required and (missing := sorted(set(required) - set(header))):
+        raise ValueError(f"Dataset missing required columns: {missing}")
+    schema = T.StructType([*read_schema(header, profile).fields, T.StructField(DAMAGED, T.StringType(), True)])
+    read = (spark.read.schema(schema).option("header", True).option("enforceSchema", False)
+            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", DAMAGED).csv(path))
+    both = materialize(read.withColumn("_file", F.input_file_name()), "survey_rows")
+    return (both.where(F.col(DAMAGED).isNull()).drop(DAMAGED, "_file"),
+            both.where(F.col(DAMAGED).isNotNull()).select(F.col("_file").alias("file"), F.col(DAMAGED).alias("line")))
+
+
 def read_survey(spark: SparkSession, path: str, fmt: str = "csv", profile: str = "main",
-                validate_rows: bool = True) -> DataFrame:
+                validate_rows: bool = True, quarantine: str | None = None) -> DataFrame:
     """Load a survey table (CSV with header, or Parquet), validate, coerce types.
 
     CSV columns are found by the names in the header, in any order; further columns are
-    kept.  Files of a folder must agree on their header (Spark checks each)."""
+    kept.  Files of a folder must agree on their header (Spark checks each).  Damaged lines
+    (see ``load_csv``) are an error, unless ``quarantine`` names a folder: then they are
+    written there (file, line) and the other rows are returned."""
     required = S.REQUIRED_COLUMNS if profile == "main" else S.LEGACY_COLUMNS
     if fmt == "csv":
-        header = spark.read.option("header", True).csv(path).columns  # reads the first line
-        if validate_rows and (missing := sorted(set(required) - set(header))):
-            raise ValueError(f"Dataset missing required columns: {missing}")
-        df = (spark.read.schema(read_schema(header, profile)).option("header", True)
-              .option("enforceSchema", False).option("mode", "PERMISSIVE").csv(path))
+        df, damaged = load_csv(spark, path, profile, required if validate_rows else None)
+        if quarantine:
+            damaged.write.mode("overwrite").parquet(quarantine)
+        elif first := damaged.orderBy("line").first():
+            raise ValueError(f"{damaged.count()} damaged lines, such as in {first['file']}: {first['line'][:200]}")
     elif fmt == "parquet":
         df = spark.read.parquet(path)
     else:
