@@ -110,6 +110,19 @@ def test_fold_models_do_not_see_their_fold(spark):
         assert np.allclose(model.margins(x), margin[:, 0], atol=1e-4)
 
 
+def test_checkpoints_do_not_pile_up(spark, monkeypatch):
+    import os
+    monkeypatch.setattr(B, "CHECKPOINT_ROUNDS", 2)
+    folder = B.ensure_checkpoint_dir(spark).removeprefix("file:")
+    held = lambda: {d for d in os.listdir(folder) if d.startswith("rdd-")}
+    before, seen = held(), []
+    grow = B.grow_level
+    monkeypatch.setattr(B, "grow_level", lambda *a: (seen.append(len(held() - before)), grow(*a))[1])
+    x, y = problem(n=300)
+    model = B.fit_boosted(frame(spark, x, y), 5, 2, 0, B.BoostSettings(rounds=9, depth=2))[0]
+    assert len(model.rounds) == 9 and max(seen) == 1 and held() == before
+
+
 def test_predictions_probabilities_and_saved_model(spark, tmp_path):
     for classes in (2, 3):
         x, y = problem(n=1500, classes=classes, seed=4)
