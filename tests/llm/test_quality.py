@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import docs, rows
 from trustlens.llm import quality as Q
@@ -111,3 +112,9 @@ def test_chains_in_pieces():
     whole = Q.chain(unary, lines, pair, piece=1000)
     for piece in (1, 8, 16, 33):
         assert all(np.allclose(a, b) for a, b in zip(whole, Q.chain(unary, lines, pair, piece), strict=True))
+
+
+def test_a_null_doc_id_is_not_held_out(spark):
+    ids = [None, *range(40)]
+    got = spark.createDataFrame([(i,) for i in ids], "doc_id long").select("doc_id", Q.held_out(F.col("doc_id"))).collect()
+    assert {r[0]: r[1] for r in got} == {i: i is not None and zlib.crc32(str(i).encode()) % 4 == 2 for i in ids}

@@ -16,7 +16,8 @@ out; of several for a doc_id the smallest counts, and training takes the smalles
 a doc_id with several rows.  Without labels, or with one kind only,
 all scores are equal: the share of good labels (a half without any); keep_good keeps all
 documents when there is no label to learn from.  Rows that repeat a
-doc_id each get a row.  Columns other than doc_id and text are not read.
+doc_id each get a row; a null doc_id is not held out, and has no label.  Columns other
+than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -287,7 +288,8 @@ def _layout(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+    """Whether a document is kept from training; one without an id is not."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS) -> Field:
