@@ -28,6 +28,26 @@ def test_as_the_library(spark):
     assert rows(B.round_trip(df, B.vocabulary())) == sorted((want(lib, i, t) for i, t in enumerate(given)), key=repr)
 
 
+SCRIPTS = ["Привет,  мир! Это 2024-й год.", "你好，世界。三个 词 １２３", "emoji 😀😀 and 👩‍👩‍👧 \u200d end ", "日本語のテキスト\n\n  次の行\t", "עברית عربي 'т's don't 'LL", "Ünïcode \u0301x Ⅷ½ ٣٤", "αβγ\u3000δ\x85ε\u2003ζ  ",
+           "ไทยไม่มีช่องว่าง" * 400]
+
+
+def test_words_of_every_script_go_through_the_table(spark):
+    import pyarrow as pa
+
+    from trustlens.llm.bpe_words import encode_words, plain_words
+    lib, rnd = library(), random.Random(5)
+    given = SCRIPTS + ["".join(rnd.choice([*"яЖ中国😀é a'\t\n\u3000\u0301٣.", "  ", "'s", "мир "]) for _ in range(rnd.randrange(60))) for _ in range(200)]
+    words, per_text, whole = plain_words(pa.array([*given, "plain words", "中 <|endoftext|>"]), B.BYTE_LEVEL, lambda: lib)
+    assert whole.tolist() == [False] * (len(given) + 1) + [True]  # only the special token's text stays whole
+    flat, at = words.to_pylist(), np.cumsum([0, *per_text])
+    assert ["".join(flat[a:b]) for a, b in zip(at, at[1:])] == [*given, "plain words", ""]
+    ids = encode_words(lib, flat)
+    assert [b"".join(ids[a:b]) for a, b in zip(at[:-2], at[1:-1])] == [np.array(lib.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in [*given, "plain words"]]
+    df = docs(spark, given)
+    assert rows(B.round_trip(df, B.vocabulary())) == sorted((want(lib, i, t) for i, t in enumerate(given)), key=repr)
+
+
 def test_missing_dictionary_words_are_encoded_on_the_spot(spark):
     lib = library()
     pairs = [(k, f"word{k} and more") for k in range(40)]

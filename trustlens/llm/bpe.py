@@ -1,6 +1,8 @@
 """BPE encoding and decoding over a table of distinct words.
 
-1. Scan tasks cut texts into words; every task gives the distinct words of its part.
+1. Scan tasks cut texts into words, whatever their script; every task gives the distinct
+   words of its part.  Only a text that holds a special token's string goes whole to the
+   library, which cuts it there first.
 2. The words of all parts come together by a shuffle on the word; each distinct word is
    encoded once, and goes back to the parts that have it as their dictionary, written
    under the shared checkpoint folder.
@@ -21,6 +23,7 @@ import hashlib
 import json
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +36,8 @@ from trustlens.llm.bpe_words import BYTE_LEVEL, WordSplit, encode_batch, encode_
 from trustlens.llm.common import bounded_batches, by_bytes, documents, ragged_take, text_or_empty
 from trustlens.session import scratch_path
 
+#: Scan parts whose dictionaries one shuffle task writes.
+PARTS_A_TASK = 8
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -52,11 +57,12 @@ def piece_table(spec: str) -> list[bytes]:
     return [vocab[i].encode() if i in added else bytes(alphabet[c] for c in vocab[i]) if i in vocab else b"" for i in range(max(vocab) + 1)]
 
 
-def _distinct_words(split: WordSplit):
+def _distinct_words(spec, split: WordSplit):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), set()
+        tokenizer = cache(lambda: load_tokenizer(spec.value))
         for b in (p for batch in batches for p in by_bytes(batch, "text")):
-            new = [w for w in plain_words(b.column("text"), split)[0].unique().to_pylist() if w not in seen]
+            new = [w for w in plain_words(b.column("text"), split, tokenizer)[0].unique().to_pylist() if w not in seen]
             seen.update(new)
             yield pa.RecordBatch.from_arrays([pa.array([part] * len(new), pa.int32()), pa.array(new, pa.string())], names=["part", "word"])
     return run
@@ -115,8 +121,9 @@ def encode(docs: DataFrame, spec: str, split: WordSplit, finish, schema: str) ->
     shared = spark.sparkContext.broadcast(spec)  # a vocabulary file: a few MB, whatever the input
     texts = docs.select("doc_id", text_or_empty().alias("text"))
     folder = scratch_path(spark, f"bpe_words_{uuid.uuid4().hex[:8]}")
-    pairs = texts.select("text").mapInArrow(_distinct_words(split), "part int, word string")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pairs = texts.select("text").mapInArrow(_distinct_words(shared, split), "part int, word string")
+    # a shuffle task takes the words of PARTS_A_TASK scan parts at most, however many parts the input has
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-texts.rdd.getNumPartitions() // PARTS_A_TASK))
     (pairs.repartition(n, "word").sortWithinPartitions("word").mapInArrow(_encode_distinct(shared), "part int, word string, ids binary")
      .repartition(n, "part").write.mode("overwrite").partitionBy("part").parquet(folder))
     return texts.mapInArrow(_with_dictionary(folder, shared, split, finish), schema)

@@ -1,10 +1,11 @@
 """Words of two public BPE tokenizers, cut from whole Arrow batches, and their ids.
 
-A text goes one of two ways.  Nearly all texts hold Latin letters and common punctuation
-only; they are cut into words by the classes of their bytes, all texts of a batch at
-once, and words are looked up.  Texts with other characters (where the class of a
-character depends on the library's Unicode tables), or with the string of a special
-token, are left whole for the library.
+Texts of Latin letters and common punctuation are cut into words by the classes of their
+bytes, all texts of a batch at once, and words are looked up.  Texts with other
+characters (where the class of a character depends on the library's Unicode tables) are
+cut by the library's own pre-tokenizer, and their words are looked up alike; but where a
+tokenizer normalizes texts first (``WORD_END``) they are left whole for the library.  So
+is every text with the string of a special token.
 """
 
 from __future__ import annotations
@@ -65,18 +66,23 @@ def _wide(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return two, ((data[two].astype(np.int32) & 0x1F) << 6) | (data[two + 1] & 0x3F)
 
 
-def odd_texts(texts: pa.Array, how: WordSplit) -> np.ndarray:
-    """Which texts stay whole."""
+def foreign_texts(texts: pa.Array) -> np.ndarray:
+    """Which texts hold characters that ``cut`` has no class for."""
     data, offsets = _buffers(texts)
     two, code = _wide(data)
     three = np.flatnonzero(data >= 0xE0)
     a, b, c = data[three], data[np.minimum(three + 1, len(data) - 1)], data[np.minimum(three + 2, len(data) - 1)]
     fine = (a == 0xE2) & (((b == 0x80) & (c >= 0x90) & (c <= 0xA7)) | ((b == 0x82) & (c == 0xAC)))
     bad = np.concatenate([two[(code >= LATIN_END) | (code == DOTTED_I)], three[~fine]])
-    odd = np.bincount(np.searchsorted(offsets[1:], bad, side="right"), minlength=len(texts))[:len(texts)] > 0
+    return np.bincount(np.searchsorted(offsets[1:], bad, side="right"), minlength=len(texts))[:len(texts)] > 0
+
+
+def special_texts(texts: pa.Array, how: WordSplit) -> np.ndarray:
+    """Which texts hold the string of a special token."""
+    out = np.zeros(len(texts), dtype=bool)
     for s in how.specials:
-        odd |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
-    return odd
+        out |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+    return out
 
 
 def cut(texts: pa.Array, how: WordSplit) -> tuple[pa.Array, np.ndarray]:
@@ -175,18 +181,37 @@ def encode_texts(tokenizer, texts: list[str]) -> list[bytes]:
     return [np.array(tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
 
 
-def plain_words(texts: pa.Array, how: WordSplit) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Words of the texts that are cut here (the others count as empty), the number of
-    words of each text, and which texts stay whole."""
-    odd = odd_texts(texts, how)
-    if odd.any():
-        texts = pc.if_else(pa.array(odd), pa.scalar("", texts.type), texts)
-    return *cut(texts, how), odd
+def _with_foreign(texts: pa.Array, foreign: np.ndarray, words: pa.Array, per_text: np.ndarray, tokenizer) -> tuple[pa.Array, np.ndarray]:
+    """``cut``'s result with the words that the library cuts from the foreign texts."""
+    pieces = tokenizer.pre_tokenizer.pre_tokenize_str
+    lists = [[t[a:b] for _, (a, b) in pieces(t)] for t in texts.filter(pa.array(foreign)).to_pylist()]
+    own = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+    sizes, starts = per_text.copy(), np.cumsum(per_text) - per_text
+    sizes[foreign], starts[foreign] = own, len(words) + np.cumsum(own) - own
+    both = pa.concat_arrays([words, pa.array([w for ws in lists for w in ws], pa.string())])
+    return both.take(pa.array(ragged_take(np.arange(len(both)), starts, sizes))), sizes
+
+
+def plain_words(texts: pa.Array, how: WordSplit, tokenizer: Callable) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Words of the texts that are not left whole (those count as empty), the number of
+    words of each text, and which texts stay whole.  ``tokenizer()`` gives the library's
+    tokenizer and is called if a text needs it."""
+    odd, foreign = special_texts(texts, how), foreign_texts(texts)
+    if not how.glued:
+        odd = odd | foreign
+    foreign = foreign & ~odd
+    there = texts
+    if odd.any() or foreign.any():
+        there = pc.if_else(pa.array(odd | foreign), pa.scalar("", texts.type), texts)
+    words, per_text = cut(there, how)
+    if foreign.any():
+        words, per_text = _with_foreign(texts, foreign, words, per_text, tokenizer())
+    return words, per_text, odd
 
 
 def encode_batch(texts: pa.Array, how: WordSplit, lookup: Callable[[list[str]], list[bytes]], tokenizer) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts of a batch end to end, and the number of ids of each text."""
-    words, per_text, odd = plain_words(texts, how)
+    words, per_text, odd = plain_words(texts, how, lambda: tokenizer)
     flat = words.dictionary_encode()
     known = lookup(flat.dictionary.to_numpy(zero_copy_only=False).tolist())  # faster than to_pylist
     sizes = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
