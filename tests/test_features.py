@@ -58,3 +58,14 @@ def test_median_impute_is_exact(spark):
     vals = sorted(float(i) for i in range(1, 200) if i % 7)
     m = len(vals)
     assert exact == (vals[(m - 1) // 2] + vals[m // 2]) / 2
+
+
+def test_weighted_draws_do_not_repeat_with_the_key(spark):
+    """Draws of keys a million apart are unrelated, and shares follow the weights."""
+    options = [("a", 20), ("b", 30), ("c", 50)]
+    df = spark.range(20_000).select(X.weighted_assign(F.col("id"), options).alias("near"),
+                                    X.weighted_assign(F.col("id") + 1_000_003, options).alias("far"))
+    got = df.agg(F.avg((F.col("near") == F.col("far")).cast("int")).alias("same"),
+                 *[F.avg((F.col("near") == n).cast("int")).alias(n) for n, _ in options]).first()
+    assert abs(got.same - 0.38) < 0.02  # 0.2^2 + 0.3^2 + 0.5^2
+    assert all(abs(got[n] - w / 100) < 0.015 for n, w in options)

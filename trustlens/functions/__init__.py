@@ -82,12 +82,13 @@ def likert_bucketize(x: Column, thresholds=(-1.2, -0.4, 0.4, 1.2)) -> Column:
 def weighted_assign(key: Column, options: list[tuple[str, int]], salt: int = 1) -> Column:
     """Deterministic weighted category by hash of a key.
 
-    Draw d = ((key + 1) * M) % 1000003 % total, then the first option whose
-    running weight exceeds d.  M depends on ``salt``.
+    Draw d = the first 15 hex digits of the md5 of ``key:salt``, modulo the total
+    weight; then the first option whose running weight exceeds d.  Draws do not repeat
+    with a period of the key.
     """
-    m = 7919 * salt * salt + 104729 * salt + 15485863
     total = sum(w for _, w in options)
-    d = ((key.cast("bigint") + 1) * F.lit(m).cast("bigint")) % 1000003 % total
+    digits = F.substring(F.md5(F.concat(key.cast("bigint").cast("string"), F.lit(f":{salt}"))), 1, 15)
+    d = F.conv(digits, 16, 10).cast("bigint") % total
     expr = None
     run = 0
     for label, w in options[:-1]:

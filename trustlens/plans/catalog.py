@@ -150,10 +150,9 @@ _SEGMENT_OPTS = [("Gold", 20), ("Silver", 30), ("Bronze", 50)]
 
 
 @register("weighted_assign", Q.with_resp(
-    " SELECT respondent_id, CASE WHEN ((respondent_id + 1) * "
-    f"{7919 * 7 * 7 + 104729 * 7 + 15485863}) % 1000003 % 100 < 20 THEN 'Gold'"
-    f" WHEN ((respondent_id + 1) * {7919 * 7 * 7 + 104729 * 7 + 15485863}) % 1000003 % 100 < 50"
-    " THEN 'Silver' ELSE 'Bronze' END AS tier FROM respondents"))
+    ", d AS (SELECT respondent_id, ('0x' || substr(md5(CAST(respondent_id AS VARCHAR) || ':7'), 1, 15))::BIGINT % 100 AS draw"
+    " FROM respondents)"
+    " SELECT respondent_id, CASE WHEN draw < 20 THEN 'Gold' WHEN draw < 50 THEN 'Silver' ELSE 'Bronze' END AS tier FROM d"))
 def q_weighted_assign(spark, sf):
     """Deterministic weighted assignment (20/30/50) of a tier by hash of the id."""
     return FE.weighted_assign(resp(spark, sf), "respondent_id", _SEGMENT_OPTS, "tier", salt=7) \
