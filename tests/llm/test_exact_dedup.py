@@ -63,3 +63,18 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     assert left.columns == df.columns
     assert sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == sorted([(1, "a"), (1, "b"), (None, "c"), (4, "")], key=repr)
     assert rows(X.exact_groups(docs(spark, []))) == [] and rows(X.drop_copies(docs(spark, []))) == []
+
+
+def test_a_class_of_a_third_of_the_rows_is_dealt_out(spark):
+    from pyspark.sql import functions as F
+    pairs = [(i, "copied  text" if i % 3 == 1 else f"text {i // 2}") for i in range(3000)]
+    df = docs(spark, [t for _, t in pairs], [i for i, _ in pairs])
+    assert rows(X.exact_groups(df)) == brute(pairs)
+    prints = X.fingerprints(df)
+    salts = X._salts(prints)
+    assert salts == 55
+    sums = [F.count(F.lit(1)).alias("n")]
+    own = X._with_class(prints, X.KEY, sums, [F.sum("n").alias("n")], salts, F.col("n") > 2)
+    assert own.count() == 1000 and own.select("n").distinct().collect() == [(1000,)]
+    largest = own.groupBy(*X.KEY, F.pmod(F.xxhash64("doc_id", "text_sha256"), F.lit(salts))).count().agg(F.max("count")).first()[0]
+    assert largest < 45  # of 1000 rows in 55 salts

@@ -4,7 +4,8 @@ The fingerprint of bytes ``b_0 .. b_{n-1}`` is ``sum((b_i + 1) * B^(n-1-i)) mod
 taken for two primes.  It composes: ``H(xy) = H(x) * B^len(y) + H(y)``, so chunks are
 hashed independently and put together by length-shifted arithmetic.  Texts with equal
 fingerprint and length are then compared chunk by chunk with the text of the smallest
-doc_id of their class; a text that differs (a collision) starts a new class.
+doc_id of their class; a text that differs (a collision) starts a new class.  Rows meet
+their class by class and salt, so that a class of any size is dealt over tasks.
 
 Defined results: a null text is an empty text and all empty texts are copies.  A null
 doc_id is a document like any other and is larger than any number.  Rows that repeat
@@ -15,11 +16,12 @@ and text are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trustlens.llm.common import bounded_batches, by_bytes, documents, same, text_or_empty
@@ -151,20 +153,38 @@ def _differing(members: DataFrame, chunk: int) -> DataFrame:
             .filter(~F.col("equal")).drop("equal"))
 
 
+def _salts(rows: DataFrame) -> int:
+    """The square root of the row count: a class of n rows is dealt over so many salts,
+    and has at most so many rows where its salts' sums meet."""
+    return math.isqrt(rows.count()) + 1
+
+
+def _with_class(rows: DataFrame, keys: list[str], part: list[Column], whole: list[Column], salts: int, keep: Column | None = None) -> DataFrame:
+    """Rows with the columns ``whole`` of their class (which adds up the salts' ``part``);
+    only those of classes that ``keep`` holds for.  Rows meet by class and salt, never a
+    whole class in one task."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_sha256"), F.lit(salts)))
+    parts = salted.groupBy(*keys, "salt").agg(*part)
+    total = parts.groupBy(*keys).agg(*whole)
+    if keep is not None:
+        total = total.filter(keep)
+    return salted.join(parts.select(*keys, "salt").join(total, keys), [*keys, "salt"]).drop("salt")
+
+
 def exact_groups(docs: DataFrame, moduli=MODULI, chunk: int = CHUNK) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     prints = materialize(fingerprints(docs, moduli, chunk), "exact_fingerprints")
     classes = prints.withColumn("class", F.lit(0))
-    pending, level = prints, 0
+    pending, level, salts = prints, 0, _salts(prints)
     while True:
         order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_sha256")
-        shared = (pending.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("rep"))
-                  .filter("n > 1")
-                  .select(*KEY, F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_sha256").alias("rep_sha"),
-                          F.ceil(F.col("n") / MEMBERS_PER_SALT).cast("long").alias("salts")))
-        # Members by a join of rows without texts; texts join them by document, so that
-        # a hot class is dealt evenly.
-        asked = (pending.join(shared, KEY).groupBy("doc_id", "text_sha256").agg(F.first(F.struct(*KEY, "rep_id", "rep_sha", "salts")).alias("of")))
+        # Members by joins of rows without texts; texts join them by document, so that a
+        # hot class is dealt evenly.
+        shared = _with_class(pending, KEY, [F.count(F.lit(1)).alias("n"), F.min(order).alias("rep")],
+                             [F.sum("n").alias("n"), F.min("rep").alias("rep")], salts, F.col("n") > 1)
+        asked = shared.groupBy("doc_id", "text_sha256").agg(F.first(F.struct(
+            *KEY, F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_sha256").alias("rep_sha"),
+            F.ceil(F.col("n") / MEMBERS_PER_SALT).cast("long").alias("salts"))).alias("of"))
         texts = _normalised(docs)
         members = texts.join(asked, same(texts, asked, "doc_id", "text_sha256")).select("of.*", texts.doc_id, texts.text_sha256, "text")
         members = members.select(*KEY, "doc_id", "text_sha256", "rep_id", "rep_sha", "salts", "text")
@@ -177,9 +197,9 @@ def exact_groups(docs: DataFrame, moduli=MODULI, chunk: int = CHUNK) -> DataFram
                    .select(classes.doc_id, classes.text_sha256, *KEY, F.coalesce("new_class", "class").alias("class")))
         classes, pending = materialize(classes, "exact_classes"), differ
     key = [*KEY, "class"]
-    groups = classes.groupBy(*key).agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return (classes.join(groups, key)
-            .select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"))
+    grouped = _with_class(classes, key, [F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")],
+                          [F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")], salts)
+    return grouped.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
