@@ -46,7 +46,8 @@ def test_intervals():
     assert list(intervals([2, 2], 1)) == [(2, 0, 2)] and list(intervals([], 1)) == []
 
 
-@pytest.mark.parametrize("seed,least,how", [(1, 12, {}), (2, 20, {"limit": 6}), (3, 9, {"group_bytes": 300, "piece": 64}), (4, 100, {})])
+@pytest.mark.parametrize("seed,least,how", [(1, 12, {}), (2, 20, {"limit": 6}), (3, 9, {"group_bytes": 300, "piece": 64}), (4, 100, {}),
+                                            (7, 24, {"hot_rows": 2, "group_bytes": 200}), (8, 15, {"hot_rows": 6, "limit": 5, "group_bytes": 500})])
 def test_against_brute_force(spark, seed, least, how, monkeypatch):
     if "limit" in how:
         monkeypatch.setattr(D, "TREE_ROWS", 1)
@@ -56,10 +57,32 @@ def test_against_brute_force(spark, seed, least, how, monkeypatch):
     assert got == brute(ordered, least)
 
 
-def test_lost_bits_only_cost_work(spark, monkeypatch):
-    monkeypatch.setattr(D, "_read_bits", lambda folder, part: {})
+@pytest.mark.parametrize("read_bits", [lambda folder, part: {},
+                                       lambda folder, part, read=D._read_bits: {k: v for k, v in read(folder, part).items() if k[0] % 2}])
+def test_lost_bits_only_cost_work(spark, monkeypatch, read_bits):
+    """Batches that don't find their bits still meet the hot anchors of those that do."""
+    monkeypatch.setattr(D, "_read_bits", read_bits)
     ordered, ids, texts = sample(6, 15)
-    assert rows(D.remove_repeats(docs(spark, texts, ids), 15, gram=5)) == brute(ordered, 15)
+    assert rows(D.remove_repeats(docs(spark, texts, ids), 15, gram=5, group_bytes=300, hot_rows=3)) == brute(ordered, 15)
+
+
+def test_hot_anchor_is_dealt_by_what_stands_around_it(spark):
+    """A passage of a third of all documents, between words of their own."""
+    rnd = random.Random(9)
+    own = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    common = own(130)
+    texts = [own(40) + (common if k % 3 == 0 else own(130)) + own(40) for k in range(300)]
+    df = docs(spark, texts)
+    assert rows(D.remove_repeats(df, hot_rows=20, group_bytes=2000)) == brute(list(enumerate(texts)), 100)
+    keyed = {hot: D._contexts(D._ordered(df)[1], 100, 32, 68, 100, True, 2000, D.PIECE, 4, hot).filter("hash IS NOT NULL").groupBy("hash").count().agg({"count": "max"}).first()[0]
+             for hot in (20, None)}
+    assert keyed[20] <= keyed[None]
+
+
+def test_ranges_hold_every_start():
+    for least, gram in ((100, 32), (12, 4), (9, 9), (10, 8)):
+        ranges = D._hot_ranges(least, gram)
+        assert [p for a, b in ranges for p in range(a, b + 1)] == list(range(least - gram + 1))
 
 
 def test_long_text_repeated_rows_null_ids_and_empty_table(spark):

@@ -71,6 +71,50 @@ def test_repeated_null_and_empty(spark):
         assert [r[2] for r in got][:2] == [None, None][:n]
 
 
+def test_an_id_of_many_rows_takes_several_files(spark):
+    """Half of the rows repeat one id, a quarter has none."""
+    given = [f"text {k}" for k in range(400)]
+    ids = [(7, 7, None, k)[k % 4] for k in range(400)]
+    folder = scratch_path(spark, f"t_{uuid.uuid4().hex}")
+    index = T.write_token_files(docs(spark, given, ids), folder, spec_of("word_bpe_49k.json"), WORD_END, 2, 49_408)
+    files = {r[0]: r[1] for r in index.selectExpr("doc_id", "file_no").distinct().groupBy("doc_id").agg({"file_no": "count"}).collect()}
+    assert files[7] >= 4 and files[None] >= 2
+    got = rows(T.token_starts(T.read_token_files(spark, folder, index)).select("doc_id", "start", "n_tokens"), "start")
+    assert [r[1] for r in got] == [sum(x[2] for x in got[:i]) for i in range(400)]
+    assert [r[0] for r in got] == sorted(ids, key=lambda i: -1 if i is None else i)
+
+
+def test_file_numbers_are_in_order():
+    rnd = np.random.default_rng(3)
+    bounds = np.array([T.NO_ID, T.NO_ID, 3, 5, 5, 5, 9])
+    ids = np.sort(rnd.choice([T.NO_ID, 1, 3, 4, 5, 6, 9, 10], 500))
+    ties = rnd.integers(0, 1 << 63, 500)
+    order = np.lexsort((ties, ids))
+    got = T.file_numbers(ids[order], ties[order], bounds)
+    assert (np.diff(got) >= 0).all() and set(got[ids[order] == 5]) == {4, 5, 6} and got.max() == 7
+    assert T.file_numbers(np.array([5]), np.array([(1 << 63) - 1]), bounds)[0] == 6
+    assert T.file_numbers(ids, ties, np.array([], dtype=np.int64)).max() == 0
+
+
+def test_a_task_that_runs_again_writes_the_same_file(spark, tmp_path):
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2, 5]), "tie": pa.array([4, 4, 4]), "file_no": pa.array([0, 0, 2], pa.int32()),
+                                        "data": pa.array([b"\1\0", b"\2\0\3\0", b""], pa.binary())})
+    first = [b.to_pydict() for b in T._writer(str(tmp_path), 2)(iter([batch]))]
+    held = {p.name: p.read_bytes() for p in tmp_path.iterdir()}
+    cut_short = T._writer(str(tmp_path), 2)(iter([batch, batch]))
+    next(cut_short)  # a task that dies leaves a file that no index names
+    assert [b.to_pydict() for b in T._writer(str(tmp_path), 2)(iter([batch]))] == first
+    assert {p.name: p.read_bytes() for p in tmp_path.iterdir() if not p.name.startswith(".")} == held and set(held) == {"part-000000.bin", "part-000002.bin"}
+
+
+def test_names_of_stores():
+    from trustlens.llm.common import pyarrow_uri
+    for given, want in (("s3a://b/k", "s3://b/k"), ("s3://b/k", "s3://b/k"), ("file:/tmp/x", "file:/tmp/x"), ("/tmp/x:y", "/tmp/x:y"), ("hdfs://n:8020/x", "hdfs://n:8020/x"),
+                        ("dbfs:/a/b", "/dbfs/a/b"), ("wasbs://c@a.blob.core.windows.net/p", "abfss://c@a.dfs.core.windows.net/p")):
+        assert pyarrow_uri(given) == want
+
+
 @pytest.mark.parametrize("name", LIBRARY)
 def test_words_are_cut_as_by_the_library(name):
     """Every text of up to 5 pieces of a small alphabet, and random longer ones."""

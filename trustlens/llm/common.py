@@ -6,6 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow.compute as pc
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +48,33 @@ def bounded_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+def shuffle_tasks(docs: DataFrame, each: int = 1) -> int:
+    """Tasks for a shuffle of what the scan tasks of ``docs`` give: ``each`` for a scan
+    part, so that what a task reads does not grow with the input."""
+    return max(1, each * docs.select(docs.columns[0]).rdd.getNumPartitions())
+
+
+#: Stores that pyarrow calls by another scheme than Hadoop (fixed values).
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+
+
+def pyarrow_uri(folder: str) -> str:
+    """The shared folder's URI as pyarrow reads it."""
+    scheme, mark, rest = folder.partition(":")
+    if not mark or "/" in scheme:
+        return folder
+    if scheme == "dbfs":  # mounted under /dbfs on every machine of such a cluster
+        return "/dbfs/" + rest.lstrip("/")
+    if scheme in ("wasb", "wasbs"):
+        rest = rest.replace(".blob.", ".dfs.", 1)
+    return f"{SCHEMES.get(scheme, scheme)}:{rest}"
+
+
+def shared_files(folder: str) -> tuple[pafs.FileSystem, str]:
+    """The file system that holds ``folder``, and the path in it."""
+    return pafs.FileSystem.from_uri(pyarrow_uri(folder))
+
+
 def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
     """Null-safe equality of columns that both sides have."""
     return reduce(lambda a, b: a & b, [left[n].eqNullSafe(right[n]) for n in names])

@@ -6,20 +6,25 @@ Equal strings name anchors at equal places, so every repeat of ``least`` bytes o
 holds an anchor with its whole context of ``least`` bytes, and it is enough to sort
 the suffixes at anchors, each with ``least - gram`` bytes before it.
 
-1. Scan tasks give their anchors' hashes, packed; a shuffle on the hash finds those that
-   occur more than once and sends back one bit for each.
+1. Scan tasks give their anchors' hashes, packed, with how often they occur; a shuffle on
+   the hash finds those that occur more than once, and those that occur more than HOT_ROWS
+   times, and sends back two bits for each.
 2. Scan tasks give the contexts of repeated anchors.  Of equal contexts in a task only
-   the first goes on; the others are repeats of it as a whole.
-3. A shuffle on the hash and a sort build the suffix array.  The intervals of its
+   the first goes on; the others are repeats of it as a whole.  A hot anchor's contexts are
+   dealt by what stands around it: a repeated string begins in one of HOT_RANGES ranges of
+   places before the anchor, and contexts that share a string of a range share all bytes
+   that every string of the range has.  These bytes are the key in place of the hash, once
+   for each range, so the contexts of a string meet, and those of the anchor need not.
+3. A shuffle on the key and a sort build the suffix array.  The intervals of its
    common-prefix tree give maximal repeats with all occurrences (``repeats``); in each,
-   everything but the first occurrence is marked.  An anchor with more than GROUP_ROWS
+   everything but the first occurrence is marked.  A key with more than GROUP_ROWS
    distinct contexts goes on as single strings, whose first occurrence is a grouped
    minimum.
 4. Marks of a document are merged and its bytes are cut.
 
 The bits of step 1 are for known batches of rows.  A batch that is found otherwise (the
-scan was cut differently after a loss) takes all its anchors as repeated: more work, the
-same result.
+scan was cut differently after a loss) takes all its anchors as repeated and deals them
+both ways: more work, the same result.
 
 Defined results: a null text is empty; documents are ordered by doc_id, null last.  Rows
 that repeat a doc_id with other text are ordered by a hash of their texts; rows that
@@ -42,7 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustlens.llm.common import bounded_batches, documents, powers, ragged_take, text_or_empty
+from trustlens.llm.common import bounded_batches, documents, powers, ragged_take, shared_files, shuffle_tasks, text_or_empty
 from trustlens.llm.repeats import common, repeats, sort_key
 from trustlens.session import materialize, scratch_path
 
@@ -51,7 +56,12 @@ GRAM = 32
 #: Bytes whose hashes are held at once, and text of one batch of anchors.
 PIECE = 1 << 20
 GROUP_BYTES = 1 << 22
-#: Contexts of one anchor that one task takes, and contexts taken together.
+#: Places of an anchor beyond which it is dealt by the bytes around it, and the ranges.
+HOT_ROWS = 25_000
+HOT_RANGES = 4
+#: Shuffle tasks for each scan part.
+TASKS_A_PART = 2
+#: Contexts of one key that one task takes, and contexts taken together.
 GROUP_ROWS = 50_000
 TREE_ROWS = 16_384
 BASE = 0x9E3779B97F4A7C15
@@ -123,6 +133,7 @@ class Batch:
         self.places, self.hashes = anchors.find(self.data, self.starts, self.ends)
         self.distinct, self.which, counts = np.unique(self.hashes, return_inverse=True, return_counts=True)
         self.twice = counts > 1
+        self.level = np.ceil(np.log2(counts)).astype(np.uint8)  # each occurs 2^level times or fewer
         self.digest = xxhash.xxh64_intdigest(self.distinct.tobytes()) >> 1
 
 
@@ -146,7 +157,7 @@ def _bucket_edges(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([np.searchsorted(hashes >> np.uint64(64 - bits), np.arange(buckets, dtype=np.uint64)), [len(hashes)]])
 
 
-PACKED = "bucket int, part int, seq int, digest long, hashes binary"
+PACKED = "bucket int, part int, seq int, digest long, hashes binary, levels binary"
 BITS = "part int, seq int, bucket int, digest long, bits binary"
 
 
@@ -155,7 +166,8 @@ def _give_hashes(make, buckets: int, group_bytes: int):
         part, anchors = TaskContext.get().partitionId(), make()
         for seq, g in enumerate(_grouped(batches, anchors, group_bytes)):
             edges = _bucket_edges(g.distinct, buckets)
-            rows = [(k, part, seq, g.digest, g.distinct[edges[k]:edges[k + 1]].tobytes()) for k in range(buckets) if edges[k] < edges[k + 1]]
+            rows = [(k, part, seq, g.digest, g.distinct[edges[k]:edges[k + 1]].tobytes(), g.level[edges[k]:edges[k + 1]].tobytes())
+                    for k in range(buckets) if edges[k] < edges[k + 1]]
             if rows:
                 yield _batch(rows, PACKED)
     return run
@@ -167,29 +179,35 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), names, strict=True)], names=[n for n, _ in names])
 
 
-def _find_repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All packed hashes of a bucket, in order of the bucket: a bit for each that is repeated."""
-    now, held = None, []
-
-    def flush():
+def _find_repeated(hot_rows: int):
+    """All packed hashes of a bucket, in order of the bucket: a bit for each that is
+    repeated, then a bit for each that occurs more than ``hot_rows`` times."""
+    def flush(held: list[tuple]) -> pa.RecordBatch:
         arrays = [np.frombuffer(r[4], dtype=np.uint64) for r in held]
+        levels = np.frombuffer(b"".join(r[5] for r in held), dtype=np.uint8)
         _, which, counts = np.unique(np.concatenate(arrays), return_inverse=True, return_counts=True)
-        again = np.split(counts[which] > 1, np.cumsum([len(a) for a in arrays])[:-1])
-        return _batch([(r[1], r[2], r[0], r[3], np.packbits(x).tobytes()) for r, x in zip(held, again, strict=True)], BITS)
+        places = np.bincount(which, weights=np.exp2(levels))
+        ends = np.cumsum([len(a) for a in arrays])[:-1]
+        again, hot = np.split(counts[which] > 1, ends), np.split(places[which] > hot_rows, ends)
+        return _batch([(r[1], r[2], r[0], r[3], np.packbits(x).tobytes() + np.packbits(y).tobytes())
+                       for r, x, y in zip(held, again, hot, strict=True)], BITS)
 
-    for b in batches:
-        for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if r[0] != now and held:
-                yield flush()
-                held = []
-            now = r[0]
-            held.append(r)
-    if held:
-        yield flush()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for b in batches:
+            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if r[0] != now and held:
+                    yield flush(held)
+                    held = []
+                now = r[0]
+                held.append(r)
+        if held:
+            yield flush(held)
+    return run
 
 
 def _read_bits(folder: str, part: int) -> dict[tuple[int, int], dict[int, bytes]]:
-    fs, base = pafs.FileSystem.from_uri(folder)
+    fs, base = shared_files(folder)
     out: dict[tuple[int, int], dict[int, bytes]] = {}
     for f in fs.get_file_info(pafs.FileSelector(f"{base}/part={part}", allow_not_found=True)):
         if f.base_name.endswith(".parquet"):
@@ -201,7 +219,8 @@ def _read_bits(folder: str, part: int) -> dict[tuple[int, int], dict[int, bytes]
 
 
 #: A context of an anchor (``n`` bytes are marked before and from it on where it is no
-#: first occurrence), or a mark on a document's bytes: then hash, right and left are null.
+#: first occurrence) under its key, or a mark on a document's bytes: then hash, right and
+#: left are null.
 CONTEXT = "hash long, right binary, left binary, ord long, sub long, start long, stop long"
 
 
@@ -228,22 +247,29 @@ def _marks(ord_: np.ndarray, sub: np.ndarray, start: np.ndarray, stop: np.ndarra
         names=[f.split()[0] for f in CONTEXT.split(", ")])
 
 
-def _give_contexts(make, buckets: int, group_bytes: int, folder: str, before: int, after: int, merge: bool):
+def _hot_ranges(least: int, gram: int) -> list[tuple[int, int]]:
+    """First and last of the places before an anchor where strings of a range begin."""
+    return [(int(r[0]), int(r[-1])) for r in np.array_split(np.arange(least - gram + 1), HOT_RANGES) if len(r)]
+
+
+def _give_contexts(make, buckets: int, group_bytes: int, folder: str, before: int, after: int, merge: bool, ranges: list[tuple[int, int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, anchors = TaskContext.get().partitionId(), make()
         known = _read_bits(folder, part)
         for seq, g in enumerate(_grouped(batches, anchors, group_bytes)):
             if not len(g.places):
                 continue
-            again = np.ones(len(g.distinct), dtype=bool)
-            if bits := known.get((seq, g.digest)):
+            again, hot = np.ones(len(g.distinct), dtype=bool), np.zeros(len(g.distinct), dtype=bool)
+            bits = known.get((seq, g.digest))
+            if bits:
                 edges = _bucket_edges(g.distinct, buckets)
                 for k, packed in bits.items():
                     n = edges[k + 1] - edges[k]
-                    again[edges[k]:edges[k + 1]] = np.unpackbits(np.frombuffer(packed, dtype=np.uint8), count=n)
+                    two = np.frombuffer(packed, dtype=np.uint8).reshape(2, -1)
+                    again[edges[k]:edges[k + 1]], hot[edges[k]:edges[k + 1]] = np.unpackbits(two, axis=1, count=n)
                 again |= g.twice
             at = again[g.which]
-            place, hashed = g.places[at], g.hashes[at]
+            place, hashed, hot = g.places[at], g.hashes[at], hot[g.which][at]
             doc = np.searchsorted(g.ends, place, side="right")
             # texts without bytes end where the next begins: take the one that holds the place
             n_left = np.minimum(place - g.starts[doc], before)
@@ -264,12 +290,23 @@ def _give_contexts(make, buckets: int, group_bytes: int, folder: str, before: in
                 if len(later):
                     yield _marks(ord_[later], sub[later], pos[later] - n_left[later], pos[later] + n_right[later])
                 order = order[head]
-                place, hashed, n_left, n_right, ord_, sub, pos = (x[order] for x in (place, hashed, n_left, n_right, ord_, sub, pos))
-            for a in range(0, len(place), 20_000):
-                s = slice(a, a + 20_000)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashed[s].view(np.int64)), _binary(g.data, place[s], n_right[s]), _binary(g.data, (place - n_left)[s], n_left[s]),
-                     pa.array(ord_[s]), pa.array(sub[s]), pa.array(pos[s]), pa.array(pos[s])], names=[f.split()[0] for f in CONTEXT.split(", ")])
+                place, hashed, hot, n_left, n_right, ord_, sub, pos = (x[order] for x in (place, hashed, hot, n_left, n_right, ord_, sub, pos))
+
+            def under(rows: np.ndarray, key: np.ndarray) -> Iterator[pa.RecordBatch]:
+                for a in range(0, len(rows), 20_000):
+                    s = rows[a:a + 20_000]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(key[a:a + 20_000].view(np.int64)), _binary(g.data, place[s], n_right[s]), _binary(g.data, place[s] - n_left[s], n_left[s]),
+                         pa.array(ord_[s]), pa.array(sub[s]), pa.array(pos[s]), pa.array(pos[s])], names=[f.split()[0] for f in CONTEXT.split(", ")])
+
+            plain = np.flatnonzero(~hot)
+            yield from under(plain, hashed[plain])
+            for no, (first, last) in enumerate(ranges):
+                need = after - last  # bytes from the anchor on that all strings of the range have
+                rows = np.flatnonzero((hot if bits else True) & (n_left >= first) & (n_right >= need))
+                if len(rows):
+                    keys = (xxhash.xxh64_intdigest(g.data[p - first:p + need].tobytes(), no + 1) for p in place[rows].tolist())
+                    yield from under(rows, np.fromiter(keys, dtype=np.uint64, count=len(rows)))
     return run
 
 
@@ -429,30 +466,33 @@ def _ordered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return own, own.dropDuplicates(["ord", "sub"])
 
 
-def _contexts(docs: DataFrame, least: int, gram: int, before: int, after: int, merge: bool, group_bytes: int, piece: int) -> DataFrame:
-    """Steps 1 and 2, sorted as a suffix array inside the partitions of a shuffle by hash."""
+def _contexts(docs: DataFrame, least: int, gram: int, before: int, after: int, merge: bool, group_bytes: int, piece: int,
+              n: int, hot_rows: int | None) -> DataFrame:
+    """Steps 1 and 2, sorted as a suffix array inside the ``n`` partitions of a shuffle by
+    key.  ``hot_rows`` None: the hash is every anchor's key."""
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 1 << max(0, (n - 1).bit_length())
     make = lambda: Anchors(least, gram, piece)
     texts = docs.select("ord", "sub", "text")
     folder = scratch_path(spark, f"repeat_bits_{uuid.uuid4().hex[:8]}")
     (texts.mapInArrow(_give_hashes(make, buckets, group_bytes), PACKED)
-     .repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_find_repeated, BITS)
+     .repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_find_repeated(1 << 62 if hot_rows is None else hot_rows), BITS)
      .repartition(n, "part").write.mode("overwrite").partitionBy("part").parquet(folder))
-    given = texts.mapInArrow(_give_contexts(make, buckets, group_bytes, folder, before, after, merge), CONTEXT)
+    ranges = [] if hot_rows is None else _hot_ranges(least, gram)
+    given = texts.mapInArrow(_give_contexts(make, buckets, group_bytes, folder, before, after, merge, ranges), CONTEXT)
     # marks have no hash: they are dealt by document
     key = F.coalesce("hash", F.xxhash64("ord", "start"))
     return given.repartition(n, key).sortWithinPartitions("hash", "right", "left", "ord", "sub", "start")
 
 
 def marks(docs: DataFrame, least: int = LEAST, gram: int = GRAM, limit: int = GROUP_ROWS, group_bytes: int = GROUP_BYTES,
-          piece: int = PIECE) -> DataFrame:
+          piece: int = PIECE, hot_rows: int = HOT_ROWS, tasks: int | None = None) -> DataFrame:
     """(ord, sub, start, stop): byte ranges of ``docs`` (ord, sub, text) that are covered
     by strings of ``least`` bytes that also start earlier.  Ranges may overlap."""
     before = least - gram
+    tasks = tasks or shuffle_tasks(docs, TASKS_A_PART)
     scanned = materialize(
-        _contexts(docs, least, gram, before, least, True, group_bytes, piece).mapInArrow(_scan_tree(least, before, least, limit), CONTEXT), "repeat_marks")
+        _contexts(docs, least, gram, before, least, True, group_bytes, piece, tasks, hot_rows).mapInArrow(_scan_tree(least, before, least, limit), CONTEXT), "repeat_marks")
     out = scanned.filter("hash IS NULL").select("ord", "sub", "start", "stop")
     large = scanned.filter("hash IS NOT NULL")
     if large.isEmpty():
@@ -471,7 +511,7 @@ def repeat_groups(docs: DataFrame, least: int = LEAST, gram: int = GRAM, reach:
     bounded_batches(docs.sparkSession)
     own, once = _ordered(docs)
     reach = max(reach, least)
-    found = (_contexts(once, least, gram, reach, reach, False, GROUP_BYTES, PIECE).filter("hash IS NOT NULL")
+    found = (_contexts(once, least, gram, reach, reach, False, GROUP_BYTES, PIECE, shuffle_tasks(docs, TASKS_A_PART), None).filter("hash IS NOT NULL")
              .mapInArrow(_give_groups(least, reach), GROUPS).distinct())
     ids = own.select("doc_id", "ord", "sub").distinct()
     return found.join(ids, ["ord", "sub"]).select("repeat", "n_bytes", "doc_id", "start")
@@ -503,7 +543,7 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, **how) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     bounded_batches(docs.sparkSession)
     own, once = _ordered(docs)
-    spans = marks(once, least, **how).groupBy("ord", "sub").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = marks(once, least, tasks=shuffle_tasks(docs, TASKS_A_PART), **how).groupBy("ord", "sub").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return (own.join(spans, ["ord", "sub"], "left").select("doc_id", "text", "spans")
             .mapInArrow(_cut(kind), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))

@@ -9,7 +9,8 @@ place in it, doc_id, offset, length, n_tokens, tokens before it in the file.
 
 Documents are dealt to files by ranges of doc_id; files in order of their number and
 records in order of their place are in ascending doc_id order (null first; rows that
-repeat a doc_id by their ids).  A task writes a file under a name of its own and then
+repeat a doc_id by a hash of their texts).  A doc_id that many rows repeat, or null, takes
+several files, by that hash.  The number of files follows the scan parts.  A task writes a file under a name of its own and then
 renames it, so a task that is run again replaces it by the same bytes.
 
 Defined results: a null text is empty; an empty text has the end id alone.  Columns
@@ -26,12 +27,11 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trustlens.llm.bpe_words import WORD_END, WordSplit, encode_batch, encode_words, load_tokenizer, word_tails
-from trustlens.llm.common import bounded_batches, by_bytes, documents, text_or_empty
+from trustlens.llm.common import bounded_batches, by_bytes, documents, shared_files, shuffle_tasks, text_or_empty
 from trustlens.session import scratch_path
 
 MAGIC = b"TOKREC01"
@@ -40,9 +40,11 @@ MASK_DELTA = 0xA282EAD8
 #: at most so many characters.
 MEMO_WORDS = 200_000
 MEMO_CHARS = 32
-#: Files for each shuffle partition: evens out what a task writes.
-FILES_PER_PARTITION = 4
+#: Files that a task writes or reads, as there is a task for each scan part: evens out
+#: what a task writes.
+FILES_A_TASK = 4
 END_ID = 2
+NO_ID = -(1 << 63)
 
 
 def masked(data: bytes) -> int:
@@ -81,6 +83,14 @@ def _tokenizer(spec: str):
     return _LOADED[key]
 
 
+def file_numbers(ids: np.ndarray, ties: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The file of each row.  ``bounds``: sorted cuts of doc_id; one that stands m times is
+    an id that many rows repeat, and takes m files by ``ties`` (0 to 2^63 - 1)."""
+    low, high = (np.searchsorted(bounds, ids, side=s) for s in ("left", "right"))
+    own = np.minimum((ties / float(1 << 63) * (high - low)).astype(np.int64), high - low - 1)
+    return np.where(high > low, low + 1 + own, high)
+
+
 def _encoder(spec, split: WordSplit, end_id: int, dtype: str, bounds: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, tails = _tokenizer(spec.value)
@@ -100,8 +110,9 @@ def _encoder(spec, split: WordSplit, end_id: int, dtype: str, bounds: list[int])
             parts = np.split(ids, np.cumsum(counts)[:-1]) if len(counts) else []
             data = [np.append(p, np.uint32(end_id)).astype(dtype).tobytes() for p in parts]
             doc = b.column("doc_id")
-            file_no = np.searchsorted(np.array(bounds, dtype=np.int64), doc.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), side="right")
-            yield pa.RecordBatch.from_arrays([doc, pa.array(file_no, pa.int32()), pa.array(data, pa.binary())], names=["doc_id", "file_no", "data"])
+            tie = b.column("tie")
+            file_no = file_numbers(doc.fill_null(NO_ID).to_numpy(zero_copy_only=False), tie.to_numpy(), np.array(bounds, dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([doc, tie, pa.array(file_no, pa.int32()), pa.array(data, pa.binary())], names=["doc_id", "tie", "file_no", "data"])
     return run
 
 
@@ -110,7 +121,7 @@ INDEX = "file_no int, place long, doc_id long, offset long, length long, n_token
 
 def _writer(folder: str, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = pafs.FileSystem.from_uri(folder)
+        fs, base = shared_files(folder)
         out, now, temp = None, None, None
 
         def finish():
@@ -148,22 +159,24 @@ def write_token_files(docs: DataFrame, folder: str, spec: str, split: WordSplit,
     spark = docs.sparkSession
     bounded_batches(spark, 1024)
     width = 2 if max(ids, end_id + 1) <= 1 << 16 else 4
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    files = partitions * FILES_PER_PARTITION
-    cuts = docs.select(F.percentile_approx("doc_id", [i / files for i in range(1, files)], 20 * files)).first()[0] if files > 1 else []
+    tasks = shuffle_tasks(docs)
+    files = tasks * FILES_A_TASK
+    doc_id = F.col("doc_id").cast("long")
+    cuts = docs.select(F.percentile_approx(F.coalesce(doc_id, F.lit(NO_ID)), [i / files for i in range(1, files)], 20 * files)).first()[0]
     shared = spark.sparkContext.broadcast(spec)  # a vocabulary file: a few MB, whatever the input
-    fs, base = pafs.FileSystem.from_uri(folder)
+    fs, base = shared_files(folder)
     fs.create_dir(base, recursive=True)
-    encoded = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-               .mapInArrow(_encoder(shared, split, end_id, f"<u{width}", sorted(set(cuts or []))), "doc_id long, file_no int, data binary"))
-    (encoded.repartition(partitions, "file_no").sortWithinPartitions("file_no", "doc_id", "data")
+    encoded = (docs.select(doc_id.alias("doc_id"), text_or_empty().alias("text"))
+               .withColumn("tie", F.shiftrightunsigned(F.xxhash64("text"), 1))
+               .mapInArrow(_encoder(shared, split, end_id, f"<u{width}", sorted(cuts or [])), "doc_id long, tie long, file_no int, data binary"))
+    (encoded.repartition(tasks, "file_no").sortWithinPartitions("file_no", "doc_id", "tie", "data")
      .mapInArrow(_writer(folder, width), INDEX).write.mode("overwrite").parquet(f"{folder}/index"))
     return spark.read.parquet(f"{folder}/index")
 
 
 def _reader(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = pafs.FileSystem.from_uri(folder)
+        fs, base = shared_files(folder)
         now, source, width = None, None, 0
         for b in batches:
             data = []
@@ -187,9 +200,9 @@ def read_token_files(spark: SparkSession, folder: str, index: DataFrame | None =
     ``ids``, as little-endian unsigned 32-bit integers, read from the files and checked."""
     index = spark.read.parquet(f"{folder}/index") if index is None else index
     bounded_batches(spark)
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(1, -(-index.select("file_no").distinct().count() // FILES_A_TASK))
     schema = ", ".join(f"`{n}` {k}" for n, k in index.dtypes)
-    return (index.repartition(partitions, "file_no").sortWithinPartitions("file_no", "offset")
+    return (index.repartition(tasks, "file_no").sortWithinPartitions("file_no", "offset")
             .mapInArrow(_reader(folder), schema + ", ids binary"))
 
 
