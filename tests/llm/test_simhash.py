@@ -129,3 +129,27 @@ def test_fingerprints_with_shared_leading_bits_are_dealt_on(spark):
         return {f: find(f) for f in fps}
     want = classes((a, b) for i, a in enumerate(fps) for b in fps[:i] if (a ^ b).bit_count() <= 2)
     assert len(set(want.values())) < len(fps) and classes(links) == want
+
+
+@pytest.mark.parametrize("keys", [1, 4, 10_000])
+def test_hot_fingerprints_are_looked_up_alike(spark, monkeypatch, keys):
+    """A third of the rows share a text, others repeat or stand alone."""
+    monkeypatch.setattr(S, "HOT_KEYS", keys)
+    texts = [("one text of many rows" if i % 3 == 0 else f"text {i % 30} of words {i % 30}") for i in range(120)] + [None, ""]
+    df = docs(spark, texts)
+    by_text = {}
+    for i, t in enumerate(texts):
+        by_text.setdefault(t or "", []).append(i)
+    got = {r.doc_id: r for r in S.near_groups(df).collect()}
+    assert len(got) == len(texts)
+    for same in by_text.values():
+        assert len({(got[i].fingerprint, got[i].component_id) for i in same}) == 1 and got[same[0]].component_id <= same[0]
+    assert sorted(r.doc_id for r in S.keep_one(df).select("doc_id").collect()) == sorted({r.component_id for r in got.values()})
+
+
+def test_look_up_is_the_inner_join(spark, monkeypatch):
+    monkeypatch.setattr(S, "HOT_KEYS", 5)
+    rows_ = spark.createDataFrame([(k, i) for i, k in enumerate([1] * 30 + [2] * 5 + [3] * 2 + [4])], "k int, i int")
+    found = spark.createDataFrame([(1, 30, "a"), (2, 5, "b"), (3, 2, "c"), (9, 0, "z")], "k int, n_rows int, v string")
+    got = sorted(tuple(r) for r in S.look_up(rows_, found, "k", 38).select("k", "i", "v").collect())
+    assert got == sorted((k, i, {1: "a", 2: "b", 3: "c"}[k]) for i, k in enumerate([1] * 30 + [2] * 5 + [3] * 2))

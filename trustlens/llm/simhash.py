@@ -35,6 +35,8 @@ MAX_DISTANCE = 2
 SEED = 42
 #: Aim for the number of fingerprints under a node that goes to a task.
 SUBTREE = 8192
+#: A key that holds more than this share of all rows is joined without a shuffle.
+HOT_KEYS = 10_000
 #: Bits by which larger nodes are dealt on.
 STEP = 4
 #: Node pairs walked at once in a task, and shingles hashed at once.
@@ -176,14 +178,15 @@ def deal(distinct: DataFrame, n: int, budget: int = MAX_DISTANCE, subtree: int =
         other = prefix.bitwiseXOR(F.col("diff"))
         pairs = rows.select("fp", "diff", prefix.alias("own"), other.alias("other"))
         nodes = materialize(distinct.groupBy(prefix.alias("node")).count(), "simhash_nodes")
+        if depth and nodes.count() < 1 << depth:  # pairs with an empty node link nothing
+            pairs = pairs.join(nodes.select(F.col("node").alias("other")), "other", "left_semi")
         large = nodes.filter(F.col("count") > 2 * subtree).select("node")
         more = depth < 64 and not large.isEmpty()
         if more:
             for side in ("own", "other"):
-                pairs = pairs.join(F.broadcast(large.select(F.col("node").alias(side), F.lit(True).alias(f"large_{side}"))), side, "left")
+                pairs = pairs.join(large.select(F.col("node").alias(side), F.lit(True).alias(f"large_{side}")), side, "left")
             split = F.coalesce("large_own", "large_other", F.lit(False))
-            # pairs with an empty node link nothing
-            rest = materialize(pairs.filter(split).join(nodes.select(F.col("node").alias("other")), "other", "left_semi").select("fp", "diff"), "simhash_large")
+            rest = materialize(pairs.filter(split).select("fp", "diff"), "simhash_large")
             pairs = pairs.filter(~split)
         yield depth, pairs.select("fp", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
         if not more:
@@ -201,21 +204,35 @@ def near_links(distinct: DataFrame, n: int, budget: int = MAX_DISTANCE, subtree:
                                        for depth, pairs in deal(distinct, n, budget, subtree)))
 
 
-def _members(docs: DataFrame, k: int, budget: int, subtree: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, fp) of every document, and (fp, root, component_id) of every fingerprint."""
+def look_up(rows: DataFrame, found: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined to ``found``, which has one row a key, with the rows of the key as
+    ``n_rows`` (``total`` of all).  A key of more than total / HOT_KEYS rows is looked up in
+    a broadcast table, of fewer than HOT_KEYS keys whatever the input, so that its rows
+    need not meet in one task."""
+    is_hot = F.col("n_rows") * HOT_KEYS > total
+    hot = F.broadcast(found.filter(is_hot).drop("n_rows"))
+    cold = rows.join(F.broadcast(found.filter(is_hot).select(key)), key, "left_anti")
+    return rows.join(hot, key).unionByName(cold.join(found.filter(~is_hot).drop("n_rows"), key))
+
+
+def _members(docs: DataFrame, k: int, budget: int, subtree: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, fp) of every document, (fp, root, component_id) of every fingerprint, and
+    the first with what the second has for the document's fingerprint."""
     prints = materialize(fingerprints(docs, k), "simhash_fingerprints")
-    least = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash_distinct")
-    roots = components(near_links(least.select("fp"), least.count(), budget, subtree))
-    member = (least.join(roots, least.fp == roots.node, "left")
-              .select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
-    named = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return prints, member.join(named, "root").select("fp", "root", "component_id")
+    least = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_docs")), "simhash_distinct")
+    n, total = least.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_docs"), F.lit(0))).first()
+    roots = components(near_links(least.select("fp"), n, budget, subtree))
+    member = materialize(least.join(roots, least.fp == roots.node, "left")
+                         .select("fp", "first_id", "n_docs", F.coalesce("root", "fp").alias("root")), "simhash_members")
+    named = materialize(member.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("n_rows")), "simhash_components")
+    by_fp = materialize(look_up(member.drop("first_id"), named, "root", n).select("fp", "root", "component_id", F.col("n_docs").alias("n_rows")), "simhash_named")
+    return prints, by_fp.drop("n_rows"), look_up(prints, by_fp, "fp", total)
 
 
 def near_groups(docs: DataFrame, k: int = SHINGLE_WORDS, budget: int = MAX_DISTANCE, subtree: int = SUBTREE) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
-    prints, by_fp = _members(docs, k, budget, subtree)
-    return prints.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    _, _, found = _members(docs, k, budget, subtree)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, k: int = SHINGLE_WORDS, budget: int = MAX_DISTANCE) -> DataFrame:
@@ -223,9 +240,9 @@ def keep_one(docs: DataFrame, k: int = SHINGLE_WORDS, budget: int = MAX_DISTANCE
     A component without an id keeps its row of smallest text (then smallest other
     columns); elsewhere rows without an id go.  Rows of a component that repeat the
     doc_id of its kept one stay with it; in another component that doc_id counts anew."""
-    prints, by_fp = _members(docs, k, budget, SUBTREE)
+    prints, by_fp, found = _members(docs, k, budget, SUBTREE)
     own = F.col("doc_id") == F.col("component_id")
-    found = prints.filter(F.col("doc_id").isNotNull()).join(by_fp, "fp")
+    found = found.filter(F.col("doc_id").isNotNull())
     kept = materialize(found.groupBy("doc_id").agg(F.max(own).alias("some"), F.min(own).alias("all")).filter("some"), "simhash_kept")
     parts = [docs.join(kept.filter("all"), "doc_id", "left_semi")]
 
