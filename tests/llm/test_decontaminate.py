@@ -38,7 +38,7 @@ def result(df, items):
 @pytest.fixture(params=["broadcast", "shuffle"])
 def path(request, monkeypatch):
     if request.param == "shuffle":
-        monkeypatch.setattr(D, "BROADCAST_ROWS", -1)
+        monkeypatch.setattr(D, "BROADCAST_BYTES", -1)
 
 
 def test_against_brute_force(spark, path):

@@ -25,9 +25,10 @@ from trustlens.session import materialize
 
 WINDOW_WORDS = 10
 SHINGLE_WORDS = 5
-#: A benchmark table of at most so many rows of two longs is broadcast; beyond it the
-#: joins shuffle.
-BROADCAST_ROWS = 1_000_000
+#: A benchmark table of at most so many bytes is broadcast; beyond it the joins shuffle.
+BROADCAST_BYTES = 64 << 20
+#: Bytes of a value besides those of its text.
+VALUE_BYTES = 16
 #: Tells rows apart: doc_id may be null or repeated.
 ROW = ["doc_id", "text_hash", "text_bytes"]
 
@@ -57,8 +58,18 @@ def windows(items: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
             .distinct())
 
 
+def _value_bytes(name: str, kind: str) -> Column:
+    if kind == "string":
+        return F.coalesce(F.octet_length(name), F.lit(0)) + VALUE_BYTES
+    if kind == "array<string>":
+        return F.octet_length(F.concat_ws("", name)) + (F.size(name) + 1) * VALUE_BYTES
+    return F.lit(VALUE_BYTES)
+
+
 def _maybe_broadcast(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """``df`` to be broadcast, if all its rows have at most BROADCAST_BYTES."""
+    size = df.agg(F.sum(sum((_value_bytes(n, k) for n, k in df.dtypes), F.lit(0).cast("long")))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def _word_hashes(words: Column) -> Column:
