@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from trustlens.llm.bpe_words import BYTE_LEVEL, WordSplit, encode_batch, encode_words, load_tokenizer, plain_words
-from trustlens.llm.common import bounded_batches, by_bytes, documents, ragged_take, text_or_empty
+from trustlens.llm.common import bounded_batches, by_bytes, documents, ragged_take, shared_files, text_or_empty
 from trustlens.session import scratch_path
 
 #: Scan parts whose dictionaries one shuffle task writes.
@@ -87,7 +87,7 @@ def _with_dictionary(folder: str, spec, split: WordSplit, finish):
     """Batches of (doc_id, text) become ``finish(doc_ids, ids, counts)``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load_tokenizer(spec.value)
-        fs, base = pafs.FileSystem.from_uri(folder)
+        fs, base = shared_files(folder)
         part = TaskContext.get().partitionId()
         files = [f.path for f in fs.get_file_info(pafs.FileSelector(f"{base}/part={part}", allow_not_found=True)) if f.base_name.endswith(".parquet")]
         at: dict[str, int] = {}
