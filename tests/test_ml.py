@@ -296,3 +296,26 @@ def test_classifiers_train_save_and_load(spark, resp_small, monkeypatch, tmp_pat
         key = lambda df: {r["respondent_id"]: r["prediction"] for r in df.select("respondent_id", "prediction").collect()}
         assert key(store.load(spark, "trust").transform(res["frame"])) == key(res["fitted"][best].transform(res["data"]))
         assert store.manifest(spark, "trust")["model"] == best
+
+
+def test_lloyd_pass_over_packed_blocks_equals_brute_force(spark, monkeypatch):
+    from pyspark.ml.functions import vector_to_array
+    monkeypatch.setattr(CL, "BLOCK_ROWS", 37)
+    rng = np.random.default_rng(11)
+    x = np.round(rng.normal(size=(700, 3)), 1)
+    sets = [rng.normal(size=(k, 3)) for k in (4, 2, 4, 1, 3, 2)]
+    sets[2][3] = sets[2][0]  # the first of equal centres takes the rows
+    df = points(spark, x).select(vector_to_array("features").alias("x"))
+    blocks = CL.packed(df)
+    assert dict(blocks.dtypes) == {"x": "binary"} and 700 // 37 <= blocks.count() <= 700 // 37 + 1 + df.rdd.getNumPartitions()
+    for rows in (df, blocks):
+        got = {(r["set"], r["centre"]): r for r in CL.lloyd_sums(rows, sets).collect()}
+        assert len(got) == sum(map(len, sets))
+        for i, c in enumerate(sets):
+            far = ((x[:, None] - c) ** 2).sum(axis=2)
+            own = far.argmin(axis=1)
+            for j in range(len(c)):
+                r, mine = got[i, j], own == j
+                assert r["n"] == mine.sum() and np.isclose(r["cost"], far[mine, j].sum())
+                assert np.allclose([r["s0"], r["s1"], r["s2"]], x[mine].sum(axis=0))
+    assert got[2, 3]["n"] == 0
