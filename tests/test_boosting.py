@@ -205,3 +205,41 @@ def test_fold_scalers(spark):
         assert (r.n, r.mean, r.std) == (len(rest), pytest.approx(rest.mean()), pytest.approx(rest.std(ddof=1), abs=1e-6))
     moved = frame(spark, x[:5], np.zeros(5)).select("respondent_id", vector_to_array(PL.rescaled("features", [1, 2, 7], [2, 4, 0])).alias("v")).toPandas()
     assert np.allclose(np.stack(moved.sort_values("respondent_id").v), (x[:5] - [1, 2, 7]) * [0.5, 0.25, 0])
+
+
+def test_bundles_give_the_sums_of_every_bin():
+    rng = np.random.default_rng(3)
+    sizes = [2, 200, 5, 2, 1, 7, 5, 2, 61]
+    bins = np.stack([rng.integers(0, n, 400) for n in sizes], axis=1).astype(np.uint8)
+    bundles = B.Bundles.of(sizes)
+    assert sorted(j for own in bundles.members for j in own) == list(range(len(sizes)))
+    assert len(bundles.members) < len(sizes)  # fewer columns to count
+    *starts, cells = bundles.starts()
+    value = rng.integers(0, 9, 400).astype(float)
+    code = bundles.codes(bins) + np.array(starts)
+    found = bundles.marginals(np.bincount(code.ravel(), np.repeat(value, len(starts)), cells)[None])[0]
+    plain = np.concatenate([np.bincount(bins[:, j], value, n) for j, n in enumerate(sizes)])
+    assert found.tolist() == plain.tolist()
+
+
+def test_one_child_of_a_split_is_summed_and_the_other_follows(spark, monkeypatch):
+    x, y = problem(classes=3)
+    df, s = frame(spark, x, y), B.BoostSettings(rounds=3, depth=4, step=0.3)
+    seen, grow = [], B.grow_level
+
+    def watched(blocks, at, above):
+        found, sums = grow(blocks, at, above)
+        if sums:
+            key = (0, 0)
+            every = dict(B.level_sums(blocks.collect(), B.replace(at, slot=B.slots(B.open_nodes(at.growing, at.level)))))
+            seen.append(B.lighter(at.growing, at.level)[key].sum() * 2 == B.open_nodes(at.growing, at.level)[key].sum())
+            there = B.open_nodes(at.growing, at.level)[key]
+            assert sums[key][:, there].ravel().tolist() == every[key].ravel().tolist()
+        return found, sums
+
+    monkeypatch.setattr(B, "grow_level", watched)
+    direct = B.fit_boosted(df, 5, 3, 0, s)[0].margins(x)
+    assert sum(seen) == 9  # every level but the first of each round
+    monkeypatch.setattr(B, "grow_level", grow)
+    monkeypatch.setattr(B, "DIRECT_BYTES", 0)
+    assert B.fit_boosted(df, 5, 3, 0, s)[0].margins(x).tolist() == direct.tolist()
