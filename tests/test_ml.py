@@ -319,3 +319,20 @@ def test_lloyd_pass_over_packed_blocks_equals_brute_force(spark, monkeypatch):
                 assert r["n"] == mine.sum() and np.isclose(r["cost"], far[mine, j].sum())
                 assert np.allclose([r["s0"], r["s1"], r["s2"]], x[mine].sum(axis=0))
     assert got[2, 3]["n"] == 0
+
+
+def test_forest_tasks_follow_the_rows_and_rows_keep_their_nodes(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    from trustlens.ml import models as MD
+    rng = np.random.default_rng(8)
+    rows = [(i, float(i % 2), 1.0, [float(v) for v in rng.normal(i % 2, 1.0, 4)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "respondent_id long, label double, weight double, x array<double>").repartition(4, "respondent_id")
+    train = df.select("respondent_id", "label", "weight", array_to_vector("x").alias("features"))
+    assert MD.forest_rows(train, 400).rdd.getNumPartitions() == 1
+    assert MD.forest_rows(train, 3 * MD.FOREST_ROWS).rdd.getNumPartitions() == 3
+    assert MD.forest_rows(train, 100 * MD.FOREST_ROWS).rdd.getNumPartitions() == 4  # never more than there are
+    forest = MD.estimators(400, MD.ModelSettings(rf_trees=5, rf_depth=6))["Random Forest"]
+    assert forest.getCacheNodeIds()
+    plain = forest.copy().setCacheNodeIds(False)
+    assert forest.fit(train).toDebugString.split("\n")[1:] == plain.fit(train).toDebugString.split("\n")[1:]
