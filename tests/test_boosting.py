@@ -243,3 +243,23 @@ def test_one_child_of_a_split_is_summed_and_the_other_follows(spark, monkeypatch
     monkeypatch.setattr(B, "grow_level", grow)
     monkeypatch.setattr(B, "DIRECT_BYTES", 0)
     assert B.fit_boosted(df, 5, 3, 0, s)[0].margins(x).tolist() == direct.tolist()
+
+
+@pytest.mark.parametrize("classes", [2, 3])
+def test_rows_dealt_to_nodes_give_the_trees_of_levels(spark, monkeypatch, classes):
+    x, y = problem(n=2100, classes=classes, seed=2)
+    df, s = frame(spark, x, y, np.arange(2100) % 2).persist(), B.BoostSettings(rounds=3, depth=5, step=0.3)
+    grow, levels, found = B.grow_level, [], []
+    monkeypatch.setattr(B, "grow_level", lambda blocks, at, above: (levels.append(at.level), grow(blocks, at, above))[1])
+    for aim, room in ((1 << 13, 1 << 26), (600, 1 << 26), (1 << 13, 0)):
+        monkeypatch.setattr(B, "NODE_ROWS", aim)
+        monkeypatch.setattr(B, "DEALT_BYTES", room)
+        levels.clear()
+        found.append(B.fit_boosted(df, 5, classes, 2, s))
+        assert levels == 3 * list(range({(1 << 13, 1 << 26): 1, (600, 1 << 26): 2, (1 << 13, 0): 5}[aim, room]))
+    for models in zip(*found):
+        for rounds in zip(*(m.rounds for m in models)):
+            for name in ("feature", "cut", "value", "cover", "gain"):
+                first, *others = (getattr(r, name).tolist() for r in rounds)
+                assert all(o == first for o in others), name
+    assert (found[0][0].rounds[0].feature[0, 0, 7:] >= 0).any()
