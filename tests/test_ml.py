@@ -298,6 +298,53 @@ def test_classifiers_train_save_and_load(spark, resp_small, monkeypatch, tmp_pat
         assert store.manifest(spark, "trust")["model"] == best
 
 
+@pytest.mark.parametrize("direct", [0, 1 << 20])
+def test_lloyd_pass_is_one_job_without_planning_and_equals_brute_force(spark, monkeypatch, direct):
+    from pyspark.ml.functions import vector_to_array
+    monkeypatch.setattr(CL, "BLOCK_ROWS", 53)
+    monkeypatch.setattr(CL, "DIRECT_BYTES", direct)
+    rng = np.random.default_rng(12)
+    x = np.round(rng.normal(size=(900, 3)), 1)
+    sets = [rng.normal(size=(k, 3)) for k in (3, 2, 3, 1, 4)]
+    sets[2][2] = sets[2][1]
+    blocks = CL.matrices(CL.packed(points(spark, x).repartition(9).select(vector_to_array("features").alias("x"))), 3)
+    assert blocks.count() > 9
+    group = f"pass-{direct}"
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        found = np.split(CL.lloyd_pass(blocks, sets), np.cumsum([len(c) for c in sets])[:-1])
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) == 1
+    for c, got in zip(sets, found, strict=True):
+        far = ((x[:, None] - c) ** 2).sum(axis=2)
+        own = far.argmin(axis=1)  # the first of equal centres
+        for j, cost in enumerate(CL.costs_of(got, c)):
+            assert got[j, 3] == (own == j).sum() and np.allclose(got[j, :3], x[own == j].sum(axis=0))
+            assert cost == pytest.approx(far[own == j, j].sum())
+    blocks.unpersist()
+
+
+def test_silhouette_assigns_only_the_sampled_rows(spark, monkeypatch):
+    x = np.random.default_rng(13).normal(size=(200, 2))
+    scaled, seen = points(spark, x), []
+    cfg = CL.ClusterSettings(k_range=(2, 3), silhouette_rows=40)
+    models = [CL.CentreModel(x[:k], 1.0) for k in cfg.k_range]
+    taken = [r["respondent_id"] for r in CL.hash_sample(scaled, 40, cfg.seed).collect()]
+    whole = CL.CentreModel.transform
+    monkeypatch.setattr(CL.CentreModel, "transform", lambda self, rows, *a: seen.append(rows.count()) or whole(self, rows, *a))
+    got = {r["k"]: r["silhouette_score"] for r in CL.silhouette(scaled, cfg, models).collect()}
+    assert seen == [40, 40]
+    far = np.sqrt(((x[taken][:, None] - x[taken]) ** 2).sum(axis=2))
+    for k in cfg.k_range:
+        own, want = ((x[taken][:, None] - x[:k]) ** 2).sum(axis=2).argmin(axis=1), []
+        for i in range(40):
+            mean = {c: far[i, (own == c) & (np.arange(40) != i)].mean() for c in set(own) if ((own == c) & (np.arange(40) != i)).any()}
+            a, b = mean.get(own[i]), min(v for c, v in mean.items() if c != own[i])
+            want.append(0.0 if a is None else (b - a) / max(a, b))
+        assert got[k] == pytest.approx(np.mean(want), abs=1e-4)
+
+
 def test_lloyd_pass_over_packed_blocks_equals_brute_force(spark, monkeypatch):
     from pyspark.ml.functions import vector_to_array
     monkeypatch.setattr(CL, "BLOCK_ROWS", 37)
