@@ -263,3 +263,31 @@ def test_rows_dealt_to_nodes_give_the_trees_of_levels(spark, monkeypatch, classe
                 first, *others = (getattr(r, name).tolist() for r in rounds)
                 assert all(o == first for o in others), name
     assert (found[0][0].rounds[0].feature[0, 0, 7:] >= 0).any()
+
+
+@pytest.mark.parametrize("classes", [2, 3])
+def test_models_grown_whole_give_the_trees_of_rounds_in_one_job(spark, monkeypatch, classes):
+    x, y = problem(n=2100, classes=classes, seed=6)
+    df, s = frame(spark, x, y, np.arange(2100) % 2).persist(), B.BoostSettings(rounds=4, depth=5, step=0.3)
+    by_rounds = B.fit_boosted(df, 5, classes, 2, s)
+    monkeypatch.setattr(B, "grow_level", None)  # no round has a job of its own
+    for f, (model, want) in enumerate(zip(B.fit_boosted(df, 5, classes, 2, s, B.TASK_BYTES), by_rounds, strict=True)):
+        assert len(model.rounds) == s.rounds, f
+        for got, then in zip(model.rounds, want.rounds, strict=True):
+            for name in ("feature", "cut", "value", "cover", "gain"):
+                assert getattr(got, name).tolist() == getattr(then, name).tolist(), (f, name)
+    assert (by_rounds[0].rounds[0].feature[0, 0, 7:] >= 0).any()
+
+
+def test_models_without_rows_or_splits_are_grown_whole_too(spark):
+    x = np.ones((50, 2))
+    s = B.BoostSettings(rounds=3)
+    whole = B.fit_boosted(frame(spark, x, np.ones(50), np.zeros(50)), 2, 2, 1, s, B.TASK_BYTES)
+    for model, want in zip(whole, B.fit_boosted(frame(spark, x, np.ones(50), np.zeros(50)), 2, 2, 1, s), strict=True):
+        assert model.margins(x).tolist() == want.margins(x).tolist()
+    assert (whole[1].margins(x) > 0).all() and not whole[0].margins(x).any()  # every row lies in the first model's fold
+    x, y = problem(n=300)
+    df, s = frame(spark, x, y).persist(), B.BoostSettings(rounds=3, depth=3)
+    whole, want = (B.fit_boosted(df, 5, 3, 0, s, room)[0] for room in (B.TASK_BYTES, 0))  # the third class has no row
+    assert whole.margins(x).tolist() == want.margins(x).tolist()
+    assert (whole.rounds[0].feature[0, 2] < 0).all() and (whole.rounds[0].feature[0, 0, :3] >= 0).all()
