@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from trustlens import functions as X
 from trustlens.ml.boosting import BoostedModel
+from trustlens.ml.forest import ForestModel
 from trustlens.session import scratch_path
 
 
@@ -130,6 +131,9 @@ def tree_table(model, kind: str) -> tuple[list[dict], list[float]]:
     if isinstance(model, BoostedModel):
         trees = model.tree_arrays(0 if model.n_classes == 2 else model.n_classes - 1)
         return trees, [1.0] * len(trees)
+    if isinstance(model, ForestModel):
+        trees = model.tree_arrays()
+        return trees, [1.0 / len(trees)] * len(trees)
     spark = SparkSession.getActiveSession()
     path = scratch_path(spark, f"model_{uuid.uuid4().hex[:8]}")
     model.write().overwrite().save(path)
