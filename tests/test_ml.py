@@ -383,3 +383,16 @@ def test_forest_tasks_follow_the_rows_and_rows_keep_their_nodes(spark):
     assert forest.getCacheNodeIds()
     plain = forest.copy().setCacheNodeIds(False)
     assert forest.fit(train).toDebugString.split("\n")[1:] == plain.fit(train).toDebugString.split("\n")[1:]
+
+
+def test_logistic_regression_goes_over_no_more_parts_than_its_rows_ask_for(spark, resp_small, monkeypatch):
+    from pyspark.ml.classification import LogisticRegression
+
+    from trustlens.ml import models as MD
+    from trustlens.ml.boosting import BoostSettings
+    parts, fit = [], LogisticRegression._fit
+    monkeypatch.setattr(LogisticRegression, "_fit", lambda self, df: (parts.append(df.rdd.getNumPartitions()), fit(self, df))[1])
+    monkeypatch.setattr(MD, "FOREST_ROWS", 60)
+    small = MD.ModelSettings(lr_max_iter=5, rf_trees=2, rf_depth=2, cv_folds=2, boost=BoostSettings(rounds=1, depth=1))
+    res = MD.train_classifier(resp_small, S.FRAUD_TARGET, small)
+    assert res["data"].rdd.getNumPartitions() == 4 and parts == [2, 2, 2]  # 120 training rows
